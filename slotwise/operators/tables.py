@@ -118,5 +118,5 @@ def ordered_list(df: DataFrame, keys: Sequence[str], order: str, fields: Sequenc
     short; it holds a group in memory."""
     packed = F.array_sort(F.collect_list(F.struct(order, *[f for f in fields if f != order])))
     return df.groupBy(*keys).agg(packed.alias("_rows")).select(
-        *keys, *[F.transform("_rows", lambda r, f=f: r[f]).alias(f"{f}_list") for f in fields]
+        *keys, *[F.col(f"_rows.{f}").alias(f"{f}_list") for f in fields]
     )
