@@ -211,6 +211,41 @@ def _schedule_quality(train: DataFrame, test: DataFrame) -> DataFrame:
     return prediction_quality(test, "actual_prep_min", "planned_prep_min")
 
 
+def _forest(f) -> Query:
+    """Queries on the fitted prep forest and its scored test rows."""
+    return _split(lambda train, test: f(*models.prep_forest(train, test, trees=100, depth=6)))
+
+
+def _importance(model, scored: DataFrame) -> DataFrame:
+    return models.feature_importance(model, scored)
+
+
+def _forest_predicted(scored: DataFrame) -> DataFrame:
+    marks = {c: F.col(c) == 1 for c in ("is_first_of_day", "is_last_of_day", "has_anesthesia")}
+    return scored.withColumns({**marks, "position": F.col("position").cast("long")})
+
+
+def _with_age(train: DataFrame, test: DataFrame) -> DataFrame:
+    features = models.PREP_FEATURES_WITH_AGE
+    return models.compare_with_schedule(models.prep_forest(train, test, features, trees=100, depth=6)[1])
+
+
+def _mean_coded(train: DataFrame, test: DataFrame) -> DataFrame:
+    train, test = models.encode_procedures(train, test, "mean")
+    return models.compare_with_schedule(models.score(models.fit_forest(train, trees=100, depth=6), test))
+
+
+def _common_procedure(train: DataFrame, test: DataFrame) -> DataFrame:
+    return models.procedure_forest(train, test, "PROC 1", min_train=20, trees=100, depth=6)
+
+
+def _modelled(f, target: str = "patient_prep_min", bounds=(0, 240), **kwargs) -> Query:
+    def run(c: DataFrame) -> DataFrame:
+        return f(*models.temporal_split(models.model_rows(c, target, bounds), CUTOFF), **kwargs)
+
+    return _on_cases(run)
+
+
 def _prep_bins(cases: DataFrame) -> DataFrame:
     return histogram(prep.prepared_patients(cases), "patient_prep_min", width=5)
 
@@ -322,8 +357,13 @@ def build() -> dict[str, Query]:
         "phase_comparison": _on_valid(surgical.phase_comparison),
         "phase_gap_summary": _on_valid(surgical.phase_gap_summary),
         "zero_allocation_split": _on_valid(surgical.zero_allocation_split),
-        "zero_allocation_top": _on_valid(surgical.zero_allocation_top),
-        "zero_allocation_histogram": _on_valid(surgical.zero_allocation_histogram),
+        # The derived log plans some prep for every procedure but none at some ages.
+        "zero_allocation_split_by_age": _on_valid(
+            lambda v: surgical.zero_allocation_split(v, 10, "patient_age")),
+        "zero_allocation_top": _on_valid(
+            lambda v: surgical.zero_allocation_top(v, min_cases=10, key="patient_age")),
+        "zero_allocation_histogram": _on_valid(
+            lambda v: surgical.zero_allocation_histogram(v, min_cases=10, key="patient_age")),
         "or_day_classification": _on_valid_days(lambda v, hot: surgical.or_day_classification(v, hot=hot)),
         "day_type_summary": _on_valid_days(
             lambda v, hot: surgical.day_type_summary(surgical.or_day_classification(v, hot=hot))),
@@ -407,6 +447,24 @@ def build() -> dict[str, Query]:
         "split_sizes": _split(models.split_sizes),
         "procedure_codes": _split(_procedure_codes),
         "schedule_quality": _split(_schedule_quality),
+        "prep_forest": _forest(lambda _, scored: models.compare_with_schedule(scored)),
+        "prep_forest_by_first": _forest(lambda _, scored: models.compare_by_first(scored)),
+        "prep_forest_importance": _forest(_importance),
+        "prep_forest_with_age": _split(_with_age),
+        "prep_forest_mean_coded": _split(_mean_coded),
+        "procedure_forest": _split(_common_procedure),
+        "forest_corrected_days": _forest(lambda _, s: _corrected(_forest_predicted(s), None)),
+        "forest_cascade_candidates": _forest(lambda _, s: _candidates(_forest_predicted(s), None)),
+        "forest_waiting_saved": _forest(
+            lambda _, s: replay.waiting_saved(_forest_predicted(s), CUTOFF, MONTH_END)),
+        "boosted_prep": _modelled(models.boosted_prep, iterations=20),
+        "linear_prep": _modelled(models.linear_prep),
+        "component_linear_prep": _modelled(models.component_linear_prep, k=5),
+        "components_tell_specialty": _modelled(models.components_tell_specialty, k=5),
+        "complexity_tiers": _on_cases(lambda c: models.complexity_tiers(models.model_rows(c))),
+        "overrun_classifier": _modelled(models.overrun_classifier),
+        "inor_regression": _modelled(models.inor_regression, "actual_inor_min", (0, 600), trees=20, depth=6),
+        "text_features": _modelled(models.text_features),
         "known_procedure_test": _split(lambda a, b: models.known_procedure_test(a, b, min_rows=5)),
     }
     return q

@@ -581,17 +581,19 @@ gp AS (SELECT procedure, avg(prep_gap) AS mean_prep_gap, avg(inor_gap) AS mean_i
         f"""SELECT count(*) AS n, avg(prep_gap) AS mean_prep_gap, avg(inor_gap) AS mean_surgery_gap,
  (SELECT {_pct('prep_worse')} FROM pc) AS pct_prep_worse FROM v""",
         "", "n", "mean_prep_gap mean_surgery_gap pct_prep_worse", COMPARED)
-    q["zero_allocation_split"] = _q(
-        """SELECT zero_planned, count(*) AS n_procedures, avg(planned_prep) AS mean_planned_prep,
+    split = """SELECT zero_planned, count(*) AS n_procedures, avg(planned_prep) AS mean_planned_prep,
  avg(actual_prep) AS mean_actual_prep, avg(prep_gap) AS mean_prep_gap, avg(surgery_gap) AS mean_surgery_gap
- FROM pc GROUP BY 1""",
-        "zero_planned", "n_procedures", "mean_planned_prep mean_actual_prep mean_prep_gap mean_surgery_gap", COMPARED)
+ FROM pc GROUP BY 1"""
+    split_cols = ("zero_planned", "n_procedures", "mean_planned_prep mean_actual_prep mean_prep_gap mean_surgery_gap")
+    by_age = COMPARED.replace("procedure_name", "patient_age").replace(">= 50", ">= 10")
+    q["zero_allocation_split"] = _q(split, *split_cols, COMPARED)
+    q["zero_allocation_split_by_age"] = _q(split, *split_cols, by_age)
     q["zero_allocation_top"] = _q(
-        "SELECT * FROM pc WHERE zero_planned ORDER BY prep_gap DESC, procedure_name LIMIT 10",
-        "procedure_name", "n", "planned_prep actual_prep prep_gap surgery_gap", COMPARED)
+        "SELECT * FROM pc WHERE zero_planned ORDER BY prep_gap DESC, patient_age LIMIT 10",
+        "", "patient_age n", "planned_prep actual_prep prep_gap surgery_gap", by_age)
     q["zero_allocation_histogram"] = _q(
         _hist("za", "actual_prep", 40), "", "bin n", "bin_start bin_end",
-        f"{COMPARED},\nza AS (SELECT v.* FROM v SEMI JOIN (SELECT * FROM pc WHERE zero_planned) AS z USING (procedure_name))")
+        f"{by_age},\nza AS (SELECT v.* FROM v SEMI JOIN (SELECT * FROM pc WHERE zero_planned) AS z USING (patient_age))")
     q["or_day_classification"] = _q(
         "SELECT * FROM dc", "or_room date specialty day_type",
         "first_case_delay first_case_prep_gap last_case_finish_delay n_cases", "position_delay_corr mean_day_delay", DAYS)

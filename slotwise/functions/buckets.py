@@ -33,7 +33,10 @@ def delay_bucket(delay: Column) -> Column:
 
 
 def bucket_label(ordinal: Column, labels: tuple[str, ...]) -> Column:
-    return F.element_at(F.array(*[F.lit(label) for label in labels]), ordinal + 1)
+    text = F.lit(None).cast("string")
+    for i, label in enumerate(labels):
+        text = F.when(ordinal == i, label).otherwise(text)
+    return text
 
 
 def position_label(position: Column, last: int = 5) -> Column:

@@ -80,33 +80,53 @@ def histogram(
     between ``bounds``; the last bin takes its upper edge. Give ``width`` for bins of
     that width from 0 upward.
     """
-    x = F.col(column).cast("double")
-    spark = df.sparkSession
-    if width is not None:
-        number = F.floor(x / width)
-        counts = df.where(x >= 0).groupBy(number.alias("bin")).agg(F.count("*").alias("n"))
-        # Grows with the value range over the width, not with the rows.
-        frame = counts.agg(F.explode(F.sequence(F.lit(0).cast("long"), F.max("bin"))).alias("bin"))
-        low, step = F.lit(0.0), F.lit(float(width))
-        return _fill(frame, counts, low, step)
+    counts = value_counts(df, column)
+    return bins_of_width(counts, width) if width is not None else bins_of_range(counts, bins, bounds)
+
+
+def bins_of_range(counts: DataFrame, bins: int, bounds: tuple[float, float] | None = None) -> DataFrame:
+    """``bins`` equal bins over a table of :func:`value_counts`."""
+    x = F.col("_value").cast("double")
     if bounds is None:
-        low, high = (df.agg(f(x)).scalar() for f in (F.min, F.max))
+        everything = Window.partitionBy()
+        low, high = F.min(x).over(everything), F.max(x).over(everything)
     else:
         low, high = F.lit(float(bounds[0])), F.lit(float(bounds[1]))
     pad = F.when(high == low, 0.5).otherwise(0.0)
-    low, high = low - pad, high + pad
-    number = F.least(F.floor((x - low) * bins / (high - low)), F.lit(bins - 1).cast("long"))
-    counts = df.where(x.between(low, high)).groupBy(number.alias("bin")).agg(F.count("*").alias("n"))
-    frame = spark.range(bins).withColumnRenamed("id", "bin")
-    return _fill(frame, counts, low, (high - low) / bins)
+    placed = counts.select(x.alias("_x"), "_n", (low - pad).alias("_low"), (high + pad).alias("_high"))
+    number = F.floor((F.col("_x") - F.col("_low")) * bins / (F.col("_high") - F.col("_low")))
+    return _fill(
+        placed.where(F.col("_x").between(F.col("_low"), F.col("_high")))
+        .withColumn("_bin", F.least(number, F.lit(bins - 1).cast("long"))),
+        F.min("_low"), (F.max("_high") - F.min("_low")) / bins, F.lit(bins - 1).cast("long"),
+    )
+
 
+def bins_of_width(counts: DataFrame, width: float) -> DataFrame:
+    """Bins of ``width`` from 0 up over a table of :func:`value_counts`."""
+    x = F.col("_value").cast("double")
+    placed = counts.where(x >= 0).withColumn("_bin", F.floor(x / width))
+    return _fill(placed, F.lit(0.0), F.lit(float(width)), F.max("_bin"))
 
-def _fill(frame: DataFrame, counts: DataFrame, low: Column, step: Column) -> DataFrame:
-    return frame.join(F.broadcast(counts), "bin", "left").select(
+
+def _fill(placed: DataFrame, low: Column, step: Column, last: Column) -> DataFrame:
+    """One row per bin up to ``last``, with 0 where nothing fell. Bins, not rows, are
+    gathered: their number follows from the parameters and the value range."""
+    frame = [c for c in ("_low", "_high") if c in placed.columns]
+    one = (
+        placed.groupBy("_bin", *frame).agg(F.sum("_n").alias("_n"))
+        .agg(
+            low.alias("_start"), step.alias("_step"), last.alias("_last"),
+            F.map_from_entries(F.collect_list(F.struct("_bin", "_n"))).alias("_filled"),
+        )
+        .where(F.col("_start").isNotNull() & F.col("_last").isNotNull())
+    )
+    bins = one.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("bin"))
+    return bins.select(
         "bin",
-        (low + F.col("bin") * step).alias("bin_start"),
-        (low + (F.col("bin") + 1) * step).alias("bin_end"),
-        F.coalesce("n", F.lit(0).cast("long")).alias("n"),
+        (F.col("_start") + F.col("bin") * F.col("_step")).alias("bin_start"),
+        (F.col("_start") + (F.col("bin") + 1) * F.col("_step")).alias("bin_end"),
+        F.coalesce(F.col("_filled")[F.col("bin")], F.lit(0).cast("long")).alias("n"),
     )
 
 
@@ -130,7 +150,7 @@ def density(
     n = F.sum("_n").over(group)
     total = F.sum(F.col("_value") * F.col("_n")).over(group)
     squares = F.sum(F.col("_value") * F.col("_value") * F.col("_n")).over(group)
-    spread = F.sqrt((squares - total * total / n) / (n - 1))
+    spread = F.sqrt(F.try_divide(squares - total * total / n, n - 1))
     scale = F.lit(factor) if factor is not None else F.pow(n.cast("double"), F.lit(-0.2))
     low = F.lit(float(bounds[0])) if bounds else F.min("_value").over(group).cast("double")
     high = F.lit(float(bounds[1])) if bounds else F.max("_value").over(group).cast("double")

@@ -31,6 +31,7 @@ from slotwise.operators import (
     top,
 )
 from slotwise.operators.days import number_rows
+from slotwise.operators.distribution import bins_of_range, value_counts
 from slotwise.schema import NON_SURGICAL
 
 MIN_CASES = 50
@@ -87,14 +88,14 @@ def data_funnel(log: DataFrame, exclude: Sequence[str] = NON_SURGICAL) -> DataFr
     )
 
 
-def phase_comparison(valid: DataFrame, min_cases: int = MIN_CASES) -> DataFrame:
-    """Planned and actual prep and surgery per procedure.
+def phase_comparison(valid: DataFrame, min_cases: int = MIN_CASES, key: str = "procedure_name") -> DataFrame:
+    """Planned and actual prep and surgery per procedure, or per another ``key``.
 
     ``prep_worse`` and ``zero_planned`` compare means at one decimal, so a mean
     below 0.05 counts as nothing planned.
     """
     return (
-        valid.groupBy("procedure_name")
+        valid.groupBy(key)
         .agg(
             F.count("*").alias("n"),
             F.avg("planned_prep_min").alias("planned_prep"),
@@ -122,24 +123,31 @@ def phase_gap_summary(valid: DataFrame, min_cases: int = MIN_CASES) -> DataFrame
     ).withColumn("pct_prep_worse", worse)
 
 
-def zero_allocation_split(valid: DataFrame, min_cases: int = MIN_CASES) -> DataFrame:
+def zero_allocation_split(
+    valid: DataFrame, min_cases: int = MIN_CASES, key: str = "procedure_name"
+) -> DataFrame:
     """Procedures with and without planned prep: mean of their means."""
-    return phase_comparison(valid, min_cases).groupBy("zero_planned").agg(
+    return phase_comparison(valid, min_cases, key).groupBy("zero_planned").agg(
         F.count("*").alias("n_procedures"),
         *[F.avg(c).alias(f"mean_{c}") for c in ("planned_prep", "actual_prep", "prep_gap", "surgery_gap")],
     )
 
 
-def zero_allocation_top(valid: DataFrame, k: int = 10, min_cases: int = MIN_CASES) -> DataFrame:
-    rows = phase_comparison(valid, min_cases).where("zero_planned").select(
-        "procedure_name", "n", "planned_prep", "actual_prep", "prep_gap", "surgery_gap"
+def zero_allocation_top(
+    valid: DataFrame, k: int = 10, min_cases: int = MIN_CASES, key: str = "procedure_name"
+) -> DataFrame:
+    rows = phase_comparison(valid, min_cases, key).where("zero_planned").select(
+        key, "n", "planned_prep", "actual_prep", "prep_gap", "surgery_gap"
     )
-    return top(rows, k, "prep_gap", "procedure_name")
+    return top(rows, k, "prep_gap", key)
 
 
-def zero_allocation_histogram(valid: DataFrame, bins: int = 40, min_cases: int = MIN_CASES) -> DataFrame:
-    zero = phase_comparison(valid, min_cases).where("zero_planned")
-    return histogram(keep_matching(valid, zero, ["procedure_name"]), "actual_prep_min", bins=bins)
+def zero_allocation_histogram(
+    valid: DataFrame, bins: int = 40, min_cases: int = MIN_CASES, key: str = "procedure_name"
+) -> DataFrame:
+    """Actual prep of the cases of all procedures without planned prep."""
+    zero = phase_comparison(valid, min_cases, key).where("zero_planned")
+    return histogram(keep_matching(valid, zero, [key]), "actual_prep_min", bins=bins)
 
 
 def _long_days(valid: DataFrame, min_cases: int, hot: DataFrame | None) -> DataFrame:
@@ -257,12 +265,12 @@ def waiting_impact(valid: DataFrame) -> DataFrame:
 def waiting_distribution(valid: DataFrame, bins: int = 60) -> DataFrame:
     """Histogram of the delay now and after taking off the mean prep gap."""
     gap = valid.agg(F.avg("prep_gap_min")).scalar()
-    delays = valid.select(F.col("start_delay_min").cast("double").alias("current"))
-    delays = delays.withColumn("corrected", F.col("current") - gap)
+    current = value_counts(valid, "start_delay_min")
     parts = []
-    for series in ("current", "corrected"):
-        shown = delays.where(within(F.col(series), (-30, 120)))
-        parts.append(histogram(shown, series, bins=bins).withColumn("series", F.lit(series)))
+    for series, shift in (("current", F.lit(0.0)), ("corrected", gap)):
+        moved = current.withColumn("_value", F.col("_value").cast("double") - shift)
+        shown = moved.where(within(F.col("_value"), (-30, 120)))
+        parts.append(bins_of_range(shown, bins).withColumn("series", F.lit(series)))
     return parts[0].unionByName(parts[1])
 
 
