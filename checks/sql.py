@@ -303,7 +303,7 @@ def _hist(source: str, x: str, bins: int, tag: str = "", where: str = "TRUE") ->
  CROSS JOIN (SELECT CAST(min({x}) AS DOUBLE) AS lo, CAST(max({x}) AS DOUBLE) AS hi FROM {source} WHERE {where}) AS e
  LEFT JOIN (SELECT CAST({x} AS DOUBLE) AS x FROM {source} WHERE {where}) AS d
   ON least(CAST(floor((d.x - lo) * {bins} / (hi - lo)) AS BIGINT), {bins - 1}) = r.bin
- GROUP BY r.bin, lo, hi"""
+ WHERE lo IS NOT NULL GROUP BY r.bin, lo, hi"""
 
 
 def _before_after(value: str) -> str:
@@ -645,7 +645,7 @@ pf AS (SELECT *, CAST(row_number() OVER (ORDER BY procedure_name) - 1 AS DOUBLE)
              "c9": "mean cases that day"}
 
     def signals(columns: list[str], spread: bool) -> str:
-        having = " HAVING stddev_samp({}) >= 0.01" if spread else ""
+        having = " HAVING coalesce(stddev_samp({}), 1) >= 0.01" if spread else ""
         return " UNION ALL ".join(
             f"SELECT '{names[c]}' AS predictor, {_corr(c, 'ap')} AS r_actual, {_corr(c, 'pp')} AS r_planned,"
             f" {_corr(c, 'ap')} - {_corr(c, 'pp')} AS schedule_gap FROM pf{having.format(c)}" for c in columns)

@@ -22,19 +22,23 @@ def correlation_table(
     that lack the predictor or any target do not count. A predictor whose sample
     deviation is below ``min_spread`` is left out.
     """
-    sources = list(targets.values())
-    labelled = df.select(
-        *[F.col(c).cast("double").alias(label) for label, c in predictors.items()],
-        *[F.col(c).cast("double").alias(f"_t{i}") for i, c in enumerate(sources)],
-    )
-    held = [f"_t{i}" for i in range(len(sources))]
-    long = labelled.unpivot(held, list(predictors), "predictor", "_x").dropna()
-    table = long.groupBy("predictor").agg(
-        F.stddev_samp("_x").alias("_spread"),
-        *[pearson(F.col("_x"), F.col(t)).alias(name) for t, name in zip(held, targets)],
-    )
+    known = F.lit(True)
+    for column in targets.values():
+        known = known & F.col(column).isNotNull()
+    lines = []
+    for label, column in predictors.items():
+        x = F.when(known, F.col(column).cast("double"))
+        lines.append(
+            F.struct(
+                F.lit(label).alias("predictor"),
+                F.stddev_samp(x).alias("_spread"),
+                *[pearson(x, F.col(t)).alias(name) for name, t in targets.items()],
+            )
+        )
+    # All correlations come from one pass without a shuffle of rows.
+    table = df.agg(F.array(*lines).alias("_lines")).select(F.inline("_lines"))
     if min_spread is not None:
-        table = table.where(F.col("_spread") >= min_spread)
+        table = table.where(F.col("_spread").isNull() | (F.col("_spread") >= min_spread))
     return table.drop("_spread")
 
 
