@@ -275,15 +275,12 @@ def _corrected(predicted: DataFrame, hot: DataFrame | None, whole: bool = True)
     )
 
 
-WIDE_DAYS = {"case_range": (2, 4), "hours": (0, 23)}
-
-
 def _feasible_days(cases: DataFrame) -> DataFrame:
-    return whatif.feasible_whatif_days(cases, **WIDE_DAYS)
+    return whatif.feasible_whatif_days(whatif.feasible_candidates(cases, hours=(0, 23)), case_range=(2, 4))
 
 
 def _feasible_day(cases: DataFrame) -> DataFrame:
-    return whatif.feasible_whatif_day(cases, **WIDE_DAYS)
+    return whatif.feasible_whatif_day(whatif.feasible_candidates(cases, hours=(0, 23)), case_range=(2, 4))
 
 
 def _best_days(cases: DataFrame) -> DataFrame:

@@ -84,45 +84,45 @@ def histogram(
     return bins_of_width(counts, width) if width is not None else bins_of_range(counts, bins, bounds)
 
 
-def bins_of_range(counts: DataFrame, bins: int, bounds: tuple[float, float] | None = None) -> DataFrame:
-    """``bins`` equal bins over a table of :func:`value_counts`."""
+def bins_of_range(
+    counts: DataFrame, bins: int, bounds: tuple[float, float] | None = None, keys: Sequence[str] = ()
+) -> DataFrame:
+    """``bins`` equal bins over a table of :func:`value_counts`, per group of ``keys``."""
     x = F.col("_value").cast("double")
     if bounds is None:
-        everything = Window.partitionBy()
-        low, high = F.min(x).over(everything), F.max(x).over(everything)
+        group = Window.partitionBy(*keys)
+        low, high = F.min(x).over(group), F.max(x).over(group)
     else:
         low, high = F.lit(float(bounds[0])), F.lit(float(bounds[1]))
     pad = F.when(high == low, 0.5).otherwise(0.0)
-    placed = counts.select(x.alias("_x"), "_n", (low - pad).alias("_low"), (high + pad).alias("_high"))
+    placed = counts.select(*keys, x.alias("_x"), "_n", (low - pad).alias("_low"), (high + pad).alias("_high"))
     number = F.floor((F.col("_x") - F.col("_low")) * bins / (F.col("_high") - F.col("_low")))
-    return _fill(
+    binned = (
         placed.where(F.col("_x").between(F.col("_low"), F.col("_high")))
-        .withColumn("_bin", F.least(number, F.lit(bins - 1).cast("long"))),
-        F.min("_low"), (F.max("_high") - F.min("_low")) / bins, F.lit(bins - 1).cast("long"),
+        .groupBy(*keys, "_low", "_high", F.least(number, F.lit(bins - 1).cast("long")).alias("_bin"))
+        .agg(F.sum("_n").alias("_n"))
     )
+    step = (F.max("_high") - F.min("_low")) / bins
+    return _fill(binned, F.min("_low"), step, F.lit(bins - 1).cast("long"), keys)
 
 
 def bins_of_width(counts: DataFrame, width: float) -> DataFrame:
     """Bins of ``width`` from 0 up over a table of :func:`value_counts`."""
     x = F.col("_value").cast("double")
-    placed = counts.where(x >= 0).withColumn("_bin", F.floor(x / width))
-    return _fill(placed, F.lit(0.0), F.lit(float(width)), F.max("_bin"))
+    binned = counts.where(x >= 0).groupBy(F.floor(x / width).alias("_bin")).agg(F.sum("_n").alias("_n"))
+    return _fill(binned, F.lit(0.0), F.lit(float(width)), F.max("_bin"), ())
 
 
-def _fill(placed: DataFrame, low: Column, step: Column, last: Column) -> DataFrame:
+def _fill(binned: DataFrame, low: Column, step: Column, last: Column, keys: Sequence[str]) -> DataFrame:
     """One row per bin up to ``last``, with 0 where nothing fell. Bins, not rows, are
     gathered: their number follows from the parameters and the value range."""
-    frame = [c for c in ("_low", "_high") if c in placed.columns]
-    one = (
-        placed.groupBy("_bin", *frame).agg(F.sum("_n").alias("_n"))
-        .agg(
-            low.alias("_start"), step.alias("_step"), last.alias("_last"),
-            F.map_from_entries(F.collect_list(F.struct("_bin", "_n"))).alias("_filled"),
-        )
-        .where(F.col("_start").isNotNull() & F.col("_last").isNotNull())
-    )
-    bins = one.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("bin"))
+    gathered = binned.groupBy(*keys).agg(
+        low.alias("_start"), step.alias("_step"), last.alias("_last"),
+        F.map_from_entries(F.collect_list(F.struct("_bin", "_n"))).alias("_filled"),
+    ).where(F.col("_start").isNotNull() & F.col("_last").isNotNull())
+    bins = gathered.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("bin"))
     return bins.select(
+        *keys,
         "bin",
         (F.col("_start") + F.col("bin") * F.col("_step")).alias("bin_start"),
         (F.col("_start") + (F.col("bin") + 1) * F.col("_step")).alias("bin_end"),
@@ -139,7 +139,7 @@ def density(
     points: int = 500,
     factor: float | None = 0.15,
 ) -> DataFrame:
-    """Gaussian kernel density on a grid: ``keys``, ``point``, ``x``, ``density``.
+    """Gaussian kernel density on a grid: ``keys``, ``n``, ``point``, ``x``, ``density``.
 
     The bandwidth is ``factor`` times the sample deviation of the group, or with
     ``factor=None`` the n ** (-1/5) rule. The grid spans ``bounds``, or the group's
@@ -163,8 +163,11 @@ def density(
     z = (x - F.col("_value")) / F.col("_h")
     kernel = F.col("_n") * F.exp(z * z * -0.5) / (F.col("_rows") * F.col("_h") * math.sqrt(2 * math.pi))
     return (
-        grid.select(*keys, F.col("point").cast("long").alias("point"), x.alias("x"), kernel.alias("_k"))
-        .groupBy(*keys, "point", "x")
+        grid.select(
+            *keys, F.col("_rows").alias("n"), F.col("point").cast("long").alias("point"),
+            x.alias("x"), kernel.alias("_k"),
+        )
+        .groupBy(*keys, "n", "point", "x")
         .agg(F.sum("_k").alias("density"))
     )
 
@@ -172,7 +175,7 @@ def density(
 def violin(df: DataFrame, column: str, key: str, points: int = 100) -> DataFrame:
     """Outline, mean, median and count of ``column`` per value of ``key``."""
     outline = density(df, column, [key], points=points, factor=None)
-    marks = distribution(df, column, {}, [key])
+    marks = distribution(df, column, {}, [key]).drop("n")
     return outline.join(marks, key)
 
 

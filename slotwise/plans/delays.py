@@ -28,15 +28,19 @@ def _timed(cases: DataFrame) -> DataFrame:
     return cases.dropna(subset=["ts_patient_in_or_planned", "ts_patient_in_or", "delay_minutes"])
 
 
-def case_positions(cases: DataFrame, rank_on: str = "filtered", hot: DataFrame | None = None) -> DataFrame:
+def case_positions(
+    cases: DataFrame, rank_on: str = "filtered", hot: DataFrame | None = None, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """Place of each timed case in its room-day, and how many there are.
 
     ``rank_on='all'`` counts places over every planned case of the day instead of
-    the timed ones only.
+    the timed ones only. ``keep`` names more columns to carry along.
     """
-    ranked = cases if rank_on == "all" else _timed(cases)
+    needed = ("row_seq", "case_id", *DAY, "ts_patient_in_or_planned", "ts_patient_in_or", "delay_minutes")
+    narrow = cases.select(*dict.fromkeys([*needed, *keep]))
     steps = sequence_days(
-        ranked, "ts_patient_in_or_planned", position="case_position", size="cases_in_day", hot=hot
+        narrow if rank_on == "all" else _timed(narrow), "ts_patient_in_or_planned",
+        position="case_position", size="cases_in_day", hot=hot,
     )
     return steps if rank_on == "filtered" else _timed(steps)
 

@@ -181,7 +181,12 @@ def model_rows(cases: DataFrame, target: str = "patient_prep_min", bounds: tuple
     )
     numeric = ["patient_age", "is_acute", "has_anesthesia", "staff_count", "resource_count", "planned_inor_min"]
     rows = rows.where(within(F.col(target), bounds)).dropna(subset=["specialty", "patient_age", "is_acute", "planned_inor_min"])
-    return rows.withColumns({c: F.col(c).cast("double") for c in [*numeric, target]})
+    flags = [c for c in cases.columns if c.startswith(("staff_", "resource_"))]
+    texts = ["case_id", "date", "specialty", "diagnosis_group", "procedure_text_id", "overtime_minutes"]
+    measured = ["patient_prep_min", "actual_inor_min", "actual_prep_min", "planned_prep_min"]
+    return rows.withColumns({c: F.col(c).cast("double") for c in [*numeric, target]}).select(
+        *texts, *measured, *numeric, *flags
+    )
 
 
 def _coded(*columns: str) -> list:
@@ -196,7 +201,7 @@ def _one_hot(*columns: str) -> list:
 
 
 def _quality(stages: list, learner, train: DataFrame, test: DataFrame, target: str, name: str) -> DataFrame:
-    model = Pipeline(stages=[*stages, learner]).fit(cut(train))
+    model = Pipeline(stages=[*stages, learner]).fit(cut(train))  # learners pass over it many times
     scored = model.transform(test)
     return prediction_quality(scored, target, learner.getPredictionCol()).withColumn("model", F.lit(name))
 

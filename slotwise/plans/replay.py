@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from slotwise.functions import clip_low, occupied_or_default, within
 from slotwise.operators import DAY, attach, keep_matching, ordered_list, sequence_days, top
+from slotwise.session import cut
 
 from .whatif import LOOKUP_KEYS, prep_lookup
 
@@ -81,6 +82,11 @@ def cascade_day_candidates(
         previous={"_before": "start_delay_min"},
         running={"_saved": ("benefit", True)}, hot=hot,
     ).withColumn("corrected_delay", clip_low(F.col("start_delay_min") - F.col("_saved")))
+    # Judging and listing both read the steps; they are made once.
+    steps = cut(steps.select(
+        *DAY, "position", "procedure_name", "start_delay_min", "_before", "prep_gap_min", "error",
+        "planned_prep_min", "actual_prep_min", "predicted_prep", "corrected_delay",
+    ))
     first = F.col("position") == 1
     delay = F.col("start_delay_min")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotwise.functions import (
@@ -31,8 +31,9 @@ from slotwise.operators import (
     top,
 )
 from slotwise.operators.days import number_rows
-from slotwise.operators.distribution import bins_of_range, value_counts
+from slotwise.operators.distribution import bins_of_range
 from slotwise.schema import NON_SURGICAL
+from slotwise.session import cut
 
 MIN_CASES = 50
 
@@ -41,22 +42,32 @@ def clean_stamps() -> Column:
     return stamps_differ(F.col("ts_or_prep_start"), F.col("ts_or_prep_done"))
 
 
+_MEASURES = (
+    "planned_prep_min", "planned_inor_min", "actual_prep_min", "actual_inor_min", "start_delay_min",
+    "room_overrun_min", "staff_count", "resource_count", "has_anesthesia", "prep_gap_min", "inor_gap_min",
+)
+_KEPT = (
+    "row_seq", "case_id", "or_room", "date", "specialty", "patient_age", "procedure_name",
+    "ts_patient_in_or_planned", "ts_patient_leaves_or_planned", "ts_or_prep_start", "ts_patient_in_or",
+    "ts_procedure_start", "ts_procedure_end", "ts_patient_leaves_or", *_MEASURES,
+)
+
+
 def surgical_set(cases: DataFrame, exclude: Sequence[str] = NON_SURGICAL, clip: float = 300) -> DataFrame:
     """Cases with separate prep stamps, plausible gaps and a surgical specialty.
 
-    Negative durations count as unknown here.
+    Negative durations count as unknown here. Flags are counted and dropped, so the
+    set stays narrow whatever the width of the log.
     """
-    rows = with_measures(
-        cases, "planned_prep_min", "planned_inor_min", "actual_prep_min", "actual_inor_min",
-        "start_delay_min", "room_overrun_min", "staff_count", "resource_count", "has_anesthesia",
-        "prep_gap_min", "inor_gap_min", negative="null",
-    ).withColumn("procedure_name", clean_procedure_name(F.col("procedure_text_id")))
+    rows = with_measures(cases, *_MEASURES, negative="null").withColumn(
+        "procedure_name", clean_procedure_name(F.col("procedure_text_id"))
+    )
     return rows.where(
         within_abs(F.col("prep_gap_min"), clip)
         & within_abs(F.col("inor_gap_min"), clip)
         & clean_stamps()
         & outside_values(F.col("specialty"), tuple(exclude))
-    )
+    ).select(*_KEPT)
 
 
 def with_places(valid: DataFrame, hot: DataFrame | None = None) -> DataFrame:
@@ -115,12 +126,17 @@ def phase_comparison(valid: DataFrame, min_cases: int = MIN_CASES, key: str = "p
 
 
 def phase_gap_summary(valid: DataFrame, min_cases: int = MIN_CASES) -> DataFrame:
-    worse = phase_comparison(valid, min_cases).agg(share(F.col("prep_worse"))).scalar()
-    return valid.agg(
-        F.count("*").alias("n"),
-        F.avg("prep_gap_min").alias("mean_prep_gap"),
-        F.avg("inor_gap_min").alias("mean_surgery_gap"),
-    ).withColumn("pct_prep_worse", worse)
+    """Mean gaps over all cases, and the share of procedures with the larger prep gap."""
+    sums = valid.groupBy("procedure_name").agg(
+        F.count("*").alias("_n"), F.sum("prep_gap_min").alias("_prep"), F.sum("inor_gap_min").alias("_inor")
+    )
+    prep, inor = (F.abs(F.round(F.col(c) / F.col("_n"), 1)) for c in ("_prep", "_inor"))
+    return sums.agg(
+        F.sum("_n").alias("n"),
+        F.try_divide(F.sum("_prep"), F.sum("_n")).alias("mean_prep_gap"),
+        F.try_divide(F.sum("_inor"), F.sum("_n")).alias("mean_surgery_gap"),
+        share(F.when(F.col("_n") >= min_cases, prep > inor)).alias("pct_prep_worse"),
+    )
 
 
 def zero_allocation_split(
@@ -193,7 +209,11 @@ def day_type_summary(days: DataFrame) -> DataFrame:
 def delay_curve_by_day_type(
     valid: DataFrame, min_cases: int = 3, min_rows: int = 30, hot: DataFrame | None = None
 ) -> DataFrame:
-    rows = _long_days(valid, min_cases, hot)
+    # Both sides of the join below come from these rows; they are made once.
+    rows = cut(_long_days(valid, min_cases, hot).select(
+        *DAY, "position", "start_delay_min", "prep_gap_min", "room_overrun_min", "specialty",
+        "is_first_of_day", "is_last_of_day", "total_cases_that_day",
+    ))
     return (
         rows.join(_classified(rows).select(*DAY, "day_type"), list(DAY))
         .groupBy("day_type", "position")
@@ -264,14 +284,17 @@ def waiting_impact(valid: DataFrame) -> DataFrame:
 
 def waiting_distribution(valid: DataFrame, bins: int = 60) -> DataFrame:
     """Histogram of the delay now and after taking off the mean prep gap."""
-    gap = valid.agg(F.avg("prep_gap_min")).scalar()
-    current = value_counts(valid, "start_delay_min")
-    parts = []
-    for series, shift in (("current", F.lit(0.0)), ("corrected", gap)):
-        moved = current.withColumn("_value", F.col("_value").cast("double") - shift)
-        shown = moved.where(within(F.col("_value"), (-30, 120)))
-        parts.append(bins_of_range(shown, bins).withColumn("series", F.lit(series)))
-    return parts[0].unionByName(parts[1])
+    counts = (
+        valid.where(F.col("start_delay_min").isNotNull())
+        .groupBy(F.col("start_delay_min").cast("double").alias("current"))
+        .agg(F.count("*").alias("_n"), F.sum("prep_gap_min").alias("_gap"), F.count("prep_gap_min").alias("_gaps"))
+    )
+    # One row per minute of delay; see the distribution operators.
+    everything = Window.partitionBy()
+    gap = F.sum("_gap").over(everything) / F.sum("_gaps").over(everything)
+    both = counts.select("_n", "current", (F.col("current") - gap).alias("corrected"))
+    long = both.unpivot(["_n"], ["current", "corrected"], "series", "_value")
+    return bins_of_range(long.where(within(F.col("_value"), (-30, 120))), bins, keys=["series"])
 
 
 # Result label -> column of the per-procedure table.

@@ -27,7 +27,10 @@ def _span(start: str, end: str):
 def turnaround_pairs(cases: DataFrame, limit: int = 180, hot: DataFrame | None = None) -> DataFrame:
     """Each case with the one before it in its room-day, by actual entry, and the
     parts of the time between them."""
-    moved = cases.dropna(subset=["ts_patient_leaves_or", "ts_patient_in_or"])
+    moved = cases.dropna(subset=["ts_patient_leaves_or", "ts_patient_in_or"]).select(
+        "row_seq", "case_id", "or_room", "date", "specialty", "ts_patient_in_or", "ts_patient_leaves_or",
+        "ts_or_cleaning_start", "ts_or_cleaned", "ts_or_prep_start", "ts_or_prep_done",
+    )
     pairs = sequence_days(
         moved,
         "ts_patient_in_or",
@@ -159,10 +162,8 @@ def actual_cleaning_distribution(cases: DataFrame, method: str = "nearest") -> D
 def buffer_pairs(cases: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Each case with the one before it by plan: planned buffer, real turnaround,
     entry delay."""
-    known = cases.dropna(
-        subset=["ts_patient_in_or_planned", "ts_patient_leaves_or_planned",
-                "ts_patient_in_or", "ts_patient_leaves_or"]
-    )
+    stamps = ["ts_patient_in_or_planned", "ts_patient_leaves_or_planned", "ts_patient_in_or", "ts_patient_leaves_or"]
+    known = cases.dropna(subset=stamps).select("row_seq", "case_id", "or_room", "date", "specialty", *stamps)
     pairs = sequence_days(
         known,
         "ts_patient_in_or_planned",

@@ -23,6 +23,7 @@ from slotwise.operators import (
     wide_by_flag,
 )
 from slotwise.schema import SPECIALTY_NAMES
+from slotwise.session import cut
 
 LOOKUP_KEYS = ["specialty", "has_anesthesia"]
 
@@ -126,6 +127,7 @@ def lookup_residual(cases: DataFrame) -> DataFrame:
 
 
 def _unallocated(cases: DataFrame, overrun: tuple[float, float], hours: tuple[int, int]) -> DataFrame:
+    """Cases without planned prep that overran and whose stamps are complete."""
     rows = with_lookup(
         cases, "start_delay_min", "patient_prep_min", "procedure_min", "procedure_overrun_min", how="inner"
     )
@@ -135,24 +137,37 @@ def _unallocated(cases: DataFrame, overrun: tuple[float, float], hours: tuple[in
         & within(F.col("procedure_min"), (20, 180))
         & within(F.col("procedure_overrun_min"), overrun)
         & within(F.hour("ts_patient_in_or_planned"), hours)
+    ).select(
+        *DAY, "row_seq", "case_id", "specialty", "ts_patient_in_or_planned", "ts_patient_leaves_or_planned",
+        "lookup_prep", "start_delay_min", "procedure_overrun_min",
+    )
+
+
+def feasible_candidates(
+    cases: DataFrame, min_lookup: float = 20, hours: tuple[int, int] = (7, 16)
+) -> DataFrame:
+    """Cases the feasible days are made of. Several steps read them, so they are
+    written once."""
+    rows = _unallocated(cases, (10, 90), hours)
+    return cut(rows.where(F.col("start_delay_min").isNotNull() & (F.col("lookup_prep") > min_lookup)))
+
+
+def _head(rows: DataFrame, shown: int) -> DataFrame:
+    return first_in_group(
+        rows, DAY, [F.col("ts_patient_in_or_planned").asc(), F.col("row_seq").asc()], shown
     )
 
 
 def feasible_whatif_days(
-    cases: DataFrame,
+    candidates: DataFrame,
     *,
-    min_lookup: float = 20,
     case_range: tuple[int, int] = (3, 4),
     overrun: tuple[float, float] = (15, 90),
     shown: int = 3,
-    hours: tuple[int, int] = (7, 16),
 ) -> DataFrame:
-    """Days without planned prep whose first cases leave room for the lookup prep
-    between their planned slots."""
-    rows = _unallocated(cases, (10, 90), hours).where(
-        F.col("start_delay_min").isNotNull() & (F.col("lookup_prep") > min_lookup)
-    )
-    days = rows.groupBy(*DAY).agg(
+    """Days whose first candidates leave room for the lookup prep between their
+    planned slots."""
+    days = candidates.groupBy(*DAY).agg(
         F.count("*").alias("n_cases"),
         F.avg("procedure_overrun_min").alias("mean_overrun"),
         F.avg("start_delay_min").alias("mean_start_delay"),
@@ -161,12 +176,8 @@ def feasible_whatif_days(
         & (F.col("mean_overrun") > overrun[0]) & (F.col("mean_overrun") < overrun[1])
     )
     # Only days of a few cases are left, so the steps below see short groups.
-    short = keep_matching(rows, days, list(DAY))
-    head = first_in_group(
-        short, DAY, [F.col("ts_patient_in_or_planned").asc(), F.col("row_seq").asc()], shown
-    )
     pairs = sequence_days(
-        head, "ts_patient_in_or_planned",
+        _head(keep_matching(candidates, days, list(DAY)), shown), "ts_patient_in_or_planned",
         previous={"_left": "ts_patient_leaves_or_planned", "_need": "lookup_prep"},
     )
     room = F.timestamp_diff("SECOND", F.col("_left"), F.col("ts_patient_in_or_planned")) / 60.0
@@ -176,18 +187,13 @@ def feasible_whatif_days(
     return days.join(fits.where("feasible").select(*DAY), list(DAY))
 
 
-def feasible_whatif_day(cases: DataFrame, shown: int = 3, **limits) -> DataFrame:
+def feasible_whatif_day(candidates: DataFrame, shown: int = 3, **limits) -> DataFrame:
     """The first cases of the worst feasible day, before and after."""
-    best = top(feasible_whatif_days(cases, shown=shown, **limits), 1, "mean_overrun", "date", "or_room")
-    rows = _unallocated(cases, (10, 90), limits.get("hours", (7, 16))).where(
-        F.col("lookup_prep") > limits.get("min_lookup", 20)
-    )
+    days = feasible_whatif_days(candidates, shown=shown, **limits)
+    best = top(days, 1, "mean_overrun", "date", "or_room")
     # One day.
-    rows = rows.join(F.broadcast(best.select(*DAY)), list(DAY), "left_semi")
-    head = first_in_group(
-        rows, DAY, [F.col("ts_patient_in_or_planned").asc(), F.col("row_seq").asc()], shown
-    )
-    return head.select(
+    rows = candidates.join(F.broadcast(best.select(*DAY)), list(DAY), "left_semi")
+    return _head(rows, shown).select(
         *DAY, "case_id", "specialty", "lookup_prep", "start_delay_min",
         F.col("procedure_overrun_min").alias("old_overrun"),
         (F.col("procedure_overrun_min") - F.col("lookup_prep")).alias("new_overrun"),
