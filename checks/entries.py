@@ -37,7 +37,7 @@ from slotwise.operators import (
     translate,
 )
 from slotwise.plans import audit, charts, delays, inor, models, prep, replay, surgical, turnaround, whatif
-from slotwise.sources import case_log
+from slotwise.sources import case_log, read_events
 
 # Parameters of the derived log: its stamps fall in one month and its specialties
 # have other names than a hospital's.
@@ -50,7 +50,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _log(spark: SparkSession, folder: str) -> DataFrame:
-    return case_log(spark.read.parquet(f"{folder}/events.parquet"))
+    return case_log(read_events(spark, f"{folder}/events.parquet"))
 
 
 def _settled(df: DataFrame) -> DataFrame:

@@ -27,10 +27,13 @@ HOT_ROWS = 1_000_000
 def hot_days(df: DataFrame, keys: Sequence[str] = DAY, rows: int = HOT_ROWS) -> DataFrame | None:
     """The groups with more than ``rows`` rows and their row counts, or None.
 
-    A count per group is reduced before the shuffle. Counting the raw log is
-    enough: no later filter makes a group larger. The answer has at most
-    ``count / rows`` rows, which bounds its broadcast.
+    Give the raw log: no later filter makes a group larger, and its total comes from
+    file footers, so a log too small to have such a group is not read. A count per
+    group is reduced before the shuffle. The answer has at most ``total / rows``
+    rows, which bounds its broadcast.
     """
+    if df.count() <= rows:
+        return None
     counts = df.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > rows)
     return None if counts.isEmpty() else cut(counts)
 

@@ -6,87 +6,80 @@ stage and the log grows with the table: one row per event.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
+# Given to the reader, so no job opens files to infer it.
+EVENTS_SCHEMA = "event_id LONG, ts TIMESTAMP_NTZ, user_id LONG, event_type STRING, value DOUBLE"
 
-def case_log(events: DataFrame) -> DataFrame:
-    e, ts, user, value = (F.col(c) for c in ("event_id", "ts", "user_id", "value"))
-    third = e % 3
-    code = (e * e) % 97
 
-    def at(start: Column, minutes: Column) -> Column:
-        return F.timestamp_add("MINUTE", minutes.cast("int"), start)
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(EVENTS_SCHEMA).parquet(path)
 
-    def whole(x: Column) -> Column:
-        return F.floor(x).cast("long")
 
-    def text(prefix: str, number: Column) -> Column:
-        return F.concat(F.lit(prefix), number.cast("string"))
+def _at(start: str, minutes: str) -> str:
+    return f"timestampadd(MINUTE, CAST({minutes} AS INT), {start})"
 
-    step1 = events.select(
-        e.alias("row_seq"),
-        ts.alias("planned_in"),
-        user.alias("user"),
-        F.col("event_type").alias("kind"),
-        third.alias("third"),
-        code.alias("code"),
-        F.when(e % 10 < 8, 0).when(e % 20 < 12, 8).when(e % 40 < 38, 15).otherwise(25)
-        .cast("long").alias("allocated"),
-        (F.when(third == 0, 5 + (e * 11) % 20).otherwise(30 + (e * 13) % 40)
-         - F.when(e % 211 == 0, 60).otherwise(0)).alias("setup"),
-        (30 + whole(value) % 120).alias("slot"),
-        (10 + whole(value * 0.7) % 150).alias("surgery"),
-        (5 + (e * 7) % 25).alias("closing"),
-    )
-    e, third, code = F.col("row_seq"), F.col("third"), F.col("code")
-    planned, setup, surgery = F.col("planned_in"), F.col("setup"), F.col("surgery")
-    step2 = step1.withColumn(
-        "late", (e * 37) % 61 - 15 + F.when(F.col("allocated") == 0, 12).otherwise(0)
-    ).withColumn("entered", F.when(e % 89 != 0, at(planned, F.col("late"))))
 
-    entered, late, slot = F.col("entered"), F.col("late"), F.col("slot")
-    anesthesia = third != 0
-    left = setup + surgery + F.col("closing")
-    room_prep = 10 + (e * 17) % 45
-    cleaned = e % 12 >= 7
-    return step2.select(
-        e,
-        (e - F.when(e % 10 == 9, 1).otherwise(0)).alias("case_id"),
-        text("R", whole(F.col("user") / 4.0)).alias("or_room"),
-        planned.cast("date").alias("date"),
-        F.when(e % 53 != 0, F.concat_ws("-", "kind", (F.col("user") % 6).cast("string")))
-        .alias("specialty"),
-        (e % 5 == 0).alias("is_acute"),
-        (e % 100).alias("patient_age"),
-        F.concat(text("PROC ", code), text(" [K", code), F.lit("]")).alias("procedure_text_id"),
-        text("DG", code % 9).alias("diagnosis_group"),
-        at(planned, -F.col("allocated")).alias("ts_or_prep_planned_start"),
-        at(entered, -room_prep).alias("ts_or_prep_start"),
-        at(entered, -F.when(e % 8 < 5, room_prep).otherwise(e % 9)).alias("ts_or_prep_done"),
-        planned.alias("ts_patient_in_or_planned"),
-        entered.alias("ts_patient_in_or"),
-        F.when(anesthesia, at(entered, F.lit(2))).alias("ts_anesthesia_start"),
-        F.when(anesthesia & (e % 7 != 0), at(entered, 2 + e % 25)).alias("ts_anesthesia_ready"),
-        at(entered, setup).alias("ts_procedure_start"),
-        at(entered, setup + surgery).alias("ts_procedure_end"),
-        at(planned, slot).alias("ts_patient_leaves_or_planned"),
-        at(entered, left).alias("ts_patient_leaves_or"),
-        at(planned, slot + F.when(third == 0, 0).otherwise(15)).alias("ts_or_cleaned_planned"),
-        F.when(cleaned, at(entered, left + e % 6)).alias("ts_or_cleaning_start"),
-        F.when(cleaned, at(entered, left + e % 6 + F.when(e % 5 < 4, 0).otherwise(12)))
-        .alias("ts_or_cleaned"),
-        F.when(entered.isNotNull(), late).alias("delay_minutes"),
-        F.when(entered.isNotNull(), late + left - slot).alias("overtime_minutes"),
-        F.when(entered.isNotNull() & (late > 0) & (e % 4 != 0), text("REASON ", (e * e) % 13))
-        .alias("delay_reason"),
-        F.lit(True).alias("staff_a"),
-        anesthesia.alias("staff_b"),
-        (e % 2 == 0).alias("staff_c"),
-        (code > 40).alias("staff_d"),
-        F.when(e % 17 != 0, setup > 40).alias("staff_e"),
-        (code > 60).alias("resource_a"),
-        (e % 7 == 0).alias("resource_b"),
-        (surgery > 60).alias("resource_c"),
-        (e % 4 == 1).alias("resource_d"),
+def _cased(condition: str, value: str) -> str:
+    return f"CASE WHEN {condition} THEN {value} END"
+
+
+def case_log(events: DataFrame) -> DataFrame:
+    basic = events.selectExpr(
+        "event_id AS row_seq",
+        "ts AS planned_in",
+        "user_id",
+        "event_type AS kind",
+        "event_id % 3 <> 0 AS sedated",
+        "(event_id * event_id) % 97 AS code",
+        """CASE WHEN event_id % 10 < 8 THEN 0L WHEN event_id % 20 < 12 THEN 8L
+           WHEN event_id % 40 < 38 THEN 15L ELSE 25L END AS allocated""",
+        """if(event_id % 3 = 0, 5 + (event_id * 11) % 20, 30 + (event_id * 13) % 40)
+           - if(event_id % 211 = 0, 60, 0) AS setup""",
+        "30 + CAST(floor(value) AS BIGINT) % 120 AS slot",
+        "10 + CAST(floor(value * 0.7D) AS BIGINT) % 150 AS surgery",
+        "5 + (event_id * 7) % 25 AS closing",
+        "10 + (event_id * 17) % 45 AS room_prep",
+    )
+    timed = basic.selectExpr(
+        "*", "(row_seq * 37) % 61 - 15 + if(allocated = 0, 12, 0) AS late", "setup + surgery + closing AS stay"
+    ).selectExpr("*", f"{_cased('row_seq % 89 <> 0', _at('planned_in', 'late'))} AS entered")
+    cleaned = "row_seq % 12 >= 7"
+    return timed.selectExpr(
+        "row_seq",
+        "row_seq - if(row_seq % 10 = 9, 1, 0) AS case_id",
+        "concat('R', CAST(CAST(floor(user_id / 4.0D) AS BIGINT) AS STRING)) AS or_room",
+        "CAST(planned_in AS DATE) AS date",
+        f"{_cased('row_seq % 53 <> 0', 'concat(kind, "-", CAST(user_id % 6 AS STRING))')} AS specialty",
+        "row_seq % 5 = 0 AS is_acute",
+        "row_seq % 100 AS patient_age",
+        "concat('PROC ', CAST(code AS STRING), ' [K', CAST(code AS STRING), ']') AS procedure_text_id",
+        "concat('DG', CAST(code % 9 AS STRING)) AS diagnosis_group",
+        f"{_at('planned_in', '-allocated')} AS ts_or_prep_planned_start",
+        f"{_at('entered', '-room_prep')} AS ts_or_prep_start",
+        f"{_at('entered', '-if(row_seq % 8 < 5, room_prep, row_seq % 9)')} AS ts_or_prep_done",
+        "planned_in AS ts_patient_in_or_planned",
+        "entered AS ts_patient_in_or",
+        f"{_cased('sedated', _at('entered', '2'))} AS ts_anesthesia_start",
+        f"{_cased('sedated AND row_seq % 7 <> 0', _at('entered', '2 + row_seq % 25'))} AS ts_anesthesia_ready",
+        f"{_at('entered', 'setup')} AS ts_procedure_start",
+        f"{_at('entered', 'setup + surgery')} AS ts_procedure_end",
+        f"{_at('planned_in', 'slot')} AS ts_patient_leaves_or_planned",
+        f"{_at('entered', 'stay')} AS ts_patient_leaves_or",
+        f"{_at('planned_in', 'slot + if(sedated, 15, 0)')} AS ts_or_cleaned_planned",
+        f"{_cased(cleaned, _at('entered', 'stay + row_seq % 6'))} AS ts_or_cleaning_start",
+        f"{_cased(cleaned, _at('entered', 'stay + row_seq % 6 + if(row_seq % 5 < 4, 0, 12)'))} AS ts_or_cleaned",
+        f"{_cased('entered IS NOT NULL', 'late')} AS delay_minutes",
+        f"{_cased('entered IS NOT NULL', 'late + stay - slot')} AS overtime_minutes",
+        f"""{_cased('entered IS NOT NULL AND late > 0 AND row_seq % 4 <> 0',
+                    "concat('REASON ', CAST((row_seq * row_seq) % 13 AS STRING))")} AS delay_reason""",
+        "true AS staff_a",
+        "sedated AS staff_b",
+        "row_seq % 2 = 0 AS staff_c",
+        "code > 40 AS staff_d",
+        f"{_cased('row_seq % 17 <> 0', 'setup > 40')} AS staff_e",
+        "code > 60 AS resource_a",
+        "row_seq % 7 = 0 AS resource_b",
+        "surgery > 60 AS resource_c",
+        "row_seq % 4 = 1 AS resource_d",
     )
