@@ -35,6 +35,7 @@ from slotwise.operators import (
     sequence_days,
     top,
     translate,
+    value_codes,
 )
 from slotwise.plans import audit, charts, delays, inor, models, prep, replay, surgical, turnaround, whatif
 from slotwise.sources import case_log, read_events
@@ -204,7 +205,8 @@ def _lookup_rows(cases: DataFrame, how: str) -> DataFrame:
 
 
 def _procedure_codes(train: DataFrame, test: DataFrame) -> DataFrame:
-    return encode(test, train, "procedure_name", "procedure_code").select("case_id", "procedure_code")
+    codes = value_codes(train, "procedure_name", "procedure_code")
+    return encode(test, codes, "procedure_name", "procedure_code").select("case_id", "procedure_code")
 
 
 def _schedule_quality(train: DataFrame, test: DataFrame) -> DataFrame:

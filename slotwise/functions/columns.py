@@ -15,12 +15,14 @@ def minutes_between(start: Column, end: Column, unit: str = "minute", negative:
     ``unit`` is ``minute`` (whole minutes, toward zero), ``second`` (whole seconds
     over 60) or ``micro`` (nothing cut off). ``negative='null'`` drops negative spans.
     """
+    # Zone-less stamps are subtracted as they are; no session zone comes in.
+    span = end - start
     if unit == "minute":
-        span = F.timestamp_diff("MINUTE", start, end)
+        span = span.cast("interval minute").cast("long")
     elif unit == "second":
-        span = F.timestamp_diff("SECOND", start, end) / F.lit(60.0)
+        span = span.cast("interval second").cast("long") / F.lit(60.0)
     elif unit == "micro":
-        span = F.timestamp_diff("MICROSECOND", start, end) / F.lit(60e6)
+        span = span.cast("interval second").cast("decimal(20, 6)").cast("double") / F.lit(60.0)
     else:
         raise ValueError(f"unit {unit!r}")
     return span if negative == "keep" else F.when(span >= 0, span)

@@ -1,6 +1,6 @@
 from .days import DAY, hot_days, sequence_days
 from .distribution import box_stats, density, distribution, histogram, violin
-from .joins import attach, encode, keep_matching, translate
+from .joins import attach, encode, keep_matching, translate, value_codes
 from .rows import best_in_group, first_in_group, first_rows, prepared, top
 from .tables import (
     correlation_table,
@@ -16,6 +16,6 @@ __all__ = [
     "DAY", "attach", "best_in_group", "box_stats", "correlation_table", "density",
     "distribution", "encode", "first_in_group", "first_rows", "group_fit", "histogram",
     "hot_days", "keep_matching", "line_fit", "ordered_list", "prediction_quality",
-    "prepared", "sequence_days", "signal_capture", "top", "translate", "violin",
+    "prepared", "sequence_days", "signal_capture", "top", "translate", "value_codes", "violin",
     "wide_by_flag",
 ]

@@ -57,12 +57,14 @@ def sequence_days(
     ``size``: number of rows with an ``order`` value.
     ``previous``: new column -> column of the row before.
     ``running``: new column -> (column, inclusive) sum up to this row, or before it.
-    ``hot``: answer of :func:`hot_days` for the same keys; its days are split.
+    ``hot``: answer of :func:`hot_days` for the same keys; its days are split. The
+    rows are then written once, so hand in only the columns that are needed.
     """
     previous, running = dict(previous or {}), dict(running or {})
     if hot is None:
         return _plain(df, order, tie, keys, position, size, previous, running)
 
+    df = cut(df)  # both parts below read it
     same_day = [df[k].eqNullSafe(hot[k]) for k in keys]
     # hot_days bounds this side; see there.
     marked = F.broadcast(hot)

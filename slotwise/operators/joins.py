@@ -35,9 +35,11 @@ def attach(
     return df.join(lookup, list(on), how)
 
 
-def keep_matching(df: DataFrame, wanted: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Rows of ``df`` whose key occurs in ``wanted``."""
-    return df.join(wanted.select(*on), list(on), "left_semi")
+def keep_matching(
+    df: DataFrame, wanted: DataFrame, on: Sequence[str], broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Rows of ``df`` whose key occurs in ``wanted``, joined like a lookup."""
+    return attach(df, wanted.select(*on), on, "left_semi", broadcast_rows)
 
 
 def translate(column: Column, names: Mapping[str, str]) -> Column:
@@ -46,9 +48,12 @@ def translate(column: Column, names: Mapping[str, str]) -> Column:
     return F.coalesce(F.element_at(F.create_map(*pairs), column), column)
 
 
-def encode(df: DataFrame, train: DataFrame, column: str, code: str) -> DataFrame:
-    """Attach a 0-based number per distinct value of ``train``, in value order; -1
-    for values ``train`` does not have."""
+def value_codes(train: DataFrame, column: str, code: str) -> DataFrame:
+    """A 0-based number per distinct value of ``column``, in value order."""
     values = train.where(F.col(column).isNotNull()).select(column).distinct()
-    codes = number_rows(values, column, code)
+    return number_rows(values, column, code)
+
+
+def encode(df: DataFrame, codes: DataFrame, column: str, code: str) -> DataFrame:
+    """Attach the numbers of :func:`value_codes`; -1 for values without one."""
     return attach(df, codes, [column]).withColumn(code, F.coalesce(code, F.lit(-1).cast("long")))

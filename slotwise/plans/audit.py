@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.functions import measure, pearson, share, with_measures, within
+from slotwise.functions import measure, minutes_between, pearson, share, with_measures, within
 from slotwise.operators import first_rows, group_fit
 
 from .surgical import clean_stamps
@@ -83,7 +83,7 @@ def clean_subset_bias(cases: DataFrame) -> DataFrame:
     """Is the subset with separate room prep stamps like all cases?"""
     clean = F.coalesce(clean_stamps(), F.lit(False))
     anesthesia = F.col("ts_anesthesia_start").isNotNull()
-    ahead = F.timestamp_diff("MINUTE", F.col("ts_or_prep_start"), F.col("ts_or_prep_planned_start"))
+    ahead = minutes_between(F.col("ts_or_prep_start"), F.col("ts_or_prep_planned_start"))
     return cases.agg(
         F.count("*").alias("n_cases"),
         F.count_if(clean).alias("n_clean"),

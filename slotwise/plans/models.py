@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.functions import share, with_measures, within
-from slotwise.operators import attach, encode, keep_matching, prediction_quality, top
+from slotwise.operators import attach, encode, keep_matching, prediction_quality, top, value_codes
 from slotwise.session import cut
 
 PLACE_FEATURES = (
@@ -76,8 +76,9 @@ def encode_procedures(
     instead, with the overall mean for unseen names.
     """
     if encoding == "code":
-        return tuple(encode(d, train, "procedure_name", "procedure_code") for d in (train, test))
-    means = train.groupBy("procedure_name").agg(F.avg(target).alias("procedure_code"))
+        codes = cut(value_codes(train, "procedure_name", "procedure_code"))
+        return tuple(encode(d, codes, "procedure_name", "procedure_code") for d in (train, test))
+    means = cut(train.groupBy("procedure_name").agg(F.avg(target).alias("procedure_code")))
     overall = train.agg(F.avg(target)).first()[0]
     return tuple(
         attach(d, means, ["procedure_name"]).fillna({"procedure_code": overall}) for d in (train, test)
@@ -151,9 +152,9 @@ def procedure_forest(
 
     Empty where training has fewer than ``min_train`` rows of the procedure.
     """
-    _, general = prep_forest(train, test, **forest)
     own = F.col("procedure_name") == name
-    lines = [("schedule", general.where(own), "planned_prep_min"), ("general model", general.where(own), "predicted_prep")]
+    general = cut(prep_forest(train, test, **forest)[1].where(own))
+    lines = [("schedule", general, "planned_prep_min"), ("general model", general, "predicted_prep")]
     own_train = train.where(own)
     if own_train.count() < min_train:
         lines = [(n, d.where(F.lit(False)), c) for n, d, c in lines]
@@ -201,7 +202,8 @@ def _one_hot(*columns: str) -> list:
 
 
 def _quality(stages: list, learner, train: DataFrame, test: DataFrame, target: str, name: str) -> DataFrame:
-    model = Pipeline(stages=[*stages, learner]).fit(cut(train))  # learners pass over it many times
+    """Fit and judge. Learners pass over ``train`` many times: give rows made once."""
+    model = Pipeline(stages=[*stages, learner]).fit(train)
     scored = model.transform(test)
     return prediction_quality(scored, target, learner.getPredictionCol()).withColumn("model", F.lit(name))
 
@@ -213,7 +215,7 @@ def boosted_prep(train: DataFrame, test: DataFrame, iterations: int = 200, targe
     """Gradient-boosted trees on specialty, anesthesia, counts, age and acute flag."""
     stages = [*_coded("specialty"), VectorAssembler(inputCols=["specialty_index", *SIX], outputCol="features")]
     learner = GBTRegressor(labelCol=target, maxIter=iterations, maxBins=128, seed=SEED)
-    return _quality(stages, learner, train, test, target, "boosted trees")
+    return _quality(stages, learner, cut(train), test, target, "boosted trees")
 
 
 def linear_prep(train: DataFrame, test: DataFrame, target: str = "patient_prep_min") -> DataFrame:
@@ -226,6 +228,7 @@ def linear_prep(train: DataFrame, test: DataFrame, target: str = "patient_prep_m
         "with age and acute": ["specialty_hot", "has_anesthesia", "patient_age", "is_acute"],
         "with staff and equipment": ["specialty_hot", "has_anesthesia", "staff_count", "resource_count"],
     }
+    train, test = cut(train), cut(test)
     lines = []
     for name, columns in sets.items():
         stages = [*hot, crossed, VectorAssembler(inputCols=columns, outputCol="features")]
@@ -254,7 +257,7 @@ def component_linear_prep(
         PCA(k=min(k, len(names)), inputCol="flags", outputCol="components"),
         VectorAssembler(inputCols=["specialty_hot", "has_anesthesia", "patient_age", "components"], outputCol="features"),
     ]
-    return _quality(stages, LinearRegression(labelCol=target, regParam=1e-6), train, test, target, "components")
+    return _quality(stages, LinearRegression(labelCol=target, regParam=1e-6), cut(train), test, target, "components")
 
 
 def components_tell_specialty(train: DataFrame, test: DataFrame, k: int = 20) -> DataFrame:
@@ -315,6 +318,7 @@ def inor_regression(train: DataFrame, test: DataFrame, trees: int = 100, depth:
     learner = RandomForestRegressor(
         labelCol=target, numTrees=trees, maxDepth=depth, maxBins=4096, seed=SEED, featureSubsetStrategy="all"
     )
+    train, test = cut(train), cut(test)
     fitted = _quality(stages, learner, train, test, target, "forest")
     slot = prediction_quality(test, target, "planned_inor_min").withColumn("model", F.lit("planned slot"))
     return fitted.unionByName(slot)
@@ -326,7 +330,7 @@ def text_features(train: DataFrame, test: DataFrame, size: int = 256, target: st
         RegexTokenizer(inputCol="procedure_text_id", outputCol="words", pattern=r"[^\p{L}\p{N}]+"),
         HashingTF(inputCol="words", outputCol="word_counts", numFeatures=size),
     ]
-    parts = [d.where(F.col("procedure_text_id").isNotNull()) for d in (train, test)]
+    parts = [cut(d.where(F.col("procedure_text_id").isNotNull())) for d in (train, test)]
     base = ["specialty_hot", *SIX]
     lines = []
     for name, more in (("structured", []), ("structured + text", ["word_counts"])):

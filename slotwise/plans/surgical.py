@@ -25,8 +25,6 @@ from slotwise.operators import (
     best_in_group,
     correlation_table,
     first_rows,
-    histogram,
-    keep_matching,
     sequence_days,
     top,
 )
@@ -161,9 +159,21 @@ def zero_allocation_top(
 def zero_allocation_histogram(
     valid: DataFrame, bins: int = 40, min_cases: int = MIN_CASES, key: str = "procedure_name"
 ) -> DataFrame:
-    """Actual prep of the cases of all procedures without planned prep."""
-    zero = phase_comparison(valid, min_cases, key).where("zero_planned")
-    return histogram(keep_matching(valid, zero, [key]), "actual_prep_min", bins=bins)
+    """Actual prep of the cases of all procedures without planned prep.
+
+    Rows are counted per procedure and minute first; procedures are judged on those
+    counts, so cases are never joined to procedures.
+    """
+    planned = F.col("planned_prep_min")
+    counts = valid.groupBy(key, F.col("actual_prep_min").alias("_value")).agg(
+        F.count("*").alias("_n"), F.sum(planned).alias("_sum"), F.count(planned).alias("_known")
+    )
+    procedure = Window.partitionBy(key)
+    mean = F.sum("_sum").over(procedure) / F.sum("_known").over(procedure)
+    judged = counts.select(
+        "_value", "_n", F.sum("_n").over(procedure).alias("_cases"), F.round(mean, 1).alias("_mean")
+    ).where((F.col("_cases") >= min_cases) & (F.col("_mean") == 0) & F.col("_value").isNotNull())
+    return bins_of_range(judged.groupBy("_value").agg(F.sum("_n").alias("_n")), bins)
 
 
 def _long_days(valid: DataFrame, min_cases: int, hot: DataFrame | None) -> DataFrame:
@@ -230,11 +240,10 @@ def example_days(days: DataFrame, min_cases: int = 4) -> DataFrame:
 
 
 def day_examples(valid: DataFrame, min_cases: int = 4, hot: DataFrame | None = None) -> DataFrame:
-    """The cases of the example days."""
-    rows = _long_days(valid, 3, hot)
-    chosen = example_days(_classified(rows), min_cases).select(*DAY, "day_type")
-    # One day per type.
-    return rows.join(F.broadcast(chosen), list(DAY))
+    """The cases of the example days with their places."""
+    chosen = example_days(or_day_classification(valid, 3, hot), min_cases).select(*DAY, "day_type")
+    # One day per type; places are counted again for these days only.
+    return with_places(valid.join(F.broadcast(chosen), list(DAY)), hot)
 
 
 def day_timeline(cases: DataFrame) -> DataFrame:

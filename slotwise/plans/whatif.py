@@ -10,7 +10,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.functions import prep_bucket, share, with_measures, within
+from slotwise.functions import minutes_between, prep_bucket, share, with_measures, within
 from slotwise.functions.buckets import PREP_LABELS, bucket_label
 from slotwise.operators import (
     DAY,
@@ -180,7 +180,7 @@ def feasible_whatif_days(
         _head(keep_matching(candidates, days, list(DAY)), shown), "ts_patient_in_or_planned",
         previous={"_left": "ts_patient_leaves_or_planned", "_need": "lookup_prep"},
     )
-    room = F.timestamp_diff("SECOND", F.col("_left"), F.col("ts_patient_in_or_planned")) / 60.0
+    room = minutes_between(F.col("_left"), F.col("ts_patient_in_or_planned"), "second")
     fits = pairs.groupBy(*DAY).agg(
         F.coalesce(F.min(room >= F.col("_need")), F.lit(True)).alias("feasible")
     )

@@ -8,11 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "slotwise", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings the operators rely on.
-
-    The session zone is UTC because every stamp in the log is zone-less: minute
-    differences must not pass through a daylight-saving change.
-    """
+    """A session with the settings the operators were measured with."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from slotwise.operators import DAY, encode, first_in_group, first_rows, hot_days, sequence_days
+from slotwise.operators import DAY, encode, first_in_group, first_rows, hot_days, sequence_days, value_codes
 from slotwise.operators.days import number_rows
 
 STEPS = {
@@ -86,7 +86,7 @@ def test_number_rows(spark):
 def test_encode_unseen(spark):
     train = spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "p string")
     test = spark.createDataFrame([("a",), ("b",), ("z",), (None,)], "p string")
-    got = {r.p: r.code for r in encode(test, train, "p", "code").collect()}
+    got = {r.p: r.code for r in encode(test, value_codes(train, "p", "code"), "p", "code").collect()}
     assert got == {"a": 0, "b": 1, "z": -1, None: -1}
 
 
