@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotwise.functions import minutes_between, prep_bucket, share, with_measures, within
+from slotwise.functions import minutes_between, prep_bucket, with_measures, within
 from slotwise.functions.buckets import PREP_LABELS, bucket_label
 from slotwise.operators import (
     DAY,
@@ -69,60 +69,97 @@ def with_lookup(
     return attach(rows, prep_lookup(fit).drop("n"), LOOKUP_KEYS, how)
 
 
+def lookup_counts(cases: DataFrame, value: str, fit_before: str | None = None) -> DataFrame:
+    """How often each combination of lookup key, planned prep and ``value`` occurs, as
+    ``_n``, with the ``lookup_prep`` of its key.
+
+    One pass gives both the lookup and what it is applied to, and cases are never
+    joined to it. The table is bounded by keys and minutes, also for a key that holds
+    most of the cases.
+    """
+    rows = with_measures(
+        cases, *dict.fromkeys(["planned_prep_min", "patient_prep_min", "has_anesthesia", value]), unit="second"
+    )
+    fit = within(F.col("patient_prep_min"), (0, 240))
+    if fit_before is not None:
+        fit = fit & (F.col("date") < F.lit(fit_before).cast("date"))
+    prep = F.when(fit, F.col("patient_prep_min"))
+    counts = rows.groupBy(*LOOKUP_KEYS, "planned_prep_min", value).agg(
+        F.count("*").alias("_n"), F.sum(prep).alias("_prep"), F.count(prep).alias("_fit")
+    )
+    key = Window.partitionBy(*LOOKUP_KEYS)
+    mean = F.try_divide(F.sum("_prep").over(key), F.sum("_fit").over(key))
+    known = F.col("specialty").isNotNull()
+    return counts.withColumn("lookup_prep", F.when(known, mean)).drop("_prep", "_fit")
+
+
 def _moved(value: str) -> Column:
     """The value after the plan makes room for the looked-up prep."""
     return F.col(value) - (F.col("lookup_prep") - F.col("planned_prep_min"))
 
 
+def _cases(condition: Column) -> Column:
+    return F.coalesce(F.sum(F.when(condition, F.col("_n"))), F.lit(0))
+
+
+def _mean(x: Column) -> Column:
+    return F.try_divide(F.sum(x * F.col("_n")), F.sum(F.when(x.isNotNull(), F.col("_n"))))
+
+
+def _pct(condition: Column) -> Column:
+    return F.try_divide(_cases(condition) * 100.0, F.sum("_n"))
+
+
 def whatif_room_overrun(cases: DataFrame, fit_before: str | None = None) -> DataFrame:
     """Room overrun per class of planned prep, before and after."""
-    rows = with_lookup(cases, "room_overrun_min", fit_before=fit_before).withColumn(
+    counts = lookup_counts(cases, "room_overrun_min", fit_before).withColumn(
         "new_overrun", _moved("room_overrun_min")
     ).dropna(subset=["planned_prep_min", "room_overrun_min"])
-    grouped = rows.groupBy(prep_bucket(F.col("planned_prep_min")).alias("bucket")).agg(
-        F.count("*").alias("n_before"),
-        F.avg("room_overrun_min").alias("mean_before"),
-        F.count("new_overrun").alias("n_after"),
-        F.avg("new_overrun").alias("mean_after"),
+    new = F.col("new_overrun")
+    grouped = counts.groupBy(prep_bucket(F.col("planned_prep_min")).alias("bucket")).agg(
+        F.sum("_n").alias("n_before"),
+        _mean(F.col("room_overrun_min")).alias("mean_before"),
+        _cases(new.isNotNull()).alias("n_after"),
+        _mean(new).alias("mean_after"),
     )
     return grouped.where(F.col("bucket").isNotNull()).withColumn(
         "label", bucket_label(F.col("bucket"), PREP_LABELS)
     )
 
 
-def _before_after(rows: DataFrame, value: str) -> DataFrame:
+def before_after(counts: DataFrame, value: str) -> DataFrame:
+    """Mean and late shares of ``value`` over :func:`lookup_counts`, now and under the
+    lookup."""
     old, new = F.col(value), _moved(value)
-    both = rows.where(old.isNotNull() & new.isNotNull())
-    return both.agg(
-        F.count("*").alias("n"),
-        F.avg(old).alias("mean_before"),
-        F.avg(new).alias("mean_after"),
-        share(old > 0).alias("pct_late_before"),
-        share(new > 0).alias("pct_late_after"),
-        share(old > 15).alias("pct_late_15_before"),
-        share(new > 15).alias("pct_late_15_after"),
-        (F.count_if(old > 0) - F.count_if(new > 0)).alias("n_removed"),
+    return counts.where(old.isNotNull() & new.isNotNull()).agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("n"),
+        _mean(old).alias("mean_before"),
+        _mean(new).alias("mean_after"),
+        _pct(old > 0).alias("pct_late_before"),
+        _pct(new > 0).alias("pct_late_after"),
+        _pct(old > 15).alias("pct_late_15_before"),
+        _pct(new > 15).alias("pct_late_15_after"),
+        (_cases(old > 0) - _cases(new > 0)).alias("n_removed"),
     )
 
 
 def whatif_start_delay(cases: DataFrame, fit_before: str | None = None) -> DataFrame:
-    return _before_after(with_lookup(cases, "start_delay_min", fit_before=fit_before), "start_delay_min")
+    return before_after(lookup_counts(cases, "start_delay_min", fit_before), "start_delay_min")
 
 
 def whatif_procedure_overrun(cases: DataFrame, fit_before: str | None = None) -> DataFrame:
-    rows = with_lookup(cases, "procedure_overrun_min", fit_before=fit_before)
-    return _before_after(rows, "procedure_overrun_min")
+    return before_after(lookup_counts(cases, "procedure_overrun_min", fit_before), "procedure_overrun_min")
 
 
 def lookup_residual(cases: DataFrame) -> DataFrame:
     """How far real patient prep lies from its lookup value."""
-    rows = with_lookup(cases, "patient_prep_min", how="inner")
+    counts = lookup_counts(cases, "patient_prep_min")
     left = F.col("patient_prep_min") - F.col("lookup_prep")
-    return rows.where(within(F.col("patient_prep_min"), (0, 240))).agg(
-        F.count("*").alias("n"),
-        share(left > 0).alias("pct_over"),
-        share(left > 15).alias("pct_over_15"),
-        F.avg(F.abs(left)).alias("mae"),
+    return counts.where(within(F.col("patient_prep_min"), (0, 240)) & left.isNotNull()).agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("n"),
+        _pct(left > 0).alias("pct_over"),
+        _pct(left > 15).alias("pct_over_15"),
+        _mean(F.abs(left)).alias("mae"),
     )
 
 

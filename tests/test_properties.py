@@ -46,8 +46,8 @@ def test_specialty_is_filtered_before_deduplication(log):
 
 
 def test_plan_equal_to_lookup_changes_nothing(spark, cases):
-    rows = whatif.with_lookup(cases, "start_delay_min").withColumn("planned_prep_min", F.col("lookup_prep"))
-    line = whatif._before_after(rows, "start_delay_min").first()
+    counts = whatif.lookup_counts(cases, "start_delay_min").withColumn("planned_prep_min", F.col("lookup_prep"))
+    line = whatif.before_after(counts, "start_delay_min").first()
     assert line.mean_before == pytest.approx(line.mean_after) and line.n_removed == 0
 
 
