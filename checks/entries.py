@@ -55,7 +55,8 @@ def _log(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _settled(df: DataFrame) -> DataFrame:
-    """Whole numbers as long, fractions at six decimals: equal on any engine."""
+    """Whole numbers as long, fractions at six decimals, dates as text: equal on any
+    engine and in any client."""
     out = []
     for f in df.schema:
         column = F.col(f.name)
@@ -63,6 +64,8 @@ def _settled(df: DataFrame) -> DataFrame:
             column = F.round(column.cast("double"), 6) + F.lit(0.0)
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType)):
             column = column.cast("long")
+        elif isinstance(f.dataType, T.DateType):
+            column = column.cast("string")
         out.append(column.alias(f.name))
     return df.select(*out)
 

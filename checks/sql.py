@@ -1,7 +1,7 @@
 """The queries of ``entries`` as SQL on the driver tables, written independently.
 
 Every statement starts from the ``events`` view. Fractions are rounded to six
-decimals on both sides; ``+ 0.0`` turns minus zero into zero.
+decimals on both sides; ``+ 0.0`` turns minus zero into zero. Dates are text.
 """
 
 from __future__ import annotations
@@ -131,7 +131,9 @@ QUARTILES = {"p25": 0.25, "p75": 0.75, "p90": 0.9}
 
 def _q(body: str, keep: str = "", longs: str = "", floats: str = "", ctes: str = "") -> str:
     """A full statement: keep, cast and round the columns of ``body``."""
-    columns = [*keep.split(), *[f"CAST({c} AS BIGINT) AS {c}" for c in longs.split()]]
+    dates = ("date", "first_date", "last_date")
+    columns = [f"CAST({c} AS VARCHAR) AS {c}" if c in dates else c for c in keep.split()]
+    columns += [*[f"CAST({c} AS BIGINT) AS {c}" for c in longs.split()]]
     columns += [f"round(CAST({c} AS DOUBLE), 6) + 0.0 AS {c}" for c in floats.split()]
     more = f",\n{ctes}" if ctes else ""
     return f"WITH {LOG},{MEASURED}{more}\nSELECT {', '.join(columns)} FROM (\n{body}\n) AS result"
