@@ -18,11 +18,9 @@ from slotwise.functions import (
     outside_values,
     position_label,
     prep_bucket,
-    with_measures,
 )
 from slotwise.operators import (
     DAY,
-    attach,
     encode,
     first_in_group,
     first_rows,
@@ -459,13 +457,13 @@ def build() -> dict[str, Query]:
         "forest_cascade_candidates": _forest(lambda _, s: _candidates(_forest_predicted(s), None)),
         "forest_waiting_saved": _forest(
             lambda _, s: replay.waiting_saved(_forest_predicted(s), CUTOFF, MONTH_END)),
-        "boosted_prep": _modelled(models.boosted_prep, iterations=20),
+        "boosted_prep": _modelled(models.boosted_prep, iterations=40),
         "linear_prep": _modelled(models.linear_prep),
         "component_linear_prep": _modelled(models.component_linear_prep, k=5),
         "components_tell_specialty": _modelled(models.components_tell_specialty, k=5),
         "complexity_tiers": _on_cases(lambda c: models.complexity_tiers(models.model_rows(c))),
         "overrun_classifier": _modelled(models.overrun_classifier),
-        "inor_regression": _modelled(models.inor_regression, "actual_inor_min", (0, 600), trees=20, depth=6),
+        "inor_regression": _modelled(models.inor_regression, "actual_inor_min", (0, 600), trees=100, depth=6),
         "text_features": _modelled(models.text_features),
         "known_procedure_test": _split(lambda a, b: models.known_procedure_test(a, b, min_rows=5)),
     }

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.functions import clip_low, occupied_or_default, within
-from slotwise.operators import DAY, attach, keep_matching, ordered_list, sequence_days, top
+from slotwise.operators import DAY, attach, ordered_list, sequence_days
 from slotwise.session import cut
 
 from .whatif import LOOKUP_KEYS, prep_lookup
