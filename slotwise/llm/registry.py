@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotwise.llm import chat, exact, packing
+from slotwise.llm import chat, decontaminate, exact, packing
 from slotwise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), length=2048).drop("ids")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return judged.drop("spans", "text_hash")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -33,9 +38,14 @@ def queries() -> dict[str, Query]:
     return {
         "op3_chat_formatting": op3_chat_formatting,
         "op5_packing": op5_packing,
+        "op7_decontamination": op7_decontamination,
         "op9_exact_dedup": op9_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_formatting": chat.SQL, "op9_exact_dedup": exact.SQL}
+    return {
+        "op3_chat_formatting": chat.SQL,
+        "op7_decontamination": decontaminate.SQL,
+        "op9_exact_dedup": exact.SQL,
+    }
