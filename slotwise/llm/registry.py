@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotwise.llm import chat, decontaminate, exact, packing
+from slotwise.llm import chat, decontaminate, exact, packing, pseudonyms
 from slotwise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(rows.unionByName(probe))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymize(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), length=2048).drop("ids")
 
@@ -37,6 +41,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op3_chat_formatting": op3_chat_formatting,
+        "op4_pii": op4_pii,
         "op5_packing": op5_packing,
         "op7_decontamination": op7_decontamination,
         "op9_exact_dedup": op9_exact_dedup,
