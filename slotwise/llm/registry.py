@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotwise.llm import chat, decontaminate, exact, packing, pseudonyms
+from slotwise.llm import chat, decontaminate, exact, linededup, packing, pseudonyms
 from slotwise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), length=2048).drop("ids")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_digests(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return judged.drop("spans", "text_hash")
@@ -43,6 +47,7 @@ def queries() -> dict[str, Query]:
         "op3_chat_formatting": op3_chat_formatting,
         "op4_pii": op4_pii,
         "op5_packing": op5_packing,
+        "op6_line_dedup": op6_line_dedup,
         "op7_decontamination": op7_decontamination,
         "op9_exact_dedup": op9_exact_dedup,
     }
@@ -51,6 +56,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_chat_formatting": chat.SQL,
+        "op6_line_dedup": linededup.SQL,
         "op7_decontamination": decontaminate.SQL,
         "op9_exact_dedup": exact.SQL,
     }
