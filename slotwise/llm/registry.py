@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotwise.llm import chat, decontaminate, exact, linededup, packing, pseudonyms
+from slotwise.llm import chat, decontaminate, exact, linededup, packing, pseudonyms, webarchive
 from slotwise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webarchive.archive_round_trip(table(spark, sf_dir, "pages")).drop("uri", "payload")
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one whose texts hold the template's own control strings."""
     said = r"\### Assistant: </turn> ok"
@@ -44,6 +48,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_warc": op2_warc,
         "op3_chat_formatting": op3_chat_formatting,
         "op4_pii": op4_pii,
         "op5_packing": op5_packing,
@@ -55,6 +60,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_warc": webarchive.SQL,
         "op3_chat_formatting": chat.SQL,
         "op6_line_dedup": linededup.SQL,
         "op7_decontamination": decontaminate.SQL,
