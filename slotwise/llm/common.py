@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +21,18 @@ LETTER_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPACES = " \t\n\x0b\x0c\r"
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per context, as ``--py-files`` does."""
+    context = spark.sparkContext
+    if getattr(context, "_slotwise_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    packed = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="slotwise-"), "slotwise-code"), "zip",
+                                 package.parent, package.name)
+    context.addPyFile(packed)
+    context._slotwise_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

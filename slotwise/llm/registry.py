@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotwise.llm import chat, decontaminate, exact, linededup, packing, pseudonyms, webarchive
-from slotwise.llm.common import table
+from slotwise.llm import chat, decontaminate, exact, linededup, packing, pseudonyms, quality, webarchive
+from slotwise.llm.common import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,20 +43,37 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("spans", "text_hash")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def _shipped(query: Query) -> Query:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Query]:
-    return {
-        "op2_warc": op2_warc,
-        "op3_chat_formatting": op3_chat_formatting,
-        "op4_pii": op4_pii,
-        "op5_packing": op5_packing,
-        "op6_line_dedup": op6_line_dedup,
-        "op7_decontamination": op7_decontamination,
-        "op9_exact_dedup": op9_exact_dedup,
-    }
+    return {name: _shipped(query) for name, query in _QUERIES.items()}
+
+
+_QUERIES: dict[str, Query] = {
+    "op2_warc": op2_warc,
+    "op3_chat_formatting": op3_chat_formatting,
+    "op4_pii": op4_pii,
+    "op5_packing": op5_packing,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_decontamination": op7_decontamination,
+    "op8_quality": op8_quality,
+    "op9_exact_dedup": op9_exact_dedup,
+}
 
 
 def oracle_sql() -> dict[str, str]:
