@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotwise.llm import chat, decontaminate, exact, linededup, packing, pseudonyms, quality, webarchive
+from slotwise.llm import chat, decontaminate, exact, linededup, packing, pseudonyms, quality, substrings, webarchive
 from slotwise.llm.common import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), length=200).drop("kept")
+
+
 def _shipped(query: Query) -> Query:
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +77,7 @@ _QUERIES: dict[str, Query] = {
     "op7_decontamination": op7_decontamination,
     "op8_quality": op8_quality,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 
