@@ -7,12 +7,16 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotwise.llm import chat, decontaminate, exact, linededup, packing, pseudonyms, quality, substrings, webarchive
+from slotwise.llm import chat, decontaminate, exact, jaccard, linededup, packing, pseudonyms, quality, substrings, webarchive
 from slotwise.llm.common import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webarchive.archive_round_trip(table(spark, sf_dir, "pages")).drop("uri", "payload")
 
@@ -69,6 +73,7 @@ def queries() -> dict[str, Query]:
 
 
 _QUERIES: dict[str, Query] = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_warc": op2_warc,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_pii": op4_pii,
