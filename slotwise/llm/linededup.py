@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,15 +137,13 @@ class LineIndex:
         """``docs`` with its text cleaned, and n_lines, n_dropped (new columns replace old ones of the name)."""
         drops = self.drops().select(F.col("doc_id").alias("_id"), F.col("keys").alias("_keys"))
         joined = docs.drop("n_lines", "n_dropped").join(drops, F.col("doc_id") == F.col("_id"), "left").drop("_id")
-        at, min_chars = joined.columns, self.min_chars
-        kept = joined.select(*docs.drop("n_lines", "n_dropped").columns, F.lit(0).cast("long").alias("n_lines"),
-                             F.lit(0).cast("long").alias("n_dropped")).schema
-        text_at = at.index("text")
+        names, min_chars = docs.drop("n_lines", "n_dropped").columns, self.min_chars
+        kept = joined.select(*names, F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")).schema
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:  # other columns pass through untouched
                 texts, lines, dropped = [], [], []
-                for text, keys in zip(batch.iloc[:, text_at], batch["_keys"]):
+                for text, keys in zip(batch.column("text").to_pylist(), batch.column("_keys").to_pylist()):
                     have = ("" if text is None else text).split("\n")
                     lines.append(len(have))
                     if keys is None:
@@ -155,10 +154,12 @@ class LineIndex:
                     stay = [x for x in have if line_key(x, min_chars) not in gone]
                     texts.append("\n".join(stay))
                     dropped.append(len(have) - len(stay))
-                batch["text"] = texts
-                yield batch.drop(columns="_keys").assign(n_lines=lines, n_dropped=dropped)
+                new = {"text": pa.array(texts, batch.schema.field("text").type)}
+                columns = [new[c] if c in new else batch.column(c) for c in names]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], [*names, "n_lines", "n_dropped"])
 
-        return joined.mapInPandas(run, kept)
+        return joined.mapInArrow(run, kept)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:

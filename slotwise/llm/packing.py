@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from slotwise.llm.common import stored
 from slotwise.llm.tokens import BytePairs
 
-_TOKENS = "doc_id long, part int, before long, doc_tokens long, ids binary"
-_PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
+_TOKENS = "doc_id string, part int, before long, doc_tokens long, ids binary"
+_PIECES = ("doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
            "ids binary")
 
 
@@ -32,9 +32,9 @@ def tokenize(docs: DataFrame, end_id: int = 1, tokenizer: str | None = None) ->
                 ids.append(end_id)
                 out.append((doc_id, part, before, len(ids), load.pack(ids)))
                 before += len(ids)
-            yield pd.DataFrame(out, columns=["doc_id", "part", "before", "doc_tokens", "ids"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "part", "before", "doc_tokens", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, _TOKENS)
+    return docs.select(F.col("doc_id").cast("long").cast("string"), "text").mapInPandas(run, _TOKENS)
 
 
 def pack(docs: DataFrame, length: int = 2048, end_id: int = 1, tokenizer: str | None = None) -> DataFrame:
@@ -71,12 +71,11 @@ def pack(docs: DataFrame, length: int = 2048, end_id: int = 1, tokenizer: str |
                     out.append((doc_id, at, n, zlib.crc32(piece), total, sequence, offset, piece))
                     at += n
             yield pd.DataFrame(out, columns=[
-                "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids",
-            ]).astype({"doc_id": "Int64"})
+                "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
     placed = tokens.join(F.broadcast(starts), "part").select(
         "doc_id", (F.col("base") + F.col("before")).alias("first"), "doc_tokens", "ids")
-    return placed.mapInPandas(run, _PIECES)
+    return placed.mapInPandas(run, _PIECES).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

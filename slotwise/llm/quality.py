@@ -63,9 +63,10 @@ def measured(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             values = [np.array(measure(t), "<f4").tobytes() for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "stats": values}).astype({"doc_id": "Int64"})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "stats": values})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, stats binary")
+    return docs.select(F.col("doc_id").cast("long").cast("string"), "text").mapInPandas(
+        run, "doc_id string, stats binary").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def moments(rows: DataFrame) -> dict[str, tuple[float, np.ndarray, np.ndarray]]:
@@ -164,10 +165,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold:
             x = basis(np.frombuffer(b"".join(batch["stats"]), "<f4").reshape(-1, len(STATS)).astype(float))
             score = np.clip((_times(x, weights) + 1) / 2, 0, 1)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": score,
-                                "predicted": (score >= threshold).astype(np.int32)}).astype({"doc_id": "Int64"})
+                                "predicted": (score >= threshold).astype(np.int32)})
 
-    return stats.select("doc_id", "stats", held_out(F.col("doc_id"), folds).alias("held_out")).mapInPandas(
-        run, "doc_id long, held_out boolean, score double, predicted int")
+    return stats.select(F.col("doc_id").cast("string"), "stats", held_out(F.col("doc_id"), folds).alias("held_out")).mapInPandas(
+        run, "doc_id string, held_out boolean, score double, predicted int").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options: object) -> DataFrame:

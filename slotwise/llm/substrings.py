@@ -71,7 +71,12 @@ def contexts(data: bytes, length: int) -> Iterator[tuple[np.ndarray, np.ndarray,
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
+    """Ids are text on their way through pandas, which has no exact numbers beside missing ones."""
+    return docs.select(F.col("doc_id").cast("long").cast("string"), F.xxhash64("text").alias("text_hash"), "text")
+
+
+def _with_ids(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _context_rows(docs: DataFrame, length: int) -> DataFrame:
@@ -85,13 +90,13 @@ def _context_rows(docs: DataFrame, length: int) -> DataFrame:
                     digests = b"".join(hashlib.blake2b(data[a:a + n], digest_size=8).digest()
                                        for a, n in zip(first.tolist(), size.tolist()))
                     out.append(pd.DataFrame({
-                        "doc_id": pd.array([doc_id] * len(first), "Int64"), "text_hash": np.int64(text_hash),
+                        "doc_id": [doc_id] * len(first), "text_hash": np.int64(text_hash),
                         "anchor": anchor.view(np.int64), "digest": np.frombuffer(digests, "<i8"), "first": first, "size": size}))
             if out:
                 yield pd.concat(out, ignore_index=True)
 
     long = _texts(docs).filter(F.octet_length("text") >= length)
-    return long.mapInPandas(run, "doc_id long, text_hash long, anchor long, digest long, first long, size int")
+    return _with_ids(long.mapInPandas(run, "doc_id string, text_hash long, anchor long, digest long, first long, size int"))
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -100,9 +105,9 @@ def _packed(docs: DataFrame) -> DataFrame:
         pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             data = [None if t is None else pack.compress(t.encode("utf-8", "surrogatepass")) for t in batch["text"]]
-            yield batch.drop(columns="text").assign(packed=data).astype({"doc_id": "Int64"})
+            yield batch.drop(columns="text").assign(packed=data)
 
-    return _texts(docs).mapInPandas(run, "doc_id long, text_hash long, packed binary")
+    return _with_ids(_texts(docs).mapInPandas(run, "doc_id string, text_hash long, packed binary"))
 
 
 def _join_documents(rows: DataFrame, per_doc: DataFrame, how: str) -> DataFrame:
@@ -228,7 +233,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, **options: int) -> DataFr
                 edges = int(np.count_nonzero(gone & ~np.concatenate([[False], gone[:-1]])))
                 out.append((len(data), len(data) - len(kept), edges, hashlib.sha256(kept).hexdigest(), kept))
             made = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-            yield pd.concat([batch[["doc_id"]].astype("Int64").reset_index(drop=True), made], axis=1)
+            yield pd.concat([batch[["doc_id"]].reset_index(drop=True), made], axis=1)
 
-    return _join_documents(_packed(docs), spans, "left").mapInPandas(
-        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    joined = _join_documents(_packed(docs), spans, "left").withColumn("doc_id", F.col("doc_id").cast("string"))
+    return _with_ids(joined.mapInPandas(
+        run, "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"))

@@ -73,9 +73,9 @@ def write_packages(pages: DataFrame, folder: str, max_bytes: int = 64 << 20) ->
                     path, n = f"{uuid.uuid4().hex}.wacz", 0
                     out = fs.open_output_stream(f"{base}/{path}")
                     writer = zippack.PackageWriter(out)
-                page_id = None if pd.isna(page_id) else int(page_id)
+                page_id = None if page_id is None else int(page_id)
                 uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
-                revisit = not pd.isna(first) and page_id != int(first)
+                revisit = first is not None and page_id != int(first)
                 writer.add(uri, digest, zippack.make_record(
                     "revisit" if revisit else "response", _record_id(page_id), uri, digest, html.encode("utf-8", "surrogatepass"),
                     _record_id(int(first)) if revisit else None))
@@ -86,7 +86,7 @@ def write_packages(pages: DataFrame, folder: str, max_bytes: int = 64 << 20) ->
         if out is not None:
             yield done()
 
-    return stored(pages.select("page_id", "url", "html", "digest", "first").mapInPandas(run, _PACKAGES), "packages")
+    return stored(pages.select(F.col("page_id").cast("string"), "url", "html", "digest", F.col("first").cast("string")).mapInPandas(run, _PACKAGES), "packages")
 
 
 def read_packages(packages: DataFrame, payloads: bool = True, chunk: int = 8 << 20) -> DataFrame:
