@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import LETTER_WORD, ascii_lower
+from slotwise.llm.common import LETTER_WORD, ascii_lower, fresh
 from slotwise.session import cut
 
 #: The same words in a text that is not lower-cased yet, for counting.
@@ -148,17 +148,19 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = 10) -
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, length: int = 10) -> DataFrame:
     """``docs`` with every hit run of words cut out of its text, and what stands between those words."""
-    spans = contamination(docs, benchmark, length).filter("contaminated").select(
-        F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_text"), "spans").dropDuplicates(["hit_id", "hit_text"])
-    joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans["hit_id"]) & (F.xxhash64(docs["text"]) == spans["hit_text"]), "left")
+    runs = fresh(docs, "hit_runs")
+    spans = contamination(docs.select("doc_id", "text"), benchmark, length).filter("contaminated").select(
+        F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_text"), F.col("spans").alias(runs)).dropDuplicates(["hit_id", "hit_text"])
+    joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans["hit_id"]) & (F.xxhash64(docs["text"]) == spans["hit_text"]), "left").select(
+        *[docs[c] for c in docs.columns], spans[runs])
     words = F.regexp_extract_all("text", F.lit(_ANY_CASE_WORD), F.lit(0))
     gaps = F.split("text", _ANY_CASE_WORD, -1)  # one more than words
     def hit(i: Column) -> Column:
-        return F.exists("spans", lambda s: (i >= s["first"]) & (i < s["first"] + s["n"]))
+        return F.exists(runs, lambda s: (i >= s["first"]) & (i < s["first"] + s["n"]))
     kept = F.concat(F.element_at(gaps, 1), F.array_join(F.transform(words, lambda w, i: F.when(
         hit(i), F.when(hit(i + 1), F.lit("")).otherwise(F.element_at(gaps, i + 2))).otherwise(
         F.concat(w, F.element_at(gaps, i + 2)))), ""))
-    return joined.withColumn("text", F.when(F.col("spans").isNotNull(), kept).otherwise(F.col("text"))).select(*docs.columns)
+    return joined.withColumn("text", F.when(F.col(runs).isNotNull(), kept).otherwise(F.col("text"))).select(*docs.columns)
 
 
 SQL = r"""

@@ -18,8 +18,6 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Sizes of a band lie within this factor, and a block of its sketch has this many shingles at its upper end.
 _BAND, _PER_BLOCK = 3, 3.2
-#: A block value of more texts than this is frequent.
-_FREQUENT = 64
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -138,7 +136,7 @@ _SENT = "part long, kind int, keys binary, nodes binary, spare binary"
 _MET = "kind int, g1 long, g2 long, members array<long>, node long, spare int, doc_id long, text_hash long, n int"
 
 
-def _send(docs: DataFrame, parts: int, flush: int = 3_000_000) -> DataFrame:
+def _send(docs: DataFrame, parts: int, frequent: int, flush: int = 3_000_000) -> DataFrame:
     """Block values dealt into parts, in a few long rows a task instead of a row a value."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         values: list[np.ndarray] = []
@@ -156,13 +154,13 @@ def _send(docs: DataFrame, parts: int, flush: int = 3_000_000) -> DataFrame:
             v, o, s = v[new], o[new], s[new]
             start = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
             size = np.diff(np.append(start, len(v)))
-            often = np.repeat(size > _FREQUENT, size)
+            often = np.repeat(size > frequent, size)
             out = []
             if often.any():
                 name = (v[often] // np.uint64(parts)).astype(np.uint32).astype(np.uint64) * np.uint64(parts) + v[often] % np.uint64(parts)
                 out.append((int(v[0] % np.uint64(parts)), 1, name.tobytes(), o[often].tobytes(), s[often].tobytes()))
                 stay = ~often
-                stay[start[size > _FREQUENT]] = True
+                stay[start[size > frequent]] = True
                 s = np.where(often, 255, s).astype(np.uint8)
                 o = np.where(often, 0, o)
                 v, o, s = v[stay], o[stay], s[stay]
@@ -207,7 +205,7 @@ def _frame(rows: int, /, **columns: object) -> pd.DataFrame:
                          else pd.array(columns.get(c, [pd.NA] * rows), "Int64") for c in names})
 
 
-def _meet(sent: DataFrame) -> DataFrame:
+def _meet(sent: DataFrame, most: int) -> DataFrame:
     """Kind 0: groups of texts that share a block value; 1: texts of frequent values; 2: the documents."""
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -240,7 +238,7 @@ def _meet(sent: DataFrame) -> DataFrame:
                 start = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
                 size = np.diff(np.append(start, len(v)))
                 marked = np.add.reduceat((o == 0) & (s == 255), start) > 0
-                frequent = marked | (size > _FREQUENT)
+                frequent = marked | (size > most)
                 rest = np.repeat(frequent, size) & ~((o == 0) & (s == 255))
                 whole = v[rest].astype(np.uint64) * np.uint64(int(key[1])) + np.uint64(int(key[0]))
                 n = len(whole)
@@ -297,7 +295,8 @@ class _Texts:
         return stored(pairs.join(b, "v").join(a, "u").select("u", "v", "a", "b").mapInPandas(run, "u long, v long"), "links")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, parts: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, parts: int | None = None,
+                    frequent: int = 64) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, text_hash.
 
     Texts link at a Jaccard similarity of at least ``percent`` (80 or more); the
@@ -305,8 +304,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, parts: i
 
     1. Every text sends its block values (``block_values``) of its size band to
        parts dealt by value; texts with equal sets are one node.
-    2. Texts that share a value form a group. Values of more than 64 texts are
-       frequent: only texts that have too few other blocks to be sure of meeting
+    2. Texts that share a value form a group. Values of more than
+       ``frequent`` texts are set apart: only texts that have too few other blocks to be sure of meeting
        every partner use them, so a passage of many texts brings no candidates.
     3. In a group only pairs with its least node are checked, over whole sets.
        Where such a check fails, and the nodes stay in different components,
@@ -321,7 +320,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, parts: i
         raise ValueError("the sketches are laid out for similarities of 80 percent and more")
     spark = docs.sparkSession
     parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = stored(_meet(_send(docs, parts).withColumn("parts", F.lit(parts).cast("long"))), "met", "zstd")
+    met = stored(_meet(_send(docs, parts, frequent).withColumn("parts", F.lit(parts).cast("long")), frequent), "met", "zstd")
     facts = met.filter("kind = 2").select("doc_id", "text_hash", "node", "n")
     groups = met.filter("kind = 0").select("g1", "g2", "members").dropDuplicates(["g1", "g2"])
     often = met.filter("kind = 1").select("g1", "node", "spare").distinct()

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import SPACES, stored
+from slotwise.llm.common import SPACES, fresh, stored
 from slotwise.llm.cuckoo import CuckooFilter
 
 _KEY = ["k1", "k2"]
@@ -135,15 +135,16 @@ class LineIndex:
 
     def apply(self, docs: DataFrame) -> DataFrame:
         """``docs`` with its text cleaned, and n_lines, n_dropped (new columns replace old ones of the name)."""
-        drops = self.drops().select(F.col("doc_id").alias("_id"), F.col("keys").alias("_keys"))
-        joined = docs.drop("n_lines", "n_dropped").join(drops, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+        own, lost = fresh(docs, "own_id"), fresh(docs, "lost_keys")
+        drops = self.drops().select(F.col("doc_id").alias(own), F.col("keys").alias(lost))
+        joined = docs.drop("n_lines", "n_dropped").join(drops, F.col("doc_id") == F.col(own), "left").drop(own)
         names, min_chars = docs.drop("n_lines", "n_dropped").columns, self.min_chars
         kept = joined.select(*names, F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")).schema
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:  # other columns pass through untouched
                 texts, lines, dropped = [], [], []
-                for text, keys in zip(batch.column("text").to_pylist(), batch.column("_keys").to_pylist()):
+                for text, keys in zip(batch.column("text").to_pylist(), batch.column(lost).to_pylist()):
                     have = ("" if text is None else text).split("\n")
                     lines.append(len(have))
                     if keys is None:
