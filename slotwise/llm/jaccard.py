@@ -17,7 +17,7 @@ _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F,
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Sizes of a band lie within this factor, and a block of its sketch has this many shingles at its upper end.
-_BAND, _PER_BLOCK = 3, 3.2
+_BAND, _PER_BLOCK = 2, 2.6
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -125,6 +125,23 @@ def block_values(shingles: np.ndarray) -> list[tuple[np.ndarray, int]]:
     return out
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """Parity bits: every shingle flips one. At least four bits a shingle, a power of two of them."""
+    bits = 1 << max(8, int(4 * len(shingles) - 1).bit_length())
+    at = (_mixed(shingles ^ _C3) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing_bits(a: bytes, b: bytes) -> int:
+    """No more than the shingles that only one of the two sets has; the longer sketch is folded to the shorter."""
+    x, y = (np.frombuffer(s, np.uint64) for s in (a, b))
+    while len(x) > len(y):
+        x = x[:len(x) // 2] ^ x[len(x) // 2:]
+    while len(y) > len(x):
+        y = y[:len(y) // 2] ^ y[len(y) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _node(shingles: np.ndarray) -> int:
     """64 bits of the set: texts with equal sets are one node of the join."""
     with np.errstate(over="ignore"):
@@ -260,7 +277,7 @@ def _meet(sent: DataFrame, most: int) -> DataFrame:
 class _Texts:
     """Texts of the nodes in question, for checking pairs."""
 
-    def __init__(self, docs: DataFrame, nodes: DataFrame, facts: DataFrame):
+    def __init__(self, docs: DataFrame, nodes: DataFrame, facts: DataFrame, words: int):
         chosen = facts.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("p")).select(
             F.col("p.doc_id").alias("_id"), F.col("p.text_hash").alias("_hash"), "node")
 
@@ -272,11 +289,33 @@ class _Texts:
 
         packed = docs.select(F.col("doc_id").cast("long").cast("string"), F.xxhash64("text").alias("text_hash"), "text").mapInPandas(
             pack, "doc_id string, text_hash long, packed binary").withColumn("doc_id", F.col("doc_id").cast("long"))
+        def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            z = zstandard.ZstdDecompressor()
+            for batch in batches:
+                sets = [s for part in _text_parts([z.decompress(p) for p in batch["packed"]]) for s in shingle_sets(part, words)]
+                yield batch.assign(size=[len(s) for s in sets], sketch=[sketch(s) for s in sets])
+
         same = packed["text_hash"].eqNullSafe(chosen["_hash"]) & packed["doc_id"].eqNullSafe(chosen["_id"])
-        self.table = stored(packed.join(chosen, same).select("node", "packed").dropDuplicates(["node"]), "near-texts")
+        self.table = stored(packed.join(chosen, same).select("node", "packed").dropDuplicates(["node"]).mapInPandas(
+            measure, "node long, packed binary, size long, sketch binary"), "near-texts")
+
+    def near(self, pairs: DataFrame, percent: int) -> DataFrame:
+        """The pairs (u, v) that sizes and sketches do not rule out."""
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                hit = [(100 + percent) * differing_bits(x, y) <= (100 - percent) * (a + b)
+                       for x, y, a, b in zip(batch["x"], batch["y"], batch["a"], batch["b"])]
+                yield batch.loc[hit, ["u", "v"]]
+
+        a = self.table.select(F.col("node").alias("u"), F.col("size").alias("a"), F.col("sketch").alias("x"))
+        b = self.table.select(F.col("node").alias("v"), F.col("size").alias("b"), F.col("sketch").alias("y"))
+        sized = pairs.join(b, "v").join(a, "u").filter(100 * F.least("a", "b") >= percent * F.greatest("a", "b"))
+        return sized.select("u", "v", "a", "b", "x", "y").mapInPandas(run, "u long, v long")
 
     def linked(self, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-        """The pairs (u, v) whose sets are alike: the exact check."""
+        """The pairs (u, v) whose sets are alike: sketches first, then the whole sets."""
+        pairs = self.near(pairs, percent)
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             z = zstandard.ZstdDecompressor()
             kept: dict[int, np.ndarray] = {}
@@ -307,7 +346,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, parts: i
     2. Texts that share a value form a group. Values of more than
        ``frequent`` texts are set apart: only texts that have too few other blocks to be sure of meeting
        every partner use them, so a passage of many texts brings no candidates.
-    3. In a group only pairs with its least node are checked, over whole sets.
+    3. In a group only pairs with its least node are checked: by size, by sketch
+       (the bits that differ are no more than the differing shingles), and what
+       is left over whole sets.
        Where such a check fails, and the nodes stay in different components,
        the group's pairs across components are checked too. Nothing that could
        link is left out, and a group of copies costs its size, not its square.
@@ -329,7 +370,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, parts: i
     least = often.groupBy("g1").agg(F.min("node").alias("u"), F.count("*").alias("k")).filter("k > 1").select("g1", "u")
     rows = stored(groups.select("g1", "g2", F.array_min("members").alias("u"), F.explode("members").alias("v")).unionByName(
         often.join(least, "g1").select("g1", F.lit(None).cast("long").alias("g2"), "u", F.col("node").alias("v"))), "met-rows", "zstd")
-    texts = _Texts(docs, rows.select(F.col("v").alias("node")).distinct(), facts)
+    texts = _Texts(docs, rows.select(F.col("v").alias("node")).distinct(), facts, words)
 
     stars = stored(rows.filter("u <> v").select("u", "v").distinct(), "stars")
     first = stars.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
@@ -341,12 +382,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, parts: i
 
     failed = _apart(rows.filter("u <> v"), labels)
     group = ["g1", "g2"]
-    far = failed.select(*group, F.col("v").alias("x"), F.col("lv").alias("lx"))
+    sizes = facts.select("node", "n").distinct()
+    far = failed.select(*group, F.col("v").alias("x"), F.col("lv").alias("lx")).join(
+        sizes.select(F.col("node").alias("x"), F.col("n").alias("nx")), "x")
     touched = far.select(*group).distinct().withColumnsRenamed({"g1": "t1", "g2": "t2"})
     mates = _labelled(rows.filter("u <> v").join(
         touched, (F.col("g1") == F.col("t1")) & F.col("g2").eqNullSafe(F.col("t2")), "left_semi").select(*group, "v"), labels, "v")
-    mates = mates.withColumnsRenamed({"g1": "m1", "g2": "m2"})
-    across = far.join(mates, (F.col("g1") == F.col("m1")) & F.col("g2").eqNullSafe(F.col("m2")) & (F.col("lx") != F.col("lv")))
+    mates = mates.withColumnsRenamed({"g1": "m1", "g2": "m2"}).join(sizes.select(F.col("node").alias("v"), F.col("n").alias("nv")), "v")
+    across = far.join(mates, (F.col("g1") == F.col("m1")) & F.col("g2").eqNullSafe(F.col("m2")) & (F.col("lx") != F.col("lv")) & (
+        100 * F.least("nx", "nv") >= percent * F.greatest("nx", "nv")))
     again = across.select(F.least("x", "v").alias("u"), F.greatest("x", "v").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
     again = stored(again, "again")
     if again.limit(1).count():
