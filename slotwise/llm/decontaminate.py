@@ -19,32 +19,12 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(LETTER_WORD), F.lit(0))
 
 
-def _paired(df: DataFrame, left: str, right: str, shift: int, out: str) -> DataFrame:
-    """``out[i]``: hash of ``left[i]`` and ``right[i + shift]``."""
-    n = F.greatest(F.least(F.size(left), F.size(right) - shift), F.lit(0))
-    return df.withColumn(out, F.zip_with(
-        F.slice(left, F.lit(1), n), F.slice(right, F.lit(shift + 1), n), lambda a, b: F.xxhash64(a, b)))
-
-
-def _with_windows(df: DataFrame, lengths: list[int]) -> DataFrame:
-    """Adds ``h<m>``, the hashes of all windows of m words of ``words``; longer ones from halves."""
-    df = df.withColumn("h1", F.transform("words", lambda w: F.xxhash64(w)))
-    made = {1}
-
-    def make(df: DataFrame, m: int) -> DataFrame:
-        if m in made:
-            return df
-        half = m // 2
-        if m % 2:
-            df = _paired(make(df, m - 1), f"h{m - 1}", "h1", m - 1, f"h{m}")
-        else:
-            df = _paired(make(df, half), f"h{half}", f"h{half}", half, f"h{m}")
-        made.add(m)
-        return df
-
-    for m in sorted(lengths):
-        df = make(df, m)
-    return df
+def _windows(df: DataFrame, m: int, *keep: str) -> DataFrame:
+    """A row per window of m words: ``keep``, its place (from 0), hash and words."""
+    places = F.when(F.size("words") >= m, F.sequence(F.lit(0), F.size("words") - m)).otherwise(F.array().cast("array<int>"))
+    window = F.slice("words", F.col("pos") + 1, F.lit(m))
+    return df.select(*keep, "words", F.explode(places).alias("pos")).select(
+        *keep, "words", "pos", F.xxhash64(window).alias("hash"), window.alias("window"))
 
 
 def test_windows(benchmark: DataFrame, length: int) -> tuple[DataFrame, list[int]]:
@@ -55,12 +35,10 @@ def test_windows(benchmark: DataFrame, length: int) -> tuple[DataFrame, list[int
     words = benchmark.select("item_id", words_of(F.col("text")).alias("words")).filter(F.size("words") > 0)
     sizes = words.select(F.least(F.size("words"), F.lit(length)).alias("m")).distinct().orderBy("m").collect()
     lengths = [r["m"] for r in sizes]  # at most ``length`` numbers
-    hashed = _with_windows(words, lengths)
     parts = None
     for m in lengths:
         own = F.size("words") >= length if m == length else F.size("words") == m
-        part = hashed.filter(own).select("item_id", "words", F.posexplode_outer(f"h{m}").alias("pos", "hash")).select(
-            "item_id", "hash", F.lit(m).alias("m"), F.slice("words", F.col("pos") + 1, F.lit(m)).alias("window"))
+        part = _windows(words.filter(own), m, "item_id").select("item_id", "hash", F.lit(m).alias("m"), "window")
         parts = part if parts is None else parts.unionByName(part)
     if parts is None:
         return None, []
@@ -71,8 +49,8 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, length: int = 10,
                 broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame | None:
     """Occurrences of test windows: doc_id, text_hash, pos, m, item_ids; None without any window.
 
-    Window hashes of a document are built in a few passes over its word hashes,
-    looked up in the broadcast set, and every hit is compared word by word.
+    Every window of a document is hashed and looked up in the broadcast set, and
+    every hit is compared word by word.
     """
     windows, lengths = test_windows(benchmark, length)
     if windows is None:
@@ -81,13 +59,13 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, length: int = 10,
     if windows.count() <= broadcast_windows:
         windows = F.broadcast(windows)
     base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words"))
-    hashed = _with_windows(base, lengths)
+    windows = windows.withColumnRenamed("window", "test_window")
     hits = None
     for m in lengths:
-        at = hashed.select("doc_id", "text_hash", "words", F.posexplode_outer(f"h{m}").alias("pos", "hash"))
-        here = F.slice("words", F.col("pos") + 1, F.lit(m))
+        at = _windows(base, m, "doc_id", "text_hash")
         # Not written as an equality, which would make the words a join key and build them for every row.
-        verified = (here <= F.col("window")) & (here >= F.col("window"))
+        here = F.coalesce("window", F.array().cast("array<string>"))  # never null; a bare column would be tested for it first
+        verified = (here <= F.col("test_window")) & (here >= F.col("test_window"))
         same = (F.col("hash") == F.col("key")) & (F.col("size") == m) & verified
         part = at.join(windows, same).select("doc_id", "text_hash", "pos", F.lit(m).alias("m"), "item_ids")
         hits = part if hits is None else hits.unionByName(part)
