@@ -20,6 +20,7 @@ from slotwise.functions import (
     prep_bucket,
 )
 from slotwise.operators import (
+    attach,
     DAY,
     encode,
     first_in_group,
@@ -116,16 +117,20 @@ def _on_predicted(f) -> Query:
     return _on_days(run)
 
 
-def _split(f) -> Query:
-    """Queries on the train and test parts of the placed surgical set."""
+def _split_days(f) -> Query:
+    """Queries on the train and test parts of the placed surgical set, and its large days."""
 
     def run(c: DataFrame, hot: DataFrame | None) -> DataFrame:
         placed = surgical.with_places(surgical.surgical_set(c, EXCLUDED), hot)
-        return f(*models.temporal_split(placed, CUTOFF))
+        return f(*models.temporal_split(placed, CUTOFF), hot)
 
     return _on_days(run)
 
 
+def _split(f) -> Query:
+    return _split_days(lambda train, test, hot: f(train, test))
+
+
 # --- operators on their own ------------------------------------------------------
 
 
@@ -156,6 +161,48 @@ def _case_flags(cases: DataFrame) -> DataFrame:
     )
 
 
+def _unit_measures(cases: DataFrame) -> DataFrame:
+    """Measures of stamps with seconds and microseconds, which the derived log has none of."""
+    shift = lambda stamp, micros: F.expr(f"timestampadd(MICROSECOND, {micros}, {stamp})")
+    moved = cases.withColumns({
+        "ts_patient_in_or": shift("ts_patient_in_or", "row_seq * 7919 % 999983 * 60"),
+        "ts_procedure_start": shift("ts_procedure_start", "-(row_seq * 104729 % 999983 * 60)"),
+    })
+    return moved.select("case_id", *[
+        measure(f"{m}_min", unit).alias(f"{m}_{unit}")
+        for m in ("start_delay", "patient_prep") for unit in ("minute", "second", "micro")])
+
+
+def _rows_by_first(train: DataFrame, test: DataFrame) -> DataFrame:
+    """Known numbers of the rows that the forests are judged on."""
+    known = test.dropna(subset=["actual_prep_min", "planned_prep_min"])
+    return known.groupBy(F.col("is_first_of_day").alias("is_first")).agg(
+        F.count("*").alias("n"), F.avg("actual_prep_min").alias("mean_actual_prep"),
+        F.avg("planned_prep_min").alias("mean_planned_prep"))
+
+
+def _overrun_labels(train: DataFrame, test: DataFrame) -> DataFrame:
+    known = test.where(F.col("overtime_minutes").isNotNull())
+    return known.groupBy((F.col("overtime_minutes") > 0).alias("overran")).agg(F.count("*").alias("n"))
+
+
+def _planned_slot(train: DataFrame, test: DataFrame) -> DataFrame:
+    return prediction_quality(test, "actual_inor_min", "planned_inor_min")
+
+
+def _saturated_line(train: DataFrame, test: DataFrame) -> DataFrame:
+    """The line on specialty, anesthesia and their product: its prediction is the training mean of the group."""
+    keys, target = ["specialty", "has_anesthesia"], "patient_prep_min"
+    means = train.groupBy(*keys).agg(F.avg(target).alias("predicted"))
+    return prediction_quality(attach(test, means, keys, "inner"), target, "predicted")
+
+
+def _tier_rows(cases: DataFrame) -> DataFrame:
+    numbers = ["staff_count", "resource_count", "actual_prep_min", "overtime_minutes"]
+    return models.model_rows(cases).dropna(subset=numbers).agg(
+        F.count("*").alias("n"), *[F.avg(c).alias(f"mean_{c}") for c in numbers])
+
+
 def _bucket_codes(cases: DataFrame) -> DataFrame:
     return cases.select(
         "case_id",
@@ -185,7 +232,7 @@ def _day_lists(cases: DataFrame, hot: DataFrame | None) -> DataFrame:
     """Cases of the three longest recorded days in order."""
     placed = delays.case_positions(cases, hot=hot)
     days = cases.dropna(subset=[*DAY, "delay_minutes", "ts_patient_in_or_planned", "ts_patient_in_or"])
-    sizes = days.groupBy(*DAY).agg(F.count("*").alias("n")).where(F.col("n").between(3, 6))
+    sizes = days.groupBy(*DAY).agg(F.count("*").alias("n")).where(F.col("n") >= 3)
     chosen = top(sizes, 3, "n", "date", "or_room")
     rows = placed.join(F.broadcast(chosen.select(*DAY)), list(DAY), "left_semi")
     return _joined(
@@ -216,7 +263,11 @@ def _schedule_quality(train: DataFrame, test: DataFrame) -> DataFrame:
 
 def _forest(f) -> Query:
     """Queries on the fitted prep forest and its scored test rows."""
-    return _split(lambda train, test: f(*models.prep_forest(train, test, trees=100, depth=6)))
+    return _forest_days(lambda model, scored, hot: f(model, scored))
+
+
+def _forest_days(f) -> Query:
+    return _split_days(lambda train, test, hot: f(*models.prep_forest(train, test), hot))
 
 
 def _importance(model, scored: DataFrame) -> DataFrame:
@@ -230,21 +281,21 @@ def _forest_predicted(scored: DataFrame) -> DataFrame:
 
 def _with_age(train: DataFrame, test: DataFrame) -> DataFrame:
     features = models.PREP_FEATURES_WITH_AGE
-    return models.compare_with_schedule(models.prep_forest(train, test, features, trees=100, depth=6)[1])
+    return models.compare_with_schedule(models.prep_forest(train, test, features)[1])
 
 
 def _mean_coded(train: DataFrame, test: DataFrame) -> DataFrame:
     train, test = models.encode_procedures(train, test, "mean")
-    return models.compare_with_schedule(models.score(models.fit_forest(train, trees=100, depth=6), test))
+    return models.compare_with_schedule(models.score(models.fit_forest(train), test))
 
 
 def _common_procedure(train: DataFrame, test: DataFrame) -> DataFrame:
-    return models.procedure_forest(train, test, "PROC 1", min_train=20, trees=100, depth=6)
+    return models.procedure_forest(train, test, "PROC 1", min_train=20)
 
 
-def _modelled(f, target: str = "patient_prep_min", bounds=(0, 240), **kwargs) -> Query:
+def _modelled(f, target: str = "patient_prep_min", bounds=(0, 240), flags: bool = False, **kwargs) -> Query:
     def run(c: DataFrame) -> DataFrame:
-        return f(*models.temporal_split(models.model_rows(c, target, bounds), CUTOFF), **kwargs)
+        return f(*models.temporal_split(models.model_rows(c, target, bounds, flags), CUTOFF), **kwargs)
 
     return _on_cases(run)
 
@@ -382,7 +433,7 @@ def build() -> dict[str, Query]:
         "corrected_days": _on_predicted(_corrected),
         "corrected_days_unplanned_part": _on_predicted(lambda p, hot: _corrected(p, hot, False)),
         "increasing_days": _on_predicted(replay.increasing_days),
-        "replay_days": _on_predicted(lambda p, hot: replay.replay_days(p, hot=hot)),
+        "replay_days": _on_valid_days(lambda v, hot: replay.replay_days(surgical.with_places(v, hot), hot=hot)),
         "replay_days_predicted": _on_predicted(lambda p, hot: replay.replay_days(p, True, hot=hot)),
         "waiting_saved": _on_predicted(lambda p, hot: replay.waiting_saved(p, CUTOFF, MONTH_END, hot)),
         # allocation classes and densities
@@ -426,6 +477,7 @@ def build() -> dict[str, Query]:
         "case_log": _on_log(lambda log: log),
         "first_case_rows": _on_log(first_rows),
         "row_measures": _on_cases(_row_measures),
+        "unit_measures": _on_cases(_unit_measures),
         "case_flags": _on_cases(_case_flags),
         "bucket_codes": _on_cases(_bucket_codes),
         "case_positions": _on_days(_case_positions),
@@ -447,23 +499,28 @@ def build() -> dict[str, Query]:
         "split_sizes": _split(models.split_sizes),
         "procedure_codes": _split(_procedure_codes),
         "schedule_quality": _split(_schedule_quality),
+        "forest_rows_by_first": _split(_rows_by_first),
+        "overrun_labels": _modelled(_overrun_labels),
+        "planned_slot_quality": _modelled(_planned_slot, "actual_inor_min", (0, 600)),
+        "saturated_line": _modelled(_saturated_line),
+        "tier_rows": _on_cases(_tier_rows),
         "prep_forest": _forest(lambda _, scored: models.compare_with_schedule(scored)),
         "prep_forest_by_first": _forest(lambda _, scored: models.compare_by_first(scored)),
         "prep_forest_importance": _forest(_importance),
         "prep_forest_with_age": _split(_with_age),
         "prep_forest_mean_coded": _split(_mean_coded),
         "procedure_forest": _split(_common_procedure),
-        "forest_corrected_days": _forest(lambda _, s: _corrected(_forest_predicted(s), None)),
-        "forest_cascade_candidates": _forest(lambda _, s: _candidates(_forest_predicted(s), None)),
-        "forest_waiting_saved": _forest(
-            lambda _, s: replay.waiting_saved(_forest_predicted(s), CUTOFF, MONTH_END)),
-        "boosted_prep": _modelled(models.boosted_prep, iterations=40),
+        "forest_corrected_days": _forest_days(lambda _, s, hot: _corrected(_forest_predicted(s), hot)),
+        "forest_cascade_candidates": _forest_days(lambda _, s, hot: _candidates(_forest_predicted(s), hot)),
+        "forest_waiting_saved": _forest_days(
+            lambda _, s, hot: replay.waiting_saved(_forest_predicted(s), CUTOFF, MONTH_END, hot=hot)),
+        "boosted_prep": _modelled(models.boosted_prep),
         "linear_prep": _modelled(models.linear_prep),
-        "component_linear_prep": _modelled(models.component_linear_prep, k=5),
-        "components_tell_specialty": _modelled(models.components_tell_specialty, k=5),
+        "component_linear_prep": _modelled(models.component_linear_prep, flags=True, k=9),
+        "components_tell_specialty": _modelled(models.components_tell_specialty, flags=True, k=9),
         "complexity_tiers": _on_cases(lambda c: models.complexity_tiers(models.model_rows(c))),
         "overrun_classifier": _modelled(models.overrun_classifier),
-        "inor_regression": _modelled(models.inor_regression, "actual_inor_min", (0, 600), trees=100, depth=6),
+        "inor_regression": _modelled(models.inor_regression, "actual_inor_min", (0, 600)),
         "text_features": _modelled(models.text_features),
         "known_procedure_test": _split(lambda a, b: models.known_procedure_test(a, b, min_rows=5)),
     }

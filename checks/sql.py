@@ -856,6 +856,15 @@ st AS (SELECT s.*, lt.lookup_prep FROM s LEFT JOIN lt ON s.specialty = lt.specia
  date_sub('microsecond', ts_patient_in_or_planned, ts_patient_in_or) / 60e6 AS delay_micro,
  w2 AS prep_signed, CASE WHEN w2 >= 0 THEN w2 END AS prep_known, prep_gap, inor_gap FROM m""",
         "", "case_id delay_whole prep_signed prep_known prep_gap inor_gap", "delay_second delay_micro")
+    q["unit_measures"] = _q(
+        """SELECT case_id, """ + ", ".join(
+            f"date_sub('{part}', {a}, {b}) / {per} AS {name}_{unit}"
+            for name, a, b in (("start_delay", "ts_patient_in_or_planned", "entered"), ("patient_prep", "entered", "cut_open"))
+            for unit, part, per in (("minute", "minute", "1"), ("second", "second", "60.0"), ("micro", "microsecond", "60e6")))
+        + """ FROM (SELECT *, ts_patient_in_or + to_microseconds(row_seq * 7919 % 999983 * 60) AS entered,
+ ts_procedure_start - to_microseconds(row_seq * 104729 % 999983 * 60) AS cut_open FROM cases)""",
+        "", "case_id start_delay_minute patient_prep_minute",
+        "start_delay_second start_delay_micro patient_prep_second patient_prep_micro")
     q["case_flags"] = _q(
         f"""SELECT *, anes AS has_anesthesia, {display}, year(date) AS year, hour(ts_patient_in_or_planned) AS hour,
  specialty IS NOT NULL AND coalesce(specialty NOT IN {EXCLUDED}, FALSE) AS surgical FROM m""",
@@ -883,7 +892,7 @@ st AS (SELECT s.*, lt.lookup_prep FROM s LEFT JOIN lt ON s.specialty = lt.specia
     q["day_lists"] = _q(
         """SELECT or_room, date, string_agg(CAST(case_id AS VARCHAR), ',' ORDER BY case_position) AS case_id_list,
  string_agg(CAST(delay_minutes AS VARCHAR), ',' ORDER BY case_position) AS delay_minutes_list
- FROM cp SEMI JOIN (SELECT * FROM ends WHERE n_cases BETWEEN 3 AND 6 ORDER BY n_cases DESC, date, or_room LIMIT 3) AS e
+ FROM cp SEMI JOIN (SELECT * FROM ends WHERE n_cases >= 3 ORDER BY n_cases DESC, date, or_room LIMIT 3) AS e
  USING (or_room, date) GROUP BY 1, 2""",
         "or_room date case_id_list delay_minutes_list", "", "", PLACES)
     q["large_specialty_cases"] = _q(
@@ -919,6 +928,31 @@ st AS (SELECT s.*, lt.lookup_prep FROM s LEFT JOIN lt ON s.specialty = lt.specia
  1 - sum(prep_gap * prep_gap) / (count(*) * var_pop(actual_prep)) AS r2, avg(prep_gap) AS bias
  FROM vp WHERE date >= {CUTOFF} AND prep_gap IS NOT NULL""",
         "", "n", "mae r2 bias")
+    q["forest_rows_by_first"] = _q(
+        f"""SELECT is_first, count(*) AS n, avg(actual_prep) AS mean_actual_prep, avg(planned_prep) AS mean_planned_prep
+ FROM vp WHERE date >= {CUTOFF} AND actual_prep IS NOT NULL AND planned_prep IS NOT NULL GROUP BY 1""",
+        "is_first", "n", "mean_actual_prep mean_planned_prep")
+    known = "specialty IS NOT NULL AND patient_age IS NOT NULL AND is_acute IS NOT NULL AND planned_inor IS NOT NULL"
+    q["overrun_labels"] = _q(
+        f"""SELECT overtime_minutes > 0 AS overran, count(*) AS n FROM m
+ WHERE {known} AND w2 BETWEEN 0 AND 240 AND date >= {CUTOFF} AND overtime_minutes IS NOT NULL GROUP BY 1""",
+        "overran", "n")
+    q["planned_slot_quality"] = _q(
+        f"""SELECT count(*) AS n, avg(abs(inor_gap)) AS mae,
+ 1 - sum(inor_gap * inor_gap) / (count(*) * var_pop(actual_inor)) AS r2, avg(inor_gap) AS bias
+ FROM m WHERE {known} AND actual_inor BETWEEN 0 AND 600 AND date >= {CUTOFF}""",
+        "", "n", "mae r2 bias")
+    q["saturated_line"] = _q(
+        f"""SELECT count(*) AS n, avg(abs(w2 - p)) AS mae, 1 - sum((w2 - p) * (w2 - p)) / (count(*) * var_pop(w2)) AS r2,
+ avg(w2 - p) AS bias FROM (SELECT specialty, anes, w2 FROM m WHERE {known} AND w2 BETWEEN 0 AND 240 AND date >= {CUTOFF})
+ JOIN (SELECT specialty, anes, avg(w2) AS p FROM m WHERE {known} AND w2 BETWEEN 0 AND 240 AND date < {CUTOFF} GROUP BY 1, 2)
+ USING (specialty, anes)""",
+        "", "n", "mae r2 bias")
+    q["tier_rows"] = _q(
+        f"""SELECT count(*) AS n, avg(staff_count) AS mean_staff_count, avg(resource_count) AS mean_resource_count,
+ avg(actual_prep) AS mean_actual_prep_min, avg(overtime_minutes) AS mean_overtime_minutes
+ FROM m WHERE {known} AND w2 BETWEEN 0 AND 240 AND actual_prep IS NOT NULL AND overtime_minutes IS NOT NULL""",
+        "", "n", "mean_staff_count mean_resource_count mean_actual_prep_min mean_overtime_minutes")
     q["known_procedure_test"] = _q(
         f"""SELECT procedure_name, count(actual_prep) AS n_test, avg(actual_prep) AS mean_actual_prep,
  avg(planned_prep) AS mean_planned_prep FROM vp WHERE date >= {CUTOFF} AND procedure_name IN (

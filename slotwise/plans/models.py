@@ -30,6 +30,7 @@ from slotwise.functions import share, with_measures, within
 from slotwise.operators import attach, encode, keep_matching, prediction_quality, top, value_codes
 from slotwise.session import cut
 
+# The features of the published prep model.
 PLACE_FEATURES = (
     "staff_count", "resource_count", "has_anesthesia", "is_first_of_day", "is_last_of_day",
     "position", "total_cases_that_day",
@@ -116,6 +117,8 @@ def score(model: PipelineModel, rows: DataFrame, features: Sequence[str] = PREP_
 
 def compare_with_schedule(scored: DataFrame) -> DataFrame:
     """Error of the schedule and of the model on the same rows."""
+    # Rows are scored once; both lines read the three numbers.
+    scored = cut(scored.select("actual_prep_min", "planned_prep_min", "predicted_prep"))
     lines = [
         prediction_quality(scored, "actual_prep_min", c).withColumn("prediction", F.lit(name))
         for name, c in (("schedule", "planned_prep_min"), ("model", "predicted_prep"))
@@ -174,19 +177,24 @@ def procedure_forest(
 # --- patient prep and time in the room --------------------------------------------
 
 
-def model_rows(cases: DataFrame, target: str = "patient_prep_min", bounds: tuple[float, float] = (0, 240)) -> DataFrame:
-    """Complete rows for the models below, with ``target`` inside its bounds."""
+def model_rows(
+    cases: DataFrame, target: str = "patient_prep_min", bounds: tuple[float, float] = (0, 240), flags: bool = False
+) -> DataFrame:
+    """Complete rows for the models below, with ``target`` inside its bounds.
+
+    Staff and equipment flags, often hundreds of columns, only with ``flags``.
+    """
     rows = with_measures(
         cases, "patient_prep_min", "actual_inor_min", "planned_inor_min", "actual_prep_min",
         "planned_prep_min", "staff_count", "resource_count", "has_anesthesia",
     )
     numeric = ["patient_age", "is_acute", "has_anesthesia", "staff_count", "resource_count", "planned_inor_min"]
     rows = rows.where(within(F.col(target), bounds)).dropna(subset=["specialty", "patient_age", "is_acute", "planned_inor_min"])
-    flags = [c for c in cases.columns if c.startswith(("staff_", "resource_"))]
+    each = [c for c in cases.columns if flags and c.startswith(("staff_", "resource_"))]
     texts = ["case_id", "date", "specialty", "diagnosis_group", "procedure_text_id", "overtime_minutes"]
     measured = ["patient_prep_min", "actual_inor_min", "actual_prep_min", "planned_prep_min"]
     return rows.withColumns({c: F.col(c).cast("double") for c in [*numeric, target]}).select(
-        *texts, *measured, *numeric, *flags
+        *texts, *measured, *numeric, *each
     )
 
 
@@ -194,6 +202,18 @@ def _coded(*columns: str) -> list:
     return [StringIndexer(inputCol=c, outputCol=f"{c}_index", handleInvalid="keep") for c in columns]
 
 
+def _mean_coded(train: DataFrame, test: DataFrame, columns: Sequence[str], target: str) -> tuple[DataFrame, DataFrame]:
+    """``<column>_code``: the training mean of ``target`` per value, the overall mean for other values.
+
+    Any number of values fits, and their list never leaves the executors.
+    """
+    overall = train.agg(F.avg(target)).first()[0]
+    for c in columns:
+        means = cut(train.where(F.col(c).isNotNull()).groupBy(c).agg(F.avg(target).alias(f"{c}_code")))
+        train, test = (attach(d, means, [c]).fillna({f"{c}_code": overall}) for d in (train, test))
+    return train, test
+
+
 def _one_hot(*columns: str) -> list:
     return [
         *_coded(*columns),
@@ -213,7 +233,8 @@ SIX = ("has_anesthesia", "staff_count", "resource_count", "patient_age", "is_acu
 
 def boosted_prep(train: DataFrame, test: DataFrame, iterations: int = 200, target: str = "patient_prep_min") -> DataFrame:
     """Gradient-boosted trees on specialty, anesthesia, counts, age and acute flag."""
-    stages = [*_coded("specialty"), VectorAssembler(inputCols=["specialty_index", *SIX], outputCol="features")]
+    train, test = _mean_coded(cut(train), test, ["specialty"], target)
+    stages = [VectorAssembler(inputCols=["specialty_code", *SIX], outputCol="features")]
     learner = GBTRegressor(labelCol=target, maxIter=iterations, maxBins=128, seed=SEED)
     return _quality(stages, learner, cut(train), test, target, "boosted trees")
 
@@ -296,11 +317,11 @@ def complexity_tiers(rows: DataFrame, k: int = 3) -> DataFrame:
 
 def overrun_classifier(train: DataFrame, test: DataFrame, depth: int = 4) -> DataFrame:
     """Shallow tree for overtime above zero: counts of each outcome and the tree's size."""
-    columns = ["specialty_index", "diagnosis_group_index", *SIX, "planned_inor_min"]
+    columns = ["specialty_code", "diagnosis_group_code", *SIX, "planned_inor_min"]
     label = (F.col("overtime_minutes") > 0).cast("double")
     parts = [d.where(F.col("overtime_minutes").isNotNull()).withColumn("label", label) for d in (train, test)]
+    parts = _mean_coded(cut(parts[0]), parts[1], ["specialty", "diagnosis_group"], "label")
     model = Pipeline(stages=[
-        *_coded("specialty", "diagnosis_group"),
         VectorAssembler(inputCols=columns, outputCol="features"),
         DecisionTreeClassifier(maxDepth=depth, maxBins=256, seed=SEED),
     ]).fit(cut(parts[0]))
@@ -311,14 +332,12 @@ def inor_regression(train: DataFrame, test: DataFrame, trees: int = 100, depth:
     """Total time in the room from everything known before the day, against the slot."""
     target = "actual_inor_min"
     coded = ["procedure_text_id", "specialty", "diagnosis_group"]
-    stages = [
-        *_coded(*coded),
-        VectorAssembler(inputCols=[*[f"{c}_index" for c in coded], *SIX], outputCol="features"),
-    ]
+    stages = [VectorAssembler(inputCols=[*[f"{c}_code" for c in coded], *SIX], outputCol="features")]
     learner = RandomForestRegressor(
-        labelCol=target, numTrees=trees, maxDepth=depth, maxBins=4096, seed=SEED, featureSubsetStrategy="all"
+        labelCol=target, numTrees=trees, maxDepth=depth, maxBins=128, seed=SEED, featureSubsetStrategy="all"
     )
-    train, test = cut(train), cut(test)
+    train, test = _mean_coded(cut(train), cut(test), coded, target)
+    train = cut(train)
     fitted = _quality(stages, learner, train, test, target, "forest")
     slot = prediction_quality(test, target, "planned_inor_min").withColumn("model", F.lit("planned slot"))
     return fitted.unionByName(slot)

@@ -41,9 +41,9 @@ def corrected_days(predicted: DataFrame, whole: bool = True, hot: DataFrame | No
     )
 
 
-def corrected_day(predicted: DataFrame, or_room: str, date: str) -> DataFrame:
+def corrected_day(predicted: DataFrame, or_room: str, date: str, hot: DataFrame | None = None) -> DataFrame:
     day = (F.col("or_room") == or_room) & (F.col("date") == F.lit(date).cast("date"))
-    return corrected_days(predicted.where(day))
+    return corrected_days(predicted.where(day), hot=hot)
 
 
 def increasing_days(rows: DataFrame, hot: DataFrame | None = None) -> DataFrame:
@@ -69,6 +69,8 @@ def cascade_day_candidates(
 ) -> DataFrame:
     """Days of ever later starts that predicted prep would have calmed.
 
+    A day whose first case has a procedure that training has not seen
+    (``procedure_code`` -1, where the rows have one) is left out.
     Days are judged by aggregates. Lists of cases are built only for the ``k`` days
     returned; their delays rise by whole minutes, so a list is short.
     """
@@ -82,12 +84,15 @@ def cascade_day_candidates(
         previous={"_before": "start_delay_min"},
         running={"_saved": ("benefit", True)}, hot=hot,
     ).withColumn("corrected_delay", clip_low(F.col("start_delay_min") - F.col("_saved")))
+    coded = "procedure_code" in steps.columns
     # Judging and listing both read the steps; they are made once.
     steps = cut(steps.select(
         *DAY, "position", "procedure_name", "start_delay_min", "_before", "prep_gap_min", "error",
         "planned_prep_min", "actual_prep_min", "predicted_prep", "corrected_delay",
+        *(["procedure_code"] if coded else []),
     ))
     first = F.col("position") == 1
+    seen = F.coalesce(F.max(F.when(first, F.col("procedure_code"))), F.lit(0)) != -1 if coded else F.lit(True)
     delay = F.col("start_delay_min")
 
     def of_first(column: str):
@@ -100,17 +105,19 @@ def cascade_day_candidates(
         (F.max(delay) - F.min(delay)).alias("cascade"),
         F.max("corrected_delay").alias("max_corrected"),
         F.min(delay > F.col("_before")).alias("_grows"),
+        seen.alias("_seen"),
         of_first("prep_gap_min").alias("_gap"),
         of_first("error").alias("_error"),
         of_first("start_delay_min").alias("_delay"),
     ).where(
         (F.col("n_cases") >= 2)
         & F.col("_grows")
+        & F.col("_seen")
         & (F.col("_gap") >= min_first_gap)
         & (F.col("_error") <= max_first_error)
         & (F.col("_delay") >= min_first_delay)
         & (F.round("max_corrected", 1) <= max_corrected)
-    ).drop("_grows", "_gap", "_error", "_delay")
+    ).drop("_grows", "_seen", "_gap", "_error", "_delay")
     chosen = days.orderBy(
         F.col("n_procedures").desc(), F.col("cascade").desc(), F.col("date"), F.col("or_room")
     ).limit(k)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.functions import minutes_between, prep_bucket, with_measures, within
@@ -50,7 +50,7 @@ def prep_lookup_grid(cases: DataFrame, names: Mapping[str, str] = SPECIALTY_NAME
 
 def prep_lookup_grid_ends(cases: DataFrame, k: int = 5, names: Mapping[str, str] = SPECIALTY_NAMES) -> DataFrame:
     """The first and the last ``k`` specialties by name."""
-    grid = prep_lookup_grid(cases, names)
+    grid = cut(prep_lookup_grid(cases, names))  # one row per specialty, read twice
     first = grid.orderBy(F.col("specialty").asc()).limit(k).withColumn("part", F.lit("first"))
     last = grid.orderBy(F.col("specialty").desc()).limit(k).withColumn("part", F.lit("last"))
     return first.unionByName(last)
@@ -73,9 +73,10 @@ def lookup_counts(cases: DataFrame, value: str, fit_before: str | None = None) -
     """How often each combination of lookup key, planned prep and ``value`` occurs, as
     ``_n``, with the ``lookup_prep`` of its key.
 
-    One pass gives both the lookup and what it is applied to, and cases are never
-    joined to it. The table is bounded by keys and minutes, also for a key that holds
-    most of the cases.
+    One pass over the log gives the counts, which are written once. The lookup is
+    their sums per key, with partial sums in every task, and is attached to the
+    counts after a check of its size; no task gathers the counts of a key. Stamps of
+    whole minutes keep the counts far fewer than the cases; finer ones do not.
     """
     rows = with_measures(
         cases, *dict.fromkeys(["planned_prep_min", "patient_prep_min", "has_anesthesia", value]), unit="second"
@@ -84,13 +85,13 @@ def lookup_counts(cases: DataFrame, value: str, fit_before: str | None = None) -
     if fit_before is not None:
         fit = fit & (F.col("date") < F.lit(fit_before).cast("date"))
     prep = F.when(fit, F.col("patient_prep_min"))
-    counts = rows.groupBy(*LOOKUP_KEYS, "planned_prep_min", value).agg(
+    counts = cut(rows.groupBy(*LOOKUP_KEYS, "planned_prep_min", value).agg(
         F.count("*").alias("_n"), F.sum(prep).alias("_prep"), F.count(prep).alias("_fit")
+    ))
+    lookup = counts.where(F.col("specialty").isNotNull()).groupBy(*LOOKUP_KEYS).agg(
+        F.try_divide(F.sum("_prep"), F.sum("_fit")).alias("lookup_prep")
     )
-    key = Window.partitionBy(*LOOKUP_KEYS)
-    mean = F.try_divide(F.sum("_prep").over(key), F.sum("_fit").over(key))
-    known = F.col("specialty").isNotNull()
-    return counts.withColumn("lookup_prep", F.when(known, mean)).drop("_prep", "_fit")
+    return attach(counts.drop("_prep", "_fit"), lookup, LOOKUP_KEYS)
 
 
 def _moved(value: str) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,7 +82,7 @@ def rename_columns(df: DataFrame, mapping: dict[str, str], flags: bool = False)
     return df.toDF(*names)
 
 
-def _read_text_columns(spark: SparkSession, path: str) -> DataFrame:
+def _read_text_columns(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     return (
         spark.read.option("sep", ";")
         .option("header", True)
@@ -90,17 +91,26 @@ def _read_text_columns(spark: SparkSession, path: str) -> DataFrame:
         .option("quote", '"')
         .option("escape", '"')
         .option("nullValue", "")
+        .option("multiLine", multi_line)
         .csv(path)
     )
 
 
-def read_completed(spark: SparkSession, path: str) -> DataFrame:
+def read_completed(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Completed operations, one row per procedure, with ``row_seq`` in file order.
 
-    ``row_seq`` follows the splits of the file, so it is the file order for one
-    file. Give one file, as the log is exported.
+    ``row_seq`` follows the rows of a file, however it is split. Several files
+    follow each other in the order of their paths, whatever their sizes; they need
+    the same columns. With ``multi_line`` quoted values may hold line breaks, and
+    a file is no longer split.
     """
-    text = rename_columns(_read_text_columns(spark, path), COMPLETED_COLUMNS, flags=True)
+    files = sorted(_read_text_columns(spark, path, multi_line).inputFiles())
+    if len(files) > 1:
+        # A file's numbers stay under 2^52, so its rank orders the files.
+        parts = [read_completed(spark, f, multi_line) for f in files]
+        ranked = [p.withColumn("row_seq", F.col("row_seq") + F.lit(i << 52)) for i, p in enumerate(parts)]
+        return reduce(DataFrame.unionByName, ranked)
+    text = rename_columns(_read_text_columns(spark, path, multi_line), COMPLETED_COLUMNS, flags=True)
 
     def typed(name: str) -> Column:
         column = F.col(f"`{name}`")

@@ -93,3 +93,25 @@ def test_log_to_report(spark, tmp_path):
     path = _completed(tmp_path, row, {**row, "Patient på stuen": stamp.format("09:45")})
     (line,) = delay_by_prep_bucket(prepared(read_completed(spark, path))).collect()
     assert (line.label, line.n, line.mean_start_delay_min) == ("11-20", 1, 30.0)
+
+
+def test_files_follow_each_other_by_path(spark, tmp_path):
+    """The first row of a case is in the first file, also if that file is the smaller one."""
+    from slotwise.operators import prepared
+
+    rows = [{"Case-ID Anonymous": "1", "Patient Alder": "10"}], [{"Case-ID Anonymous": str(i % 500), "Patient Alder": "20"} for i in range(3000)]
+    for name, part in zip(("2024", "2025"), rows):
+        (tmp_path / name).mkdir()
+        _completed(tmp_path / name, *part)
+    log = read_completed(spark, str(tmp_path / "*/completed.csv"))
+    assert log.count() == 3001 and log.select("row_seq").distinct().count() == 3001
+    first = prepared(log).where("case_id = '1'").first()
+    assert first.patient_age == 10 and first.row_seq == log.agg({"row_seq": "min"}).first()[0]
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    path = tmp_path / "log.csv"
+    path.write_text('Case-ID Anonymous;Speciale\n1;"a\nb"\n2;c\n', encoding="utf-8")
+    from slotwise.sources.csvlog import _read_text_columns
+
+    assert [r[1] for r in _read_text_columns(spark, str(path), True).collect()] == ["a\nb", "c"]

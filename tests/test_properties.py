@@ -91,7 +91,7 @@ def test_replay_splits_add_up(predicted):
     assert rows.where("position = 1 and (alloc_start != 0 or actual_start != 0)").count() == 0
 
 
-def test_forest_is_repeatable_and_beats_the_mean(cases):
+def test_forest_is_repeatable(cases):
     placed = surgical.with_places(surgical.surgical_set(cases, ()))
     train, test = models.temporal_split(placed, "2024-01-21")
     runs = []
@@ -100,9 +100,6 @@ def test_forest_is_repeatable_and_beats_the_mean(cases):
         runs.append(models.compare_with_schedule(scored).orderBy("prediction").collect())
     assert [r.prediction for r in runs[0]] == ["model", "schedule"]
     assert runs[0][0].mae == pytest.approx(runs[1][0].mae)
-    mean = train.agg(F.avg("actual_prep_min")).first()[0]
-    constant = test.agg(F.avg(F.abs(F.col("actual_prep_min") - mean))).first()[0]
-    assert runs[0][0].mae <= constant * 1.25
     weights = [r.importance for r in models.feature_importance(model, train).collect()]
     assert sum(weights) == pytest.approx(1)
 
@@ -127,3 +124,74 @@ def test_split_days_give_the_same_reports(cases):
     }
     for name, report in reports.items():
         assert sorted(map(str, report(hot).collect())) == sorted(map(str, report(None).collect())), name
+
+
+def _taught(spark, n=1500):
+    """Rows whose prep follows their features, in every third row from another procedure."""
+    rows = spark.range(n).selectExpr(
+        "CAST(id AS STRING) AS case_id", "date_add(DATE'2024-01-01', CAST(id % 31 AS INT)) AS date",
+        "concat('P', id % 3) AS procedure_name", "id % 7 AS staff_count", "id % 5 AS resource_count",
+        "CAST(id % 2 AS INT) AS has_anesthesia", "1 AS is_first_of_day", "0 AS is_last_of_day", "1L AS position",
+        "1L AS total_cases_that_day", "10 * (id % 3) + 3 * (id % 7) + 8 * (id % 2) AS actual_prep_min", "0L AS planned_prep_min")
+    return models.temporal_split(rows, "2024-01-21")
+
+
+def test_forest_learns(spark):
+    train, test = _taught(spark)
+    _, scored = models.prep_forest(train, test, trees=20)
+    got = {r.prediction: r for r in models.compare_with_schedule(scored).collect()}
+    mean = train.agg(F.avg("actual_prep_min")).first()[0]
+    constant = test.agg(F.avg(F.abs(F.col("actual_prep_min") - mean))).first()[0]
+    assert got["model"].mae < 0.3 * constant and got["model"].mae < got["schedule"].mae
+    assert got["model"].r2 > 0.9
+
+
+def test_any_number_of_procedure_texts(spark, cases):
+    """More texts than a tree has bins, some of them only in the test part."""
+    rows = models.model_rows(cases, "actual_inor_min", (0, 600)).crossJoin(spark.range(8).withColumnRenamed("id", "again"))
+    many = rows.withColumn("procedure_text_id", F.concat("case_id", F.lit("-"), "again"))
+    assert many.select("procedure_text_id").distinct().count() > 5000
+    train, test = models.temporal_split(many, "2024-01-21")
+    got = models.inor_regression(train, test, trees=2, depth=3).collect()
+    assert {r.model for r in got} == {"forest", "planned slot"} and all(r.n > 0 for r in got)
+
+
+def test_models_without_flags_read_few_columns(cases):
+    names = models.model_rows(cases).columns
+    assert not [c for c in names if c.startswith(("staff_", "resource_")) and not c.endswith("_count")]
+    assert [c for c in models.model_rows(cases, flags=True).columns if c.startswith("resource_") and c != "resource_count"]
+
+
+def test_day_with_unseen_first_procedure_is_no_candidate(spark):
+    rows = [("R1", "2024-01-22", 1, "seen", 0), ("R1", "2024-01-22", 2, "new", -1),
+            ("R2", "2024-01-22", 1, "new", -1), ("R2", "2024-01-22", 2, "seen", 0)]
+    days = spark.createDataFrame(rows, "or_room string, day string, position long, procedure_name string, procedure_code long").selectExpr(
+        "or_room", "CAST(day AS DATE) AS date", "position", "procedure_name", "procedure_code", "position AS row_seq",
+        "timestamp_ntz'2024-01-22 08:00:00' + make_dt_interval(0, CAST(position AS INT)) AS ts_patient_in_or_planned",
+        "20 * position AS start_delay_min", "20 AS prep_gap_min", "0 AS planned_prep_min", "20 AS actual_prep_min", "18.0D AS predicted_prep")
+    find = lambda rows: {r.or_room for r in replay.cascade_day_candidates(rows, max_corrected=100).collect()}
+    assert find(days) == {"R1"}
+    assert find(days.drop("procedure_code")) == {"R1", "R2"}
+    one = replay.corrected_day(days, "R1", "2024-01-22")
+    assert [r.corrected_delay for r in one.orderBy("position").collect()] == [2.0, 4.0]
+
+
+def test_whatif_has_no_window_over_a_key(spark):
+    """Stamps in seconds, nearly all cases in one lookup key: nothing is exchanged by that key alone but its sums."""
+    from slotwise.plans import whatif
+
+    cases = spark.range(20_000).selectExpr(
+        "if(id % 50 = 0, 'B', 'A') AS specialty", "DATE'2024-01-01' AS date", "id AS row_seq", "CAST(id AS STRING) AS case_id",
+        "timestamp_ntz'2024-01-01 08:00:00' AS ts_or_prep_planned_start",
+        "timestamp_ntz'2024-01-01 08:00:00' AS ts_patient_in_or_planned",
+        "timestampadd(SECOND, CAST(id % 7001 AS INT), timestamp_ntz'2024-01-01 08:00:00') AS ts_patient_in_or",
+        "timestamp_ntz'2024-01-01 08:05:00' AS ts_anesthesia_start",
+        "timestampadd(SECOND, CAST(id % 7001 + id % 997 AS INT), timestamp_ntz'2024-01-01 08:00:00') AS ts_procedure_start")
+    report = whatif.whatif_start_delay(cases)
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "hashpartitioning(specialty" not in plan
+    row = report.first()
+    prep = {k: [i % 997 / 60 for i in range(20_000) if (i % 50 == 0) == (k == "B")] for k in "AB"}
+    mean = {k: sum(v) / len(v) for k, v in prep.items()}
+    after = [i % 7001 / 60 - mean["B" if i % 50 == 0 else "A"] for i in range(20_000)]
+    assert row.n == 20_000 and row.mean_after == pytest.approx(sum(after) / 20_000)
