@@ -161,10 +161,12 @@ def repeated_spans(docs: DataFrame, length: int = 200, shard_bytes: int = 1 << 1
        one shard; digests of their windows are counted across all tasks instead.
     """
     spark = docs.sparkSession
-    seen = _context_rows(docs, length).groupBy("anchor").agg(
+    every = stored(_context_rows(docs, length), "contexts", "zstd")
+    seen = every.groupBy("anchor").agg(
         F.count("*").alias("c"), F.min("digest").alias("low"), F.max("digest").alias("high")).filter("c > 1")
-    again = seen.select(F.col("anchor").alias("_anchor"), (F.col("low") != F.col("high")).alias("mixed"))
-    rows = stored(_context_rows(docs, length).join(again, F.col("anchor") == F.col("_anchor")).drop("_anchor"), "contexts", "zstd")
+    # Written, so that the join has exchanges of its own and can split a frequent anchor.
+    again = stored(seen.select(F.col("anchor").alias("_anchor"), (F.col("low") != F.col("high")).alias("mixed")), "anchors", "zstd")
+    rows = stored(every.join(again, F.col("anchor") == F.col("_anchor")).drop("_anchor"), "repeated-contexts", "zstd")
 
     place = F.struct("doc_id", "text_hash", "first", "size")
     kinds = stored(rows.filter("mixed").groupBy("anchor", "digest").agg(F.count("*").alias("c"), F.min(place).alias("p")), "kinds", "zstd")
@@ -177,10 +179,16 @@ def repeated_spans(docs: DataFrame, length: int = 200, shard_bytes: int = 1 << 1
     def cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
+            out, held = [], 0
             for packed, places in zip(batch["packed"], batch["places"]):
                 data = unpack.decompress(packed)
-                yield pd.DataFrame([(p["anchor"], p["digest"], p["hot"], data[p["first"]:p["first"] + p["size"]]) for p in places],
-                                   columns=["anchor", "digest", "hot", "data"])
+                for p in places:
+                    out.append((p["anchor"], p["digest"], p["hot"], data[p["first"]:p["first"] + p["size"]]))
+                    held += p["size"]
+                if held > 16 << 20:
+                    yield pd.DataFrame(out, columns=["anchor", "digest", "hot", "data"])
+                    out, held = [], 0
+            yield pd.DataFrame(out, columns=["anchor", "digest", "hot", "data"])
 
     # Repeated rows are one document here; what they share is repeated as a whole already.
     once = _join_documents(_packed(docs), wanted, "inner").dropDuplicates(_DOC).select("packed", "places")
