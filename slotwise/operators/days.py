@@ -16,12 +16,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotwise.session import cut
+from slotwise.session import cut, sized
 
 DAY = ("or_room", "date")
 
 # A day with more rows than this is split. One task sorts this many rows easily.
 HOT_ROWS = 1_000_000
+# Split days together get at most this many slices; a larger log gets larger slices.
+MOST_SLICES = 10_000
 
 
 def hot_days(df: DataFrame, keys: Sequence[str] = DAY, rows: int = HOT_ROWS) -> DataFrame | None:
@@ -30,7 +32,7 @@ def hot_days(df: DataFrame, keys: Sequence[str] = DAY, rows: int = HOT_ROWS) ->
     Give the raw log: no later filter makes a group larger, and its total comes from
     file footers, so a log too small to have such a group is not read. A count per
     group is reduced before the shuffle. The answer has at most ``total / rows``
-    rows, which bounds its broadcast.
+    rows; it is broadcast only after a count.
     """
     if df.count() <= rows:
         return None
@@ -66,11 +68,10 @@ def sequence_days(
 
     df = cut(df)  # both parts below read it
     same_day = [df[k].eqNullSafe(hot[k]) for k in keys]
-    # hot_days bounds this side; see there.
-    marked = F.broadcast(hot)
+    marked = sized(hot)
     calm = df.join(marked, same_day, "left_anti")
     busy = df.join(marked, same_day, "left_semi")
-    slices = max(2, math.ceil(hot.agg(F.sum("_rows")).first()[0] / slice_rows))
+    slices = max(2, min(MOST_SLICES, math.ceil(hot.agg(F.sum("_rows")).first()[0] / slice_rows)))
     return _plain(calm, order, tie, keys, position, size, previous, running).unionByName(
         _sliced(busy, order, tie, keys, position, size, previous, running, slices)
     )
@@ -149,7 +150,7 @@ def _sliced(df, order, tie, keys, position, size, previous, running, slices) ->
     # One row per (day, slice): at most `slices` + number of split days.
     carry = carry.withColumnsRenamed({k: f"_key_{k}" for k in keys}).withColumnRenamed("_slice", "_s")
     same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
-    joined = local.join(F.broadcast(carry), [*same, F.col("_slice") == F.col("_s")], "inner")
+    joined = local.join(sized(carry), [*same, F.col("_slice") == F.col("_s")], "inner")
 
     out = {}
     if position:

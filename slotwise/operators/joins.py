@@ -7,13 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.session import cut
+from slotwise.session import BROADCAST_ROWS, sized
 
 from .days import number_rows
 
-# A lookup of at most this many rows is broadcast, some tens of megabytes.
-BROADCAST_ROWS = 200_000
-
 
 def attach(
     df: DataFrame,
@@ -29,10 +26,7 @@ def attach(
     where adaptive execution splits the keys that hold many cases. A null key
     never matches.
     """
-    lookup = cut(lookup)
-    if lookup.count() <= broadcast_rows:
-        lookup = F.broadcast(lookup)
-    return df.join(lookup, list(on), how)
+    return df.join(sized(lookup, broadcast_rows), list(on), how)
 
 
 def keep_matching(

@@ -269,8 +269,11 @@ def day_timeline(cases: DataFrame) -> DataFrame:
     return cases.select(*kept, F.inline(bars)).where(F.col("end_min") > F.col("start_min"))
 
 
-def waiting_impact(valid: DataFrame) -> DataFrame:
-    """Waiting caused by late starts, and what a right prep allocation would take off."""
+def waiting_impact(valid: DataFrame, working_days: int = 500) -> DataFrame:
+    """Waiting caused by late starts, and what a right prep allocation would take off.
+
+    ``working_days`` is what the log spans; the default is two years of 250.
+    """
     delay = F.col("start_delay_min")
     totals = valid.agg(
         F.count(delay).alias("n_cases"),
@@ -286,8 +289,7 @@ def waiting_impact(valid: DataFrame) -> DataFrame:
     return totals.withColumns({
         "corrected_mean_delay": F.col("mean_delay") - F.col("mean_prep_gap"),
         "correctable_hours": hours,
-        # Two years of 250 working days.
-        "correctable_hours_per_day": hours / 2.0 / 250.0,
+        "correctable_hours_per_day": hours / float(working_days),
     })
 
 

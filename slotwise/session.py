@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "slotwise", master: str | None = None, **conf: str) -> SparkSession:
@@ -26,6 +27,16 @@ def build_session(app: str = "slotwise", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+# A lookup of at most this many rows is broadcast, some tens of megabytes.
+BROADCAST_ROWS = 200_000
+
+
+def sized(df: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` written once and counted; marked for broadcast only if it is small."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= broadcast_rows else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the reliable checkpoint folder and read it from there.
 
