@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotwise.llm.common import stored
@@ -68,7 +68,7 @@ def shingle_sets(texts: list[bytes], words: int = 5) -> list[np.ndarray]:
     return out
 
 
-def _text_parts(texts: list[bytes], most: int = 1 << 20) -> Iterator[list[bytes]]:
+def _text_parts(texts: Iterable[bytes], most: int = 1 << 20) -> Iterator[list[bytes]]:
     part, size = [], 0
     for t in texts:
         part.append(t)
@@ -90,21 +90,19 @@ def _bands() -> list[int]:
 _BOUNDS = np.array(_bands(), dtype=np.int64)
 
 
-def block_values(shingles: np.ndarray) -> list[tuple[np.ndarray, int]]:
-    """(values of the blocks that go to the join, spare blocks + 1), for one or two size bands.
+def block_values(shingles: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, bool]]:
+    """(size band, values of its blocks, whether each is weak, whether they are too few), for one or two bands.
 
     A shingle flips the bits of its hash in one block of the band's sketch, so
-    texts whose sets differ in d shingles differ in at most d blocks. At a
-    Jaccard similarity of 0.8, sizes a <= b <= 1.25 a give d <= (a + b) / 9 <=
-    a / 4: with more than a / 4 of its blocks in the join, a text shares one with
-    every partner. Blocks of two or more shingles go first, as chance agrees on
-    them least; only texts that have too few of them add blocks of one, then
-    empty ones. Both texts of a pair add them if neither has enough.
+    texts whose sets differ in d shingles differ in at most d blocks. Blocks of a
+    single shingle are weak: chance agrees on them more often. A text with fewer
+    filled blocks than ``needed`` adds the empty ones and has to use all; of a pair
+    with two such texts both do.
     """
     n = len(shingles)
     own, reach = (int(np.searchsorted(_BOUNDS, x, "right")) for x in (n, n * 5 // 4))
     out = []
-    for band in {own, reach}:
+    for band in sorted({own, reach}):
         blocks = int(int(_BOUNDS[band]) / _PER_BLOCK) + 2
         block = ((shingles >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)  # rises with the sorted hashes
         start = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
@@ -112,19 +110,27 @@ def block_values(shingles: np.ndarray) -> list[tuple[np.ndarray, int]]:
         with np.errstate(over="ignore"):
             parity = np.bitwise_xor.reduceat(shingles, start)
             values = _mixed(parity ^ _mixed((block[start] * np.uint64(64) + np.uint64(band)) * _C3 + np.minimum(size, 3).astype(np.uint64)))
-            need = n // 4 + 1
-            strong = size >= 2
-            spare = int(strong.sum()) - need
-            if spare >= 0:
-                out.append((values[strong], min(spare + 1, 255)))
-            elif len(start) >= need:
-                out.append((values, 0))
-            else:
+            weak = size < 2
+            few = len(values) < needed(n)
+            if few:
                 empty = np.setdiff1d(np.arange(blocks, dtype=np.uint64), block)
-                out.append((np.concatenate([values, _mixed((empty * np.uint64(64) + np.uint64(band)) * _C3)]), 0))
+                values = np.concatenate([values, _mixed((empty * np.uint64(64) + np.uint64(band)) * _C3)])
+                weak = np.concatenate([weak, np.ones(len(empty), bool)])
+        out.append((band, values, weak, few))
     return out
 
 
+def needed(n: int) -> int:
+    """Blocks that a text of n shingles takes to the join.
+
+    At a Jaccard similarity of 0.8, sizes a <= b <= 1.25 a differ in d <= (a + b)
+    / 9 <= a / 4 shingles. Put the block values of all texts in any one order. Of
+    the values of either text that stand before the first one they share, each is
+    from a block in which they differ; so the first n / 4 + 1 values of both hold it.
+    """
+    return n // 4 + 1
+
+
 def sketch(shingles: np.ndarray) -> bytes:
     """Parity bits: every shingle flips one. At least four bits a shingle, a power of two of them."""
     bits = 1 << max(8, int(4 * len(shingles) - 1).bit_length())
@@ -149,21 +155,26 @@ def _node(shingles: np.ndarray) -> int:
         return int(_mixed(np.array([a ^ (np.uint64(len(shingles)) * _C3)]))[0].astype(np.int64))
 
 
-_SENT = "part long, kind int, keys binary, nodes binary, spare binary"
-_MET = "kind int, g1 long, g2 long, members array<long>, node long, spare int, doc_id long, text_hash long, n int"
+_SENT = "part long, kind int, keys binary, nodes binary, marks binary"
+_MET = ("kind int, g1 long, g2 long, members array<long>, node long, mark int, doc_id long, text_hash long, n int, "
+        "band1 int, strong1 int, weak1 int, band2 int, strong2 int, weak2 int")
+#: A value's mark: its band times two, and one more if it is weak; and that of a stand-in for a frequent value.
+_STAND_IN = 255
+#: Taken from what a text has where it has to use all its values.
+_ALL = 10**9
 
 
-def _send(docs: DataFrame, parts: int, frequent: int, flush: int = 3_000_000) -> DataFrame:
+def _send(docs: DataFrame, parts: int, frequent: int, words: int, flush: int = 800_000) -> DataFrame:
     """Block values dealt into parts, in a few long rows a task instead of a row a value."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         values: list[np.ndarray] = []
         nodes: list[np.ndarray] = []
-        spares: list[np.ndarray] = []
+        marks: list[np.ndarray] = []
         held = 0
 
         def rows() -> pd.DataFrame:
-            """Sorted by value, each text once; a value frequent in this task alone goes out as such, with a marker."""
-            v, o, s = np.concatenate(values), np.concatenate(nodes), np.concatenate(spares)
+            """Sorted by value, each text once; a value frequent in this task alone goes out as such, with a stand-in."""
+            v, o, s = np.concatenate(values), np.concatenate(nodes), np.concatenate(marks)
             by = np.lexsort((o, v))
             v, o, s = v[by], o[by], s[by]
             new = np.ones(len(v), bool)
@@ -178,7 +189,7 @@ def _send(docs: DataFrame, parts: int, frequent: int, flush: int = 3_000_000) ->
                 out.append((int(v[0] % np.uint64(parts)), 1, name.tobytes(), o[often].tobytes(), s[often].tobytes()))
                 stay = ~often
                 stay[start[size > frequent]] = True
-                s = np.where(often, 255, s).astype(np.uint8)
+                s = np.where(often, _STAND_IN, s).astype(np.uint8)
                 o = np.where(often, 0, o)
                 v, o, s = v[stay], o[stay], s[stay]
             part = (v % np.uint64(parts)).astype(np.int64)
@@ -188,27 +199,31 @@ def _send(docs: DataFrame, parts: int, frequent: int, flush: int = 3_000_000) ->
             short = (v // np.uint64(parts)).astype(np.uint32)  # a part needs no more to tell its values apart
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
                 out.append((int(part[a]), 0, short[a:b].tobytes(), o[a:b].tobytes(), s[a:b].tobytes()))
-            return pd.DataFrame(out, columns=["part", "kind", "keys", "nodes", "spare"])
+            return pd.DataFrame(out, columns=["part", "kind", "keys", "nodes", "marks"])
 
         for batch in batches:
-            texts = [("" if t is None else t).encode("utf-8", "surrogatepass") for t in batch["text"]]
-            sets = [s for part in _text_parts(texts) for s in shingle_sets(part)]
-            own = np.array([_node(s) for s in sets], np.int64)
-            known = np.array([0 if i is None else int(i) for i in batch["doc_id"]], np.int64)
-            facts = np.stack([known, np.asarray(batch["text_hash"], np.int64), own,
-                              np.array([len(s) for s in sets], np.int64), np.array([i is None for i in batch["doc_id"]], np.int64)])
-            at = int(abs(int(own[0])) % parts) if len(own) else 0
-            yield pd.DataFrame({"part": [at], "kind": [2], "keys": [b""], "nodes": [facts.tobytes()], "spare": [b""]})
-            for s, node in zip(sets, own):
-                if len(s):
-                    for v, spare in block_values(s):
+            facts = np.full((11, len(batch)), -1, np.int64)
+            facts[0] = [0 if i is None else int(i) for i in batch["doc_id"]]
+            facts[1] = batch["text_hash"]
+            facts[4] = [i is None for i in batch["doc_id"]]
+            texts = (("" if t is None else t).encode("utf-8", "surrogatepass") for t in batch["text"])
+            i = -1
+            for part in _text_parts(texts):  # so that few sets are held at a time
+                for found in shingle_sets(part, words):
+                    i += 1
+                    node = _node(found)
+                    facts[2, i], facts[3, i] = node, len(found)
+                    for k, (band, v, weak, few) in enumerate(block_values(found) if len(found) else []):
                         values.append(v)
                         nodes.append(np.full(len(v), node))
-                        spares.append(np.full(len(v), spare, np.uint8))
+                        marks.append((band * 2 + weak).astype(np.uint8))
+                        facts[5 + 3 * k:8 + 3 * k, i] = band, len(v) - weak.sum(), -_ALL if few else weak.sum()
                         held += len(v)
-            if held >= flush:
-                yield rows()
-                values, nodes, spares, held = [], [], [], 0
+                if held >= flush:
+                    yield rows()
+                    values, nodes, marks, held = [], [], [], 0
+            at = int(abs(int(facts[2, 0])) % parts) if len(batch) else 0
+            yield pd.DataFrame({"part": [at], "kind": [2], "keys": [b""], "nodes": [facts.tobytes()], "marks": [b""]})
         if held:
             yield rows()
 
@@ -223,24 +238,25 @@ def _frame(rows: int, /, **columns: object) -> pd.DataFrame:
 
 
 def _meet(sent: DataFrame, most: int) -> DataFrame:
-    """Kind 0: groups of texts that share a block value; 1: texts of frequent values; 2: the documents."""
+    """Kind 0: groups of texts that share a value; 1: texts of frequent values; 2: the documents; 3: texts that share a weak value."""
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for facts in rows.loc[rows["kind"] == 2, "nodes"]:
-            doc, text_hash, node, n, null = np.frombuffer(facts, np.int64).reshape(5, -1)
+            doc, text_hash, node, n, null, *counts = np.frombuffer(facts, np.int64).reshape(11, -1)
             ids = pd.array(doc, "Int64")
             ids[null.astype(bool)] = pd.NA
-            out.append(_frame(len(n), kind=np.full(len(n), 2), doc_id=ids, text_hash=text_hash, node=node, n=n))
+            out.append(_frame(len(n), kind=np.full(len(n), 2), doc_id=ids, text_hash=text_hash, node=node, n=n, **dict(zip(
+                ("band1", "strong1", "weak1", "band2", "strong2", "weak2"), counts))))
         often = rows[rows["kind"] == 1]
-        for keys, nodes, spare in zip(often["keys"], often["nodes"], often["spare"]):
-            n = len(spare)
+        for keys, nodes, marks in zip(often["keys"], often["nodes"], often["marks"]):
+            n = len(marks)
             out.append(_frame(n, kind=np.ones(n, np.int64), g1=np.frombuffer(keys, np.int64),
-                              node=np.frombuffer(nodes, np.int64), spare=np.frombuffer(spare, np.uint8)))
+                              node=np.frombuffer(nodes, np.int64), mark=np.frombuffer(marks, np.uint8)))
         plain = rows[rows["kind"] == 0]
         if len(plain):
             v = np.frombuffer(b"".join(plain["keys"]), np.uint32)
             o = np.frombuffer(b"".join(plain["nodes"]), np.int64)
-            s = np.frombuffer(b"".join(plain["spare"]), np.uint8)
+            s = np.frombuffer(b"".join(plain["marks"]), np.uint8)
             by = np.argsort(v, kind="stable")
             v, o, s = v[by], o[by], s[by]
             start = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
@@ -254,17 +270,19 @@ def _meet(sent: DataFrame, most: int) -> DataFrame:
             if len(v):
                 start = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
                 size = np.diff(np.append(start, len(v)))
-                marked = np.add.reduceat((o == 0) & (s == 255), start) > 0
-                frequent = marked | (size > most)
-                rest = np.repeat(frequent, size) & ~((o == 0) & (s == 255))
-                whole = v[rest].astype(np.uint64) * np.uint64(int(key[1])) + np.uint64(int(key[0]))
-                n = len(whole)
-                out.append(_frame(n, kind=np.ones(n, np.int64), g1=whole.view(np.int64), node=o[rest], spare=s[rest]))
+                stand_in = (o == 0) & (s == _STAND_IN)
+                frequent = (np.add.reduceat(stand_in, start) > 0) | (size > most)
+                weak = ~frequent & (s[start] % 2 == 1) & (size > 1)
+                whole = v.astype(np.uint64) * np.uint64(int(key[1])) + np.uint64(int(key[0]))
+                for kind, which in ((1, frequent), (3, weak)):
+                    rest = np.repeat(which, size) & ~stand_in
+                    n = int(rest.sum())
+                    out.append(_frame(n, kind=np.full(n, kind), g1=whole[rest].view(np.int64), node=o[rest], mark=s[rest]))
                 with np.errstate(over="ignore"):
                     m = _mixed(o.view(np.uint64))
                     g1 = np.add.reduceat(m, start).view(np.int64)
                     g2 = np.bitwise_xor.reduceat(_mixed(m + _C3), start).view(np.int64)
-                take = np.flatnonzero(~frequent & (size > 1))
+                take = np.flatnonzero(~frequent & ~weak & (size > 1))
                 take = take[np.unique(np.stack([g1[take], g2[take]]), axis=1, return_index=True)[1]] if len(take) else take
                 n = len(take)
                 out.append(_frame(n, kind=np.zeros(n, np.int64), g1=g1[take], g2=g2[take],
@@ -274,6 +292,34 @@ def _meet(sent: DataFrame, most: int) -> DataFrame:
     return sent.groupBy("part", "parts").applyInPandas(run, _MET)
 
 
+def _grouped(met: DataFrame) -> DataFrame:
+    """(g1, g2, u, v, w): members v of every group, and the member u of most rows, w."""
+    each = met.filter("kind = 2").select("node", "n", F.explode(F.array(
+        *[F.struct(*[F.col(f"{c}{k}").alias(c) for c in ("band", "strong", "weak")]) for k in (1, 2)])).alias("b"))
+    each = each.filter("b.band >= 0").select("node", "b.band", F.expr("n div 4 + 1").alias("need"), "b.strong", "b.weak").distinct()
+    shared = met.filter("kind in (1, 3)").select(
+        "kind", "g1", "node", F.shiftright("mark", 1).alias("band"), (F.col("mark") % 2).alias("low")).distinct()
+    often = shared.filter("kind = 1")
+    lost = often.groupBy("node", "band").agg(F.sum(1 - F.col("low")).alias("ls"), F.sum("low").alias("lw"))
+    left = each.join(lost, ["node", "band"], "left").na.fill(0, ["ls", "lw"])
+    # Texts whose values at most ``frequent`` texts share, strong ones, do not suffice; and how many frequent ones they need.
+    unsure = stored(left.filter("strong - ls < need").select(
+        "node", "band", F.expr("need - (strong - ls) - (weak - lw)").alias("want")), "unsure")
+    number = often.groupBy("g1").agg(F.count("*").alias("c"))
+    rank = F.row_number().over(Window.partitionBy("node", "band").orderBy("c", "g1"))  # a text's own values
+    used = often.join(unsure.filter("want > 0"), ["node", "band"]).join(number, "g1").withColumn("rank", rank).filter("rank <= want")
+    weak = shared.filter("kind = 3").join(unsure, ["node", "band"])
+    groups = met.filter("kind = 0").select("g1", "g2", "members").dropDuplicates(["g1", "g2"])
+    zero = F.lit(0).cast("long").alias("g2")
+    rows = stored(groups.select("g1", "g2", F.explode("members").alias("v")).unionByName(
+        used.select("g1", zero, F.col("node").alias("v"))).unionByName(
+        weak.select("g1", zero, F.col("node").alias("v"))), "met-rows", "zstd")
+    weight = rows.groupBy("v").agg(F.count("*").alias("w"))
+    hubs = stored(rows.join(weight, "v").groupBy("g1", "g2").agg(
+        F.max(F.struct("w", "v")).alias("m"), F.count("*").alias("k")).filter("k > 1").select("g1", "g2", "m.w", F.col("m.v").alias("u")), "hubs")
+    return stored(rows.join(hubs, ["g1", "g2"]), "stars-of-groups", "zstd")
+
+
 class _Texts:
     """Texts of the nodes in question, for checking pairs."""
 
@@ -335,23 +381,25 @@ class _Texts:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, parts: int | None = None,
-                    frequent: int = 64) -> DataFrame:
+                    frequent: int = 16) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, text_hash.
 
     Texts link at a Jaccard similarity of at least ``percent`` (80 or more); the
     component is named by the smallest doc_id that links reach.
 
-    1. Every text sends its block values (``block_values``) of its size band to
-       parts dealt by value; texts with equal sets are one node.
-    2. Texts that share a value form a group. Values of more than
-       ``frequent`` texts are set apart: only texts that have too few other blocks to be sure of meeting
-       every partner use them, so a passage of many texts brings no candidates.
-    3. In a group only pairs with its least node are checked: by size, by sketch
-       (the bits that differ are no more than the differing shingles), and what
-       is left over whole sets.
-       Where such a check fails, and the nodes stay in different components,
-       the group's pairs across components are checked too. Nothing that could
-       link is left out, and a group of copies costs its size, not its square.
+    1. Every text sends the values of its sketch's blocks (``block_values``) in its
+       size band to parts dealt by value; texts with equal sets are one node.
+    2. Texts that share a value form a group. Values are in one order: first those
+       of at most ``frequent`` texts, strong ones before weak, then the others by
+       their number of texts. Of this order a text uses no more than the first
+       values that it needs to be sure of every partner (``needed``), so a passage
+       of many texts brings candidates only where a text has little else.
+    3. In a group pairs with the node that shares most values are checked: by
+       size, by sketch (the bits that differ are no more than the shingles that
+       do), and what is left over whole sets. Where such a check fails, and the
+       nodes stay in different components, the group's pairs across components
+       are checked too. Nothing that could link is left out, and a group of
+       copies of one text costs its size, not its square.
 
     Null and empty texts have no shingles and are their own component. Rows that
     repeat a doc_id and text share a result; a null doc_id is named by the
@@ -361,19 +409,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, parts: i
         raise ValueError("the sketches are laid out for similarities of 80 percent and more")
     spark = docs.sparkSession
     parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = stored(_meet(_send(docs, parts, frequent).withColumn("parts", F.lit(parts).cast("long")), frequent), "met", "zstd")
+    met = stored(_meet(_send(docs, parts, frequent, words).withColumn("parts", F.lit(parts).cast("long")), frequent), "met", "zstd")
     facts = met.filter("kind = 2").select("doc_id", "text_hash", "node", "n")
-    groups = met.filter("kind = 0").select("g1", "g2", "members").dropDuplicates(["g1", "g2"])
-    often = met.filter("kind = 1").select("g1", "node", "spare").distinct()
-    unsure = often.groupBy("node").agg(F.count("*").alias("c"), F.min("spare").alias("s")).filter("c >= s").select("node")
-    often = stored(often.join(unsure, "node").select("g1", "node").distinct(), "frequent")
-    least = often.groupBy("g1").agg(F.min("node").alias("u"), F.count("*").alias("k")).filter("k > 1").select("g1", "u")
-    rows = stored(groups.select("g1", "g2", F.array_min("members").alias("u"), F.explode("members").alias("v")).unionByName(
-        often.join(least, "g1").select("g1", F.lit(None).cast("long").alias("g2"), "u", F.col("node").alias("v"))), "met-rows", "zstd")
+    rows = _grouped(met)
     texts = _Texts(docs, rows.select(F.col("v").alias("node")).distinct(), facts, words)
 
-    stars = stored(rows.filter("u <> v").select("u", "v").distinct(), "stars")
-    first = stars.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
+    stars = stored(rows.filter("u <> v").groupBy("u", "v").agg(F.max("w").alias("w")), "stars")
+    first = stars.groupBy("v").agg(F.max(F.struct("w", "u")).alias("m")).select("m.u", "v")
+    stars = stars.select("u", "v")
     links = texts.linked(first, words, percent)
     labels = stored(components(links), "labels")
     more = _apart(stars.join(first, ["u", "v"], "left_anti"), labels).select("u", "v")
@@ -387,11 +430,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, parts: i
         sizes.select(F.col("node").alias("x"), F.col("n").alias("nx")), "x")
     touched = far.select(*group).distinct().withColumnsRenamed({"g1": "t1", "g2": "t2"})
     mates = _labelled(rows.filter("u <> v").join(
-        touched, (F.col("g1") == F.col("t1")) & F.col("g2").eqNullSafe(F.col("t2")), "left_semi").select(*group, "v"), labels, "v")
+        touched, (F.col("g1") == F.col("t1")) & (F.col("g2") == F.col("t2")), "left_semi").select(*group, "v"), labels, "v")
     mates = mates.withColumnsRenamed({"g1": "m1", "g2": "m2"}).join(sizes.select(F.col("node").alias("v"), F.col("n").alias("nv")), "v")
-    across = far.join(mates, (F.col("g1") == F.col("m1")) & F.col("g2").eqNullSafe(F.col("m2")) & (F.col("lx") != F.col("lv")) & (
+    across = far.join(mates, (F.col("g1") == F.col("m1")) & (F.col("g2") == F.col("m2")) & (F.col("lx") != F.col("lv")) & (
         100 * F.least("nx", "nv") >= percent * F.greatest("nx", "nv")))
-    again = across.select(F.least("x", "v").alias("u"), F.greatest("x", "v").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
+    again = across.select(F.least("x", "v").alias("u"), F.greatest("x", "v").alias("v")).distinct().join(
+        stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
     again = stored(again, "again")
     if again.limit(1).count():
         links = links.unionByName(texts.linked(again, words, percent))

@@ -39,7 +39,7 @@ def brute(rows):
     return sorted(((d, len(s), min(ids[top(i)], default=None) if s else d) for i, ((d, _), s) in enumerate(zip(rows, sets))), key=repr)
 
 
-@pytest.mark.parametrize("frequent", [64, 4])
+@pytest.mark.parametrize("frequent", [64, 3])
 def test_components_are_those_of_all_pairs(edge_docs, edge_rows, frequent):
     got = [tuple(r)[:3] for r in jaccard.near_duplicates(edge_docs, frequent=frequent, parts=7).collect()]
     assert sorted(got, key=repr) == brute(edge_rows)
@@ -60,19 +60,33 @@ def test_nothing_of_nothing(no_docs):
     assert jaccard.one_of_each(no_docs).count() == 0
 
 
-def test_blocks_leave_no_partner_out():
-    """Sets at the very bound of 0.8 share a block value that goes to the join."""
+def test_the_first_needed_values_meet():
+    """Sets at the very bound of 0.8 share one of the first values they take, in any order of the values."""
     turn = np.random.default_rng(3)
     for n in [*range(1, 60), 81, 100, 243, 300, 729, 900]:
         for _ in range(20):
-            a = np.unique(turn.integers(0, 2**63, n, dtype=np.uint64))
+            a = np.unique(turn.integers(0, 2**64, n, dtype=np.uint64))
             d = len(a) // 4
             cut = turn.integers(0, d + 1) if d else 0
-            b = np.unique(np.concatenate([turn.permutation(a)[cut:], turn.integers(0, 2**63, d - cut, dtype=np.uint64)]))
+            b = np.unique(np.concatenate([turn.permutation(a)[cut:], turn.integers(0, 2**64, d - cut, dtype=np.uint64)]))
             both = len(np.intersect1d(a, b))
-            if len(b) and 100 * both >= 80 * (len(a) + len(b) - both):
-                x, y = (set(np.concatenate([v for v, _ in jaccard.block_values(s)]).tolist()) for s in (a, b))
-                assert x & y, (len(a), len(b), both)
+            if not len(b) or 100 * both < 80 * (len(a) + len(b) - both):
+                continue
+            x, y = ({band: (v.tolist(), few) for band, v, _, few in jaccard.block_values(s)} for s in (a, b))
+            salt = int(turn.integers(1, 2**60))
+            order = lambda v: (v * 0x9E3779B97F4A7C15 ^ salt) % 2**64
+            first = lambda v, s: set(v[0] if v[1] else sorted(v[0], key=order)[:jaccard.needed(len(s))])
+            assert any(first(x[k], a) & first(y[k], b) for k in x.keys() & y.keys()), (len(a), len(b), both)
+
+
+def test_sketches_differ_in_no_more_bits_than_sets():
+    turn = np.random.default_rng(4)
+    for n in (1, 5, 63, 64, 65, 300, 2000):
+        a = np.unique(turn.integers(0, 2**64, n, dtype=np.uint64))
+        for m in (0, 1, n // 5, n):
+            b = np.unique(np.concatenate([a[m:], turn.integers(0, 2**63, m + 1, dtype=np.uint64)]))
+            assert jaccard.differing_bits(jaccard.sketch(a), jaccard.sketch(b)) <= len(np.setxor1d(a, b))
+        assert jaccard.differing_bits(jaccard.sketch(a), jaccard.sketch(a)) == 0
 
 
 def test_labels_are_the_least_nodes(spark):
