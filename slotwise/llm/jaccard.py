@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import stored
+from slotwise.llm.common import fresh, stored
 from slotwise.llm.components import components
 
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -382,7 +382,7 @@ class _Texts:
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, parts: int | None = None,
                     frequent: int = 16) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id, text_hash.
+    """Per row of ``docs``: doc_id, n_shingles, component_id, text_hash, label.
 
     Texts link at a Jaccard similarity of at least ``percent`` (80 or more); the
     component is named by the smallest doc_id that links reach.
@@ -403,7 +403,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, parts: i
 
     Null and empty texts have no shingles and are their own component. Rows that
     repeat a doc_id and text share a result; a null doc_id is named by the
-    smallest other id of its component, or null.
+    smallest other id of its component, or null. Ids need not tell components
+    apart; label does, but for texts without words, which share one.
     """
     if percent < 80:
         raise ValueError("the sketches are laid out for similarities of 80 percent and more")
@@ -445,7 +446,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, parts: i
     smallest = named.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("smallest"))
     return named.join(smallest, "label", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id"), "text_hash")
+        F.when(F.col("n") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id"), "text_hash", "label")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame, column: str) -> DataFrame:
@@ -460,13 +461,15 @@ def _apart(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, **options: int) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest doc_id.
+    """``docs`` with one row of each component: of the smallest doc_id, a null one only where there is no other.
 
-    Texts without words are kept, and so is one of the rows that repeat an id and text.
+    Texts without words are kept; of rows that repeat an id and text one is.
     """
     judged = near_duplicates(docs.select("doc_id", "text"), **options)
-    keep = judged.filter((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(
-        "component_id", F.when(F.col("n_shingles") == 0, F.col("text_hash")).alias("_own")).agg(
-        F.min(F.struct("doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
+    blank = F.col("n_shingles") == 0
+    keep = judged.groupBy("label", F.when(blank, F.col("doc_id")).alias("_own_id"), F.when(blank, F.col("text_hash")).alias("_own")).agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("k")).select(
+        F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
     kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_id"]) & F.xxhash64(docs["text"]).eqNullSafe(keep["_hash"]), "left_semi")
-    return kept
+    own = fresh(docs, "own_hash")
+    return kept.withColumn(own, F.xxhash64("text")).dropDuplicates(["doc_id", own]).drop(own)

@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash", "label")
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,6 +55,24 @@ def test_one_row_of_each_component_stays(edge_docs, edge_rows):
     assert left.count() - sum(full.values()) == empty
 
 
+def test_components_under_no_id_or_one_id_stay(spark):
+    """Unrelated texts without id, two texts under one id, and rows repeated in id and text."""
+    pick = random.Random(8)
+    text = lambda n=60: " ".join("".join(pick.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    alone = [text() for _ in range(4)]
+    one, other, pair, again = text(), text(), text(), text()
+    rows = [(None, t) for t in alone] + [(None, alone[0] + " more")] + [(7, one), (7, other)]
+    rows += [(None, pair), (9, pair), (8, pair + " more")] + [(10, again)] * 5 + [(None, text(3))] * 3
+    rows += [(20, ""), (21, ""), (None, None), (None, " "), (22, None), (22, None)]
+    left = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), parts=5)
+    got = Counter(tuple(r) for r in left.collect())
+    first = got.keys() & {(None, alone[0]), (None, alone[0] + " more")}
+    assert len(first) == 1
+    want = [(None, t) for t in alone[1:]] + [*first, (7, one), (7, other), (8, pair + " more"), (10, again), rows[-7]]
+    want += [(20, ""), (21, ""), (None, None), (None, " "), (22, None)]
+    assert got == Counter(want)
+
+
 def test_nothing_of_nothing(no_docs):
     assert jaccard.near_duplicates(no_docs).count() == 0
     assert jaccard.one_of_each(no_docs).count() == 0
