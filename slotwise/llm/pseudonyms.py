@@ -7,22 +7,47 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Forms of telephone numbers: international by groups (the first may be in parentheses), international without separators, national.
+_PHONES = (
+    r"\+\d{1,3}[ -](?:\(\d{2,4}\)|\d{2,4})[ -]\d{3,4}[ -]\d{3,4}(?!\w)",
+    r"\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)",
+    r"\+\d{1,3}[ .-](?:\(\d{1,3}\)|\d{1,3})[ .-](?:\d{2}[ .-]\d{2}[ .-]\d{2}(?:[ .-]\d{2})?|\d{3}[ .-]\d{2}[ .-]\d{2}|\d{3,4}[ .-]\d{3,4})(?!\w)",
+    r"\+\d{1,3}[ .-](?:\d{4}[ .-]\d{4}|\d{5}[ .-]\d{5}|\d{2}[ .-]\d{5}[ .-]\d{4}|\d{2,4}[ .-]\d{5,8}|\d{6,12})(?!\w)",
+    r"(?<!\w)\+\d{8,15}(?!\w)",
+    r"(?<!\w)\(\d{2,5}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?![\w-])",
+    r"(?<![\w.-])\d{3}[ .-]\d{3,4}[ .-]\d{4}(?![\w-]|[ .]\d)",
+    r"(?<![\w.-])0\d(?:[ .-]\d{2}){4}(?![\w-]|[ .]\d)",
+)
+#: The part of them that stays: the country code, and the zero of a national number by pairs.
+_PHONE_HEAD = (r"^(?:\+\d{1,3}(?=\D)|\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+               r"|0(?=\d(?:[ .-]\d{2}){4}$))?")
+
 #: Kinds in the order they are tried, each with its pattern.
 PATTERNS = {
     "secret": r"(?i:token|secret|password|passwd|api[_-]?key)\s?[=:]\s?\"?[A-Za-z0-9]{6,}\"?",
     "key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "email": r"(?<![\w.+-])[A-Za-z0-9](?:[\w.+-]{0,62}[\w+-])?@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "ip": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)",
-    "phone": r"\+\d{1,3}[ -](?:\(\d{2,4}\)|\d{2,4})[ -]\d{3,4}[ -]\d{3,4}(?!\w)",
-    "card": r"(?<![\w.-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7})(?![\w-])",
+    "phone": "|".join(_PHONES),
+    "card": r"(?<![\w.-])(?:\d{13,19}|\d{4}([ -])(?:\d{4}\1\d{4}\1\d{1,7}|\d{6}\1\d{4,5}))(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?!\w)",
-    "iso_date": r"(?<![\w.-])\d{4}-\d{2}-\d{2}(?![\w-])",
-    "day_date": r"(?<![\w.-])\d{1,2}\.\d{1,2}\.\d{4}(?!\w|\.\d)",
+    "iso_date": r"(?<![\w.-])\d{4}-\d{2}-\d{2}(?:(?=[Tt]\d{2}:?\d{2})|(?![\w-]))",
+    "day_date": r"(?<![\w.-])\d{1,2}\.\d{1,2}\.\d{4}(?!\w|\.\d)|(?<![\w./])(?:\d{1,2}/\d{1,2}/\d{4}|\d{4}/\d{1,2}/\d{1,2})(?!\w|/|\.\d)",
 }
 # The back reference of "card" counts its own group; it is the only capturing one.
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
+#: Account numbers by length, for those printed in fours: the length tells where the number ends and the next word begins.
+_IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+_PRINTED_IBAN = "|".join(
+    rf"(?:{of.replace(' ', '|')})\d{{2}}(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" [A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+    for n, of in _IBAN_COUNTRIES.items())
+
 #: Days from 1900-01-01 to 2099-12-31: 73,049 = 319 * 229, so two digits of those bases need no walking.
 _DAYS = (319, 229)
 #: Valid areas (1 to 899 without 666), and groups and serials without zero.
@@ -108,17 +133,25 @@ def _ip(m: Column, key: str) -> Column:
     return F.when(F.forall(part, lambda x: x <= 255), new)
 
 
-def _date(m: Column, key: str, pattern: str, out: Column) -> Column:
+def _date(m: Column, key: str, pattern: str, padded: str) -> Column:
+    """``pattern`` reads one or two digits; two-digit days and months are written as ``padded``, others as ``pattern``."""
     day = F.datediff(F.try_to_timestamp(m, F.lit(pattern)).cast("date"), F.lit("1900-01-01").cast("date"))
     def text(p: Column) -> Column:
-        return F.when(out.contains("MM"), F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), p.cast("int")),
-                      "yyyy-MM-dd" if pattern.startswith("yyyy") else "dd.MM.yyyy")).otherwise(
-            F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), p.cast("int")), "d.M.yyyy"))
+        new = F.date_add(F.lit("1900-01-01").cast("date"), p.cast("int"))
+        both = r"^(?:\d\d\D\d\d\D\d{4}|\d{4}\D\d\d\D\d\d)$"
+        return F.when(m.rlike(both), F.date_format(new, padded)).otherwise(F.date_format(new, pattern))
     pair = permute_pair(F.floor(day / _DAYS[1]), day % _DAYS[1], _DAYS, key, "date")
     new = F.element_at(F.transform(F.array(pair["l"] * _DAYS[1] + pair["r"]), text), 1)
     return F.when(day.between(0, _DAYS[0] * _DAYS[1] - 1), new)
 
 
+def _day_date(m: Column, key: str) -> Column:
+    """With points the day comes first; with slashes the month, or the day where it can't be a month."""
+    return F.when(m.contains("."), _date(m, key, "d.M.yyyy", "dd.MM.yyyy")).when(
+        m.rlike(r"^\d{4}"), _date(m, key, "yyyy/M/d", "yyyy/MM/dd")).otherwise(
+        F.coalesce(_date(m, key, "M/d/yyyy", "MM/dd/yyyy"), _date(m, key, "d/M/yyyy", "dd/MM/yyyy")))
+
+
 def _ssn(m: Column, key: str) -> Column:
     area, group, serial = (F.substring(m, a, n).cast("long") for a, n in ((1, 3), (5, 2), (8, 4)))
     left = area - F.when(area > 666, 2).otherwise(1)
@@ -138,11 +171,23 @@ def _mod97(text: Column) -> Column:
 
 
 def _iban(m: Column, key: str) -> Column:
-    country, body = F.substring(m, 1, 2), F.substr(m, F.lit(5))
+    plain = _plain(m)
+    country, body = F.substring(plain, 1, 2), F.substr(plain, F.lit(5))
     def whole(b: Column) -> Column:
-        return F.concat(country, F.lpad((98 - _mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b)
+        return _refilled(m, F.concat(country, F.lpad((98 - _mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b))
     new = F.element_at(F.transform(F.array(permute_text(body, key, "iban")), whole), 1)
-    return F.when(_mod97(F.concat(body, F.substring(m, 1, 4))) == 1, new)
+    return F.when(_valid_iban(m), new)
+
+
+def _valid_iban(m: Column) -> Column:
+    plain = _plain(m)
+    return _mod97(F.concat(F.substr(plain, F.lit(5)), F.substring(plain, 1, 4))) == 1
+
+
+def _printed_ibans(text: Column) -> Column:
+    """The valid account numbers in fours; candidates may overlap, so none that fails hides another."""
+    each = F.regexp_extract_all(text, F.lit(rf"(?<!\w)(?=((?:{_PRINTED_IBAN})(?!\w)))"), F.lit(1))
+    return F.array_distinct(F.filter(each, _valid_iban))
 
 
 def _after(pattern: str, tag: str) -> Callable[[Column, str], Column]:
@@ -164,12 +209,12 @@ _MAKE: dict[str, Callable[[Column, str], Column]] = {
     "key": _after("^AKIA", "key"),
     "email": _email,
     "ip": _ip,
-    "phone": _after(r"^\+\d{1,3}", "phone"),
+    "phone": _after(_PHONE_HEAD, "phone"),
     "card": _card,
     "ssn": _ssn,
     "iban": _iban,
-    "iso_date": lambda m, key: _date(m, key, "yyyy-MM-dd", F.lit("MM")),
-    "day_date": lambda m, key: _date(m, key, "d.M.yyyy", F.when(m.rlike(r"^\d\d\.\d\d\."), "MM").otherwise("M")),
+    "iso_date": lambda m, key: _date(m, key, "yyyy-MM-dd", "yyyy-MM-dd"),
+    "day_date": _day_date,
 }
 
 
@@ -184,23 +229,38 @@ def pseudonymize(docs: DataFrame, key: str = "change-me", id_col: str = "doc_id"
     separators it is written with. Country codes, mail domains and the words
     before a secret are kept. Known keys can undo it.
 
+    Written forms: phones with + by groups of the usual lengths or without
+    separators, with an area in parentheses, as 3-3-4 or 3-4-4 digits, and by
+    pairs after a zero; cards in one piece, in fours or as 4-6-5 and 4-6-4;
+    account numbers in one piece or, of the countries in the registry, in fours;
+    dates as year-month-day, also before a time, day.month.year, month/day/year
+    (day/month/year where the first can't be a month) and year/month/day. Left
+    out: national phones without separators or by other groups, numbers after 00
+    for +, extensions, account numbers with other separators or in small letters,
+    social security numbers without hyphens, IPv6 addresses, dates with the
+    month's name, two-digit years, or no separators, and the times themselves.
+
     A null text stays null and has no finds; an empty one stays empty. Rows are
     independent: repeated rows give repeated results, extra columns are ignored.
     """
-    pattern = F.lit(ANY)
     source = F.col("text")
-    matches = F.when(source.rlike("[0-9@=:]"), F.regexp_extract_all(source, pattern, F.lit(0))).otherwise(
+    printed = F.when(source.rlike(rf"(?<!\w)(?:{_PRINTED_IBAN})(?!\w)"), _printed_ibans(source)).otherwise(F.array().cast("array<string>"))
+    # Only account numbers that are valid enter the search, as they stand; so what merely looks like one hides nothing.
+    more = F.concat(F.lit(r"(?<!\w)(?:"), F.array_join("printed", "|"), F.lit(rf")(?!\w)|{ANY}"))
+    def searched(by: Callable[[Column], Column]) -> Column:
+        return F.when(F.size("printed") > 0, by(more)).otherwise(by(F.lit(ANY)))
+    matches = F.when(source.rlike("[0-9@=:]"), searched(lambda p: F.regexp_extract_all(source, p, F.lit(0)))).otherwise(
         F.array().cast("array<string>"))
     def new(m: Column) -> Column:
         out = None
         for kind, make in _MAKE.items():
-            hit = m.rlike(f"^(?:{_bare(kind)})$")
+            hit = m.rlike(f"^(?:{_bare(kind)}{'|' + _PRINTED_IBAN if kind == 'iban' else ''})$")
             value = F.struct(F.lit(kind).alias("kind"), make(m, key).alias("new"))
             out = F.when(hit, value) if out is None else out.when(hit, value)
         return out
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("matches", matches)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("printed", printed).withColumn("matches", matches)
     rows = rows.withColumn("found", F.transform("matches", new))
-    pieces = F.split(source, ANY, -1)
+    pieces = searched(lambda p: F.split(source, p, -1))
     rebuilt = F.array_join(F.flatten(F.zip_with(
         pieces, F.zip_with("matches", "found", lambda m, f: F.coalesce(f["new"], m)),
         lambda p, m: F.array(p, F.coalesce(m, F.lit(""))))), "")

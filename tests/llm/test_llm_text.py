@@ -236,6 +236,44 @@ def test_values_get_pseudonyms_of_their_shape(spark):
     assert other[0] != got[0].text
 
 
+FORMS = {
+    "phone": ["(212) 555-0187", "212-555-0187", "212.555.0187", "+12125550187", "+33 1 23 45 67 89", "+33123456789", "01 23 45 67 89",
+              "+1(212)555-0187", "+1 212 555 0187", "+44 20 7946 0958", "+49 30 12345678", "+41 44 668 18 00", "+45 12 34 56 78", "010-1234-5678"],
+    "iban": ["DE89 3704 0044 0532 0130 00", "BE68 5390 0754 7034", "DE89370400440532013000"],
+    "card": ["3782 822463 10005", "3782-822463-10005", "378282246310005"],
+    "iso_date": ["2024-03-05"], "day_date": ["03/05/2024", "25/12/2024", "3/5/2024", "2024/03/05", "05.03.2024"]}
+
+
+def test_other_written_forms(spark):
+    flat = [(kind, v) for kind, vs in FORMS.items() for v in vs]
+    more = ["at 2024-03-05T10:00:00Z", "BE68 5390 0754 7034 PAID", "GB12 4111 1111 1111 1111 22", "BE12 4111 1111 1111 1111",
+            "AT12 DE89 3704 0044 0532 0130 00", "DE88 3704 0044 0532 0130 00", "3782 822463 10006", "31/31/2024", "30/02/2024", "1+2 = 3"]
+    docs = spark.createDataFrame([(i, f"a {v}, b ({v}). c") for i, (_, v) in enumerate(flat)]
+                                 + [(100 + i, v) for i, v in enumerate(more)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pseudonyms.pseudonymize(docs, key="k").collect()}
+    new = {}
+    for i, (kind, v) in enumerate(flat):
+        r = got[i]
+        assert (r.n_found, r[f"n_{kind}"]) == (2, 2), (kind, v, r)
+        a, b = re.fullmatch(r"a (.*), b \((.*)\)\. c", r.text).groups()
+        assert a == b != v and (v == "3/5/2024" or shape(a) == shape(v)), (v, a, b)
+        new[v] = a
+    plain = lambda v: re.sub(r"\W", "", new[v])
+    assert plain("(212) 555-0187") == plain("212-555-0187") == plain("+12125550187")[1:] == plain("+1 212 555 0187")[1:]
+    assert plain("+33 1 23 45 67 89") == plain("+33123456789") and plain("01 23 45 67 89")[1:] == plain("+33123456789")[2:]
+    assert plain("DE89 3704 0044 0532 0130 00") == new["DE89370400440532013000"]
+    assert plain("3782 822463 10005") == new["378282246310005"]
+    date = new["2024-03-05"].split("-")
+    assert new["03/05/2024"].split("/") == [date[1], date[2], date[0]] and new["2024/03/05"].split("/") == date
+    assert new["05.03.2024"].split(".") == date[::-1]
+    assert got[100].text == f"at {new['2024-03-05']}T10:00:00Z"
+    assert got[101].text == f"{new['BE68 5390 0754 7034']} PAID"
+    assert (got[102].n_card, got[102].n_iban, got[103].n_card, got[103].n_iban) == (1, 0, 1, 0)
+    assert got[104].text == f"AT12 {new['DE89 3704 0044 0532 0130 00']}"
+    for i in range(5, len(more)):
+        assert (got[100 + i].text, got[100 + i].n_found) == (more[i], 0)
+
+
 def test_pseudonyms_are_permutations(spark):
     ids = spark.range(10_000)
     text = ids.select(pseudonyms.permute_text(F.lpad(F.col("id").cast("string"), 4, "0"), "k", "t").alias("x"))
