@@ -249,7 +249,7 @@ def pseudonymize(docs: DataFrame, key: str = "change-me", id_col: str = "doc_id"
     more = F.concat(F.lit(r"(?<!\w)(?:"), F.array_join("printed", "|"), F.lit(rf")(?!\w)|{ANY}"))
     def searched(by: Callable[[Column], Column]) -> Column:
         return F.when(F.size("printed") > 0, by(more)).otherwise(by(F.lit(ANY)))
-    matches = F.when(source.rlike("[0-9@=:]"), searched(lambda p: F.regexp_extract_all(source, p, F.lit(0)))).otherwise(
+    matches = F.when(source.rlike("[0-9@=:]|AKIA"), searched(lambda p: F.regexp_extract_all(source, p, F.lit(0)))).otherwise(
         F.array().cast("array<string>"))
     def new(m: Column) -> Column:
         out = None
