@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,17 +17,20 @@ def _with_least(edges: DataFrame) -> DataFrame:
     return both.join(least, "u")
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, label) for every node of ``links`` (u, v); the label is the component's least node.
 
     Large-star and small-star steps in turn: every node hangs its larger, then
     its smaller neighbours under the least one it knows, until nothing changes.
     No step gathers a node's neighbours; a hub's rows are split by adaptive
-    execution. Rounds grow with the logarithm of the longest path.
+    execution. Rounds grow with the logarithm of the longest path; with ``rounds``
+    given, links that need more are an error.
     """
     edges = stored(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
-    for _ in range(rounds):
+    for done in count():
+        if done == rounds:
+            raise RuntimeError(f"components still change after {rounds} rounds")
         large = _with_least(edges).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = low.groupBy("u").agg(F.min("v").alias("m"))

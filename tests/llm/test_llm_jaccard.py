@@ -121,3 +121,9 @@ def test_labels_are_the_least_nodes(spark):
     got = dict(tuple(r) for r in components(spark.createDataFrame(links, "u long, v long")).collect())
     assert got == {k: v for k, v in group.items() if k in got}
     assert {k for k, v in group.items() if v != k} <= set(got)
+
+
+def test_unfinished_components_are_an_error(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
+    with pytest.raises(RuntimeError):
+        components(links, rounds=2)
