@@ -7,7 +7,7 @@ import struct
 import zipfile
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import BinaryIO
 
 # Fixed values of the ZIP format.
@@ -91,15 +91,54 @@ def data_at(f: BinaryIO, member: Member) -> int:
     return member.header_at + 30 + name_n + extra_n
 
 
+def _pieces(f: BinaryIO, member: Member, step: int = 1 << 20) -> Iterator[bytes]:
+    """A member's bytes; a deflated one is inflated."""
+    at, end = data_at(f, replace(member, method=0)), member.size
+    if member.method not in (0, 8):
+        raise ValueError(f"{member.name} is compressed by method {member.method}")
+    z = zlib.decompressobj(-15) if member.method == 8 else None
+    for k in range(0, end, step):
+        piece = _read_at(f, at + k, min(step, end - k))
+        yield z.decompress(piece) if z else piece
+
+
+def _unzipped(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """The bytes of gzip blocks one after another."""
+    z, begun = zlib.decompressobj(31), False
+    for piece in pieces:
+        while piece:
+            yield z.decompress(piece)
+            begun = not z.eof
+            piece = z.unused_data
+            if z.eof:
+                z = zlib.decompressobj(31)
+    if begun:
+        raise ValueError("an index is cut short")
+
+
+def _lines(pieces: Iterator[bytes]) -> Iterator[str]:
+    rest = b""
+    for piece in pieces:
+        *whole, rest = (rest + piece).split(b"\n")
+        yield from (x.decode("utf-8") for x in whole)
+    yield rest.decode("utf-8")
+
+
 def index_lines(f: BinaryIO) -> Iterator[tuple[int, int, dict]]:
-    """(place in the file, bytes, fields) of every record, from the package's indexes."""
+    """(place in the file, bytes, fields) of every record, from the package's indexes.
+
+    Indexes are CDXJ lines, plain or in gzip blocks (.gz), stored or deflated;
+    .idx, which only finds blocks by key, and lines of metadata (!) are skipped.
+    """
     found = {m.name: m for m in members(f)}
-    start = {name: data_at(f, m) for name, m in found.items() if name.startswith("archive/")}
+    start = {name: data_at(f, m) for name, m in found.items() if name.startswith("archive/") and not name.endswith("/")}
     for name, m in found.items():
-        if name.startswith("indexes/"):
-            for line in _read_at(f, data_at(f, m), m.size).decode("utf-8").splitlines():
-                fields = json.loads(line[line.index("{"):])
-                yield start["archive/" + fields["filename"]] + int(fields["offset"]), int(fields["length"]), fields
+        if name.startswith("indexes/") and not name.endswith(("/", ".idx")):
+            pieces = _pieces(f, m)
+            for line in _lines(_unzipped(pieces) if name.endswith(".gz") else pieces):
+                if line.strip() and not line.startswith("!"):
+                    fields = json.loads(line[line.index("{"):])
+                    yield start["archive/" + fields["filename"]] + int(fields["offset"]), int(fields["length"]), fields
 
 
 def parse_record(packed: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:

@@ -1,5 +1,7 @@
+import gzip
 import hashlib
 import io
+import json
 import random
 import re
 import struct
@@ -143,6 +145,26 @@ def test_zip64_directories(tmp_path):
         zippack.members(io.BytesIO(plain[:end]))
 
 
+@pytest.mark.parametrize("method", [zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED])
+def test_packages_of_other_writers(method):
+    """Index lines in gzip blocks, found through an .idx of their own."""
+    records = [b"record %d" % i for i in range(9)]
+    lines = [json.dumps({"filename": "data.warc.gz", "offset": str(8 * i), "length": 8, "url": f"http://x/{i}é"}, ensure_ascii=False)
+             for i in range(9)]
+    blocks = [gzip.compress("".join(f"x,{i})/ 20240305100000 {lines[i]}\n" for i in range(k, k + 3)).encode()) for k in (0, 3, 6)]
+    idx = '!meta 0 {"format": "cdxj-gzip-1.0", "filename": "index.cdx.gz"}\n' + "".join(
+        f'x,{k})/ 20240305100000 {{"offset": {sum(map(len, blocks[:i]))}, "length": {len(blocks[i])}, "filename": "index.cdx.gz"}}\n'
+        for i, k in enumerate((0, 3, 6)))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("archive/", b"")
+        z.writestr("archive/data.warc.gz", b"".join(records))
+        z.writestr(zipfile.ZipInfo("indexes/index.cdx.gz"), b"".join(blocks), method)
+        z.writestr(zipfile.ZipInfo("indexes/index.idx"), idx, zipfile.ZIP_DEFLATED)
+    got = list(zippack.index_lines(out))
+    assert [out.getvalue()[at:at + n] for at, n, _ in got] == records and got[3][2]["url"] == "http://x/3é"
+
+
 # --- benchmark windows
 
 def words(text):
