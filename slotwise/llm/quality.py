@@ -63,10 +63,10 @@ def measured(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             values = [np.array(measure(t), "<f4").tobytes() for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "stats": values})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "stats": values})
 
-    return docs.select(F.col("doc_id").cast("long").cast("string"), "text").mapInPandas(
-        run, "doc_id string, stats binary").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return docs.select(F.col("doc_id").cast("long").cast("string"), F.xxhash64("text").alias("text_hash"), "text").mapInPandas(
+        run, "doc_id string, text_hash long, stats binary").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def moments(rows: DataFrame) -> dict[str, tuple[float, np.ndarray, np.ndarray]]:
@@ -151,6 +151,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold:
     its label. Null labels and ids are no labels. Null and empty texts get the
     score of a text without words. Without any positive the score is 0.5.
     """
+    return _scored(docs, labels, folds, threshold).drop("text_hash")
+
+
+def _scored(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.3) -> DataFrame:
+    """``score_quality`` with text_hash, which tells apart the texts under one doc_id."""
     stats = stored(measured(docs), "quality-stats")
     train = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("quality")).dropna().filter(
         ~held_out(F.col("_id"), folds)).groupBy("_id").agg(F.min("quality").alias("quality"))
@@ -165,14 +170,15 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold:
             x = basis(np.frombuffer(b"".join(batch["stats"]), "<f4").reshape(-1, len(STATS)).astype(float))
             score = np.clip((_times(x, weights) + 1) / 2, 0, 1)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": score,
-                                "predicted": (score >= threshold).astype(np.int32)})
+                                "predicted": (score >= threshold).astype(np.int32), "text_hash": batch["text_hash"]})
 
-    return stats.select(F.col("doc_id").cast("string"), "stats", held_out(F.col("doc_id"), folds).alias("held_out")).mapInPandas(
-        run, "doc_id string, held_out boolean, score double, predicted int").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return stats.select(F.col("doc_id").cast("string"), "text_hash", "stats", held_out(F.col("doc_id"), folds).alias("held_out")).mapInPandas(
+        run, "doc_id string, held_out boolean, score double, predicted int, text_hash long").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options: object) -> DataFrame:
-    """The rows of ``docs`` whose document is predicted 1, with all their columns; rows without id are kept."""
-    bad = score_quality(docs.select("doc_id", "text"), labels, **options).filter(
-        (F.col("predicted") == 0) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+    """The rows of ``docs`` whose own text is predicted 1, with all their columns; rows without id are kept."""
+    bad = _scored(docs.select("doc_id", "text"), labels, **options).filter(
+        (F.col("predicted") == 0) & F.col("doc_id").isNotNull()).select(
+        F.col("doc_id").alias("_bad"), F.col("text_hash").alias("_bad_text")).distinct()
+    return docs.join(bad, (docs["doc_id"] == bad["_bad"]) & (F.xxhash64(docs["text"]) == bad["_bad_text"]), "left_anti")

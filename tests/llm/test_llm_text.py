@@ -336,6 +336,20 @@ def test_scores_of_odd_rows(spark, edge_docs, no_docs):
     assert {r.score for r in quality.score_quality(edge_docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_rows_stay_or_go_by_their_own_text(spark):
+    """Good and rejected texts under one id."""
+    given = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60).collect()
+    rows = [(r.doc_id, r.text) for r in given] + [(-5, r.text) for r in given]
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scores = [r.score for r in quality.score_quality(docs, labels).collect()]
+    kept = {(r.doc_id, r.text) for r in quality.keep_good(docs, labels, threshold=(min(scores) + max(scores)) / 2).collect()}
+    alone = dict(rows[:60])
+    good = {alone[k] for k, _ in kept if k in alone}  # each text is also alone under an id of its own
+    assert 0 < len(good) < len(set(alone.values()))
+    assert kept == {(k, t) for k, t in rows if t in good}
+
+
 def test_risk_is_never_below_zero_in_its_second_part():
     turn = np.random.default_rng(1)
     x = quality.basis(turn.random((400, len(quality.STATS))))
