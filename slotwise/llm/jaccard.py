@@ -233,7 +233,7 @@ def _send(docs: DataFrame, parts: int, frequent: int, words: int, flush: int = 8
 def _frame(rows: int, /, **columns: object) -> pd.DataFrame:
     """All columns of ``_MET``, 64-bit numbers kept exact beside missing ones."""
     names = [c.split()[0] for c in _MET.split(", ")]
-    return pd.DataFrame({c: columns[c] if c == "members" and c in columns else [None] * rows if c == "members"
+    return pd.DataFrame({c: pd.Series(columns.get(c, [None] * rows), dtype=object) if c == "members"
                          else pd.array(columns.get(c, [pd.NA] * rows), "Int64") for c in names})
 
 
