@@ -7,7 +7,8 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotwise.llm import chat, decontaminate, exact, jaccard, linededup, packing, pseudonyms, quality, substrings, webarchive
+from slotwise.llm import (chat, decontaminate, exact, jaccard, linededup, merkle, packing, pseudonyms, quality, substrings,
+                          webarchive)
 from slotwise.llm.common import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +60,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), length=200).drop("kept")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_check(table(spark, sf_dir, "documents"))
+
+
 def _shipped(query: Query) -> Query:
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +88,7 @@ _QUERIES: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_merkle": op11_merkle,
 }
 
 
@@ -93,4 +99,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_line_dedup": linededup.SQL,
         "op7_decontamination": decontaminate.SQL,
         "op9_exact_dedup": exact.SQL,
+        "op11_merkle": merkle.SQL,
     }
