@@ -7,8 +7,8 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotwise.llm import (chat, decontaminate, exact, jaccard, linededup, merkle, packing, pseudonyms, quality, substrings,
-                          webarchive)
+from slotwise.llm import (chat, decontaminate, exact, jaccard, linededup, merkle, packing, pseudonyms, quality, repair,
+                          substrings, webarchive)
 from slotwise.llm.common import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tamper_check(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.damage_and_repair(table(spark, sf_dir, "conversations"))
+
+
 def _shipped(query: Query) -> Query:
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +93,7 @@ _QUERIES: dict[str, Query] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_merkle": op11_merkle,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 
@@ -100,4 +105,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_decontamination": decontaminate.SQL,
         "op9_exact_dedup": exact.SQL,
         "op11_merkle": merkle.SQL,
+        "op12_conversation_repair": repair.SQL,
     }
