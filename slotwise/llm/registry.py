@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotwise.llm import (chat, decontaminate, exact, jaccard, linededup, merkle, packing, pseudonyms, quality, repair,
+from slotwise.llm import (chat, decontaminate, exact, jaccard, langid, linededup, merkle, packing, pseudonyms, quality, repair,
                           substrings, webarchive)
 from slotwise.llm.common import ship, table
 
@@ -68,6 +68,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.damage_and_repair(table(spark, sf_dir, "conversations"))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_language(table(spark, sf_dir, "documents"))
+
+
 def _shipped(query: Query) -> Query:
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +98,7 @@ _QUERIES: dict[str, Query] = {
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_merkle": op11_merkle,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_language_id": op13_language_id,
 }
 
 
