@@ -168,7 +168,7 @@ def _answers(units: DataFrame, least_docs: int) -> DataFrame:
             mine = inverse[at:at + len(keys)]
             at += len(keys)
             docs[mine] += np.frombuffer(r["docs"], np.uint32)
-            for x, row in zip(r["langs"], np.frombuffer(r["counts"], np.uint32).reshape(len(r["langs"]), -1)):
+            for x, row in zip(r["langs"], np.frombuffer(r["counts"], np.uint32).reshape(len(r["langs"]), len(keys))):
                 counts[langs.index(x), mine] += row
         kind = (distinct & _KIND).astype(np.int64)
         known = docs >= np.where(kind == 0, least_docs, 1)
@@ -268,7 +268,7 @@ def predict_language(docs: DataFrame, learn: str = "pmod(crc32(cast(cast(doc_id
         for r in known.to_pylist():
             mine = np.frombuffer(r["keys"], np.uint64)
             wide = np.zeros((len(langs), len(mine)))
-            wide[[langs.index(x) for x in r["langs"]]] = np.frombuffer(r["counts"], np.uint32).reshape(len(r["langs"]), -1)
+            wide[[langs.index(x) for x in r["langs"]]] = np.frombuffer(r["counts"], np.uint32).reshape(len(r["langs"]), len(mine))
             keys.append(mine)
             counts.append(wide)
         every = np.concatenate(keys)

@@ -21,6 +21,10 @@ _KEPT = {(START, "s"): SYSTEM, (START, "u"): USER, (SYSTEM, "u"): USER, (USER, "
 #: What is added behind the last row.
 _CLOSING = {START: "", SYSTEM: "II", USER: "I", ASSISTANT: ""}
 REROLE, DELETE, INSERT, TRUNCATED = 2, 3, 2, 1
+#: How much more the rest can cost from the second state than from the first: what the first can do, the second
+#: can after inserting a row or instead of keeping one.
+_REST = {(START, SYSTEM): 4, (START, USER): 5, (START, ASSISTANT): 3, (SYSTEM, START): 0, (SYSTEM, USER): 2, (SYSTEM, ASSISTANT): 0,
+         (USER, START): 2, (USER, SYSTEM): 2, (USER, ASSISTANT): 2, (ASSISTANT, START): 0, (ASSISTANT, SYSTEM): 4, (ASSISTANT, USER): 2}
 _EDITS = ("conv string, slice int, step long, edit string, turn long, role string, fault string, new_role string, text string")
 _ROWS = ("conv", "slice", "turn", "role", "text", "fault")
 
@@ -68,7 +72,8 @@ class Survivors:
     ways the order never changes once they part: ``alive`` is kept in that order,
     and a tie between complete unresolved suffixes is settled by their places in
     it. ``emit`` gets the edits of a row, in row order, as soon as all survivors
-    come from one node behind it; what is held is the unresolved part.
+    come from one node behind it; what is held is the unresolved part. A way that
+    costs more than another one with all that its state could save survives no longer.
     """
 
     def __init__(self, state: int, emit: Callable[[str], None] | None = None):
@@ -84,6 +89,8 @@ class Survivors:
                 key = cost + price, place, edits
                 if after not in best or key < best[after][0]:
                     best[after] = key, node
+        costs = [(after, key[0]) for after, (key, _) in best.items()]
+        best = {x: b for x, b in best.items() if all(x == y or cost + _REST[x, y] >= b[0][0] for y, cost in costs)}
         before, self.alive = self.alive, []
         for after, ((cost, _, edits), node) in sorted(best.items(), key=lambda x: x[1][0][1:]):
             new = _Node(node, edits)
@@ -251,7 +258,7 @@ def judged(conversations: DataFrame) -> DataFrame:
     return rows.join(firsts, "row", "left").withColumn("fault", fault).drop("first")
 
 
-def repair(conversations: DataFrame) -> DataFrame:
+def repair(conversations: DataFrame, slices: int | None = None) -> DataFrame:
     """The cheapest edits that give every conversation the turn order ``(s?(ua)+)?``, by role initials.
 
     Per edit: conv (the id as text behind ``v``; ``n`` for a null id), slice and
@@ -260,7 +267,8 @@ def repair(conversations: DataFrame) -> DataFrame:
     duplicate rows, Insert (I) of an empty text 2; truncated rows that stay add 1.
     Of equally cheap ways the one with the ASCII-least edits is taken.
 
-    Rows are dealt by range over conversation and turn and stream through the
+    Rows are dealt by range over conversation and turn (into ``slices``, or as many
+    as the session's shuffles have or their sizes ask for) and stream through the
     search, which holds what its survivors have not yet agreed on. A conversation
     that spans slices is searched in two passes: first every piece from each of the
     four states, of which costs and order alone are kept; a few numbers a piece
@@ -273,7 +281,7 @@ def repair(conversations: DataFrame) -> DataFrame:
     """
     keys = ["conv", "turn", "role", "digest", "row"]
     rows = judged(conversations)
-    sliced = stored(rows.repartitionByRange(*keys).withColumn("slice", F.spark_partition_id()), "slices", "zstd")
+    sliced = stored(rows.repartitionByRange(*([slices] if slices else []), *keys).withColumn("slice", F.spark_partition_id()), "slices", "zstd")
     at = sliced.groupBy("conv", "slice").agg(F.count("*").alias("n"))
     several = at.withColumn("k", F.count("*").over(Window.partitionBy("conv"))).filter("k > 1").select("conv", "slice")
 
@@ -368,11 +376,11 @@ def damaged(conversations: DataFrame) -> DataFrame:
     return rows.withColumn("copy", F.explode(F.when(F.col("code") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("copy", "code")
 
 
-def damage_and_repair(conversations: DataFrame) -> DataFrame:
+def damage_and_repair(conversations: DataFrame, slices: int | None = None) -> DataFrame:
     """Per conversation before damage: conv_id and what ``audits`` says of its repair; zeros and empty where all rows are gone."""
     conv = F.coalesce(F.concat(F.lit("v"), F.col("conv_id").cast("string")), F.lit("n"))
     every = conversations.select(conv.alias("conv")).distinct()
-    found = every.join(audits(repair(damaged(conversations))), "conv", "left")
+    found = every.join(audits(repair(damaged(conversations), slices)), "conv", "left")
     numbers = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return found.select(conv_id(F.col("conv")).alias("conv_id"), *numbers, F.coalesce("audit", F.lit("")).alias("audit"),
                         F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))

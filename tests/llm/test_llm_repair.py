@@ -85,8 +85,9 @@ def test_repair_is_the_cheapest_and_least(spark):
     rows = odd_rows()
     table = spark.createDataFrame(rows, COLUMNS).repartition(4).withColumns(
         {c: F.lit("x") for c in ("conv", "slice", "step", "edit", "fault", "row", "digest", "enter", "leave", "final", "copy", "code")})
-    assert sorted((tuple(r) for r in repair.damage_and_repair(table).collect()), key=repr) == brute(rows)
-    edits = repair.repair(repair.damaged(table))
+    for slices in (None, 9):
+        assert sorted((tuple(r) for r in repair.damage_and_repair(table, slices).collect()), key=repr) == brute(rows)
+    edits = repair.repair(repair.damaged(table), 9)
     assert edits.filter("conv = 'v70'").select("slice").distinct().count() > 1  # searched in pieces
     kept = repair.repaired(edits).filter("conv_id = 71").orderBy("slice", "step").collect()
     assert [r["role"] for r in kept[:4]] == ["user", "assistant"] * 2
@@ -107,3 +108,17 @@ def test_only_what_survivors_do_not_share_is_held():
         run.step("ua"[i % 2], None)
     assert len(out) > 9_900 and set(out) == {"K"}
     assert len(run.unresolved(run.end())) + len(out) == 10_000
+
+
+def test_no_state_saves_more_than_stated():
+    pick = random.Random(8)
+    for _ in range(3000):
+        rows = [(i, pick.choice(["user", "assistant", "system", "x"]), "") for i in range(pick.randint(0, 7))]
+        faults = [pick.choice(["", "", "t", "d"]) for _ in rows]
+        rest = {}
+        for state in range(4):
+            run = repair.Survivors(state)
+            for (_, role, _), fault in zip(rows, faults):
+                run.step(role[:1], {"": None, "t": "truncated", "d": "duplicate"}[fault])
+            rest[state] = min(cost + 2 * len(repair._CLOSING[s]) for s, cost, _ in run.alive)
+        assert all(rest[y] - rest[x] <= most for (x, y), most in repair._REST.items())
