@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +35,25 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Compressed with equal bytes of neighbours side by side."""
+    return zstandard.compress(np.ascontiguousarray(numbers.reshape(-1, 1).view(np.uint8).T).tobytes(), 3)
+
+
+def _unpacked(packed: bytes, kind: type) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(packed), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+
+
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Of ascending keys."""
+    return _packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unpacked_keys(packed: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(packed, np.uint64), dtype=np.uint64)
+
+
 def words_of(text: str) -> list[str]:
     """Lower-cased runs of letters."""
     return [w for run in _RUN.findall(text.lower()) for w in ([run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split())]
@@ -86,7 +107,7 @@ class _Block:
 
     def __init__(self):
         self.place: dict[str, int] = {}
-        self.ids, self.sizes, self.index, self.times = [], [], [], []
+        self.ids, self.sizes, self.index, self.times = [], [], array("I"), array("I")
         self.learned: dict[str, Counter] = {}
         self.held: Counter = Counter()
         self.chars = self.letters = 0
@@ -98,8 +119,8 @@ class _Block:
         self.letters += sum(len(w) for w, k in zip(counts, at) if k >= known)
         self.ids.append(doc_id)
         self.sizes.append(len(at))
-        self.index += at
-        self.times += counts.values()
+        self.index.extend(at)
+        self.times.extend(counts.values())
         if lang is not None:
             self.learned.setdefault(lang, Counter()).update(dict(zip(at, counts.values())))
             self.held.update(at)
@@ -111,11 +132,20 @@ class _Block:
 
     def rows(self, block: int, parts: int) -> Iterator[dict]:
         """A row with the documents, and rows with keys and what was learned about them, dealt by key."""
-        words = list(self.place)
-        yield {"block": block, "part": -1, "words": " ".join(words).encode("utf-8", "surrogatepass"),
-               "ids": b"".join(b"\0" * 9 if i is None else b"\1" + int(i).to_bytes(8, "little", signed=True) for i in self.ids),
-               "sizes": np.array(self.sizes, np.uint32).tobytes(), "index": np.array(self.index, np.uint32).tobytes(),
-               "times": np.array(self.times, np.uint32).tobytes()}
+        words, sizes, index = list(self.place), np.array(self.sizes, np.int64), np.frombuffer(self.index, np.uint32)
+        # The words of most documents first and each document's in that order, so that steps between them are small.
+        often = np.argsort(-np.bincount(index, minlength=len(words)), kind="stable")
+        rank = np.empty(len(words), np.int64)
+        rank[often] = np.arange(len(words))
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        by = np.lexsort((rank[index], owner))
+        steps = np.diff(rank[index[by]], prepend=0)
+        first = np.cumsum(sizes)[:-1][sizes[1:] > 0]
+        steps[first] = rank[index[by]][first]
+        yield {"block": block, "part": -1, "words": zstandard.compress(" ".join([words[k] for k in often]).encode("utf-8", "surrogatepass"), 3),
+               "ids": _packed(np.array([(0, 0) if i is None else (1, i) for i in self.ids], np.int64).reshape(-1, 2).T.reshape(-1)),
+               "sizes": _packed(sizes.astype(np.uint32)), "index": _packed(steps.astype(np.uint32)),
+               "times": _packed(np.frombuffer(self.times, np.uint32)[by])}
         keys, langs = Keys(words), sorted(self.learned)
         dense = np.zeros((len(langs) + 1, len(words)))
         for row, counts in zip(dense, [*[self.learned[x] for x in langs], self.held]):
@@ -129,8 +159,8 @@ class _Block:
             edge = np.searchsorted(part[order], np.arange(parts + 1))
             for p in np.unique(part).tolist():
                 mine = order[edge[p]:edge[p + 1]]
-                yield {"block": block, "part": p, "keys": distinct[mine].tobytes(), "langs": langs,
-                       "counts": learned[:-1, mine].tobytes(), "docs": learned[-1, mine].tobytes()}
+                yield {"block": block, "part": p, "keys": _packed_keys(distinct[mine]), "langs": langs,
+                       "counts": _packed(learned[:-1, mine].reshape(-1)), "docs": _packed(learned[-1, mine])}
 
 
 def _arrow(schema: str) -> pa.Schema:
@@ -160,15 +190,15 @@ def _answers(units: DataFrame, least_docs: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         langs = sorted({x for r in rows for x in r["langs"]})
-        asked = [np.frombuffer(r["keys"], np.uint64) for r in rows]
+        asked = [_unpacked_keys(r["keys"]) for r in rows]
         distinct, inverse = np.unique(np.concatenate(asked), return_inverse=True)
         counts, docs = np.zeros((len(langs), len(distinct)), np.int64), np.zeros(len(distinct), np.int64)
         at = 0
         for r, keys in zip(rows, asked):
             mine = inverse[at:at + len(keys)]
             at += len(keys)
-            docs[mine] += np.frombuffer(r["docs"], np.uint32)
-            for x, row in zip(r["langs"], np.frombuffer(r["counts"], np.uint32).reshape(len(r["langs"]), len(keys))):
+            docs[mine] += _unpacked(r["docs"], np.uint32)
+            for x, row in zip(r["langs"], _unpacked(r["counts"], np.uint32).reshape(len(r["langs"]), len(keys))):
                 counts[langs.index(x), mine] += row
         kind = (distinct & _KIND).astype(np.int64)
         known = docs >= np.where(kind == 0, least_docs, 1)
@@ -178,8 +208,8 @@ def _answers(units: DataFrame, least_docs: int) -> DataFrame:
             at += len(keys)
             mine = mine[known[mine]]
             if len(mine):
-                out.append({"block": r["block"], "langs": langs, "keys": distinct[mine].tobytes(),
-                            "counts": np.minimum(counts[:, mine], 2**32 - 1).astype(np.uint32).tobytes()})
+                out.append({"block": r["block"], "langs": langs, "keys": _packed_keys(distinct[mine]),
+                            "counts": _packed(counts[:, mine].reshape(-1))})
         for k in range(LONGEST + 1):
             chosen = known & (kind == k)
             for x, row in zip(langs, counts):
@@ -266,9 +296,9 @@ def predict_language(docs: DataFrame, learn: str = "pmod(crc32(cast(cast(doc_id
     def score(block: pa.Table, known: pa.Table) -> pa.Table:
         keys, counts = [np.zeros(0, np.uint64)], [np.zeros((len(langs), 0))]
         for r in known.to_pylist():
-            mine = np.frombuffer(r["keys"], np.uint64)
+            mine = _unpacked_keys(r["keys"])
             wide = np.zeros((len(langs), len(mine)))
-            wide[[langs.index(x) for x in r["langs"]]] = np.frombuffer(r["counts"], np.uint32).reshape(len(r["langs"]), len(mine))
+            wide[[langs.index(x) for x in r["langs"]]] = _unpacked(r["counts"], np.int64).reshape(len(r["langs"]), len(mine))
             keys.append(mine)
             counts.append(wide)
         every = np.concatenate(keys)
@@ -276,18 +306,20 @@ def predict_language(docs: DataFrame, learn: str = "pmod(crc32(cast(cast(doc_id
         model = Model(langs, totals, values, every[by], np.concatenate(counts, axis=1)[:, by], added)
         out = []
         for row in block.to_pylist():
-            words = row["words"].decode("utf-8", "surrogatepass").split(" ") if row["words"] else []
-            sizes, index, times = (np.frombuffer(row[c], np.uint32).astype(np.int64) for c in ("sizes", "index", "times"))
-            owner = np.repeat(np.arange(len(sizes)), sizes)
+            words = zstandard.decompress(row["words"]).decode("utf-8", "surrogatepass").split()
+            sizes, steps, times = (_unpacked(row[c], np.uint32).astype(np.int64) for c in ("sizes", "index", "times"))
+            some, ids = _unpacked(row["ids"], np.int64).reshape(2, -1).tolist()
+            owner, ends = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(steps)
+            starts = np.cumsum(sizes) - sizes
+            index = ends - np.repeat((ends - steps)[np.minimum(starts, max(len(steps) - 1, 0))] if len(steps) else starts, sizes)
             weighed = model.scores(words)
             sums = np.stack([np.bincount(owner, w[index] * times, len(sizes)) for w in weighed]) if langs else np.zeros((1, len(sizes)))
             best = sums.argmax(0)
             share = 1 / np.exp(sums - sums.max(0)).sum(0)
             for k, size in enumerate(sizes.tolist()):
-                flag, number = row["ids"][9 * k], row["ids"][9 * k + 1:9 * k + 9]
-                some = size > 0 and bool(langs)
-                out.append({"doc_id": int.from_bytes(number, "little", signed=True) if flag else None,
-                            "lang_pred": langs[best[k]] if some else "und", "score": float(share[k]) if some else 0.0})
+                judged = size > 0 and bool(langs)
+                out.append({"doc_id": ids[k] if some[k] else None,
+                            "lang_pred": langs[best[k]] if judged else "und", "score": float(share[k]) if judged else 0.0})
         return pa.Table.from_pylist(out, _arrow(schema))
 
     held = units.filter("part = -1").select("block", "words", "ids", "sizes", "index", "times")
