@@ -28,6 +28,7 @@ from slotwise.operators import (
     histogram,
     hot_days,
     keep_matching,
+    mean_coded,
     ordered_list,
     prediction_quality,
     prepared,
@@ -257,6 +258,13 @@ def _procedure_codes(train: DataFrame, test: DataFrame) -> DataFrame:
     return encode(test, codes, "procedure_name", "procedure_code").select("case_id", "procedure_code")
 
 
+def _mean_codes(train: DataFrame, test: DataFrame) -> DataFrame:
+    """Codes of both parts: of the first from the other folds, of the second from all training rows."""
+    columns = {"specialty": "specialty_code", "procedure_text_id": "text_code"}
+    parts = mean_coded(train, test, columns, "patient_prep_min")
+    return parts[0].unionByName(parts[1]).select("case_id", (F.col("date") < F.lit(CUTOFF).cast("date")).alias("train"), *columns.values())
+
+
 def _schedule_quality(train: DataFrame, test: DataFrame) -> DataFrame:
     return prediction_quality(test, "actual_prep_min", "planned_prep_min")
 
@@ -496,7 +504,8 @@ def build() -> dict[str, Query]:
             lambda v, hot: surgical.with_places(v, hot).select(
                 "case_id", "position", "total_cases_that_day", "is_first_of_day", "is_last_of_day")),
         # models
-        "split_sizes": _split(models.split_sizes),
+        "split_sizes": _on_valid_days(lambda v, hot: models.split_sizes(surgical.with_places(v, hot), CUTOFF)),
+        "mean_codes": _modelled(_mean_codes),
         "procedure_codes": _split(_procedure_codes),
         "schedule_quality": _split(_schedule_quality),
         "forest_rows_by_first": _split(_rows_by_first),

@@ -948,6 +948,22 @@ st AS (SELECT s.*, lt.lookup_prep FROM s LEFT JOIN lt ON s.specialty = lt.specia
  JOIN (SELECT specialty, anes, avg(w2) AS p FROM m WHERE {known} AND w2 BETWEEN 0 AND 240 AND date < {CUTOFF} GROUP BY 1, 2)
  USING (specialty, anes)""",
         "", "n", "mae r2 bias")
+    crc_table = """(SELECT list(list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z:
+  CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY x) AS t FROM (SELECT unnest(range(256)) AS x))"""
+    crc = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(case_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+    def drawn(column: str) -> str:
+        """The mean over the training rows with this row's value, own fold left out, drawn to the overall mean by 10 rows."""
+        others = f"FROM r AS o WHERE o.train AND o.{column} = r.{column} AND (NOT r.train OR o.fold <> r.fold)"
+        return (f"(SELECT CASE WHEN count(*) > 0 THEN (sum(w2) + 10 * (SELECT avg(w2) FROM r AS a WHERE a.train)) / (count(*) + 10)"
+                f" ELSE (SELECT avg(w2) FROM r AS a WHERE a.train) END {others})")
+
+    q["mean_codes"] = _q(
+        f"SELECT case_id, train, {drawn('specialty')} AS specialty_code, {drawn('procedure_text_id')} AS text_code FROM r",
+        "train", "case_id", "specialty_code text_code",
+        f"""r AS (SELECT case_id, specialty, procedure_text_id, w2, date < {CUTOFF} AS train, {crc} % 5 AS fold FROM m, {crc_table} AS tab
+ WHERE {known} AND w2 BETWEEN 0 AND 240)""")
     q["tier_rows"] = _q(
         f"""SELECT count(*) AS n, avg(staff_count) AS mean_staff_count, avg(resource_count) AS mean_resource_count,
  avg(actual_prep) AS mean_actual_prep_min, avg(overtime_minutes) AS mean_overtime_minutes

@@ -1,3 +1,4 @@
+from .codes import mean_coded, value_sums
 from .days import DAY, hot_days, sequence_days
 from .distribution import box_stats, density, distribution, histogram, violin
 from .joins import attach, encode, keep_matching, translate, value_codes
@@ -15,7 +16,7 @@ from .tables import (
 __all__ = [
     "DAY", "attach", "best_in_group", "box_stats", "correlation_table", "density",
     "distribution", "encode", "first_in_group", "first_rows", "group_fit", "histogram",
-    "hot_days", "keep_matching", "line_fit", "ordered_list", "prediction_quality",
-    "prepared", "sequence_days", "signal_capture", "top", "translate", "value_codes", "violin",
+    "hot_days", "keep_matching", "line_fit", "mean_coded", "ordered_list", "prediction_quality",
+    "prepared", "sequence_days", "signal_capture", "top", "translate", "value_codes", "value_sums", "violin",
     "wide_by_flag",
 ]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.functions import share, with_measures, within
-from slotwise.operators import attach, encode, keep_matching, prediction_quality, top, value_codes
+from slotwise.operators import encode, keep_matching, mean_coded, prediction_quality, top, value_codes
 from slotwise.session import cut
 
 # The features of the published prep model.
@@ -46,9 +46,12 @@ def temporal_split(rows: DataFrame, cutoff: str) -> tuple[DataFrame, DataFrame]:
     return rows.where(F.col("date") < day), rows.where(F.col("date") >= day)
 
 
-def split_sizes(train: DataFrame, test: DataFrame) -> DataFrame:
-    parts = [d.agg(F.lit(n).alias("part"), F.count("*").alias("n")) for n, d in (("train", train), ("test", test))]
-    return parts[0].unionByName(parts[1])
+def split_sizes(rows: DataFrame, cutoff: str) -> DataFrame:
+    """Rows of both parts, counted in one pass."""
+    day = F.lit(cutoff).cast("date")
+    sides = {"train": F.col("date") < day, "test": F.col("date") >= day}
+    counted = [F.struct(F.lit(name).alias("part"), F.count_if(side).alias("n")) for name, side in sides.items()]
+    return rows.agg(F.array(*counted).alias("parts")).select(F.inline("parts"))
 
 
 def known_procedure_test(train: DataFrame, test: DataFrame, min_rows: int = 20, k: int = 20) -> DataFrame:
@@ -73,17 +76,13 @@ def encode_procedures(
     """``procedure_code`` on both parts, known from training only.
 
     ``code`` numbers the names, -1 for unseen ones; the number is arbitrary but
-    taken as ordered by trees. ``mean`` uses the training mean of ``target``
-    instead, with the overall mean for unseen names.
+    taken as ordered by trees. ``mean`` uses means of ``target`` instead, as
+    :func:`slotwise.operators.mean_coded` does.
     """
     if encoding == "code":
         codes = cut(value_codes(train, "procedure_name", "procedure_code"))
         return tuple(encode(d, codes, "procedure_name", "procedure_code") for d in (train, test))
-    means = cut(train.groupBy("procedure_name").agg(F.avg(target).alias("procedure_code")))
-    overall = train.agg(F.avg(target)).first()[0]
-    return tuple(
-        attach(d, means, ["procedure_name"]).fillna({"procedure_code": overall}) for d in (train, test)
-    )
+    return mean_coded(train, test, {"procedure_name": "procedure_code"}, target)
 
 
 def _features(rows: DataFrame, features: Sequence[str], *more: str) -> DataFrame:
@@ -202,16 +201,8 @@ def _coded(*columns: str) -> list:
     return [StringIndexer(inputCol=c, outputCol=f"{c}_index", handleInvalid="keep") for c in columns]
 
 
-def _mean_coded(train: DataFrame, test: DataFrame, columns: Sequence[str], target: str) -> tuple[DataFrame, DataFrame]:
-    """``<column>_code``: the training mean of ``target`` per value, the overall mean for other values.
-
-    Any number of values fits, and their list never leaves the executors.
-    """
-    overall = train.agg(F.avg(target)).first()[0]
-    for c in columns:
-        means = cut(train.where(F.col(c).isNotNull()).groupBy(c).agg(F.avg(target).alias(f"{c}_code")))
-        train, test = (attach(d, means, [c]).fillna({f"{c}_code": overall}) for d in (train, test))
-    return train, test
+def _codes(*columns: str) -> dict[str, str]:
+    return {c: f"{c}_code" for c in columns}
 
 
 def _one_hot(*columns: str) -> list:
@@ -233,13 +224,15 @@ SIX = ("has_anesthesia", "staff_count", "resource_count", "patient_age", "is_acu
 
 def boosted_prep(train: DataFrame, test: DataFrame, iterations: int = 200, target: str = "patient_prep_min") -> DataFrame:
     """Gradient-boosted trees on specialty, anesthesia, counts, age and acute flag."""
-    train, test = _mean_coded(cut(train), test, ["specialty"], target)
+    train, test = mean_coded(cut(train), test, _codes("specialty"), target)
     stages = [VectorAssembler(inputCols=["specialty_code", *SIX], outputCol="features")]
     learner = GBTRegressor(labelCol=target, maxIter=iterations, maxBins=128, seed=SEED)
     return _quality(stages, learner, cut(train), test, target, "boosted trees")
 
 
-def linear_prep(train: DataFrame, test: DataFrame, target: str = "patient_prep_min") -> DataFrame:
+def linear_prep(
+    train: DataFrame, test: DataFrame, target: str = "patient_prep_min", penalty: float = 1e-6
+) -> DataFrame:
     """Linear models with growing feature sets, one row each."""
     hot = _one_hot("specialty")
     crossed = Interaction(inputCols=["specialty_hot", "has_anesthesia"], outputCol="crossed")
@@ -253,7 +246,7 @@ def linear_prep(train: DataFrame, test: DataFrame, target: str = "patient_prep_m
     lines = []
     for name, columns in sets.items():
         stages = [*hot, crossed, VectorAssembler(inputCols=columns, outputCol="features")]
-        learner = LinearRegression(labelCol=target, regParam=1e-6)
+        learner = LinearRegression(labelCol=target, regParam=penalty)
         lines.append(_quality(stages, learner, train, test, target, name))
     table = lines[0]
     for line in lines[1:]:
@@ -320,7 +313,7 @@ def overrun_classifier(train: DataFrame, test: DataFrame, depth: int = 4) -> Dat
     columns = ["specialty_code", "diagnosis_group_code", *SIX, "planned_inor_min"]
     label = (F.col("overtime_minutes") > 0).cast("double")
     parts = [d.where(F.col("overtime_minutes").isNotNull()).withColumn("label", label) for d in (train, test)]
-    parts = _mean_coded(cut(parts[0]), parts[1], ["specialty", "diagnosis_group"], "label")
+    parts = mean_coded(cut(parts[0]), parts[1], _codes("specialty", "diagnosis_group"), "label")
     model = Pipeline(stages=[
         VectorAssembler(inputCols=columns, outputCol="features"),
         DecisionTreeClassifier(maxDepth=depth, maxBins=256, seed=SEED),
@@ -336,7 +329,7 @@ def inor_regression(train: DataFrame, test: DataFrame, trees: int = 100, depth:
     learner = RandomForestRegressor(
         labelCol=target, numTrees=trees, maxDepth=depth, maxBins=128, seed=SEED, featureSubsetStrategy="all"
     )
-    train, test = _mean_coded(cut(train), cut(test), coded, target)
+    train, test = mean_coded(cut(train), cut(test), _codes(*coded), target)
     train = cut(train)
     fitted = _quality(stages, learner, train, test, target, "forest")
     slot = prediction_quality(test, target, "planned_inor_min").withColumn("model", F.lit("planned slot"))
