@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotwise.schema import CANCELLED_COLUMNS, COMPLETED_COLUMNS, FLAG_PREFIXES, YES
+from slotwise.sources.records import read_csv, text_rows
 
 # Fixed value: shape of a stamp, year to milliseconds with a decimal comma.
 _STAMP = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}$"
@@ -82,35 +82,17 @@ def rename_columns(df: DataFrame, mapping: dict[str, str], flags: bool = False)
     return df.toDF(*names)
 
 
-def _read_text_columns(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    return (
-        spark.read.option("sep", ";")
-        .option("header", True)
-        .option("inferSchema", False)
-        .option("encoding", "UTF-8")
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("nullValue", "")
-        .option("multiLine", multi_line)
-        .csv(path)
-    )
-
-
 def read_completed(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Completed operations, one row per procedure, with ``row_seq`` in file order.
 
-    ``row_seq`` follows the rows of a file, however it is split. Several files
-    follow each other in the order of their paths, whatever their sizes; they need
-    the same columns. With ``multi_line`` quoted values may hold line breaks, and
-    a file is no longer split.
+    ``row_seq`` follows the rows of a file, however it is split. Any number of
+    files is one scan; they follow each other in the order of their paths, whatever
+    their sizes, and need the same header. With ``multi_line`` quoted values may
+    hold line breaks, at the price of two passes over the lines.
     """
-    files = sorted(_read_text_columns(spark, path, multi_line).inputFiles())
-    if len(files) > 1:
-        # A file's numbers stay under 2^52, so its rank orders the files.
-        parts = [read_completed(spark, f, multi_line) for f in files]
-        ranked = [p.withColumn("row_seq", F.col("row_seq") + F.lit(i << 52)) for i, p in enumerate(parts)]
-        return reduce(DataFrame.unionByName, ranked)
-    text = rename_columns(_read_text_columns(spark, path, multi_line), COMPLETED_COLUMNS, flags=True)
+    rows = text_rows(spark, path, multi_line)
+    text = rename_columns(rows.drop("row_seq"), COMPLETED_COLUMNS, flags=True).columns
+    rows = rows.toDF("row_seq", *text)
 
     def typed(name: str) -> Column:
         column = F.col(f"`{name}`")
@@ -128,14 +110,12 @@ def read_completed(spark: SparkSession, path: str, multi_line: bool = False) ->
             column = bit_flag(column)
         return column.alias(name)
 
-    return text.select(
-        F.monotonically_increasing_id().alias("row_seq"), *[typed(name) for name in text.columns]
-    )
+    return rows.select("row_seq", *[typed(name) for name in text])
 
 
 def read_cancelled(spark: SparkSession, path: str) -> DataFrame:
     """Cancelled operations."""
-    text = rename_columns(_read_text_columns(spark, path), CANCELLED_COLUMNS)
+    text = rename_columns(read_csv(spark, path), CANCELLED_COLUMNS)
     return text.withColumns(
         {
             "scheduled_datetime": parse_ts(F.col("scheduled_datetime")),

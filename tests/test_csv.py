@@ -1,4 +1,6 @@
+import csv
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +8,7 @@ from pyspark.sql import functions as F
 from slotwise.schema import CANCELLED_COLUMNS, COMPLETED_COLUMNS
 from slotwise.sources import read_cancelled, read_completed, write_result
 from slotwise.sources.csvlog import flag_name, parse_ts_mixed, rename_columns
+from slotwise.sources.records import ends_quoted, read_csv, text_rows
 
 
 def _write(path, header, lines):
@@ -112,6 +115,68 @@ def test_files_follow_each_other_by_path(spark, tmp_path):
 def test_quoted_line_breaks(spark, tmp_path):
     path = tmp_path / "log.csv"
     path.write_text('Case-ID Anonymous;Speciale\n1;"a\nb"\n2;c\n', encoding="utf-8")
-    from slotwise.sources.csvlog import _read_text_columns
-
-    assert [r[1] for r in _read_text_columns(spark, str(path), True).collect()] == ["a\nb", "c"]
+    rows = text_rows(spark, str(path), True).orderBy("row_seq").collect()
+    assert [r[2] for r in rows] == ["a\nb", "c"]
+
+
+@pytest.fixture
+def small_splits(spark):
+    """Splits of some hundred bytes."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k in old:
+        spark.conf.set(k, "300b")
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def _plain_csv(path):
+    with open(path, encoding="utf-8", newline="") as f:
+        return [r for r in csv.reader(f, delimiter=";", strict=True) if r]
+
+
+def test_thousands_of_files_are_one_scan(spark, tmp_path):
+    for i in range(3000):
+        (tmp_path / f"{i:05d}.csv").write_text(f"a;b\n{i};x\n{i};y\n")
+    rows = text_rows(spark, str(tmp_path))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan and plan.count("FileScan csv") == 1
+    assert [(r.a, r.b) for r in rows.orderBy("row_seq").collect()] == [(str(i), c) for i in range(3000) for c in "xy"]
+
+
+def test_a_split_file_keeps_its_order(spark, tmp_path, small_splits):
+    (tmp_path / "b.csv").write_text("a;b\n" + "".join(f"{i};{'z' * (i % 50)}\n" for i in range(500)))
+    (tmp_path / "a.csv").write_text("a;b\nfirst;1\n")
+    rows = text_rows(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() > 5
+    assert [r.a for r in rows.orderBy("row_seq").collect()] == ["first", *map(str, range(500))]
+
+
+def test_another_header_is_an_error(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a;b\n1;2\n")
+    (tmp_path / "b.csv").write_text("b;a\n1;2\n")
+    for multi_line in (False, True):
+        with pytest.raises(Exception, match="header"):
+            text_rows(spark, str(tmp_path), multi_line).collect()
+
+
+def test_line_breaks_at_split_edges(spark, tmp_path, small_splits):
+    pick = random.Random(4)
+    value = lambda: pick.choice(["", "x", 'say "so"', "one\ntwo", "a;b", "\n", '"\n"', "line\n" * pick.randint(1, 60), "ø" * 20])
+    quoted = lambda v: '"' + v.replace('"', '""') + '"' if set(v) & set('";\n') or pick.random() < 0.2 else v
+    for name, n in (("a.csv", 300), ("b.csv", 1), ("c.csv", 120)):
+        lines = [f"{name}{i};{quoted(value())};{quoted(value())}" for i in range(n)]
+        (tmp_path / name).write_text("\n".join(['id;"two\nlines";c', *lines]) + "\n", encoding="utf-8")
+    rows = text_rows(spark, str(tmp_path), True)
+    assert rows.columns == ["row_seq", "id", "two\nlines", "c"]
+    got = [[c or "" for c in r[1:]] for r in rows.orderBy("row_seq").collect()]
+    assert got == [r for name in ("a.csv", "b.csv", "c.csv") for r in _plain_csv(tmp_path / name)[1:]]
+    assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+    whole = read_csv(spark, str(tmp_path), True)  # files read by a task each
+    assert sorted(map(tuple, got)) == sorted(tuple(c or "" for c in r) for r in whole.collect())
+
+
+def test_quotes_open_only_at_the_start_of_a_value():
+    assert not ends_quoted('5" pipe;x', False) and not ends_quoted('"a""b";c', False)
+    assert ends_quoted('a;"b', False) and ends_quoted('a;"b""', False) and not ends_quoted('b";c', True)
+    assert ends_quoted('b";"c', True) and not ends_quoted('"a"b"c;d', False) and ends_quoted("plain", True)
