@@ -230,14 +230,14 @@ def _running_delay(cases: DataFrame, hot: DataFrame | None) -> DataFrame:
 
 
 def _day_lists(cases: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """Cases of the three longest recorded days in order."""
+    """Cases of the three longest recorded days in order, in segments of eight."""
     placed = delays.case_positions(cases, hot=hot)
     days = cases.dropna(subset=[*DAY, "delay_minutes", "ts_patient_in_or_planned", "ts_patient_in_or"])
     sizes = days.groupBy(*DAY).agg(F.count("*").alias("n")).where(F.col("n") >= 3)
     chosen = top(sizes, 3, "n", "date", "or_room")
     rows = placed.join(F.broadcast(chosen.select(*DAY)), list(DAY), "left_semi")
     return _joined(
-        ordered_list(rows, DAY, "case_position", ["case_id", "delay_minutes"]),
+        ordered_list(rows, DAY, "case_position", ["case_id", "delay_minutes"], length=8),
         "case_id_list", "delay_minutes_list",
     )
 
@@ -368,6 +368,9 @@ def build() -> dict[str, Query]:
             lambda p: turnaround.turnaround_distribution(p, "linear")),
         "turnaround_components": _on_turnaround(turnaround.turnaround_components),
         "turnaround_by_specialty": _on_turnaround(lambda p: turnaround.turnaround_by_specialty(p, 5)),
+        "turnaround_sketched": _on_turnaround(
+            lambda p: turnaround.sketched_turnaround(turnaround.turnaround_sketches(p, 8192), 8192)),
+        "turnaround_bins": _on_turnaround(lambda p: histogram(p, "turnaround_min", width=20, merge_empty=True)),
         "idle_pairs": _on_turnaround(turnaround.idle_pairs),
         "idle_breakdown": _on_turnaround(turnaround.idle_breakdown),
         "idle_by_specialty": _on_turnaround(lambda p: turnaround.idle_by_specialty(p, 2)),

@@ -416,6 +416,14 @@ def build() -> dict[str, str]:
         """SELECT specialty, avg(turnaround_min) AS mean_turnaround, median(turnaround_min) AS median_turnaround,
  avg(post_cleaning_gap_min) AS mean_post_cleaning_gap, count(*) AS n_pairs FROM ta GROUP BY 1 HAVING count(*) >= 5""",
         "specialty", "n_pairs", "mean_turnaround median_turnaround mean_post_cleaning_gap", TURN)
+    q["turnaround_sketched"] = _q(
+        """SELECT specialty, count(*) AS n, avg(turnaround_min) AS mean, quantile_disc(turnaround_min, 0.25) AS p25,
+ quantile_disc(turnaround_min, 0.5) AS median, quantile_disc(turnaround_min, 0.75) AS p75, quantile_disc(turnaround_min, 0.9) AS p90
+ FROM ta GROUP BY 1""", "specialty", "n", "mean p25 median p75 p90", TURN)
+    q["turnaround_bins"] = _q(
+        """SELECT bin, bin * 20 AS bin_start, bin * 20 + 20 AS bin_end, n FROM tb
+ UNION ALL SELECT prev + 1, prev * 20 + 20, bin * 20, 0 FROM (SELECT bin, coalesce(lag(bin) OVER (ORDER BY bin), -1) AS prev FROM tb) WHERE bin > prev + 1""",
+        "", "bin n", "bin_start bin_end", TURN + ",\ntb AS (SELECT turnaround_min // 20 AS bin, count(*) AS n FROM ta GROUP BY 1)")
     q["idle_pairs"] = _q(
         "SELECT * FROM idle", "or_room date specialty",
         "case_id turnaround_min gap_before_prep_min room_prep_min gap_after_prep_min", "", TURN)
@@ -890,11 +898,11 @@ st AS (SELECT s.*, lt.lookup_prep FROM s LEFT JOIN lt ON s.specialty = lt.specia
  ORDER BY ts_patient_in_or_planned, row_seq) AS rn FROM cases WHERE ts_patient_in_or_planned IS NOT NULL) WHERE rn <= 3""",
         "or_room date", "case_id")
     q["day_lists"] = _q(
-        """SELECT or_room, date, string_agg(CAST(case_id AS VARCHAR), ',' ORDER BY case_position) AS case_id_list,
+        """SELECT or_room, date, (case_position - 1) // 8 AS segment, string_agg(CAST(case_id AS VARCHAR), ',' ORDER BY case_position) AS case_id_list,
  string_agg(CAST(delay_minutes AS VARCHAR), ',' ORDER BY case_position) AS delay_minutes_list
  FROM cp SEMI JOIN (SELECT * FROM ends WHERE n_cases >= 3 ORDER BY n_cases DESC, date, or_room LIMIT 3) AS e
- USING (or_room, date) GROUP BY 1, 2""",
-        "or_room date case_id_list delay_minutes_list", "", "", PLACES)
+ USING (or_room, date) GROUP BY 1, 2, 3""",
+        "or_room date case_id_list delay_minutes_list", "segment", "", PLACES)
     q["large_specialty_cases"] = _q(
         """SELECT case_id, specialty FROM cases WHERE specialty IN (
  SELECT specialty FROM cases GROUP BY 1 HAVING count(*) >= 100)""",

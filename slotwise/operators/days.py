@@ -24,6 +24,8 @@ DAY = ("or_room", "date")
 HOT_ROWS = 1_000_000
 # Split days together get at most this many slices; a larger log gets larger slices.
 MOST_SLICES = 10_000
+# Fractions are summed as decimals of so many places.
+_PLACES = 15
 
 
 def hot_days(df: DataFrame, keys: Sequence[str] = DAY, rows: int = HOT_ROWS) -> DataFrame | None:
@@ -59,10 +61,20 @@ def sequence_days(
     ``size``: number of rows with an ``order`` value.
     ``previous``: new column -> column of the row before.
     ``running``: new column -> (column, inclusive) sum up to this row, or before it.
+    Fractional minutes are summed as decimals of 15 places, so that no order or
+    split of the sum changes the last bit of the result.
     ``hot``: answer of :func:`hot_days` for the same keys; its days are split. The
     rows are then written once, so hand in only the columns that are needed.
     """
     previous, running = dict(previous or {}), dict(running or {})
+    fractional = sorted({s for s, _ in running.values() if df.schema[s].dataType.typeName() in ("double", "float")})
+    if fractional:
+        whole = {s: f"_fixed_{s}" for s in fractional}
+        fixed = df.withColumns({w: F.col(s).cast(f"decimal(28,{_PLACES})") for s, w in whole.items()})
+        summed = sequence_days(
+            fixed, order, tie=tie, keys=keys, position=position, size=size, previous=previous,
+            running={n: (whole.get(s, s), inclusive) for n, (s, inclusive) in running.items()}, hot=hot, slice_rows=slice_rows)
+        return summed.withColumns({n: F.col(n).cast("double") for n, (s, _) in running.items() if s in whole}).drop(*whole.values())
     if hot is None:
         return _plain(df, order, tie, keys, position, size, previous, running)
 
@@ -160,5 +172,8 @@ def _sliced(df, order, tie, keys, position, size, previous, running, slices) ->
     for name in previous:
         out[name] = F.when(F.col("_row") == 1, F.col(f"_last_before.{name}")).otherwise(F.col(f"_prev_{name}"))
     for name, (source, _) in running.items():
-        out[name] = F.col(name) + F.col(f"_before_{source}")
+        parts = [F.col(name), F.col(f"_before_{source}")]
+        if df.schema[source].dataType.typeName() == "decimal":  # one digit less, or the sum would lose its last place
+            parts = [p.cast(f"decimal(37,{_PLACES})") for p in parts]
+        out[name] = parts[0] + parts[1]
     return joined.select(*df.columns, *[c.alias(n) for n, c in out.items()])

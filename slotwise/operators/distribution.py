@@ -13,6 +13,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slotwise.session import cut, sized
+
+from .sketches import quantile_sketches, sketch_quantiles
+
 
 def value_counts(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
     """``keys``, ``_value`` and how often it occurs as ``_n``; nulls left out."""
@@ -23,12 +27,57 @@ def value_counts(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFr
     )
 
 
-def _ranked(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+#: More distinct values than this are not sorted in one task.
+MANY_VALUES = 200_000
+
+
+def _ranked(counts: DataFrame, keys: Sequence[str], many: bool | None = None, wanted: Sequence[float] = ()) -> DataFrame:
+    """``counts`` with rows up to a value (``_upto``), rows (``_total``) and sum (``_sum``) of the group.
+
+    Whole minutes are few, and one window a group ranks them. Fractional values can
+    be as many as rows: beyond ``MANY_VALUES`` of them, or with ``many``, only rows
+    around the ``wanted`` quantiles are ranked and returned.
+    """
+    if many is None and counts.schema["_value"].dataType.typeName() in ("double", "float", "decimal"):
+        counts = cut(counts)
+        many = counts.count() > MANY_VALUES
+    if many:
+        return _near(counts, keys, wanted)
     group = Window.partitionBy(*keys)
     upto = group.orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return counts.withColumns(
-        {"_upto": F.sum("_n").over(upto), "_total": F.sum("_n").over(group)}
-    )
+    return counts.withColumns({
+        "_upto": F.sum("_n").over(upto), "_total": F.sum("_n").over(group),
+        "_sum": F.sum(F.col("_value") * F.col("_n")).over(group)})
+
+
+def _near(counts: DataFrame, keys: Sequence[str], wanted: Sequence[float]) -> DataFrame:
+    """Selection in two steps, for any number of distinct values.
+
+    Values are range-partitioned in slices; sums over slices tell which of them
+    hold the wanted indices, and only those are sorted, each by itself.
+    """
+    spark = counts.sparkSession
+    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    group = [*keys, "_all"]  # with no keys, one column to be grouped by all the same
+    rows = cut(
+        counts.withColumn("_all", F.lit(0)).repartitionByRange(slices, *[F.col(k).asc_nulls_first() for k in keys], F.col("_value"))
+        .withColumn("_slice", F.spark_partition_id()))
+    sums = rows.groupBy(*group, "_slice").agg(F.sum("_n").alias("_here"), F.sum(F.col("_value") * F.col("_n")).alias("_part"))
+    chain = Window.partitionBy(*group)
+    sums = sums.withColumns({
+        "_before": F.sum("_here").over(chain.orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_here"),
+        "_total": F.sum("_here").over(chain), "_sum": F.sum("_part").over(chain)})
+    hit = F.lit(False)
+    for q in wanted:
+        index = F.lit(q) * (F.col("_total") - 1)
+        for i in (F.floor(index), F.ceil(index)):
+            hit = hit | ((i >= F.col("_before")) & (i < F.col("_before") + F.col("_here")))
+    # At most two slices a quantile and group.
+    chosen = sums.where(hit).drop("_here", "_part").withColumnsRenamed({k: f"_key_{k}" for k in [*group, "_slice"]})
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in [*group, "_slice"]]
+    inside = Window.partitionBy(*group, "_slice").orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = rows.join(sized(chosen), same, "inner").withColumn("_upto", F.sum("_n").over(inside) + F.col("_before"))
+    return ranked.select(*keys, "_value", "_n", "_upto", "_total", "_sum")
 
 
 def _quantile(q: float, method: str) -> Column:
@@ -53,14 +102,23 @@ def distribution(
     quantiles: Mapping[str, float],
     keys: Sequence[str] = (),
     method: str = "nearest",
+    many: bool | None = None,
 ) -> DataFrame:
-    """Count, mean, median and the named quantiles of ``column`` per group."""
+    """Count, mean, median and the named quantiles of ``column`` per group.
+
+    ``method``: ``nearest`` and ``linear`` are exact; ``approx`` takes them from
+    sketches, off by :func:`rank_error` of the rows. ``many`` says whether there are
+    many distinct values; by default fractional ones are counted first.
+    """
+    if method == "approx":
+        sketches = quantile_sketches(df, column, keys)
+        return sketch_quantiles(sketches, {"median": 0.5, **quantiles}, keys)
     return (
-        _ranked(value_counts(df, column, keys), keys)
+        _ranked(value_counts(df, column, keys), keys, many, [0.5, *quantiles.values()])
         .groupBy(*keys)
         .agg(
-            F.sum("_n").alias("n"),
-            (F.sum(F.col("_value") * F.col("_n")) / F.sum("_n")).alias("mean"),
+            F.max("_total").alias("n"),
+            (F.max("_sum") / F.max("_total")).alias("mean"),
             _quantile(0.5, "linear").alias("median"),
             *[_quantile(q, method).alias(name) for name, q in quantiles.items()],
         )
@@ -73,15 +131,16 @@ def histogram(
     bins: int | None = None,
     width: float | None = None,
     bounds: tuple[float, float] | None = None,
+    merge_empty: bool = False,
 ) -> DataFrame:
     """Equal-width bins: ``bin``, ``bin_start``, ``bin_end``, ``n``, empty bins too.
 
     Give ``bins`` for that many bins between the smallest and the largest value, or
     between ``bounds``; the last bin takes its upper edge. Give ``width`` for bins of
-    that width from 0 upward.
+    that width from 0 upward; ``merge_empty`` makes one row of a run of empty ones.
     """
     counts = value_counts(df, column)
-    return bins_of_width(counts, width) if width is not None else bins_of_range(counts, bins, bounds)
+    return bins_of_width(counts, width, merge_empty) if width is not None else bins_of_range(counts, bins, bounds)
 
 
 def bins_of_range(
@@ -106,16 +165,33 @@ def bins_of_range(
     return _fill(binned, F.min("_low"), step, F.lit(bins - 1).cast("long"), keys)
 
 
-def bins_of_width(counts: DataFrame, width: float) -> DataFrame:
-    """Bins of ``width`` from 0 up over a table of :func:`value_counts`."""
+def bins_of_width(counts: DataFrame, width: float, merge_empty: bool = False) -> DataFrame:
+    """Bins of ``width`` from 0 up over a table of :func:`value_counts`.
+
+    Empty bins up to the largest value are rows with 0, made by as many tasks as
+    they ask for; one stray value can make them very many. With ``merge_empty`` a
+    run of empty bins is one row, from the first one's start to the last one's end.
+    """
     x = F.col("_value").cast("double")
-    binned = counts.where(x >= 0).groupBy(F.floor(x / width).alias("_bin")).agg(F.sum("_n").alias("_n"))
-    return _fill(binned, F.lit(0.0), F.lit(float(width)), F.max("_bin"), ())
+    binned = cut(counts.where(x >= 0).groupBy(F.floor(x / width).alias("bin")).agg(F.sum("_n").alias("n")))
+    last = binned.agg(F.max("bin")).first()[0]
+    spark = counts.sparkSession
+    if merge_empty:
+        # One row a bin that holds something.
+        before = F.coalesce(F.lag("bin").over(Window.partitionBy(F.lit(0)).orderBy("bin")), F.lit(-1).cast("long"))
+        gap = F.struct((before + 1).alias("bin"), F.col("bin").alias("end"), F.lit(0).cast("long").alias("n"))
+        full = F.struct("bin", (F.col("bin") + 1).alias("end"), "n")
+        runs = binned.select(F.when(F.col("bin") > before + 1, F.array(gap, full)).otherwise(F.array(full)).alias("runs"))
+        bins = runs.select(F.inline("runs"))
+    else:
+        every = spark.range(0, 0 if last is None else last + 1).withColumnRenamed("id", "bin")
+        bins = every.join(sized(binned), "bin", "left").select("bin", (F.col("bin") + 1).alias("end"), F.coalesce("n", F.lit(0)).alias("n"))
+    return bins.select("bin", (F.col("bin") * float(width)).alias("bin_start"), (F.col("end") * float(width)).alias("bin_end"), "n")
 
 
 def _fill(binned: DataFrame, low: Column, step: Column, last: Column, keys: Sequence[str]) -> DataFrame:
     """One row per bin up to ``last``, with 0 where nothing fell. Bins, not rows, are
-    gathered: their number follows from the parameters and the value range."""
+    gathered: their number is a parameter."""
     gathered = binned.groupBy(*keys).agg(
         low.alias("_start"), step.alias("_step"), last.alias("_last"),
         F.map_from_entries(F.collect_list(F.struct("_bin", "_n"))).alias("_filled"),
@@ -179,20 +255,15 @@ def violin(df: DataFrame, column: str, key: str, points: int = 100) -> DataFrame
     return outline.join(marks, key)
 
 
-def box_stats(df: DataFrame, column: str, key: str, min_rows: int = 50) -> DataFrame:
+def box_stats(df: DataFrame, column: str, key: str, min_rows: int = 50, many: bool | None = None) -> DataFrame:
     """Quartiles per group, and whiskers at the outermost values inside the 5th to
     95th percentile."""
     counts = value_counts(df, column, [key])
+    marks = {"q1": 0.25, "median": 0.5, "q3": 0.75, "_p5": 0.05, "_p95": 0.95}
     boxes = (
-        _ranked(counts, [key])
+        _ranked(counts, [key], many, list(marks.values()))
         .groupBy(key)
-        .agg(
-            F.sum("_n").alias("n"),
-            *[
-                _quantile(q, "linear").alias(name)
-                for name, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("_p5", 0.05), ("_p95", 0.95))
-            ],
-        )
+        .agg(F.max("_total").alias("n"), *[_quantile(q, "linear").alias(name) for name, q in marks.items()])
         .where(F.col("n") >= min_rows)
     )
     inside = F.when(F.col("_value").between(F.col("_p5"), F.col("_p95")), F.col("_value"))

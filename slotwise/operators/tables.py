@@ -117,10 +117,21 @@ def wide_by_flag(df: DataFrame, key: str, flag: str, value: str, no: str, yes: s
     )
 
 
-def ordered_list(df: DataFrame, keys: Sequence[str], order: str, fields: Sequence[str]) -> DataFrame:
+def ordered_list(
+    df: DataFrame, keys: Sequence[str], order: str, fields: Sequence[str], length: int | None = None
+) -> DataFrame:
     """One row per group with one list per field, in order. For groups known to be
-    short; it holds a group in memory."""
+    short; it holds a group in memory.
+
+    With ``length``, ``order`` has to be the position from 1 in the group (of
+    :func:`sequence_days`, which splits large days), and a group's lists are cut
+    into segments of that many rows, numbered from 0 in ``segment``: no task holds
+    more than a segment of any group.
+    """
     packed = F.array_sort(F.collect_list(F.struct(order, *[f for f in fields if f != order])))
+    if length is not None:
+        df = df.withColumn("segment", F.floor((F.col(order) - 1) / length).cast("long"))
+        keys = [*keys, "segment"]
     return df.groupBy(*keys).agg(packed.alias("_rows")).select(
         *keys, *[F.col(f"_rows.{f}").alias(f"{f}_list") for f in fields]
     )

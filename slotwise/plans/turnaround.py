@@ -15,7 +15,10 @@ from slotwise.functions import (
     with_measures,
     within,
 )
-from slotwise.operators import box_stats, distribution, histogram, sequence_days
+from slotwise.operators import (
+    box_stats, distribution, histogram, merged_sketches, quantile_sketches, sequence_days, sketch_quantiles,
+)
+from slotwise.operators.sketches import SIZE
 
 QUARTILES = {"p25": 0.25, "p75": 0.75, "p90": 0.9}
 
@@ -55,6 +58,16 @@ def turnaround_distribution(pairs: DataFrame, method: str = "nearest") -> DataFr
     return distribution(pairs, "turnaround_min", QUARTILES, method=method)
 
 
+def turnaround_sketches(pairs: DataFrame, size: int = SIZE) -> DataFrame:
+    """A quantile sketch of turnaround per specialty and day, to be stored and merged over any days."""
+    return quantile_sketches(pairs, "turnaround_min", ["specialty", "date"], size)
+
+
+def sketched_turnaround(sketches: DataFrame, size: int = SIZE) -> DataFrame:
+    """Turnaround per specialty from the sketches of its days; exact up to ``size`` pairs, then within ``rank_error``."""
+    return sketch_quantiles(merged_sketches(sketches, ["specialty"], size), {**QUARTILES, "median": 0.5}, ["specialty"])
+
+
 def turnaround_components(pairs: DataFrame) -> DataFrame:
     return pairs.agg(
         F.avg("wait_before_cleaning_min").alias("mean_wait_before_cleaning"),

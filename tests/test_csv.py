@@ -85,6 +85,24 @@ def test_write_result(spark, tmp_path):
     assert spark.read.parquet(out).count() == 5
 
 
+def test_only_named_partitions_are_replaced(spark, tmp_path):
+    out = str(tmp_path / "t")
+    rows = spark.range(100).selectExpr("id", "concat('2024-0', 1 + id % 3) AS month")
+    write_result(rows, out, ("month",))
+    files = lambda month: sorted((p.name, p.stat().st_mtime_ns) for p in (tmp_path / "t" / f"month={month}").iterdir())
+    before = {m: files(m) for m in ("2024-01", "2024-02", "2024-03")}
+    write_result(spark.createDataFrame([(7, "2024-02")], "id long, month string"), out, ("month",), replace="partitions")
+    assert files("2024-01") == before["2024-01"] and files("2024-03") == before["2024-03"]
+    assert [r.id for r in spark.read.parquet(out).where("month = '2024-02'").collect()] == [7]
+    held = {m: files(m) for m in before}
+    bad = spark.range(50, numPartitions=4).selectExpr("IF(id = 49, CAST(raise_error('stop') AS long), id) AS id", "'2024-01' AS month")
+    with pytest.raises(Exception, match="stop"):
+        write_result(bad, out, ("month",), replace="partitions")
+    assert {m: files(m) for m in before} == held
+    with pytest.raises(ValueError):
+        write_result(rows, out, replace="partitions")
+
+
 def test_log_to_report(spark, tmp_path):
     """A file goes through loader, deduplication and a report."""
     from slotwise.operators import prepared

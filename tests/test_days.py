@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from slotwise.operators import DAY, encode, first_in_group, first_rows, hot_days, sequence_days, value_codes
+from slotwise.operators import DAY, encode, first_in_group, first_rows, hot_days, ordered_list, sequence_days, value_codes
 from slotwise.operators.days import number_rows
 
 STEPS = {
@@ -114,3 +114,31 @@ def test_one_exchange_for_all_steps(spark, cases):
     plan = sequence_days(df, "t", **STEPS)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert DAY == ("or_room", "date")
+
+
+def test_sums_of_fractions_do_not_depend_on_slices(spark):
+    """Bit for bit, whether days are split or not."""
+    df = spark.range(3000).selectExpr("id AS row_seq", "concat('R', id % 2) AS or_room", "DATE'2024-01-01' AS date",
+                                      "id * 37 % 1009 AS at", "(id * 7919 % 999983) / 7.0D AS x")
+    hot = hot_days(df, rows=0)
+    both = [
+        sorted(sequence_days(df, "at", running={"upto": ("x", True), "before": ("x", False)}, hot=h, slice_rows=400).collect(), key=lambda r: r.row_seq)
+        for h in (None, hot)
+    ]
+    assert [(r.upto, r.before) for r in both[0]] == [(r.upto, r.before) for r in both[1]]
+    assert both[0][0].__fields__ == [*df.columns, "upto", "before"]
+    last = max((r for r in both[0] if r.or_room == "R0"), key=lambda r: r.upto)
+    assert last.upto == pytest.approx(sum(r.x for r in both[0] if r.or_room == "R0"), rel=1e-12)
+
+
+def test_lists_of_long_days_come_in_segments(spark):
+    df = spark.range(200_000).selectExpr("id AS row_seq", "id AS case_id", "IF(id < 199990, 'default', 'R1') AS or_room", "DATE'2024-01-01' AS date",
+                                         "id * 7919 % 200003 AS at")
+    placed = sequence_days(df, "at", position="position", hot=hot_days(df, rows=50_000), slice_rows=30_000)
+    cut = ordered_list(placed, DAY, "position", ["case_id", "at"], length=1000)
+    assert cut.where("size(at_list) > 1000").count() == 0 and cut.where("or_room = 'default'").count() == 200
+    short = ordered_list(placed.where("or_room = 'R1'"), DAY, "position", ["case_id", "at"])
+    assert [r.at_list for r in cut.where("or_room = 'R1'").collect()] == [r.at_list for r in short.collect()]
+    inside = cut.where("or_room = 'default' and segment = 77").first()
+    every = sorted(i * 7919 % 200003 for i in range(199_990))
+    assert list(inside.at_list) == every[77_000:78_000]

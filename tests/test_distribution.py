@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from slotwise.operators import box_stats, density, distribution, histogram, violin
+from slotwise.operators import merged_sketches, quantile_sketches, rank_error, sketch_quantiles
 from slotwise.operators import correlation_table, group_fit, line_fit, prediction_quality, wide_by_flag
 
 
@@ -31,6 +32,60 @@ def test_distribution(frame, values, method):
             assert row[name] == pytest.approx(want)
 
 
+@pytest.mark.parametrize("method", ["nearest", "linear"])
+def test_many_values_give_the_same_quantiles(frame, method):
+    for keys in (["k"], []):
+        few, many = (distribution(frame, "x", QS, keys, method, many=m).collect() for m in (False, True))
+        assert sorted(few) == sorted(many) and few
+    assert sorted(box_stats(frame, "x", "k", 30, many=True).collect()) == sorted(box_stats(frame, "x", "k", 30).collect())
+    assert distribution(frame.where("k = 'zz'"), "x", QS, ["k"], many=True).collect() == []
+
+
+def test_a_million_distinct_values(spark):
+    """Fractional values, as many as rows; a third of them in one group."""
+    n = 1_000_000
+    df = spark.range(n).selectExpr("IF(id % 3 = 0, 'hot', concat('g', id % 50)) AS k", "id * 7919 % 1000003 + id / 3e6 AS x")
+    got = distribution(df, "x", QS, method="linear")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and not any("Window" in line and ", [_value" in line and "_slice" not in line for line in plan.splitlines())
+    i = np.arange(n)
+    x = np.sort(i * 7919 % 1000003 + i / 3e6)
+    row = got.first()
+    assert row.n == n and row.mean == pytest.approx(x.mean()) and row.median == pytest.approx(np.median(x))
+    assert [row[k] for k in QS] == pytest.approx([np.quantile(x, q) for q in QS.values()])
+    groups = {r.k: r for r in distribution(df, "x", QS, ["k"]).collect()}
+    hot = np.sort((i * 7919 % 1000003 + i / 3e6)[i % 3 == 0])
+    assert groups["hot"].p90 == pytest.approx(hot[int(np.floor(0.9 * (len(hot) - 1) + 0.5))])
+
+
+def test_sketches_merge_and_keep_their_bound(spark):
+    n, size = 200_000, 400
+    df = spark.range(n).selectExpr("id % 2 AS half", "cast(id * 7919 % 200003 AS double) AS x", "CAST(NULL AS double) AS none")
+    x = np.sort(np.arange(n) * 7919 % 200003)
+    halves = quantile_sketches(df, "x", ["half"], size)
+    for sketches in (merged_sketches(halves, size=size), quantile_sketches(df, "x", size=size)):
+        row = sketch_quantiles(sketches, {**QS, "median": 0.5}).first()
+        assert row.n == n and row["mean"] == pytest.approx(x.mean())
+        for name, q in {**QS, "median": 0.5}.items():
+            assert abs(np.searchsorted(x, row[name]) / n - q) < 2 * rank_error(size)
+    few = df.where("x < 300")  # fewer than the sketch keeps: exact
+    want = np.sort(x[x < 300])
+    assert distribution(few, "x", QS, method="approx").first().p90 == want[int(np.ceil(0.9 * len(want))) - 1]
+    assert distribution(df, "none", QS, method="approx").collect() == []
+    assert sketch_quantiles(merged_sketches(quantile_sketches(df.limit(0), "x")), QS).collect() == []
+
+
+def test_stray_values_make_no_sequence(spark):
+    """A value of a thousand million minutes."""
+    df = spark.createDataFrame([(3,), (4,), (12,), (10**9,), (-5,)], "x long")
+    runs = [tuple(r) for r in sorted(histogram(df, "x", width=5, merge_empty=True).collect())]
+    assert runs == [(0, 0.0, 5.0, 2), (1, 5.0, 10.0, 0), (2, 10.0, 15.0, 1), (3, 15.0, 1e9, 0), (2 * 10**8, 1e9, 1e9 + 5, 1)]
+    every = histogram(df, "x", width=5)
+    assert every.where("n > 0").count() == 3 and every.agg({"n": "sum"}).first()[0] == 4
+    assert every.rdd.getNumPartitions() > 1
+    assert histogram(df.limit(0), "x", width=5).count() == 0 == histogram(df.limit(0), "x", width=5, merge_empty=True).count()
+
+
 def test_histogram(frame, values):
     every = np.concatenate(list(values.values()))
     got = sorted(histogram(frame, "x", bins=12).collect())
