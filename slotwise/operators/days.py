@@ -51,6 +51,7 @@ def sequence_days(
     position: str | None = None,
     size: str | None = None,
     previous: Mapping[str, str] | None = None,
+    previous_known: Mapping[str, str] | None = None,
     running: Mapping[str, tuple[str, bool]] | None = None,
     hot: DataFrame | None = None,
     slice_rows: int = HOT_ROWS,
@@ -60,23 +61,24 @@ def sequence_days(
     ``position``: rank by ``order``, ties by ``tie``; null where ``order`` is null.
     ``size``: number of rows with an ``order`` value.
     ``previous``: new column -> column of the row before.
+    ``previous_known``: new column -> the last value before that is not null.
     ``running``: new column -> (column, inclusive) sum up to this row, or before it.
     Fractional minutes are summed as decimals of 15 places, so that no order or
     split of the sum changes the last bit of the result.
     ``hot``: answer of :func:`hot_days` for the same keys; its days are split. The
     rows are then written once, so hand in only the columns that are needed.
     """
-    previous, running = dict(previous or {}), dict(running or {})
+    previous, running, known = dict(previous or {}), dict(running or {}), dict(previous_known or {})
     fractional = sorted({s for s, _ in running.values() if df.schema[s].dataType.typeName() in ("double", "float")})
     if fractional:
         whole = {s: f"_fixed_{s}" for s in fractional}
         fixed = df.withColumns({w: F.col(s).cast(f"decimal(28,{_PLACES})") for s, w in whole.items()})
         summed = sequence_days(
             fixed, order, tie=tie, keys=keys, position=position, size=size, previous=previous,
-            running={n: (whole.get(s, s), inclusive) for n, (s, inclusive) in running.items()}, hot=hot, slice_rows=slice_rows)
+            previous_known=known, running={n: (whole.get(s, s), inclusive) for n, (s, inclusive) in running.items()}, hot=hot, slice_rows=slice_rows)
         return summed.withColumns({n: F.col(n).cast("double") for n, (s, _) in running.items() if s in whole}).drop(*whole.values())
     if hot is None:
-        return _plain(df, order, tie, keys, position, size, previous, running)
+        return _plain(df, order, tie, keys, position, size, previous, running, known)
 
     df = cut(df)  # both parts below read it
     same_day = [df[k].eqNullSafe(hot[k]) for k in keys]
@@ -84,8 +86,8 @@ def sequence_days(
     calm = df.join(marked, same_day, "left_anti")
     busy = df.join(marked, same_day, "left_semi")
     slices = max(2, min(MOST_SLICES, math.ceil(hot.agg(F.sum("_rows")).first()[0] / slice_rows)))
-    return _plain(calm, order, tie, keys, position, size, previous, running).unionByName(
-        _sliced(busy, order, tie, keys, position, size, previous, running, slices)
+    return _plain(calm, order, tie, keys, position, size, previous, running, known).unionByName(
+        _sliced(busy, order, tie, keys, position, size, previous, running, slices, known)
     )
 
 
@@ -105,7 +107,7 @@ def _sort(order: str, tie: str) -> list[Column]:
     return [F.col(order).asc_nulls_last(), F.col(tie).asc()]
 
 
-def _plain(df, order, tie, keys, position, size, previous, running) -> DataFrame:
+def _plain(df, order, tie, keys, position, size, previous, running, known=()) -> DataFrame:
     day = Window.partitionBy(*keys)
     steps = day.orderBy(*_sort(order, tie))
     new = {}
@@ -115,6 +117,8 @@ def _plain(df, order, tie, keys, position, size, previous, running) -> DataFrame
         new[size] = F.count(order).over(day)
     for name, source in previous.items():
         new[name] = F.lag(source).over(steps)
+    for name, source in dict(known).items():
+        new[name] = F.last(source, ignorenulls=True).over(steps.rowsBetween(Window.unboundedPreceding, -1))
     for name, (source, inclusive) in running.items():
         last = Window.currentRow if inclusive else -1
         new[name] = F.coalesce(
@@ -123,7 +127,8 @@ def _plain(df, order, tie, keys, position, size, previous, running) -> DataFrame
     return df.withColumns(new)
 
 
-def _sliced(df, order, tie, keys, position, size, previous, running, slices) -> DataFrame:
+def _sliced(df, order, tie, keys, position, size, previous, running, slices, known=()) -> DataFrame:
+    known = dict(known)
     # The slice number must not change between its two uses, whatever is recomputed
     # after a lost executor, so the sliced rows are written once.
     by_key = [F.col(k).asc_nulls_first() for k in keys]
@@ -134,7 +139,7 @@ def _sliced(df, order, tie, keys, position, size, previous, running, slices) ->
     sources = sorted({source for source, _ in running.values()})
     local = _plain(
         rows, order, tie, [*keys, "_slice"], "_place", None,
-        {f"_prev_{n}": s for n, s in previous.items()}, running,
+        {f"_prev_{n}": s for n, s in previous.items()}, running, {f"_known_{n}": s for n, s in known.items()},
     )
     steps = Window.partitionBy(*keys, "_slice").orderBy(*_sort(order, tie))
     local = local.withColumn("_row", F.row_number().over(steps))
@@ -143,9 +148,11 @@ def _sliced(df, order, tie, keys, position, size, previous, running, slices) ->
         F.struct(*[F.col(s).alias(n) for n, s in previous.items()], F.lit(1).alias("_one")),
         F.struct(F.col(order).isNull(), F.col(order), F.col(tie)),
     )
+    place = F.struct(F.col(order).isNull(), F.col(order), F.col(tie))
     carry = rows.groupBy(*keys, "_slice").agg(
         F.count(order).alias("_n"),
         last.alias("_last"),
+        *[F.max_by(s, F.when(F.col(s).isNotNull(), place)).alias(f"_end_{n}") for n, s in known.items()],
         *[F.coalesce(F.sum(s), F.lit(0)).alias(f"_sum_{s}") for s in sources],
     )
     # At most one row per slice and day, far fewer than the rows they stand for.
@@ -157,6 +164,7 @@ def _sliced(df, order, tie, keys, position, size, previous, running, slices) ->
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n_before"),
         F.sum("_n").over(Window.partitionBy(*keys)).alias("_n_day"),
         F.lag("_last").over(chain).alias("_last_before"),
+        *[F.last(f"_end_{n}", ignorenulls=True).over(before).alias(f"_end_{n}") for n in known],
         *[F.coalesce(F.sum(f"_sum_{s}").over(before), F.lit(0)).alias(f"_before_{s}") for s in sources],
     )
     # One row per (day, slice): at most `slices` + number of split days.
@@ -171,6 +179,8 @@ def _sliced(df, order, tie, keys, position, size, previous, running, slices) ->
         out[size] = F.col("_n_day")
     for name in previous:
         out[name] = F.when(F.col("_row") == 1, F.col(f"_last_before.{name}")).otherwise(F.col(f"_prev_{name}"))
+    for name in known:
+        out[name] = F.coalesce(F.col(f"_known_{name}"), F.col(f"_end_{name}"))
     for name, (source, _) in running.items():
         parts = [F.col(name), F.col(f"_before_{source}")]
         if df.schema[source].dataType.typeName() == "decimal":  # one digit less, or the sum would lose its last place

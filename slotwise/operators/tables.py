@@ -57,8 +57,10 @@ def line_fit(df: DataFrame, x: str, y: str) -> DataFrame:
     )
 
 
-def group_fit(df: DataFrame, keys: Sequence[str], y: str, others: Sequence[str] = ()) -> DataFrame:
-    """How much of ``y`` the group means explain, and what they leave.
+def group_fit(
+    df: DataFrame, keys: Sequence[str], y: str, others: Sequence[str] = (), by: Sequence[str] = ()
+) -> DataFrame:
+    """How much of ``y`` the group means explain, and what they leave; a row for each value of ``by``.
 
     ``r2`` is 1 - SSE / SST. For each column of ``others``, ``r_<column>`` is the
     correlation of the residual with it. Only sums per group are shuffled; means
@@ -75,7 +77,7 @@ def group_fit(df: DataFrame, keys: Sequence[str], y: str, others: Sequence[str]
             F.sum(F.when(pair, yv * yv)).alias(f"_yy{i}"), F.sum(x).alias(f"_x{i}"),
             F.sum(x * x).alias(f"_xx{i}"), F.sum(x * yv).alias(f"_xy{i}"),
         ]
-    groups = known.groupBy(*keys).agg(*sums)
+    groups = known.groupBy(*by, *keys).agg(*sums)
     mean = F.col("_y") / F.col("_n")
     n, sum_y, sum_yy = (F.sum(c) for c in ("_n", "_y", "_yy"))
     left = F.sum(F.col("_yy") - F.col("_y") * mean)
@@ -93,7 +95,7 @@ def group_fit(df: DataFrame, keys: Sequence[str], y: str, others: Sequence[str]
         x, xx = F.sum(sx), F.sum(sxx)
         spread = F.sqrt(rr - r * r / rows) * F.sqrt(xx - x * x / rows)
         out.append(F.try_divide(rx - r * x / rows, spread).alias(f"r_{name}"))
-    return groups.agg(*out)
+    return groups.groupBy(*by).agg(*out)
 
 
 def prediction_quality(df: DataFrame, actual: str, prediction: str) -> DataFrame:

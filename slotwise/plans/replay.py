@@ -81,7 +81,7 @@ def cascade_day_candidates(
     saved = F.least("predicted_prep", "actual_prep_min")
     steps = sequence_days(
         rows.withColumn("benefit", saved), "ts_patient_in_or_planned",
-        previous={"_before": "start_delay_min"},
+        previous_known={"_before": "start_delay_min"},
         running={"_saved": ("benefit", True)}, hot=hot,
     ).withColumn("corrected_delay", clip_low(F.col("start_delay_min") - F.col("_saved")))
     coded = "procedure_code" in steps.columns

@@ -16,7 +16,6 @@ from slotwise.operators import (
     DAY,
     attach,
     first_in_group,
-    keep_matching,
     sequence_days,
     top,
     translate,
@@ -213,16 +212,21 @@ def feasible_whatif_days(
         within(F.col("n_cases"), case_range)
         & (F.col("mean_overrun") > overrun[0]) & (F.col("mean_overrun") < overrun[1])
     )
-    # Only days of a few cases are left, so the steps below see short groups.
+    # Rows take their day's numbers along, so that one exchange on the day is left; only
+    # days of a few cases are, so the steps below see short groups.
+    numbers = ["n_cases", "mean_overrun", "mean_start_delay"]
+    kept = attach(candidates, days, list(DAY), "inner").select(
+        *DAY, "row_seq", "ts_patient_in_or_planned", "ts_patient_leaves_or_planned", "lookup_prep", *numbers)
     pairs = sequence_days(
-        _head(keep_matching(candidates, days, list(DAY)), shown), "ts_patient_in_or_planned",
+        _head(kept, shown), "ts_patient_in_or_planned",
         previous={"_left": "ts_patient_leaves_or_planned", "_need": "lookup_prep"},
     )
     room = minutes_between(F.col("_left"), F.col("ts_patient_in_or_planned"), "second")
     fits = pairs.groupBy(*DAY).agg(
-        F.coalesce(F.min(room >= F.col("_need")), F.lit(True)).alias("feasible")
+        *[F.any_value(c).alias(c) for c in numbers],
+        F.coalesce(F.min(room >= F.col("_need")), F.lit(True)).alias("_feasible"),
     )
-    return days.join(fits.where("feasible").select(*DAY), list(DAY))
+    return fits.where("_feasible").drop("_feasible")
 
 
 def feasible_whatif_day(candidates: DataFrame, shown: int = 3, **limits) -> DataFrame:

@@ -142,3 +142,16 @@ def test_lists_of_long_days_come_in_segments(spark):
     inside = cut.where("or_room = 'default' and segment = 77").first()
     every = sorted(i * 7919 % 200003 for i in range(199_990))
     assert list(inside.at_list) == every[77_000:78_000]
+
+
+def test_last_known_value_before(spark):
+    df = spark.range(400).selectExpr("id AS row_seq", "concat('R', id % 3) AS or_room", "DATE'2024-01-01' AS date", "id * 37 % 401 AS at",
+                                     "IF(id % 4 = 0 OR (id * 37 % 401) BETWEEN 100 AND 300, NULL, id) AS x")
+    hot = hot_days(df, rows=0)
+    got = [{r.row_seq: r.before for r in sequence_days(df, "at", previous_known={"before": "x"}, hot=h, slice_rows=50).collect()} for h in (None, hot)]
+    want = {}
+    for room in ("R0", "R1", "R2"):
+        last = None
+        for r in sorted((r for r in df.collect() if r.or_room == room), key=lambda r: r["at"]):
+            want[r.row_seq], last = last, r.x if r.x is not None else last
+    assert got[0] == want and got[1] == want

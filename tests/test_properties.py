@@ -172,6 +172,13 @@ def test_day_with_unseen_first_procedure_is_no_candidate(spark):
     find = lambda rows: {r.or_room for r in replay.cascade_day_candidates(rows, max_corrected=100).collect()}
     assert find(days) == {"R1"}
     assert find(days.drop("procedure_code")) == {"R1", "R2"}
+    # A missing delay in between is skipped.
+    late = lambda last: days.where("or_room = 'R1'").unionByName(days.where("or_room = 'R1' AND position = 2").selectExpr(
+        "or_room", "date", "3L AS position", "procedure_name", "procedure_code", "3L AS row_seq",
+        "ts_patient_in_or_planned + INTERVAL 1 HOUR AS ts_patient_in_or_planned", f"CAST({last} AS INT) AS start_delay_min", "prep_gap_min",
+        "planned_prep_min", "actual_prep_min", "predicted_prep")).withColumn(
+            "start_delay_min", F.when(F.col("position") != 2, F.col("start_delay_min")))
+    assert find(late(90)) == {"R1"} and find(late(10)) == set()
     one = replay.corrected_day(days, "R1", "2024-01-22")
     assert [r.corrected_delay for r in one.orderBy("position").collect()] == [2.0, 4.0]
 
