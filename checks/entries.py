@@ -19,6 +19,7 @@ from slotwise.functions import (
     position_label,
     prep_bucket,
 )
+from slotwise.functions.flags import pack_flags, unpack_flags
 from slotwise.operators import (
     attach,
     DAY,
@@ -162,6 +163,12 @@ def _case_flags(cases: DataFrame) -> DataFrame:
     )
 
 
+def _packed_flags(log: DataFrame) -> DataFrame:
+    """Counts over bits, and single flags read back."""
+    back = unpack_flags(log.withColumns({f"{p}_count": flag_count(log, f"{p}_") for p in ("staff", "resource")}))
+    return back.select("row_seq", "staff_count", "resource_count", "staff_e", "resource_d")
+
+
 def _unit_measures(cases: DataFrame) -> DataFrame:
     """Measures of stamps with seconds and microseconds, which the derived log has none of."""
     shift = lambda stamp, micros: F.expr(f"timestampadd(MICROSECOND, {micros}, {stamp})")
@@ -490,6 +497,7 @@ def build() -> dict[str, Query]:
         "row_measures": _on_cases(_row_measures),
         "unit_measures": _on_cases(_unit_measures),
         "case_flags": _on_cases(_case_flags),
+        "packed_flags": _on_log(lambda log: _packed_flags(pack_flags(log))),
         "bucket_codes": _on_cases(_bucket_codes),
         "case_positions": _on_days(_case_positions),
         "running_delay": _on_days(_running_delay),

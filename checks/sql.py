@@ -893,6 +893,9 @@ st AS (SELECT s.*, lt.lookup_prep FROM s LEFT JOIN lt ON s.specialty = lt.specia
  FROM cases WHERE delay_minutes IS NOT NULL AND ts_patient_in_or_planned IS NOT NULL
  WINDOW w AS (PARTITION BY or_room, date ORDER BY ts_patient_in_or_planned, row_seq)""",
         "", "case_id previous_delay upto before")
+    q["packed_flags"] = _q(
+        f"SELECT row_seq, {_FLAGS}, coalesce(staff_e, false) AS staff_e, resource_d FROM log",
+        "staff_e resource_d", "row_seq staff_count resource_count")
     q["first_three_cases"] = _q(
         """SELECT or_room, date, case_id FROM (SELECT *, row_number() OVER (PARTITION BY or_room, date
  ORDER BY ts_patient_in_or_planned, row_seq) AS rn FROM cases WHERE ts_patient_in_or_planned IS NOT NULL) WHERE rn <= 3""",

@@ -8,6 +8,8 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .flags import packed_names, set_bits
+
 
 def minutes_between(start: Column, end: Column, unit: str = "minute", negative: str = "keep") -> Column:
     """Minutes from ``start`` to ``end``.
@@ -32,8 +34,10 @@ def flag_count(df: DataFrame, prefix: str) -> Column:
     """How many columns of ``prefix`` are true in a row; null counts as 0.
 
     One expression whatever the number of flags, so a log with hundreds of them
-    still has a single projection.
+    still has a single projection; of packed flags it counts the bits.
     """
+    if packed_names(df, prefix):
+        return set_bits(F.col(f"{prefix}flags"))
     flags = [F.coalesce(F.col(c).cast("int"), F.lit(0)) for c in df.columns if c.startswith(prefix)]
     return reduce(add, flags, F.lit(0)).cast("long")
 

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.functions import share, with_measures, within
+from slotwise.functions.flags import flag_vector
 from slotwise.operators import encode, keep_matching, mean_coded, prediction_quality, top, value_codes
 from slotwise.session import cut
 
@@ -254,21 +255,20 @@ def linear_prep(
     return table
 
 
-def _flags(rows: DataFrame) -> tuple[DataFrame, list[str]]:
-    names = [c for c, t in rows.dtypes if t == "boolean" and c.startswith(("staff_", "resource_"))]
-    return rows.withColumns({c: F.coalesce(F.col(c), F.lit(False)).cast("double") for c in names}), names
+def _with_flags(*parts: DataFrame) -> tuple[list[DataFrame], int]:
+    """The parts with one vector of all flags, and its length."""
+    vector, length = flag_vector(parts[0])
+    return [d.withColumn("flags", vector) for d in parts], length
 
 
 def component_linear_prep(
     train: DataFrame, test: DataFrame, k: int = 50, target: str = "patient_prep_min"
 ) -> DataFrame:
     """Linear model on specialty, anesthesia, age and components of all flags."""
-    train, names = _flags(train)
-    test, _ = _flags(test)
+    (train, test), width = _with_flags(train, test)
     stages = [
         *_one_hot("specialty"),
-        VectorAssembler(inputCols=names, outputCol="flags"),
-        PCA(k=min(k, len(names)), inputCol="flags", outputCol="components"),
+        PCA(k=min(k, width), inputCol="flags", outputCol="components"),
         VectorAssembler(inputCols=["specialty_hot", "has_anesthesia", "patient_age", "components"], outputCol="features"),
     ]
     return _quality(stages, LinearRegression(labelCol=target, regParam=1e-6), cut(train), test, target, "components")
@@ -276,12 +276,10 @@ def component_linear_prep(
 
 def components_tell_specialty(train: DataFrame, test: DataFrame, k: int = 20) -> DataFrame:
     """Accuracy of specialty from the components of all flags."""
-    train, names = _flags(train)
-    test, _ = _flags(test)
+    (train, test), width = _with_flags(train, test)
     model = Pipeline(stages=[
         StringIndexer(inputCol="specialty", outputCol="label", handleInvalid="keep"),
-        VectorAssembler(inputCols=names, outputCol="flags"),
-        PCA(k=min(k, len(names)), inputCol="flags", outputCol="features"),
+        PCA(k=min(k, width), inputCol="flags", outputCol="features"),
         LogisticRegression(maxIter=50),
     ]).fit(cut(train))
     hit = F.col("prediction") == F.col("label")

@@ -5,6 +5,8 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from slotwise.functions import flag_count
+from slotwise.functions.flags import pack_flags, unpack_flags
 from slotwise.operators import mean_coded, prediction_quality
 from slotwise.plans import models
 
@@ -98,6 +100,24 @@ def test_components_carry_what_flags_know(spark):
     many = lines(models.component_linear_prep(*split(plain), k=2))
     assert many["components"].r2 > 0.9 > 0.5 > few["components"].r2
     assert models.components_tell_specialty(*split(rows), k=2).first().accuracy_pct > 95
+    packed = lines(models.component_linear_prep(*split(pack_flags(plain)), k=2))
+    assert packed["components"].r2 == pytest.approx(many["components"].r2, abs=1e-6)
+
+
+def test_packed_flags_count_and_come_back(spark, tmp_path):
+    rows = taught_rows(spark, 200, flags=210).drop("staff_count", "resource_count").withColumn(
+        "resource_063", F.when(F.col("resource_062"), True)).withColumn("staff_x", F.lit(True))
+    pack_flags(rows).write.parquet(str(tmp_path / "packed"))
+    log = spark.read.parquet(str(tmp_path / "packed"))
+    assert [c for c in log.columns if c.startswith(("staff_", "resource_"))] == ["staff_flags", "resource_flags"]
+    for prefix in ("staff_", "resource_"):
+        want = {r[0]: r[1] for r in rows.select("case_id", flag_count(rows, prefix)).collect()}
+        assert {r[0]: r[1] for r in log.select("case_id", flag_count(log, prefix)).collect()} == want
+    back = unpack_flags(log)
+    assert set(back.columns) == set(rows.columns)
+    names = [f"resource_{k:03d}" for k in range(210)]
+    want = {r.case_id: [bool(r[n]) for n in names] for r in rows.collect()}
+    assert {r.case_id: [r[n] for n in names] for r in back.collect()} == want
 
 
 def test_tiers_are_the_nearest_centres(spark):
