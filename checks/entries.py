@@ -344,8 +344,10 @@ def _corrected(predicted: DataFrame, hot: DataFrame | None, whole: bool = True)
     )
 
 
-def _feasible_days(cases: DataFrame) -> DataFrame:
-    return whatif.feasible_whatif_days(whatif.feasible_candidates(cases, hours=(0, 23)), case_range=(2, 4))
+def _feasible_days(cases: DataFrame, hot: DataFrame | None) -> DataFrame:
+    split = hot is not None
+    candidates = whatif.feasible_candidates(cases, hours=(0, 23), write=split)
+    return whatif.feasible_whatif_days(candidates, case_range=(2, 4), split=split)
 
 
 def _feasible_day(cases: DataFrame) -> DataFrame:
@@ -470,7 +472,7 @@ def build() -> dict[str, Query]:
         "whatif_start_delay": _on_cases(whatif.whatif_start_delay),
         "whatif_procedure_overrun": _on_cases(whatif.whatif_procedure_overrun),
         "lookup_residual": _on_cases(whatif.lookup_residual),
-        "feasible_whatif_days": _on_cases(_feasible_days),
+        "feasible_whatif_days": _on_days(_feasible_days),
         "feasible_whatif_day": _on_cases(_feasible_day),
         "best_whatif_days": _on_cases(_best_days),
         # audits

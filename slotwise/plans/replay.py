@@ -6,7 +6,7 @@ All of these take the surgical set with places (``surgical.with_places``) and a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotwise.functions import clip_low, occupied_or_default, within
@@ -71,8 +71,10 @@ def cascade_day_candidates(
 
     A day whose first case has a procedure that training has not seen
     (``procedure_code`` -1, where the rows have one) is left out.
-    Days are judged by aggregates. Lists of cases are built only for the ``k`` days
-    returned; their delays rise by whole minutes, so a list is short.
+    Lists of cases are built only for days that grow; their delays rise by whole
+    minutes, so a list is short. Without split days the one exchange of the steps
+    serves all that follows; split days are judged by aggregates, and the steps of
+    the ``k`` days returned are read again.
     """
     rows = predicted.where(F.col("predicted_prep").isNotNull())
     if since is not None:
@@ -85,49 +87,62 @@ def cascade_day_candidates(
         running={"_saved": ("benefit", True)}, hot=hot,
     ).withColumn("corrected_delay", clip_low(F.col("start_delay_min") - F.col("_saved")))
     coded = "procedure_code" in steps.columns
-    # Judging and listing both read the steps; they are made once.
-    steps = cut(steps.select(
+    steps = steps.select(
         *DAY, "position", "procedure_name", "start_delay_min", "_before", "prep_gap_min", "error",
         "planned_prep_min", "actual_prep_min", "predicted_prep", "corrected_delay",
         *(["procedure_code"] if coded else []),
-    ))
+    )
     first = F.col("position") == 1
-    seen = F.coalesce(F.max(F.when(first, F.col("procedure_code"))), F.lit(0)) != -1 if coded else F.lit(True)
     delay = F.col("start_delay_min")
 
-    def of_first(column: str):
+    def of_first(column: str) -> Column:
         return F.max(F.when(first, F.col(column)))
 
-    days = steps.groupBy(*DAY).agg(
-        F.count("*").alias("n_cases"),
-        F.countDistinct("procedure_name").alias("n_procedures"),
-        F.avg("error").alias("mean_error"),
-        (F.max(delay) - F.min(delay)).alias("cascade"),
-        F.max("corrected_delay").alias("max_corrected"),
-        F.min(delay > F.col("_before")).alias("_grows"),
-        seen.alias("_seen"),
-        of_first("prep_gap_min").alias("_gap"),
-        of_first("error").alias("_error"),
-        of_first("start_delay_min").alias("_delay"),
-    ).where(
+    judged = {
+        "n_cases": F.count("*"),
+        "max_corrected": F.max("corrected_delay"),
+        "_grows": F.min(delay > F.col("_before")),
+        "_gap": of_first("prep_gap_min"),
+        "_error": of_first("error"),
+        "_delay": of_first("start_delay_min"),
+        **({"_first_code": of_first("procedure_code")} if coded else {}),
+    }
+    wanted = (
         (F.col("n_cases") >= 2)
         & F.col("_grows")
-        & F.col("_seen")
         & (F.col("_gap") >= min_first_gap)
         & (F.col("_error") <= max_first_error)
         & (F.col("_delay") >= min_first_delay)
         & (F.round("max_corrected", 1) <= max_corrected)
-    ).drop("_grows", "_seen", "_gap", "_error", "_delay")
-    chosen = days.orderBy(
-        F.col("n_procedures").desc(), F.col("cascade").desc(), F.col("date"), F.col("or_room")
-    ).limit(k)
+    )
+    if coded:
+        wanted = wanted & (F.coalesce("_first_code", F.lit(0)) != -1)
+    told = {"mean_error": F.avg("error"), "cascade": F.max(delay) - F.min(delay)}
+    best = [F.col("n_procedures").desc(), F.col("cascade").desc(), F.col("date"), F.col("or_room")]
     fields = ["procedure_name", "start_delay_min", "planned_prep_min", "actual_prep_min",
               "predicted_prep", "corrected_delay"]
+    result = [*DAY, *[f"{f}_list" for f in fields], "n_cases", "n_procedures", *told, "max_corrected"]
+    if hot is None:
+        day = Window.partitionBy(*DAY)
+        rows = steps.withColumns({n: c.over(day) for n, c in judged.items()}).where(wanted)
+        packed = F.array_sort(F.collect_list(F.struct("position", *fields)))
+        days = rows.groupBy(*DAY).agg(
+            packed.alias("_rows"), F.max("n_cases").alias("n_cases"), F.max("max_corrected").alias("max_corrected"),
+            *[c.alias(n) for n, c in told.items()])
+        days = days.withColumns({f"{f}_list": F.col(f"_rows.{f}") for f in fields}).withColumn(
+            "n_procedures", F.size(F.array_distinct(F.array_compact("procedure_name_list"))).cast("long"))
+        return days.orderBy(*best).limit(k).select(*result)
+    # Judging and listing both read the steps; they are made once.
+    steps = cut(steps)
+    days = steps.groupBy(*DAY).agg(
+        *[c.alias(n) for n, c in {**judged, **told}.items()], F.countDistinct("procedure_name").alias("n_procedures")
+    ).where(wanted)
+    chosen = days.orderBy(*best).limit(k).select(*DAY, "n_cases", "n_procedures", *told, "max_corrected")
     # At most k days.
     lists = ordered_list(
         steps.join(F.broadcast(chosen.select(*DAY)), list(DAY), "left_semi"), DAY, "position", fields
     )
-    return lists.join(F.broadcast(chosen), list(DAY))
+    return lists.join(F.broadcast(chosen), list(DAY)).select(*result)
 
 
 def replay_days(

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotwise.functions import minutes_between, prep_bucket, with_measures, within
@@ -181,12 +181,13 @@ def _unallocated(cases: DataFrame, overrun: tuple[float, float], hours: tuple[in
 
 
 def feasible_candidates(
-    cases: DataFrame, min_lookup: float = 20, hours: tuple[int, int] = (7, 16)
+    cases: DataFrame, min_lookup: float = 20, hours: tuple[int, int] = (7, 16), write: bool = True
 ) -> DataFrame:
     """Cases the feasible days are made of. Several steps read them, so they are
-    written once."""
+    written once; ``write=False`` for one step that reads them once."""
     rows = _unallocated(cases, (10, 90), hours)
-    return cut(rows.where(F.col("start_delay_min").isNotNull() & (F.col("lookup_prep") > min_lookup)))
+    rows = rows.where(F.col("start_delay_min").isNotNull() & (F.col("lookup_prep") > min_lookup))
+    return cut(rows) if write else rows
 
 
 def _head(rows: DataFrame, shown: int) -> DataFrame:
@@ -201,22 +202,34 @@ def feasible_whatif_days(
     case_range: tuple[int, int] = (3, 4),
     overrun: tuple[float, float] = (15, 90),
     shown: int = 3,
+    split: bool = True,
 ) -> DataFrame:
     """Days whose first candidates leave room for the lookup prep between their
-    planned slots."""
-    days = candidates.groupBy(*DAY).agg(
-        F.count("*").alias("n_cases"),
-        F.avg("procedure_overrun_min").alias("mean_overrun"),
-        F.avg("start_delay_min").alias("mean_start_delay"),
-    ).where(
+    planned slots.
+
+    ``split`` says that a day can be too large for one task: days are then counted
+    first and only rows of days in range are exchanged. Otherwise one exchange on
+    the day serves all steps, and ``candidates`` are read once.
+    """
+    numbers = {
+        "n_cases": F.count("*"),
+        "mean_overrun": F.avg("procedure_overrun_min"),
+        "mean_start_delay": F.avg("start_delay_min"),
+    }
+    in_range = (
         within(F.col("n_cases"), case_range)
         & (F.col("mean_overrun") > overrun[0]) & (F.col("mean_overrun") < overrun[1])
     )
-    # Rows take their day's numbers along, so that one exchange on the day is left; only
-    # days of a few cases are, so the steps below see short groups.
-    numbers = ["n_cases", "mean_overrun", "mean_start_delay"]
-    kept = attach(candidates, days, list(DAY), "inner").select(
+    if split:
+        days = candidates.groupBy(*DAY).agg(*[c.alias(n) for n, c in numbers.items()]).where(in_range)
+        # Rows take their day's numbers along, so that one exchange on the day is left.
+        kept = attach(candidates, days, list(DAY), "inner")
+    else:
+        day = Window.partitionBy(*DAY)
+        kept = candidates.dropna(subset=list(DAY)).withColumns({n: c.over(day) for n, c in numbers.items()}).where(in_range)
+    kept = kept.select(
         *DAY, "row_seq", "ts_patient_in_or_planned", "ts_patient_leaves_or_planned", "lookup_prep", *numbers)
+    # Only days of a few cases are left, so the steps below see short groups.
     pairs = sequence_days(
         _head(kept, shown), "ts_patient_in_or_planned",
         previous={"_left": "ts_patient_leaves_or_planned", "_need": "lookup_prep"},

@@ -29,7 +29,7 @@ def test_query_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", [
     "delay_by_position_all", "turnaround_pairs", "planned_buffer_pairs", "or_day_classification", "day_examples",
     "delay_curve_by_day_type", "corrected_days", "increasing_days", "replay_days", "running_delay",
-    "cascade_day_candidates", "scheduling_signal_table",
+    "cascade_day_candidates", "scheduling_signal_table", "feasible_whatif_days",
 ])
 def test_query_with_split_days_equals_sql(spark, duck, monkeypatch, name):
     """Room-days above two rows take the split path."""
