@@ -24,8 +24,8 @@ DAY = ("or_room", "date")
 HOT_ROWS = 1_000_000
 # Split days together get at most this many slices; a larger log gets larger slices.
 MOST_SLICES = 10_000
-# Fractions are summed as decimals of so many places.
-_PLACES = 15
+# Fractions are summed as whole microseconds and whole parts of a microsecond.
+_MICROS, _PARTS = 60_000_000.0, float(1 << 30)
 
 
 def hot_days(df: DataFrame, keys: Sequence[str] = DAY, rows: int = HOT_ROWS) -> DataFrame | None:
@@ -63,20 +63,29 @@ def sequence_days(
     ``previous``: new column -> column of the row before.
     ``previous_known``: new column -> the last value before that is not null.
     ``running``: new column -> (column, inclusive) sum up to this row, or before it.
-    Fractional minutes are summed as decimals of 15 places, so that no order or
-    split of the sum changes the last bit of the result.
+    Fractional minutes are summed as whole numbers, so that no order or split of
+    the sum changes the last bit of the result.
     ``hot``: answer of :func:`hot_days` for the same keys; its days are split. The
     rows are then written once, so hand in only the columns that are needed.
     """
     previous, running, known = dict(previous or {}), dict(running or {}), dict(previous_known or {})
     fractional = sorted({s for s, _ in running.values() if df.schema[s].dataType.typeName() in ("double", "float")})
     if fractional:
-        whole = {s: f"_fixed_{s}" for s in fractional}
-        fixed = df.withColumns({w: F.col(s).cast(f"decimal(28,{_PLACES})") for s, w in whole.items()})
+        whole, rest, steps = {}, {}, {}
+        for s in fractional:
+            micros = F.col(s).cast("double") * _MICROS
+            whole[s], rest[s] = f"_whole_{s}", f"_rest_{s}"
+            steps |= {whole[s]: F.floor(micros).cast("long"), rest[s]: F.round((micros - F.floor(micros)) * _PARTS).cast("long")}
+        exact = {n: r for n, r in running.items() if r[0] not in whole}
+        for n, (s, inclusive) in running.items():
+            if s in whole:
+                exact |= {f"_whole_{n}": (whole[s], inclusive), f"_rest_{n}": (rest[s], inclusive)}
         summed = sequence_days(
-            fixed, order, tie=tie, keys=keys, position=position, size=size, previous=previous,
-            previous_known=known, running={n: (whole.get(s, s), inclusive) for n, (s, inclusive) in running.items()}, hot=hot, slice_rows=slice_rows)
-        return summed.withColumns({n: F.col(n).cast("double") for n, (s, _) in running.items() if s in whole}).drop(*whole.values())
+            df.withColumns(steps), order, tie=tie, keys=keys, position=position, size=size, previous=previous,
+            previous_known=known, running=exact, hot=hot, slice_rows=slice_rows)
+        fixed = {n: F.col(f"_whole_{n}") / _MICROS + F.col(f"_rest_{n}") / (_MICROS * _PARTS)
+                 for n, (s, _) in running.items() if s in whole}
+        return summed.withColumns(fixed).drop(*steps, *[n for n in exact if n not in running])
     if hot is None:
         return _plain(df, order, tie, keys, position, size, previous, running, known)
 
@@ -182,8 +191,5 @@ def _sliced(df, order, tie, keys, position, size, previous, running, slices, kno
     for name in known:
         out[name] = F.coalesce(F.col(f"_known_{name}"), F.col(f"_end_{name}"))
     for name, (source, _) in running.items():
-        parts = [F.col(name), F.col(f"_before_{source}")]
-        if df.schema[source].dataType.typeName() == "decimal":  # one digit less, or the sum would lose its last place
-            parts = [p.cast(f"decimal(37,{_PLACES})") for p in parts]
-        out[name] = parts[0] + parts[1]
+        out[name] = F.col(name) + F.col(f"_before_{source}")
     return joined.select(*df.columns, *[c.alias(n) for n, c in out.items()])
