@@ -375,13 +375,101 @@ class _Texts:
                     hit.append(100 * both >= percent * (len(x) + len(y) - both))
                 yield batch.loc[hit, ["u", "v"]]
 
+        return stored(self._with_texts(pairs).mapInPandas(run, "u long, v long"), "links")
+
+    def _with_texts(self, pairs: DataFrame, *more: str) -> DataFrame:
         a = self.table.select(F.col("node").alias("u"), F.col("packed").alias("a"))
         b = self.table.select(F.col("node").alias("v"), F.col("packed").alias("b"))
-        return stored(pairs.join(b, "v").join(a, "u").select("u", "v", "a", "b").mapInPandas(run, "u long, v long"), "links")
+        return pairs.join(b, "v").join(a, "u").select("u", "v", *more, "a", "b")
+
+    def differences(self, around: DataFrame, words: int, percent: int, most: int = 1 << 18) -> DataFrame:
+        """The shingles by which nodes v differ from their hub u, as many as ``_needed_differences`` takes.
+
+        A key stands for the hub, the shingle and whether the node or the hub has
+        it; rest counts the node's differences of this kind from here on, in the
+        order of their hashes; hub is the hub's size where the node lacks the
+        shingle, else -1.
+        """
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            z = zstandard.ZstdDecompressor()
+            kept: dict[int, np.ndarray] = {}
+            out: list[pd.DataFrame] = []
+            held = 0
+            for batch in batches:
+                for u, v, failed, a, b in zip(batch["u"], batch["v"], batch["failed"], batch["a"], batch["b"]):
+                    if u not in kept:
+                        kept = {u: shingle_sets([z.decompress(a)], words)[0]}
+                    x, y = kept[u], shingle_sets([z.decompress(b)], words)[0]
+                    for role, rest, keys, common, hub in _needed_differences(u, x, y, bool(failed), percent):
+                        out.append(pd.DataFrame({"key": keys.view(np.int64), "role": role, "node": v, "size": len(y), "common": common,
+                                                 "rest": rest, "hub": hub}))
+                        held += len(keys)
+                    if held >= most:
+                        yield pd.concat(out, ignore_index=True)
+                        out, held = [], 0
+            if out:
+                yield pd.concat(out, ignore_index=True)
+
+        return self._with_texts(around, "failed").mapInPandas(
+            run, "key long, role int, node long, size int, common int, rest int, hub int")
+
+
+#: What a node does with a difference: look for others, be found, or both.
+_SEEKS, _FOUND, _BOTH = 1, 2, 3
+
+
+def _needed_differences(u: int, hub: np.ndarray, own: np.ndarray, failed: bool, percent: int,
+                        ) -> Iterator[tuple[int, np.ndarray, np.ndarray, int, int]]:
+    """(role, rest, keys, shingles shared with the hub, hub's size or -1) of the differences by which a node that failed meets all it could link to.
+
+    Let x and y have a and b shingles and share p and q of the c of their hub. They
+    link if they share s (a + b) or more, s = percent / (100 + percent); then
+    neither size is below r = percent / 100 of the other, so s (a + b) is at least
+    r a and r b. Of two sets that share k elements or more, in any one order, the
+    first n - k + 1 of each hold a shared one.
+
+    - They share shingles outside the hub: at least r a - p, and r b - q, since
+      they share no more than p, nor q, inside it.
+    - They share none outside: all of s (a + b) is in the hub, so p is at least
+      r a and q at least r b. The hub's shingles that both lack number at least
+      k = c - p - q + s (a + b). If x failed, p < s (a + c), so b < c. With
+      D = b + c - 2 q, the differences of y, k is more than s D >= 0: both sums of
+      differences less what may differ, halved, and x has more than may differ
+      from the hub. For x, k is least where b is as near to c as sizes allow.
+      Sizes are matched by bins of c / 16, so that only those below p / s - a meet.
+    """
+    a, c = len(own), len(hub)
+    more = np.setdiff1d(own, hub, assume_unique=True)
+    less = np.setdiff1d(hub, own, assume_unique=True)
+    p, whole = a - len(more), 100 + percent
+
+    def keys(found: np.ndarray, salt: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return _mixed(found ^ _mixed(np.array([u], np.int64).view(np.uint64) * _C3 + np.uint64(salt)))
+
+    def rest(found: np.ndarray, n: int) -> np.ndarray:
+        return len(found) - np.arange(n)
+
+    take = len(more) - max(1, -(-percent * a // 100) - p) + 1
+    if take > 0 and len(more):
+        yield _BOTH if failed else _FOUND, rest(more, take), keys(more[:take], 0), p, -1
+    if 100 * p < percent * a:
+        return
+    width = max(1, c // 16)
+    take = len(less) - percent * (a + c - 2 * p) // whole
+    if a < c and take > 0:
+        yield _FOUND, rest(less, take), keys(less[:take], 1 + a // width), p, c
+    low, high = -(-percent * a // 100), min(c - 1, whole * p // percent - a)
+    if failed and low <= high and len(less):
+        near = min(max(c, low), 100 * a // percent)
+        k = max(1, -((whole * -(a + c - 2 * p + abs(c - near)) + (100 - percent) * (a + near)) // (2 * whole)))
+        take = len(less) - k + 1
+        for size in range(low // width, high // width + 1) if take > 0 else ():
+            yield _SEEKS, rest(less, take), keys(less[:take], 1 + size), p, c
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, parts: int | None = None,
-                    frequent: int = 16) -> DataFrame:
+                    frequent: int = 16, few: int = 64) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, text_hash, label.
 
     Texts link at a Jaccard similarity of at least ``percent`` (80 or more); the
@@ -394,14 +482,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, parts: i
        their number of texts. Of this order a text uses no more than the first
        values that it needs to be sure of every partner (``needed``), so a passage
        of many texts brings candidates only where a text has little else.
-    3. In a group pairs with the node that shares most values are checked: by
-       size, by sketch (the bits that differ are no more than the shingles that
-       do), and what is left over whole sets. Where such a check fails, and the
-       nodes stay in different components, the group's pairs across components
-       are checked too. Nothing that could link is left out, and a group of
-       copies of one text costs its size, not its square.
-
-    Null and empty texts have no shingles and are their own component. Rows that
+    3. In a group pairs with the node that shares most values, the hub, are
+       checked: by size, by sketch (the bits that differ are no more than the
+       shingles that do), and what is left over whole sets. A node that fails and
+       stays in another component can still link to others around the hub. Where
+       at most ``few`` nodes failed, each is checked with those in other
+       components, so pairs grow with the hub's nodes. Around other hubs such
+       pairs differ from the hub in the same shingles (``_needed_differences``):
+       nodes meet by their differences from it, and only those that share enough
+       of them are checked. Nothing that could link is left out either way, and
+       neither copies of one text nor texts that each went their own way from it
+       cost the square of their number.
+
+    Null and empty texts have no shingles and are their own component; an empty
+    table gives no rows, and columns other than doc_id and text are not read. Rows that
     repeat a doc_id and text share a result; a null doc_id is named by the
     smallest other id of its component, or null. Ids need not tell components
     apart; label does, but for texts without words, which share one.
@@ -424,18 +518,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, parts: i
     links = stored(links.unionByName(texts.linked(more, words, percent)), "links")
     labels = stored(components(links), "labels")
 
-    failed = _apart(rows.filter("u <> v"), labels)
-    group = ["g1", "g2"]
-    sizes = facts.select("node", "n").distinct()
-    far = failed.select(*group, F.col("v").alias("x"), F.col("lv").alias("lx")).join(
-        sizes.select(F.col("node").alias("x"), F.col("n").alias("nx")), "x")
-    touched = far.select(*group).distinct().withColumnsRenamed({"g1": "t1", "g2": "t2"})
-    mates = _labelled(rows.filter("u <> v").join(
-        touched, (F.col("g1") == F.col("t1")) & (F.col("g2") == F.col("t2")), "left_semi").select(*group, "v"), labels, "v")
-    mates = mates.withColumnsRenamed({"g1": "m1", "g2": "m2"}).join(sizes.select(F.col("node").alias("v"), F.col("n").alias("nv")), "v")
-    across = far.join(mates, (F.col("g1") == F.col("m1")) & (F.col("g2") == F.col("m2")) & (F.col("lx") != F.col("lv")) & (
-        100 * F.least("nx", "nv") >= percent * F.greatest("nx", "nv")))
-    again = across.select(F.least("x", "v").alias("u"), F.greatest("x", "v").alias("v")).distinct().join(
+    around = _around_hubs(rows, labels, facts)
+    crowded = around.groupBy("u").agg(F.sum(F.col("failed").cast("int")).alias("k")).filter(F.col("k") > few).select("u")
+    apart = _labelled(texts.differences(around.join(crowded, "u", "left_semi"), words, percent), labels, "node")
+    again = _could_link(stored(apart, "differences", "zstd"), percent).unionByName(
+        _beside_failed(around.join(crowded, "u", "left_anti"), percent)).distinct().join(
         stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
     again = stored(again, "again")
     if again.limit(1).count():
@@ -460,6 +547,46 @@ def _apart(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return _labelled(_labelled(rows, labels, "u"), labels, "v").filter("lu <> lv")
 
 
+def _around_hubs(rows: DataFrame, labels: DataFrame, facts: DataFrame) -> DataFrame:
+    """(u, v, failed, lv, n): nodes v of groups in which one failed against the hub u and two are in different components."""
+    seen = stored(_labelled(_labelled(rows.filter("u <> v"), labels, "u"), labels, "v").select(
+        "g1", "g2", "u", "v", (F.col("lu") != F.col("lv")).alias("failed"), "lv"), "around")
+    mixed = seen.groupBy("g1", "g2").agg(F.max("failed").alias("any"), F.min("lv").alias("l1"), F.max("lv").alias("l2")).filter(
+        "any and l1 <> l2").select("g1", "g2")
+    sizes = facts.select(F.col("node").alias("v"), "n").distinct()
+    return stored(seen.join(mixed, ["g1", "g2"], "left_semi").groupBy("u", "v", "lv").agg(F.max("failed").alias("failed")).join(
+        sizes, "v"), "around-hubs")
+
+
+def _beside_failed(around: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of a node that failed against a hub and another around it, in different components, of sizes that could link."""
+    x, y = (around.select(F.col("u").alias(f"hub_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in ("v", "lv", "n", "failed")])
+            for side in "xy")
+    met = x.filter("failed_x").join(y, F.col("hub_x") == F.col("hub_y")).filter(
+        (F.col("lv_x") != F.col("lv_y")) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & (
+            ~F.col("failed_y") | (F.col("v_x") < F.col("v_y"))))
+    return met.select(F.least("v_x", "v_y").alias("u"), F.greatest("v_x", "v_y").alias("v"))
+
+
+def _could_link(apart: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) in different components that share a difference early enough to share as many as a link takes."""
+    def side(name: str, *roles: int) -> DataFrame:
+        return apart.filter(F.col("role").isin(*roles)).select(
+            "key", *[F.col(c).alias(f"{c}_{name}") for c in ("node", "lnode", "role", "size", "common", "rest", "hub")])
+
+    both = percent * (F.col("size_x") + F.col("size_y"))
+    least = (100 + percent) * F.least("common_x", "common_y")
+    # What a link has to share beside the hub's shingles, or lack of them, is there from this difference on.
+    outside = both - least <= (100 + percent) * F.least("rest_x", "rest_y")
+    lacking = both + (100 + percent) * (F.col("hub_x") - F.col("common_x") - F.col("common_y")) <= (100 + percent) * F.least("rest_x", "rest_y")
+    enough = F.when(F.col("hub_x") < 0, outside).otherwise((least >= both) & lacking)
+    sized = 100 * F.least("size_x", "size_y") >= percent * F.greatest("size_x", "size_y")
+    once = (F.col("role_x") != _BOTH) | (F.col("role_y") != _BOTH) | (F.col("node_x") < F.col("node_y"))
+    met = side("x", _SEEKS, _BOTH).join(side("y", _FOUND, _BOTH), "key").filter(
+        (F.col("lnode_x") != F.col("lnode_y")) & (F.col("hub_x") == F.col("hub_y")) & sized & enough & once)
+    return met.select(F.least("node_x", "node_y").alias("u"), F.greatest("node_x", "node_y").alias("v"))
+
+
 def one_of_each(docs: DataFrame, **options: int) -> DataFrame:
     """``docs`` with one row of each component: of the smallest doc_id, a null one only where there is no other.
 

@@ -127,3 +127,73 @@ def test_unfinished_components_are_an_error(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
     with pytest.raises(RuntimeError):
         components(links, rounds=2)
+
+
+def _around(rows):
+    """Hub, its nodes and which of them fail against it: the rows that differences are sought in."""
+    hub, nodes = rows
+    both = [len(np.intersect1d(hub, x)) for x in nodes]
+    return [100 * k < 80 * (len(hub) + len(x) - k) for k, x in zip(both, nodes)]
+
+
+def _met(spark, families):
+    """Pairs (family, node, node) that meet by their differences, all nodes in components of their own."""
+    rows = []
+    for f, (hub, nodes) in enumerate(families):
+        for i, (x, failed) in enumerate(zip(nodes, _around((hub, nodes)))):
+            name = f * 100_000 + i
+            for role, rest, keys, common, size in jaccard._needed_differences(-7 - f, hub, x, failed, 80):
+                rows += [(int(k), role, name, name, len(x), common, int(r), size) for k, r in zip(keys.view(np.int64), rest)]
+    apart = spark.createDataFrame(rows, "key long, role int, node long, lnode long, size int, common int, rest int, hub int")
+    return {(r.u, r.v) for r in jaccard._could_link(apart, 80).distinct().collect()}
+
+
+def _links(families):
+    """Pairs that link and of which one failed against the hub."""
+    out = set()
+    for f, (hub, nodes) in enumerate(families):
+        failed = _around((hub, nodes))
+        for i, x in enumerate(nodes):
+            for j in range(i):
+                k = len(np.intersect1d(x, nodes[j]))
+                if (failed[i] or failed[j]) and 100 * k >= 80 * (len(x) + len(nodes[j]) - k):
+                    out.add((f * 100_000 + j, f * 100_000 + i))
+    return out
+
+
+def test_nodes_that_failed_meet_all_they_link_to(spark):
+    """Over hubs of any size: nodes that lack and add shingles, some from a common pool, and those inside the hub."""
+    turn = np.random.default_rng(6)
+    families = []
+    for n in [*range(1, 40), 60, 90, 137, 200, 333] * 2:
+        hub = np.unique(turn.integers(0, 2**64, n, dtype=np.uint64))
+        pool = np.unique(turn.integers(0, 2**64, max(2, n // 2), dtype=np.uint64))
+        nodes = []
+        for _ in range(14):
+            lost = turn.permutation(hub)[:turn.integers(1, n + 1)] if turn.random() < 0.3 else hub[np.sort(turn.permutation(n)[turn.integers(0, n // 3 + 1):])]
+            new = pool[:turn.integers(0, len(pool) + 1)] if turn.random() < 0.7 else turn.permutation(pool)[:2]
+            x = np.unique(np.concatenate([lost, new]))
+            nodes.append(x)
+            nodes.append(x[turn.integers(0, len(x) // 5 + 1):])
+        families.append((hub, [x for x in nodes if len(x)]))
+    want = _links(families)
+    assert len(want) > 500
+    assert want <= _met(spark, families)
+
+
+def test_strays_of_a_large_family_do_not_meet_in_pairs(spark):
+    """5,000 texts around one, a fifth of them too far from it: pairs stay far below the square."""
+    turn = np.random.default_rng(9)
+    hub = np.unique(turn.integers(0, 2**64, 150, dtype=np.uint64))
+    nodes = []
+    for i in range(5000):
+        d = 12 if i % 5 else 24
+        nodes.append(np.unique(np.concatenate([turn.permutation(hub)[d:], turn.integers(0, 2**64, d - i % 3, dtype=np.uint64)])))
+    failed = _around((hub, nodes))
+    assert sum(failed) == 1000
+    assert len(_met(spark, [(hub, nodes)])) < 5000
+
+
+def test_differences_give_the_same_components(edge_docs, edge_rows):
+    got = [tuple(r)[:3] for r in jaccard.near_duplicates(edge_docs, frequent=3, few=0, parts=7).collect()]
+    assert sorted(got, key=repr) == brute(edge_rows)
