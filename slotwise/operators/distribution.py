@@ -206,6 +206,10 @@ def _fill(binned: DataFrame, low: Column, step: Column, last: Column, keys: Sequ
     )
 
 
+#: A kernel further off than this many bandwidths is zero in double precision.
+_REACH = 38.61
+
+
 def density(
     df: DataFrame,
     column: str,
@@ -214,40 +218,76 @@ def density(
     bounds: tuple[float, float] | None = None,
     points: int = 500,
     factor: float | None = 0.15,
+    error: float | None = None,
 ) -> DataFrame:
     """Gaussian kernel density on a grid: ``keys``, ``n``, ``point``, ``x``, ``density``.
 
     The bandwidth is ``factor`` times the sample deviation of the group, or with
     ``factor=None`` the n ** (-1/5) rule. The grid spans ``bounds``, or the group's
     own range. Each distinct value is one kernel weighted by its count, so the
-    result equals a density over all rows.
+    result equals a density over all rows. A value meets only the points at which
+    its kernel is not zero.
+
+    Fractional values can be as many as rows. With ``error`` each is first shared
+    between the two ends of a cell of the bandwidth times sqrt(8 * error), so a
+    group has no more kernels than cells, whatever its rows; densities are then off
+    by at most ``error`` times the height of a group's single kernel,
+    1 / (bandwidth * sqrt(2 pi)).
     """
-    group = Window.partitionBy(*keys)
-    n = F.sum("_n").over(group)
-    total = F.sum(F.col("_value") * F.col("_n")).over(group)
-    squares = F.sum(F.col("_value") * F.col("_value") * F.col("_n")).over(group)
-    spread = F.sqrt(F.try_divide(squares - total * total / n, n - 1))
-    scale = F.lit(factor) if factor is not None else F.pow(n.cast("double"), F.lit(-0.2))
-    low = F.lit(float(bounds[0])) if bounds else F.min("_value").over(group).cast("double")
-    high = F.lit(float(bounds[1])) if bounds else F.max("_value").over(group).cast("double")
-    kernels = value_counts(df, column, keys).select(
-        *keys, "_value", "_n", n.alias("_rows"), (spread * scale).alias("_h"),
-        low.alias("_low"), high.alias("_high"),
-    ).where(F.col("_h") > 0)
-    grid = kernels.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    counts = value_counts(df, column, keys)
+    value, weight = F.col("_value"), F.col("_n")
+    scale = F.lit(factor) if factor is not None else F.pow(F.col("_rows").cast("double"), F.lit(-0.2))
+    spread = F.sqrt(F.try_divide(F.col("_squares") - F.col("_sum") * F.col("_sum") / F.col("_rows"), F.col("_rows") - 1))
+    groups = (
+        counts.groupBy(*keys)
+        .agg(F.sum(weight).alias("_rows"), F.sum(value * weight).alias("_sum"), F.sum(value * value * weight).alias("_squares"),
+             F.min(value).cast("double").alias("_low"), F.max(value).cast("double").alias("_high"))
+        .withColumn("_h", spread * scale)
+        .where(F.col("_h") > 0)
+        .select(*keys, "_rows", "_h", *([F.lit(float(b)).alias(c) for b, c in zip(bounds, ("_low", "_high"))] if bounds else ["_low", "_high"]))
+    )
+    marks = groups.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    # Without keys there is one row of marks.
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    kernels = (counts.join(marks, same) if keys else counts.join(F.broadcast(marks))).select(
+        *keys, "_rows", "_h", "_low", "_high", value.cast("double").alias("_value"), weight.cast("double").alias("_n"))
+    if error is not None:
+        kernels = _shared(kernels, keys, error)
+    step = (F.col("_high") - F.col("_low")) / (points - 1)
+    reach = F.col("_h") * _REACH
+    place = lambda at, whole, other: F.coalesce(whole(F.try_divide(at - F.col("_low"), step)), F.lit(other))
+    first = F.greatest(place(value - reach, F.ceil, 0), F.lit(0))
+    last = F.least(place(value + reach, F.floor, points - 1), F.lit(points - 1))
+    met = kernels.withColumn("point", F.explode(F.when(first <= last, F.sequence(first.cast("int"), last.cast("int")))))
     x = F.col("_low") + F.col("point") * (F.col("_high") - F.col("_low")) / (points - 1)
-    z = (x - F.col("_value")) / F.col("_h")
-    kernel = F.col("_n") * F.exp(z * z * -0.5) / (F.col("_rows") * F.col("_h") * math.sqrt(2 * math.pi))
+    z = (x - value) / F.col("_h")
+    kernel = weight * F.exp(z * z * -0.5) / (F.col("_rows") * F.col("_h") * math.sqrt(2 * math.pi))
+    # Every point of the grid once with nothing, so that those without a kernel are there.
+    grid = groups.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    named = [*keys, F.col("_rows").alias("n"), F.col("point").cast("long").alias("point"), x.alias("x")]
     return (
-        grid.select(
-            *keys, F.col("_rows").alias("n"), F.col("point").cast("long").alias("point"),
-            x.alias("x"), kernel.alias("_k"),
-        )
+        met.select(*named, kernel.alias("_k"))
+        .unionByName(grid.select(*named, F.lit(0.0).alias("_k")))
         .groupBy(*keys, "n", "point", "x")
         .agg(F.sum("_k").alias("density"))
     )
 
 
+def _shared(kernels: DataFrame, keys: Sequence[str], error: float) -> DataFrame:
+    """Kernels at cell ends in place of those at values; each value counts at both ends of its cell, more at the nearer."""
+    width = F.col("_h") * math.sqrt(8 * error)
+    at = (F.col("_value") - F.col("_low")) / width
+    cell, part = F.floor(at), at - F.floor(at)
+    ends = F.array(F.struct(cell.alias("cell"), (F.col("_n") * (1 - part)).alias("n")),
+                   F.struct((cell + 1).alias("cell"), (F.col("_n") * part).alias("n")))
+    group = [*keys, "_rows", "_h", "_low", "_high"]
+    return (
+        kernels.select(*group, F.inline(ends).alias("_cell", "_n"))
+        .groupBy(*group, "_cell").agg(F.sum("_n").alias("_n"))
+        .select(*group, (F.col("_low") + F.col("_cell") * width).alias("_value"), "_n")
+    )
+
+
 def violin(df: DataFrame, column: str, key: str, points: int = 100) -> DataFrame:
     """Outline, mean, median and count of ``column`` per value of ``key``."""
     outline = density(df, column, [key], points=points, factor=None)

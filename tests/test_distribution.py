@@ -123,6 +123,45 @@ def test_density(frame, values):
         assert [points[i] for i in range(50)] == pytest.approx(list(want))
 
 
+def kernels(v, x, h):
+    return np.exp(-0.5 * ((x[:, None] - v[None, :]) / h) ** 2).sum(1) / (len(v) * h * np.sqrt(2 * np.pi))
+
+
+@pytest.mark.parametrize("error", [None, 1e-4])
+def test_density_of_fractional_values(spark, error):
+    """Values between minutes, a stray far off, a null group, and no group at all; points out of reach are 0."""
+    rng = np.random.default_rng(3)
+    of = {"a": np.append(rng.normal(0, 1, 800), 1e6), None: rng.normal(5, 2, 400), "one": np.array([4.5])}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in of.items() for v in vs], "k string, x double").repartition(6)
+    got = {}
+    for r in density(df, "x", ["k"], points=40, factor=None if error else 0.001, error=error).collect():
+        got.setdefault(r.k, []).append(r)
+    assert set(got) == {"a", None}
+    for k, rows in got.items():
+        v, rows = of[k], sorted(rows, key=lambda r: r.point)
+        h = v.std(ddof=1) * (len(v) ** -0.2 if error else 0.001)
+        assert [r.point for r in rows] == list(range(40)) and rows[0].n == len(v)
+        off = np.abs(np.array([r.density for r in rows]) - kernels(v, np.linspace(v.min(), v.max(), 40), h))
+        assert off.max() <= (error or 1e-9) / (h * np.sqrt(2 * np.pi))
+    assert error or sum(r.density == 0 for r in got["a"]) > 30
+    alone = df.where("k IS NULL")
+    rows = sorted(density(alone, "x", points=40, bounds=(0, 10), error=error).collect(), key=lambda r: r.point)
+    h = of[None].std(ddof=1) * 0.15
+    assert np.abs(np.array([r.density for r in rows]) - kernels(of[None], np.linspace(0, 10, 40), h)).max() <= (error or 1e-9) / (h * np.sqrt(2 * np.pi))
+    assert density(df.where("k = 'zz'"), "x", points=40, error=error).collect() == []
+
+
+def test_kernels_are_bounded_by_the_bandwidth(spark):
+    """Of 200,000 values each meets few of the points, and with an error the cells stand for them."""
+    df = spark.range(200_000).selectExpr("id / 7.0D AS x")
+    plan = density(df, "x", factor=0.0001, error=1e-3)
+    assert "Window" not in plan._jdf.queryExecution().executedPlan().toString()
+    got = {r.point: r.density for r in plan.collect()}
+    want = {r.point: r.density for r in density(df, "x", factor=0.0001).collect()}
+    h = np.std(np.arange(200_000) / 7, ddof=1) * 0.0001
+    assert len(got) == 500 and max(abs(got[p] - want[p]) for p in want) <= 1e-3 / (h * np.sqrt(2 * np.pi))
+
+
 def test_violin(frame, values):
     rows = [r for r in violin(frame, "x", "k", points=20).collect() if r.k == "b"]
     v = values["b"].astype(float)
