@@ -234,7 +234,7 @@ def density(
     by at most ``error`` times the height of a group's single kernel,
     1 / (bandwidth * sqrt(2 pi)).
     """
-    counts = value_counts(df, column, keys)
+    counts = cut(value_counts(df, column, keys))  # read three times
     value, weight = F.col("_value"), F.col("_n")
     scale = F.lit(factor) if factor is not None else F.pow(F.col("_rows").cast("double"), F.lit(-0.2))
     spread = F.sqrt(F.try_divide(F.col("_squares") - F.col("_sum") * F.col("_sum") / F.col("_rows"), F.col("_rows") - 1))
