@@ -19,7 +19,7 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return webarchive.archive_round_trip(table(spark, sf_dir, "pages")).drop("uri", "payload")
+    return webarchive.archive_round_trip(table(spark, sf_dir, "pages")).drop("uri", "record_id", "refers_to_id", "payload")
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from slotwise.llm.common import shared_folder, stored
 _PACKAGES = "path string, records long, bytes long"
 _PLACES = "path string, at long, lengths array<long>"
 _RECORDS = ("page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, "
-            "uri string, payload binary")
+            "uri string, record_id string, refers_to_id string, payload binary")
 
 
 def _opened(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -30,8 +30,9 @@ def _record_id(page_id: int | None) -> str:
 
 
 def _page_id(record_id: str | None) -> int | None:
-    number = (record_id or "").strip("<>").rpartition(":")[2]
-    return int(number) if number else None
+    """The page of an id that ``_record_id`` made; ids of other writers have none."""
+    own = re.fullmatch(r"urn:page:(-?\d+)", record_id or "")
+    return int(own[1]) if own else None
 
 
 def with_first_copies(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
@@ -94,8 +95,14 @@ def read_packages(packages: DataFrame, payloads: bool = True, chunk: int = 8 <<
 
     A task opens a package's directory and index and hands out places, near ones
     together up to ``chunk`` bytes, so reading spreads beyond one task a package.
-    The payload of a response is checked against its digest. ``payload`` is null
-    for revisits, or everywhere without ``payloads``.
+    Every record in an index comes back, of any type (``record_type``) and any
+    writer; ``page_id`` and ``refers_to`` are null where the ids, ``record_id`` and
+    ``refers_to_id``, are not those of pages. A payload is the body of an HTTP
+    message, without chunks, or the whole block of other records; it is checked
+    against the digest a record gives in a known algorithm, and one that fails
+    stops the job. ``payload_digest`` is its SHA-256; of revisits, which hold none,
+    what the record says. ``payload`` is null for revisits, or everywhere without
+    ``payloads``. No packages give no rows.
     """
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -122,22 +129,31 @@ def read_packages(packages: DataFrame, payloads: bool = True, chunk: int = 8 <<
                     for length in lengths:
                         rows.append(_row(data[start:start + length], payloads))
                         start += length
-                yield pd.DataFrame(rows, columns=_COLUMNS).astype({"page_id": "Int64", "refers_to": "Int64"})
+                yield pd.DataFrame(rows, columns=_COLUMNS).astype(
+                    {"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"})
 
     found = packages.mapInPandas(places, _PLACES)
     return found.repartition("path", "at").mapInPandas(records, _RECORDS)
 
 
-_COLUMNS = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "uri", "payload"]
+_COLUMNS = [column.split()[0] for column in _RECORDS.split(", ")]
 
 
 def _row(packed: bytes, payloads: bool) -> tuple:
-    warc, http, payload = zippack.parse_record(packed)
-    kind, digest = warc["warc-type"], warc["warc-payload-digest"].removeprefix("sha256:")
-    if kind == "response" and (hashlib.sha256(payload).hexdigest() != digest or len(payload) != int(http["content-length"])):
-        raise ValueError(f"the payload of {warc['warc-record-id']} does not match its digest")
-    return (_page_id(warc["warc-record-id"]), int(http["content-length"]), digest, kind, _page_id(warc.get("warc-refers-to")),
-            warc["warc-target-uri"], payload if payloads and kind == "response" else None)
+    warc, http, body = zippack.parse_record(packed)
+    kind, said = warc["warc-type"], warc.get("warc-payload-digest", "")
+    record_id, refers_to = ((warc.get(name) or "").strip("<> ") or None for name in ("warc-record-id", "warc-refers-to"))
+    if kind == "revisit":
+        size = int(http["content-length"]) if http.get("content-length", "").isdecimal() else None
+        digest, payload = said.removeprefix("sha256:") or None, None
+    else:
+        payload = zippack.unchunked(body) if "chunked" in http.get("transfer-encoding", "").lower() else body
+        # Some writers digest the body as it was sent. Other types give the digest of another record's payload.
+        if kind in ("response", "resource") and zippack.matches(payload, said) is False and not zippack.matches(body, said):
+            raise ValueError(f"the payload of {record_id} does not match its digest {said}")
+        size, digest = len(payload), hashlib.sha256(payload).hexdigest()
+    return (_page_id(record_id), size, digest, kind, _page_id(refers_to), warc.get("warc-target-uri"), record_id, refers_to,
+            payload if payloads else None)
 
 
 def archive_round_trip(pages: DataFrame, min_bytes: int = 100, payloads: bool = False) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import json
+import re
 import struct
 import zipfile
 import zlib
@@ -142,18 +145,51 @@ def index_lines(f: BinaryIO) -> Iterator[tuple[int, int, dict]]:
 
 
 def parse_record(packed: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
-    """WARC headers, HTTP headers and payload of one compressed record; names in lower case."""
-    raw = zlib.decompress(packed, 31)
+    """WARC headers, HTTP headers and payload of one record, compressed or not; names in lower case.
+
+    The payload of a record that holds no HTTP message is its whole block.
+    """
+    raw = zlib.decompress(packed, 31) if packed[:2] == b"\x1f\x8b" else packed
     head, _, rest = raw.partition(b"\r\n\r\n")
     warc = _headers(head)
     block = rest[:int(warc["content-length"])]
+    if not warc.get("content-type", "").lower().startswith("application/http"):
+        return warc, {}, block
     head, _, payload = block.partition(b"\r\n\r\n")
     return warc, _headers(head), payload
 
 
+def unchunked(payload: bytes) -> bytes:
+    """A body without chunks; one that isn't in chunks, whatever its headers say, as it is."""
+    at, pieces = 0, []
+    while True:
+        end = payload.find(b"\r\n", at)
+        size = payload[at:end].partition(b";")[0].strip() if end >= 0 else b""
+        if not size or size.strip(b"0123456789abcdefABCDEF"):
+            return payload
+        n, at = int(size, 16), end + 2
+        if n == 0:
+            return b"".join(pieces)
+        if payload[at + n:at + n + 2] != b"\r\n":
+            return payload
+        pieces.append(payload[at:at + n])
+        at += n + 2
+
+
+def matches(payload: bytes, digest: str) -> bool | None:
+    """Whether ``algorithm:value``, in hex or base 32, is the payload's digest; None for unknown algorithms."""
+    name, _, value = digest.partition(":")
+    name = name.strip().lower().replace("-", "")
+    if name not in ("md5", "sha1", "sha256", "sha384", "sha512"):
+        return None
+    own, value = hashlib.new(name, payload, usedforsecurity=False).digest(), value.strip()
+    return value.lower() == own.hex() or value.upper().rstrip("=") == base64.b32encode(own).decode().rstrip("=")
+
+
 def _headers(head: bytes) -> dict[str, str]:
-    lines = head.decode("utf-8").split("\r\n")[1:]
-    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+    """The first of each name; a line that begins with a space goes on with the one before."""
+    lines = re.sub(r"\r\n[ \t]+", " ", head.decode("utf-8", "replace")).split("\r\n")[1:]
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in reversed(lines))}
 
 
 def _gzip(data: bytes) -> bytes:

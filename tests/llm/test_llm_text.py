@@ -1,3 +1,4 @@
+import base64
 import gzip
 import hashlib
 import io
@@ -120,6 +121,67 @@ def test_packages_are_split_and_open_with_the_zip_library(spark, tmp_path):
     assert webarchive.read_packages(packages, chunk=5_000).count() == 200
 
 
+def other_record(kind, record_id, block, http=False, **headers):
+    """A record as other writers make it."""
+    lines = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{record_id}>", "WARC-Date: 2024-05-01T00:00:00Z",
+             *[f"{k.replace('_', '-')}: {v}" for k, v in headers.items()], f"Content-Length: {len(block)}"]
+    if http:
+        lines.append("Content-Type: application/http;msgtype=response")
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def other_package(path, records, plain=False):
+    name, data, lines = "archive/rec.warc" + ("" if plain else ".gz"), b"", []
+    for r in records:
+        r = r if plain else gzip.compress(r)
+        lines.append(f'com,x)/ 2024 {json.dumps({"filename": name.rpartition("/")[2], "offset": len(data), "length": len(r)})}\n')
+        data += r
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr(name, data)
+        z.writestr("indexes/index.cdx", "".join(lines))
+
+
+def sha1(data):
+    return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+
+@pytest.mark.parametrize("plain", [False, True])
+def test_records_of_other_writers(spark, tmp_path, plain):
+    body, sent = b"<html>\xff", b"3\r\n<ht\r\n4;x=1\r\nml>\xff\r\n0\r\n\r\n"
+    head, chunked = b"HTTP/1.1 200 OK\r\nX-A: caf\xe9\r\n", b"HTTP/1.1 200 OK\r\ntransfer-encoding: Chunked\r\n\r\n"
+    uri = "http://x.example/"
+    records = [
+        other_record("warcinfo", "00", b"software: other\r\n", Content_Type="application/warc-fields"),
+        other_record("response", "01", head + b"\r\n" + body, True, WARC_Target_URI=uri, WARC_Payload_Digest=sha1(body)),
+        other_record("response", "02", chunked + sent, True, WARC_Target_URI=uri, WARC_Payload_Digest=sha1(sent)),
+        other_record("response", "03", chunked + body, True, WARC_Payload_Digest="sha-256:" + hashlib.sha256(body).hexdigest()),
+        other_record("response", "04", b"dns", Content_Type="text/dns", WARC_Payload_Digest="blake9:zz"),
+        other_record("request", "05", b"GET / HTTP/1.1\r\n\r\n", True),
+        other_record("metadata", "06", b"", WARC_Refers_To="<urn:uuid:01>"),
+        other_record("revisit", "07", head + b"Content-Length:\r\n 7\r\n\r\n", True, WARC_Refers_To="<urn:uuid:01>", WARC_Payload_Digest=sha1(body)),
+        other_record("revisit", "08", b"", WARC_Payload_Digest=sha1(body)),
+        other_record("resource", "09", b"file", WARC_Payload_Digest="md5:" + hashlib.md5(b"file").hexdigest()),
+    ]
+    path = str(tmp_path / "other.wacz")
+    other_package(path, records, plain)
+    packages = spark.createDataFrame([(path,)], "path string")
+    got = {r.record_id: r for r in webarchive.read_packages(packages, chunk=200).collect()}
+    assert sorted(got) == [f"urn:uuid:0{i}" for i in range(10)] and {(r.page_id, r.refers_to) for r in got.values()} == {(None, None)}
+    held = {"00": b"software: other\r\n", "01": body, "02": body, "03": body, "04": b"dns", "05": b"", "06": b"", "09": b"file"}
+    for i, payload in held.items():
+        r = got[f"urn:uuid:{i}"]
+        assert (bytes(r.payload), r.payload_bytes, r.payload_digest) == (payload, len(payload), hashlib.sha256(payload).hexdigest())
+    assert [got[f"urn:uuid:{i}"][3] for i in ("00", "01", "06", "07")] == ["warcinfo", "response", "metadata", "revisit"]
+    seventh, eighth = got["urn:uuid:07"], got["urn:uuid:08"]
+    assert (seventh.payload_bytes, seventh.payload_digest, seventh.refers_to_id, seventh.payload) == (7, sha1(body), "urn:uuid:01", None)
+    assert (eighth.payload_bytes, eighth.refers_to_id, eighth.uri) == (None, None, None) and got["urn:uuid:01"].uri == uri
+    assert all(r.payload is None for r in webarchive.read_packages(packages, payloads=False).collect())
+    assert webarchive.read_packages(packages.limit(0)).count() == 0
+    other_package(path, [other_record("response", "01", head + b"\r\nother", True, WARC_Payload_Digest=sha1(body))], plain)
+    with pytest.raises(Exception, match="does not match its digest"):
+        webarchive.read_packages(packages).collect()
+
+
 def test_zip64_directories(tmp_path):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
