@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from slotwise.llm.common import SPACES, fresh, stored
 from slotwise.llm.cuckoo import CuckooFilter
+from slotwise.session import sized
 
 _KEY = ["k1", "k2"]
 _REFS = "k1 long, k2 long, doc_id long"
@@ -42,23 +43,93 @@ def references(docs: DataFrame, min_chars: int) -> DataFrame:
     return long.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, _REFS).distinct()
 
 
+class _Layers:
+    """A table of which little is written when little changes: of the rows with one key the newest layer's counts.
+
+    Layers are stored tables; a row that is ``dead`` takes the key out. A layer
+    that is not at most half of the one before is merged with it, so there are few
+    layers, and a row is written again only as often as the table doubles.
+    """
+
+    def __init__(self, spark: SparkSession, keys: list[str], schema: str):
+        self.keys, self.empty = keys, spark.createDataFrame([], f"{schema}, dead boolean")
+        self.layers: list[tuple[DataFrame, int]] = []
+        self.written = 0
+
+    def put(self, rows: DataFrame, what: str) -> DataFrame:
+        """Adds ``rows`` as the newest layer and returns them as stored."""
+        if "dead" not in rows.columns:
+            rows = rows.withColumn("dead", F.lit(False))
+        rows = stored(rows.select(*self.empty.columns), what)
+        n = rows.count()
+        self.written += n
+        if n:
+            self.layers.append((rows, n))
+        while len(self.layers) > 1 and self.layers[-2][1] < 2 * self.layers[-1][1]:
+            merged = self._newest([x for x, _ in self.layers[-2:]])
+            if len(self.layers) == 2:  # nothing older to take out
+                merged = merged.filter("NOT dead")
+            merged = stored(merged, what)
+            n = merged.count()
+            self.written += n
+            self.layers[-2:] = [(merged, n)] if n else []
+        return rows
+
+    def view(self, only: DataFrame | None = None) -> DataFrame:
+        """The rows that count; with ``only``, those that have a row in it by its columns, which are key columns."""
+        layers = [x for x, _ in self.layers] or [self.empty]
+        if only is not None:
+            layers = [x.join(only, only.columns, "left_semi").select(*self.empty.columns) for x in layers]
+        return self._newest(layers).filter("NOT dead").drop("dead")
+
+    def _newest(self, layers: list[DataFrame]) -> DataFrame:
+        if len(layers) == 1:
+            return layers[0]
+        rows = layers[0].withColumn("at", F.lit(0))
+        for i, layer in enumerate(layers[1:], 1):
+            rows = rows.unionByName(layer.withColumn("at", F.lit(i)))
+        values = [c for c in self.empty.columns if c not in self.keys]
+        newest = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*values), "at").alias("newest"))
+        return newest.select(*self.keys, "newest.*")
+
+
 class LineIndex:
     """Which keys are in which documents, and which are repeated.
 
     ``refs`` has a row per key and document, ``counts`` the number of documents
     and the largest id per key (``n``, ``largest``), ``filters`` a cuckoo filter
     per shard over the keys in at least ``min_docs`` documents. All three are
-    tables in the shared folder; ``insert`` and ``delete`` write new ones in
-    which only keys of the given documents are counted anew, and move the keys
-    that cross ``min_docs`` into or out of the filters. Deleting what was
-    inserted gives the counts from before.
+    layered tables in the shared folder. ``insert`` and ``delete`` read the index
+    but write only what concerns keys of the given documents, and move the keys
+    that cross ``min_docs`` into or out of the filters of their shards. Shards
+    double when they hold more than ``shard_rows`` references on average, and halve
+    at an eighth of that, down to ``shards``. Deleting what was inserted gives the
+    counts from before.
     """
 
-    def __init__(self, spark: SparkSession, min_chars: int = 40, min_docs: int = 5, shards: int | None = None):
-        self.spark, self.min_chars, self.min_docs, self.shards = spark, min_chars, min_docs, shards
-        self.refs = spark.createDataFrame([], _REFS)
-        self.counts = spark.createDataFrame([], "k1 long, k2 long, n long, largest long")
-        self.filters = spark.createDataFrame([], "shard int, data binary")
+    def __init__(self, spark: SparkSession, min_chars: int = 40, min_docs: int = 5, shards: int = 8, shard_rows: int = 500_000):
+        self.spark, self.min_chars, self.min_docs = spark, min_chars, min_docs
+        self.least, self.shards, self.shard_rows, self.size = shards, shards, shard_rows, 0
+        self._refs = _Layers(spark, [*_KEY, "doc_id"], _REFS)
+        self._counts = _Layers(spark, _KEY, "k1 long, k2 long, n long, largest long")
+        self._filters = _Layers(spark, ["shard"], "shard int, data binary")
+
+    @property
+    def refs(self) -> DataFrame:
+        return self._refs.view()
+
+    @property
+    def counts(self) -> DataFrame:
+        return self._counts.view()
+
+    @property
+    def filters(self) -> DataFrame:
+        return self._filters.view()
+
+    @property
+    def written(self) -> int:
+        """Rows of references and counts written so far."""
+        return self._refs.written + self._counts.written
 
     def _shard(self) -> Column:
         return F.pmod("k1", F.lit(self.shards)).cast("int").alias("shard")
@@ -68,31 +139,46 @@ class LineIndex:
 
     def insert(self, docs: DataFrame) -> None:
         """Documents whose id is in the index already add the lines they lack."""
-        new = stored(references(docs, self.min_chars).join(self.refs, [*_KEY, "doc_id"], "left_anti")
-                     if self.shards else references(docs, self.min_chars), "line-refs")
-        if self.shards is None:  # bounded rows for each shard
-            self.shards = max(8, -(-new.count() // 500_000))
-            self.refs, self.counts = new, stored(self._counted(new), "line-counts")
-            self.filters = stored(self._built(self._repeated()), "line-filters")
-        else:
-            self._changed(self.refs.unionByName(new), new.select(*_KEY).distinct())
+        new = references(docs, self.min_chars)
+        if self._refs.layers:
+            new = stored(new, "line-new")
+            new = new.join(self._refs.view(new), [*_KEY, "doc_id"], "left_anti")
+        new = self._refs.put(new, "line-refs")
+        self.size += new.count()
+        old, added = self._old(new), self._counted(new)
+        now = added if old is None else old.unionByName(added).groupBy(*_KEY).agg(F.sum("n").alias("n"), F.max("largest").alias("largest"))
+        self._changed(old, self._counts.put(now, "line-counts"))
 
     def delete(self, ids: DataFrame) -> None:
         """Takes out the documents whose ``doc_id`` is in ``ids``."""
-        if self.shards:
-            ids = ids.select("doc_id").distinct()
-            gone = stored(self.refs.join(ids, "doc_id", "left_semi").select(*_KEY, "doc_id"), "line-gone")
-            self._changed(self.refs.join(ids, "doc_id", "left_anti").select(*_KEY, "doc_id"), gone.select(*_KEY).distinct())
-
-    def _changed(self, refs: DataFrame, touched: DataFrame) -> None:
-        refs = stored(refs, "line-refs")
-        fresh = self._counted(refs.join(touched, _KEY, "left_semi"))
-        old = self.counts
-        self.refs, self.counts = refs, stored(old.join(touched, _KEY, "left_anti").unionByName(fresh), "line-counts")
-        was, now = (x.filter(F.col("n") >= self.min_docs).join(touched, _KEY, "left_semi").select(*_KEY)
-                    for x in (old, self.counts))
+        if not self._refs.layers:
+            return
+        ids = ids.select(F.col("doc_id").cast("long")).filter("doc_id IS NOT NULL").distinct()
+        gone = self._refs.put(self._refs.view(ids).withColumn("dead", F.lit(True)), "line-gone")
+        self.size -= gone.count()
+        touched, old = gone.select(*_KEY).distinct(), self._old(gone)
+        left = touched.join(self._counted(self._refs.view(touched)), _KEY, "left").withColumn("dead", F.col("n").isNull())
+        self._changed(old, self._counts.put(left, "line-counts"))
+
+    def _old(self, refs: DataFrame) -> DataFrame | None:
+        """The counts, before they change, of the keys of ``refs``; None for an index without any."""
+        return stored(self._counts.view(refs.select(*_KEY).distinct()), "line-old") if self._counts.layers else None
+
+    def _changed(self, old: DataFrame | None, now: DataFrame) -> None:
+        """Brings the filters to the counts: ``old`` and ``now`` are those of the keys that changed."""
+        shards = self.shards
+        while self.size > self.shards * self.shard_rows:
+            self.shards *= 2
+        while self.shards >= 2 * self.least and 8 * self.size < self.shards * self.shard_rows:
+            self.shards //= 2
+        if old is None or shards != self.shards:
+            self._filters = _Layers(self.spark, ["shard"], "shard int, data binary")
+            self._filters.put(self._built(self._repeated()), "line-filters")
+            return
+        was, now = (x.filter(F.col("n") >= self.min_docs).select(*_KEY) for x in (old, now.filter("NOT dead")))
         moves = now.join(was, _KEY, "left_anti").withColumn("add", F.lit(True)).unionByName(
             was.join(now, _KEY, "left_anti").withColumn("add", F.lit(False)))
+        moves = stored(moves.select(self._shard(), "k1", "add"), "line-moves")
 
         def update(key: tuple, filters: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
             held = CuckooFilter.load(filters["data"][0]) if len(filters) else CuckooFilter.for_keys(np.array([], np.int64))
@@ -100,11 +186,11 @@ class LineIndex:
             room = held.add(keys["k1"][keys["add"].astype(bool)].to_numpy(np.int64))
             return pd.DataFrame({"shard": [key[0]], "data": [held.dump() if room else None]})
 
-        after = stored(self.filters.groupBy("shard").cogroup(
-            moves.select(self._shard(), "k1", "add").groupBy("shard")).applyInPandas(update, self.filters.schema), "line-filters")
+        touched = self._filters.view(moves.select("shard").distinct())
+        after = stored(touched.groupBy("shard").cogroup(moves.groupBy("shard")).applyInPandas(update, "shard int, data binary"), "line-updated")
         full = after.filter(F.col("data").isNull()).select("shard")
         again = self._built(self._repeated().withColumn("shard", self._shard()).join(full, "shard", "left_semi"))
-        self.filters = stored(after.filter(F.col("data").isNotNull()).unionByName(again), "line-filters")
+        self._filters.put(after.filter(F.col("data").isNotNull()).unionByName(again), "line-filters")
 
     def _repeated(self) -> DataFrame:
         return self.counts.filter(F.col("n") >= self.min_docs)
@@ -115,20 +201,25 @@ class LineIndex:
 
         return repeated.select(self._shard(), "k1").groupBy("shard").applyInPandas(build, "shard int, data binary")
 
-    def drops(self, salts: int = 8) -> DataFrame:
+    def drops(self, group_rows: int = 65_536) -> DataFrame:
         """(doc_id, keys): the line keys that each document loses.
 
         References meet their shard's filter in groups of a shard and a salt of
-        the document, so a line of a third of all documents is spread; only what
-        the filter lets through goes to the join with the exact counts.
+        the document. A shard has as many salts as its references, a line of a
+        third of all documents among them, need for groups of about ``group_rows``;
+        only what the filter lets through goes to the join with the exact counts.
         """
         def probe(key: tuple, rows: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
             if not len(filters) or not len(rows):
                 return rows[["k1", "k2", "doc_id"]].iloc[:0]
             return rows[CuckooFilter.load(filters["data"].iloc[0]).has(rows["k1"].to_numpy(np.int64))][["k1", "k2", "doc_id"]]
 
-        salted = self.refs.select(*_KEY, "doc_id", self._shard(), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"))
-        filters = self.filters.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+        salts = F.ceil(F.sum("n") / group_rows).cast("long").alias("salts")
+        spread = sized(self.counts.groupBy(self._shard()).agg(salts))
+        salted = self.refs.withColumn("shard", self._shard()).join(spread, "shard").select(
+            *_KEY, "doc_id", "shard", F.pmod(F.xxhash64("doc_id"), "salts").alias("salt"))
+        filters = self.filters.join(spread, "shard").select(
+            "shard", "data", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
         through = salted.groupBy("shard", "salt").cogroup(filters.groupBy("shard", "salt")).applyInPandas(probe, _REFS)
         return through.join(self._repeated(), _KEY).filter(F.col("doc_id") != F.col("largest")).groupBy("doc_id").agg(
             F.collect_list(F.struct(*_KEY)).alias("keys"))
@@ -170,7 +261,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     lower-cased. Keys of at least ``min_chars`` code points found in at least
     ``min_docs`` documents lose all their lines except in the largest doc_id
     holding it. A null text is one empty line and stays null. Rows of one doc_id
-    are one document; a row without id keeps its lines and counts for none.
+    are one document; a row without id keeps its lines and counts for none. Rows
+    that repeat lose the same lines, other columns pass through (but for the two
+    new names), and an empty table gives no rows.
     """
     index = LineIndex(docs.sparkSession, min_chars, min_docs)
     index.insert(docs)

@@ -77,6 +77,35 @@ def test_line_index_is_reversible(spark, edge_docs):
     assert rows_of(index.drops().select("doc_id", F.sort_array("keys"))) == drops
 
 
+def test_line_index_grows_and_shrinks(spark):
+    """One document to 100,000 and back: shards follow, filters miss nothing, little is written for little."""
+    line = lambda n: F.rpad(F.concat(F.lit("line "), n.cast("string")), 50, "=")
+    own, some = F.col("id") * 7, F.col("id") % 3000
+    docs = spark.range(100_000).select(F.col("id").alias("doc_id"), F.concat_ws("\n", line(own + 1_000_000), line(some), F.lit("=" * 60)).alias("text"))
+    index = linededup.LineIndex(spark, shard_rows=10_000)
+    index.insert(docs.filter("doc_id = 0"))
+    assert index.shards == 8 and index.counts.count() == 3
+    one = rows_of(index.counts)
+    index.insert(docs)
+    assert index.size == index.refs.count() == 300_000 and index.shards == 32
+    assert index.counts.count() == 103_001 and index.filters.count() == 32
+    lost = index.drops(group_rows=5_000).select("doc_id", F.size("keys").alias("n"))
+    # Each of the 3,001 shared lines stays in one document.
+    assert lost.agg(F.sum("n")).first()[0] == 200_000 - 3_001 and lost.count() == 99_999
+    before, held = index.written, rows_of(index.counts)
+    more = docs.filter("doc_id < 20").withColumn("doc_id", F.col("doc_id") + 200_000)
+    index.insert(more)
+    assert index.counts.filter("n >= 20 AND n < 100000 AND largest >= 200000").count() == 20
+    index.delete(more)
+    assert index.written - before < 20 * 3 * 6 and rows_of(index.counts) == held
+    index.delete(docs.filter("doc_id > 0"))
+    assert index.shards == 8 and rows_of(index.counts) == one and index.drops().count() == 0
+    index.delete(docs)
+    assert index.refs.count() == index.counts.count() == index.size == 0
+    index.insert(docs.filter("doc_id < 5"))
+    assert {r.doc_id for r in index.drops().collect()} == {0, 1, 2, 3}
+
+
 def test_cuckoo_filter_forgets_only_what_is_removed():
     turn = np.random.default_rng(1)
     keys = turn.integers(-2**63, 2**63, 20_000)
