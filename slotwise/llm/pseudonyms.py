@@ -218,7 +218,7 @@ _MAKE: dict[str, Callable[[Column, str], Column]] = {
 }
 
 
-def pseudonymize(docs: DataFrame, key: str = "change-me", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text with pseudonyms, n_found, and the number of each kind (``n_<kind>``).
 
     Candidates are found by pattern and checked: card numbers by their check
@@ -227,7 +227,8 @@ def pseudonymize(docs: DataFrame, key: str = "change-me", id_col: str = "doc_id"
     fails is left. A pseudonym has the shape of the value and passes the same
     check; a key gives one value one pseudonym in every document, whatever
     separators it is written with. Country codes, mail domains and the words
-    before a secret are kept. Known keys can undo it.
+    before a secret are kept. Who knows ``key`` can undo it: there is no default,
+    and an empty one is refused.
 
     Written forms: phones with + by groups of the usual lengths or without
     separators, with an area in parentheses, as 3-3-4 or 3-4-4 digits, and by
@@ -241,8 +242,11 @@ def pseudonymize(docs: DataFrame, key: str = "change-me", id_col: str = "doc_id"
     month's name, two-digit years, or no separators, and the times themselves.
 
     A null text stays null and has no finds; an empty one stays empty. Rows are
-    independent: repeated rows give repeated results, extra columns are ignored.
+    independent: repeated rows give repeated results, extra columns are ignored,
+    whatever their names. An empty table gives no rows.
     """
+    if not key:
+        raise ValueError("a key is needed")
     source = F.col("text")
     printed = F.when(source.rlike(rf"(?<!\w)(?:{_PRINTED_IBAN})(?!\w)"), _printed_ibans(source)).otherwise(F.array().cast("array<string>"))
     # Only account numbers that are valid enter the search, as they stand; so what merely looks like one hides nothing.
