@@ -94,7 +94,8 @@ def read_packages(packages: DataFrame, payloads: bool = True, chunk: int = 8 <<
     """The records of the packages, read by range through their indexes: ``_RECORDS``.
 
     A task opens a package's directory and index and hands out places, near ones
-    together up to ``chunk`` bytes, so reading spreads beyond one task a package.
+    together up to ``chunk`` bytes, so reading spreads beyond one task a package:
+    over as many tasks as there are shuffle partitions, or four chunks each.
     Every record in an index comes back, of any type (``record_type``) and any
     writer; ``page_id`` and ``refers_to`` are null where the ids, ``record_id`` and
     ``refers_to_id``, are not those of pages. A payload is the body of an HTTP
@@ -132,8 +133,13 @@ def read_packages(packages: DataFrame, payloads: bool = True, chunk: int = 8 <<
                 yield pd.DataFrame(rows, columns=_COLUMNS).astype(
                     {"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"})
 
-    found = packages.mapInPandas(places, _PLACES)
-    return found.repartition("path", "at").mapInPandas(records, _RECORDS)
+    found = stored(packages.mapInPandas(places, _PLACES), "places")
+    size = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
+    total, n = found.agg(F.coalesce(F.sum(size), F.lit(0)), F.count("*")).first()
+    # A stated number of parts: places are small rows, which would else be joined into few tasks whatever they point at.
+    spread = int(packages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(n, max(spread, -(-total // (4 * chunk)))))
+    return found.repartition(parts, "path", "at").mapInPandas(records, _RECORDS)
 
 
 _COLUMNS = [column.split()[0] for column in _RECORDS.split(", ")]
