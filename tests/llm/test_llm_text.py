@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slotwise.llm import chat, decontaminate, packing, pseudonyms, quality, registry, webarchive, zippack
-from slotwise.llm.tokens import BytePairs
+from slotwise.llm.tokens import BytePairs, is_plain
 
 SF = "/root/testdata/sf0.001"
 LOW = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -67,6 +67,45 @@ def test_special_strings_and_odd_characters_have_the_same_ids():
         assert own.encode(text, add_special_tokens=False).ids == other.encode(text)
 
 
+def test_files_with_other_rules_keep_their_own_ids(spark, edge_docs, edge_rows, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    with open(BytePairs().path, encoding="utf-8") as f:
+        spec = json.load(f)
+    assert is_plain(spec)
+    changes = {
+        "lower": lambda x: x.update(normalizer={"type": "Lowercase"}),
+        "prefix": lambda x: x["pre_tokenizer"].update(add_prefix_space=True),
+        "unsplit": lambda x: x["pre_tokenizer"].update(use_regex=False),
+        "strip": lambda x: x["added_tokens"][0].update(lstrip=True),
+        "order": lambda x: x["model"]["merges"].reverse(),
+        "fewer": lambda x: x["model"]["merges"].pop(),
+        "cut": lambda x: x.update(normalizer={"type": "NFC"}, truncation={"max_length": 3, "strategy": "LongestFirst", "stride": 0, "direction": "Right"}),
+    }
+    paths = [str(public_tokenizers.path("word_bpe_49k.json"))]
+    for name, change in changes.items():
+        other = json.loads(json.dumps(spec))
+        change(other)
+        assert not is_plain(other)
+        paths.append(str(tmp_path / f"{name}.json"))
+        with open(paths[-1], "w", encoding="utf-8") as f:
+            json.dump(other, f)
+    for path in paths:
+        own, ours = Tokenizer.from_file(path), BytePairs(path)
+        own.no_truncation()
+        for text in ("Hello  THERE, it's 12 <|endoftext|> é\u0301 日本\n", "", "unsplit words here"):
+            assert ours.encode(text) == own.encode(text, add_special_tokens=False).ids
+    own = Tokenizer.from_file(paths[0])
+    want = Counter()
+    for doc_id, text in edge_rows:
+        want[doc_id] += len(own.encode(text or "", add_special_tokens=False).ids) + 1
+    got = Counter()
+    for p in packing.pack(edge_docs, length=64, tokenizer=paths[0]).collect():
+        got[p.doc_id] += p.length
+    assert got == want
+
+
 # --- chats
 
 def test_turns_come_back_and_only_assistants_are_learned(spark):
