@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,3 +54,22 @@ def cut(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="slotwise-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+# Of rows that a learner reads again and again a task gets so many at most, 100 to 200 MB as vectors.
+TASK_ROWS = 100_000
+
+
+def dealt(df: DataFrame, task_rows: int = TASK_ROWS, rows: int | None = None) -> DataFrame:
+    """``df`` written once, and dealt evenly in whole rounds of all cores where tasks are too large.
+
+    Adaptive execution joins partitions by their compressed size, which can leave
+    tasks of millions of rows, or one task more than there are cores. Rows stay
+    where they are unless a task would get more than ``task_rows`` of them, or all
+    are more than ``rows``: what learners draw at random goes by partition.
+    """
+    df = cut(df)
+    n, cores = df.count(), df.sparkSession.sparkContext.defaultParallelism
+    if n <= (task_rows * df.rdd.getNumPartitions() if rows is None else rows):
+        return df
+    return cut(df.repartition(math.ceil(n / (task_rows * cores)) * cores))

@@ -9,6 +9,7 @@ from slotwise.functions import flag_count
 from slotwise.functions.flags import pack_flags, unpack_flags
 from slotwise.operators import mean_coded, prediction_quality
 from slotwise.plans import models
+from slotwise.session import cut
 
 CUTOFF = "2024-01-21"
 
@@ -157,3 +158,31 @@ def test_both_parts_are_counted_at_once(spark):
     rows = taught_rows(spark, 310)
     assert {r.part: r.n for r in models.split_sizes(rows, CUTOFF).collect()} == {"train": 200, "test": 110}
     assert {r.part: r.n for r in models.split_sizes(rows.limit(0), CUTOFF).collect()} == {"train": 0, "test": 0}
+
+
+def _read_by_learner(spark, run, monkeypatch):
+    """Rows of each partition that learners were given."""
+    seen, fit = [], models.Pipeline.fit
+    monkeypatch.setattr(models.Pipeline, "fit", lambda self, rows: seen.append(rows) or fit(self, rows))
+    run()
+    return seen
+
+
+def test_boosting_reads_each_combination_of_features_once(spark, monkeypatch):
+    """Rows of equal features are one weighted row, and the trees are those of all rows."""
+    rows = taught_rows(spark, 4000, patient_prep_min="CAST(10 * (id % 4) + pmod(hash(id), 13) AS DOUBLE)", patient_age="CAST(id % 6 AS DOUBLE)")
+    train, test = split(rows)
+    seen = _read_by_learner(spark, lambda: models.boosted_prep(train, test, iterations=5), monkeypatch)[0]
+    features = ["specialty_code", *models.SIX]
+    assert seen.count() == seen.select(*features).distinct().count() < train.count() / 2
+    assert seen.agg(F.sum("weight")).first()[0] == train.count()
+    got = lines(models.boosted_prep(train, test, iterations=5))["boosted trees"]
+    plain, unseen = mean_coded(cut(train), test, {"specialty": "specialty_code"}, "patient_prep_min")
+    learner = models.GBTRegressor(labelCol="patient_prep_min", maxIter=5, maxBins=128, seed=models.SEED)
+    want = models._quality([models.VectorAssembler(inputCols=features, outputCol="features")], learner, cut(plain), unseen, "patient_prep_min", "all")
+    assert [got.mae, got.r2, got.bias] == pytest.approx([want.first().mae, want.first().r2, want.first().bias], abs=1e-9)
+
+
+def test_cells_without_target_are_no_guess(spark):
+    rows = spark.createDataFrame([(1.0, 2.0), (1.0, None), (3.0, 4.0), (3.0, 8.0)], "x double, y double")
+    assert {tuple(r) for r in models.feature_cells(rows, ["x"], "y").collect()} == {(1.0, None, 2.0), (3.0, 6.0, 2.0)}
