@@ -310,7 +310,7 @@ def complexity_tiers(rows: DataFrame, k: int = 3) -> DataFrame:
     planned prep follows them."""
     numbers = ["staff_count", "resource_count", "actual_prep_min", "overtime_minutes"]
     known = rows.dropna(subset=numbers).withColumns({c: F.col(c).cast("double") for c in numbers})
-    known = cut(known)
+    known = dealt(known.select("specialty", "planned_prep_min", *numbers))
     model = Pipeline(stages=[
         *_one_hot("specialty"),
         VectorAssembler(inputCols=[*numbers, "specialty_hot"], outputCol="raw"),
