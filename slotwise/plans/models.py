@@ -342,12 +342,15 @@ def inor_regression(train: DataFrame, test: DataFrame, trees: int = 100, depth:
     """Total time in the room from everything known before the day, against the slot."""
     target = "actual_inor_min"
     coded = ["procedure_text_id", "specialty", "diagnosis_group"]
-    stages = [VectorAssembler(inputCols=[*[f"{c}_code" for c in coded], *SIX], outputCol="features")]
+    features = [*[f"{c}_code" for c in coded], *SIX]
+    stages = [VectorAssembler(inputCols=features, outputCol="features")]
     learner = RandomForestRegressor(
-        labelCol=target, numTrees=trees, maxDepth=depth, maxBins=128, seed=SEED, featureSubsetStrategy="all"
+        labelCol=target, numTrees=trees, maxDepth=depth, maxBins=128, seed=SEED, featureSubsetStrategy="all",
+        maxMemoryInMB=NODE_MB,
     )
-    train, test = mean_coded(cut(train), cut(test), _codes(*coded), target)
-    train = cut(train)
+    train, test = (cut(d.select("case_id", *coded, *SIX, "planned_inor_min", target)) for d in (train, test))
+    train, test = mean_coded(train, test, _codes(*coded), target)
+    train = dealt(train.select(*features, target), TREE_ROWS, EVEN_ROWS)
     fitted = _quality(stages, learner, train, test, target, "forest")
     slot = prediction_quality(test, target, "planned_inor_min").withColumn("model", F.lit("planned slot"))
     return fitted.unionByName(slot)

@@ -9,7 +9,7 @@ from slotwise.functions import flag_count
 from slotwise.functions.flags import pack_flags, unpack_flags
 from slotwise.operators import mean_coded, prediction_quality
 from slotwise.plans import models
-from slotwise.session import cut
+from slotwise.session import cut, dealt
 
 CUTOFF = "2024-01-21"
 
@@ -168,6 +168,33 @@ def _read_by_learner(spark, run, monkeypatch):
     return seen
 
 
+def test_learners_get_tasks_of_even_size(spark, monkeypatch):
+    """Rows that arrive in three tasks are dealt to whole rounds of all cores; few rows stay as they are."""
+    rows = taught_rows(spark, 9000).coalesce(3)
+    cores = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(models, "TREE_ROWS", 500)
+    monkeypatch.setattr(models, "EVEN_ROWS", 1000)
+    monkeypatch.setattr(dealt, "__defaults__", (500, None))
+    given = _read_by_learner(spark, lambda: (models.inor_regression(*split(rows), trees=2, depth=2), models.complexity_tiers(rows)), monkeypatch)
+    for df, n in zip(given, (split(rows)[0].count(), 9000), strict=True):
+        sizes = df.rdd.glom().map(len).collect()
+        assert sum(sizes) == n and len(sizes) % cores == 0 and max(sizes) <= 520
+    same = dealt(rows, 5000)
+    assert same.rdd.getNumPartitions() == 3 and same.exceptAll(rows).count() == 0 == rows.exceptAll(dealt(rows, 500)).count()
+
+
+def test_forests_gather_few_nodes_at_a_time(spark, monkeypatch):
+    """Sums of a task fit a core's cache, and smaller ones change nothing."""
+    trees = []
+    monkeypatch.setattr(models, "RandomForestRegressor", lambda f=models.RandomForestRegressor, **kw: trees.append(f(**kw)) or trees[-1])
+    train, test = split(taught_rows(spark, 1500))
+    first = lines(models.inor_regression(train, test, trees=5, depth=4))["forest"]
+    assert trees[0].getMaxMemoryInMB() <= 16
+    monkeypatch.setattr(models, "NODE_MB", 256)
+    again = lines(models.inor_regression(train, test, trees=5, depth=4))["forest"]
+    assert again.mae == pytest.approx(first.mae) and again.r2 == pytest.approx(first.r2)
+
+
 def test_boosting_reads_each_combination_of_features_once(spark, monkeypatch):
     """Rows of equal features are one weighted row, and the trees are those of all rows."""
     rows = taught_rows(spark, 4000, patient_prep_min="CAST(10 * (id % 4) + pmod(hash(id), 13) AS DOUBLE)", patient_age="CAST(id % 6 AS DOUBLE)")
