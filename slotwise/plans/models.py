@@ -105,10 +105,10 @@ def fit_forest(
     seed: int = SEED,
 ) -> PipelineModel:
     # Trees draw their samples by partition and row order, so the rows are fixed first.
-    rows = cut(_features(train, features, target).select(*features, F.col(target).cast("double")))
+    rows = dealt(_features(train, features, target).select(*features, F.col(target).cast("double")), TREE_ROWS, EVEN_ROWS)
     forest = RandomForestRegressor(
         labelCol=target, featuresCol="features", predictionCol="predicted_prep", numTrees=trees,
-        maxDepth=depth, maxBins=128, featureSubsetStrategy="all", seed=seed,
+        maxDepth=depth, maxBins=128, featureSubsetStrategy="all", seed=seed, maxMemoryInMB=NODE_MB,
     )
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), forest]).fit(rows)
 

@@ -213,3 +213,12 @@ def test_boosting_reads_each_combination_of_features_once(spark, monkeypatch):
 def test_cells_without_target_are_no_guess(spark):
     rows = spark.createDataFrame([(1.0, 2.0), (1.0, None), (3.0, 4.0), (3.0, 8.0)], "x double, y double")
     assert {tuple(r) for r in models.feature_cells(rows, ["x"], "y").collect()} == {(1.0, None, 2.0), (3.0, 6.0, 2.0)}
+
+
+def test_prep_forest_gets_tasks_of_even_size(spark, monkeypatch):
+    rows = spark.range(4000).selectExpr(*[f"id % {k} AS {f}" for k, f in enumerate(models.PREP_FEATURES, 2)], "id % 31 AS actual_prep_min").coalesce(3)
+    monkeypatch.setattr(models, "TREE_ROWS", 300)
+    monkeypatch.setattr(models, "EVEN_ROWS", 1000)
+    given = _read_by_learner(spark, lambda: models.fit_forest(rows, trees=2, depth=2), monkeypatch)[0]
+    sizes = given.rdd.glom().map(len).collect()
+    assert sum(sizes) == 4000 and len(sizes) % spark.sparkContext.defaultParallelism == 0 and max(sizes) <= 320
