@@ -386,39 +386,85 @@ class _Texts:
         """The shingles by which nodes v differ from their hub u, as many as ``_needed_differences`` takes.
 
         A key stands for the hub, the shingle and whether the node or the hub has
-        it; rest counts the node's differences of this kind from here on, in the
-        order of their hashes; hub is the hub's size where the node lacks the
+        it; rest counts the node's differences of this kind from here on, rare ones
+        first (``_order``); hub is the hub's size where the node lacks the
         shingle, else -1.
         """
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def sets(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int, bool, np.ndarray, np.ndarray]]:
             z = zstandard.ZstdDecompressor()
             kept: dict[int, np.ndarray] = {}
-            out: list[pd.DataFrame] = []
-            held = 0
             for batch in batches:
                 for u, v, failed, a, b in zip(batch["u"], batch["v"], batch["failed"], batch["a"], batch["b"]):
                     if u not in kept:
                         kept = {u: shingle_sets([z.decompress(a)], words)[0]}
-                    x, y = kept[u], shingle_sets([z.decompress(b)], words)[0]
-                    for role, rest, keys, common, hub in _needed_differences(u, x, y, bool(failed), percent):
-                        out.append(pd.DataFrame({"key": keys.view(np.int64), "role": role, "node": v, "size": len(y), "common": common,
-                                                 "rest": rest, "hub": hub}))
-                        held += len(keys)
-                    if held >= most:
-                        yield pd.concat(out, ignore_index=True)
-                        out, held = [], 0
+                    yield u, v, bool(failed), kept[u], shingle_sets([z.decompress(b)], words)[0]
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            n = np.zeros(1 << _CELL_BITS, np.int64)
+            for u, _, _, x, y in sets(batches):
+                for cells in _difference_cells(u, x, y, percent):
+                    n += np.bincount(cells, minlength=len(n))
+            at = np.flatnonzero(n)
+            yield pd.DataFrame({"cell": at, "n": n[at]})
+
+        pairs = self._with_texts(around, "failed")
+        often = np.zeros(1 << _CELL_BITS, np.int64)
+        for cell, n in pairs.mapInPandas(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).filter("n > 1").collect():
+            often[cell] = n
+        counts = around.sparkSession.sparkContext.broadcast(often)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            out: list[pd.DataFrame] = []
+            held = 0
+            for u, v, failed, x, y in sets(batches):
+                for role, rest, keys, common, hub in _needed_differences(u, x, y, failed, percent, counts.value):
+                    out.append(pd.DataFrame({"key": keys.view(np.int64), "role": role, "node": v, "size": len(y), "common": common,
+                                             "rest": rest, "hub": hub}))
+                    held += len(keys)
+                if held >= most:
+                    yield pd.concat(out, ignore_index=True)
+                    out, held = [], 0
             if out:
                 yield pd.concat(out, ignore_index=True)
 
-        return self._with_texts(around, "failed").mapInPandas(
-            run, "key long, role int, node long, size int, common int, rest int, hub int")
+        return pairs.mapInPandas(run, "key long, role int, node long, size int, common int, rest int, hub int")
 
 
 #: What a node does with a difference: look for others, be found, or both.
 _SEEKS, _FOUND, _BOTH = 1, 2, 3
 
 
-def _needed_differences(u: int, hub: np.ndarray, own: np.ndarray, failed: bool, percent: int,
+#: Differences are counted in so many cells (2 to this power), whatever the table's size.
+_CELL_BITS = 16
+
+
+def _difference_keys(u: int, found: np.ndarray, salt: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return _mixed(found ^ _mixed(np.array([u], np.int64).view(np.uint64) * _C3 + np.uint64(salt)))
+
+
+def _cells(u: int, found: np.ndarray, lacks: bool) -> np.ndarray:
+    return (_difference_keys(u, found, int(lacks)) >> np.uint64(64 - _CELL_BITS)).astype(np.int64)
+
+
+def _difference_cells(u: int, hub: np.ndarray, own: np.ndarray, percent: int) -> Iterator[np.ndarray]:
+    """Cells of the differences that ``_needed_differences`` chooses from."""
+    more = np.setdiff1d(own, hub, assume_unique=True)
+    yield _cells(u, more, False)
+    if 100 * (len(own) - len(more)) >= percent * len(own):
+        yield _cells(u, np.setdiff1d(hub, own, assume_unique=True), True)
+
+
+def _order(u: int, found: np.ndarray, lacks: bool, often: np.ndarray | None) -> np.ndarray:
+    """Differences by how often their cell occurs, then by hash: one order for all nodes around a hub.
+
+    Any one order is exact. With rare ones first, a passage that many nodes have
+    beside the hub comes last, and brings nodes together only if they share little else.
+    """
+    return found if often is None else found[np.argsort(often[_cells(u, found, lacks)], kind="stable")]
+
+
+def _needed_differences(u: int, hub: np.ndarray, own: np.ndarray, failed: bool, percent: int, often: np.ndarray | None = None,
                         ) -> Iterator[tuple[int, np.ndarray, np.ndarray, int, int]]:
     """(role, rest, keys, shingles shared with the hub, hub's size or -1) of the differences by which a node that failed meets all it could link to.
 
@@ -439,13 +485,12 @@ def _needed_differences(u: int, hub: np.ndarray, own: np.ndarray, failed: bool,
       Sizes are matched by bins of c / 16, so that only those below p / s - a meet.
     """
     a, c = len(own), len(hub)
-    more = np.setdiff1d(own, hub, assume_unique=True)
-    less = np.setdiff1d(hub, own, assume_unique=True)
+    more = _order(u, np.setdiff1d(own, hub, assume_unique=True), False, often)
+    less = _order(u, np.setdiff1d(hub, own, assume_unique=True), True, often)
     p, whole = a - len(more), 100 + percent
 
     def keys(found: np.ndarray, salt: int) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return _mixed(found ^ _mixed(np.array([u], np.int64).view(np.uint64) * _C3 + np.uint64(salt)))
+        return _difference_keys(u, found, salt)
 
     def rest(found: np.ndarray, n: int) -> np.ndarray:
         return len(found) - np.arange(n)
@@ -489,7 +534,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, parts: i
        at most ``few`` nodes failed, each is checked with those in other
        components, so pairs grow with the hub's nodes. Around other hubs such
        pairs differ from the hub in the same shingles (``_needed_differences``):
-       nodes meet by their differences from it, and only those that share enough
+       nodes meet by their rarest differences from it, and only those that share enough
        of them are checked. Nothing that could link is left out either way, and
        neither copies of one text nor texts that each went their own way from it
        cost the square of their number.

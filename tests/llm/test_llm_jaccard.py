@@ -197,3 +197,52 @@ def test_strays_of_a_large_family_do_not_meet_in_pairs(spark):
 def test_differences_give_the_same_components(edge_docs, edge_rows):
     got = [tuple(r)[:3] for r in jaccard.near_duplicates(edge_docs, frequent=3, few=0, parts=7).collect()]
     assert sorted(got, key=repr) == brute(edge_rows)
+
+
+def _met_counted(spark, families):
+    """As ``_met``, with differences in the order of their counts; also the rows before pairs are made distinct."""
+    often = np.zeros(1 << jaccard._CELL_BITS, np.int64)
+    for f, (hub, nodes) in enumerate(families):
+        for x in nodes:
+            for cells in jaccard._difference_cells(-7 - f, hub, x, 80):
+                often += np.bincount(cells, minlength=len(often))
+    rows = []
+    for f, (hub, nodes) in enumerate(families):
+        for i, (x, failed) in enumerate(zip(nodes, _around((hub, nodes)))):
+            name = f * 100_000 + i
+            for role, rest, keys, common, size in jaccard._needed_differences(-7 - f, hub, x, failed, 80, often):
+                rows += [(int(k), role, name, name, len(x), common, int(r), size) for k, r in zip(keys.view(np.int64), rest)]
+    apart = spark.createDataFrame(rows, "key long, role int, node long, lnode long, size int, common int, rest int, hub int")
+    met = [(r.u, r.v) for r in jaccard._could_link(apart, 80).collect()]
+    return set(met), len(met)
+
+
+def test_rare_differences_first_meet_all_links(spark):
+    turn = np.random.default_rng(11)
+    families = []
+    for n in [*range(1, 40, 3), 60, 90, 137, 200]:
+        hub = np.unique(turn.integers(0, 2**64, n, dtype=np.uint64))
+        pool = np.unique(turn.integers(0, 2**64, max(2, n // 2), dtype=np.uint64))
+        nodes = []
+        for _ in range(14):
+            kept = hub[np.sort(turn.permutation(n)[turn.integers(0, n // 3 + 1):])]
+            x = np.unique(np.concatenate([kept, pool[:turn.integers(0, len(pool) + 1)], turn.permutation(pool)[:2]]))
+            nodes += [x, x[turn.integers(0, len(x) // 5 + 1):]]
+        families.append((hub, [x for x in nodes if len(x)]))
+    want = _links(families)
+    assert len(want) > 300
+    assert want <= _met_counted(spark, families)[0]
+
+
+def test_a_passage_beside_the_hub_brings_no_pairs(spark):
+    """400 texts share half of a hub and a passage that the hub lacks, and are too far from each other; two more link."""
+    turn = np.random.default_rng(12)
+    hub = np.unique(turn.integers(0, 2**64, 340, dtype=np.uint64))
+    passage = np.unique(turn.integers(0, 2**64, 90, dtype=np.uint64))
+    nodes = [np.unique(np.concatenate([hub[:170], passage, turn.integers(0, 2**64, 130, dtype=np.uint64)])) for _ in range(400)]
+    nodes += [np.delete(nodes[0], [5, 300]), np.delete(nodes[1], [7, 200])]
+    assert all(_around((hub, nodes)))
+    want = _links([(hub, nodes)])
+    pairs, rows = _met_counted(spark, [(hub, nodes)])
+    assert want == {(0, 400), (1, 401)} and want <= pairs
+    assert rows < 2000
