@@ -15,9 +15,8 @@ from slotwise.session import cut
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-# The word classes of the queries, as UTF-8 ranges.
+# The word class of the queries, as UTF-8 ranges.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
-LETTER_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPACES = " \t\n\x0b\x0c\r"
 
 

@@ -303,6 +303,16 @@ def test_windows_of_items(spark, edge_docs, edge_rows):
     assert decontaminate.contamination(cleaned, tests.filter("item_id = 1")).filter("contaminated").count() == 0
 
 
+def test_words_by_table(spark):
+    """Every ASCII character is a word's or stands singly in the pattern: a range is tried at each character of a text."""
+    assert "-" not in decontaminate._WORD
+    around = [*range(0x180), 0x2019, 0x212A, 0x3042, 0xFFFD, 0x1F600]
+    rows = [(c, f"Ab{chr(c)}9z {chr(c)}") for c in around]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = df.select("doc_id", decontaminate.words_of(F.col("text")).alias("w"), F.regexp_count("text", F.lit(decontaminate._WORD)).alias("n")).collect()
+    assert {r.doc_id: (r.w, r.n) for r in got} == {c: (words(t), len(words(t))) for c, t in rows}
+
+
 def test_no_benchmark_and_no_documents(spark, edge_docs, no_docs):
     none = spark.createDataFrame([(1, None)], "item_id long, text string")
     assert decontaminate.contamination(edge_docs, none).filter("contaminated or n_items > 0").count() == 0
