@@ -17,16 +17,18 @@ def _with_least(edges: DataFrame) -> DataFrame:
     return both.join(least, "u")
 
 
-def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
+def components(links: DataFrame, rounds: int | None = None, most: int | None = None) -> DataFrame:
     """(node, label) for every node of ``links`` (u, v); the label is the component's least node.
 
     Large-star and small-star steps in turn: every node hangs its larger, then
     its smaller neighbours under the least one it knows, until nothing changes.
     No step gathers a node's neighbours; a hub's rows are split by adaptive
     execution. Rounds grow with the logarithm of the longest path; with ``rounds``
-    given, links that need more are an error.
+    given, links that need more are an error. ``most`` bounds the number of links;
+    no round makes more of them.
     """
-    edges = stored(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    edges = stored(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", most=most)
+    most = edges.count()
     before = None
     for done in count():
         if done == rounds:
@@ -36,7 +38,7 @@ def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
         least = low.groupBy("u").agg(F.min("v").alias("m"))
         small = low.join(least, "u")
         edges = stored(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+            least.select("u", F.col("m").alias("v"))).distinct(), "edges", most=most)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -304,7 +304,7 @@ def _grouped(met: DataFrame) -> DataFrame:
     left = each.join(lost, ["node", "band"], "left").na.fill(0, ["ls", "lw"])
     # Texts whose values at most ``frequent`` texts share, strong ones, do not suffice; and how many frequent ones they need.
     unsure = stored(left.filter("strong - ls < need").select(
-        "node", "band", F.expr("need - (strong - ls) - (weak - lw)").alias("want")), "unsure")
+        "node", "band", F.expr("need - (strong - ls) - (weak - lw)").alias("want")), "unsure", most=2 * met.filter("kind = 2").count())
     number = often.groupBy("g1").agg(F.count("*").alias("c"))
     rank = F.row_number().over(Window.partitionBy("node", "band").orderBy("c", "g1"))  # a text's own values
     used = often.join(unsure.filter("want > 0"), ["node", "band"]).join(number, "g1").withColumn("rank", rank).filter("rank <= want")
@@ -314,10 +314,11 @@ def _grouped(met: DataFrame) -> DataFrame:
     rows = stored(groups.select("g1", "g2", F.explode("members").alias("v")).unionByName(
         used.select("g1", zero, F.col("node").alias("v"))).unionByName(
         weak.select("g1", zero, F.col("node").alias("v"))), "met-rows", "zstd")
+    n = rows.count()
     weight = rows.groupBy("v").agg(F.count("*").alias("w"))
     hubs = stored(rows.join(weight, "v").groupBy("g1", "g2").agg(
-        F.max(F.struct("w", "v")).alias("m"), F.count("*").alias("k")).filter("k > 1").select("g1", "g2", "m.w", F.col("m.v").alias("u")), "hubs")
-    return stored(rows.join(hubs, ["g1", "g2"]), "stars-of-groups", "zstd")
+        F.max(F.struct("w", "v")).alias("m"), F.count("*").alias("k")).filter("k > 1").select("g1", "g2", "m.w", F.col("m.v").alias("u")), "hubs", most=n)
+    return stored(rows.join(hubs, ["g1", "g2"]), "stars-of-groups", "zstd", most=n)
 
 
 class _Texts:
@@ -554,14 +555,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, parts: i
     rows = _grouped(met)
     texts = _Texts(docs, rows.select(F.col("v").alias("node")).distinct(), facts, words)
 
-    stars = stored(rows.filter("u <> v").groupBy("u", "v").agg(F.max("w").alias("w")), "stars")
+    stars = stored(rows.filter("u <> v").groupBy("u", "v").agg(F.max("w").alias("w")), "stars", most=rows.count())
     first = stars.groupBy("v").agg(F.max(F.struct("w", "u")).alias("m")).select("m.u", "v")
     stars = stars.select("u", "v")
     links = texts.linked(first, words, percent)
-    labels = stored(components(links), "labels")
+    labels = _components(links)
     more = _apart(stars.join(first, ["u", "v"], "left_anti"), labels).select("u", "v")
     links = stored(links.unionByName(texts.linked(more, words, percent)), "links")
-    labels = stored(components(links), "labels")
+    labels = _components(links)
 
     around = _around_hubs(rows, labels, facts)
     crowded = around.groupBy("u").agg(F.sum(F.col("failed").cast("int")).alias("k")).filter(F.col("k") > few).select("u")
@@ -572,7 +573,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, parts: i
     again = stored(again, "again")
     if again.limit(1).count():
         links = links.unionByName(texts.linked(again, words, percent))
-        labels = stored(components(links), "labels")
+        labels = _components(links)
 
     named = facts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("smallest"))
@@ -581,6 +582,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, parts: i
         F.when(F.col("n") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id"), "text_hash", "label")
 
 
+def _components(links: DataFrame) -> DataFrame:
+    """(node, label) of stored links, whose files tell their number."""
+    n = links.count()
+    return stored(components(links, most=n), "labels", most=2 * n)
+
+
 def _labelled(rows: DataFrame, labels: DataFrame, column: str) -> DataFrame:
     name = f"l{column}"
     own = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
@@ -594,13 +601,14 @@ def _apart(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _around_hubs(rows: DataFrame, labels: DataFrame, facts: DataFrame) -> DataFrame:
     """(u, v, failed, lv, n): nodes v of groups in which one failed against the hub u and two are in different components."""
+    n = rows.count()
     seen = stored(_labelled(_labelled(rows.filter("u <> v"), labels, "u"), labels, "v").select(
-        "g1", "g2", "u", "v", (F.col("lu") != F.col("lv")).alias("failed"), "lv"), "around")
+        "g1", "g2", "u", "v", (F.col("lu") != F.col("lv")).alias("failed"), "lv"), "around", most=n)
     mixed = seen.groupBy("g1", "g2").agg(F.max("failed").alias("any"), F.min("lv").alias("l1"), F.max("lv").alias("l2")).filter(
         "any and l1 <> l2").select("g1", "g2")
     sizes = facts.select(F.col("node").alias("v"), "n").distinct()
     return stored(seen.join(mixed, ["g1", "g2"], "left_semi").groupBy("u", "v", "lv").agg(F.max("failed").alias("failed")).join(
-        sizes, "v"), "around-hubs")
+        sizes, "v"), "around-hubs", most=n)
 
 
 def _beside_failed(around: DataFrame, percent: int) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from slotwise.llm import jaccard
+from slotwise.llm.common import stored
 from slotwise.llm.components import components
 
 LOW = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -123,6 +124,28 @@ def test_labels_are_the_least_nodes(spark):
     assert {k for k, v in group.items() if v != k} <= set(got)
 
 
+def test_small_tables_are_few_files(spark, monkeypatch):
+    few, many = (stored(spark.range(0, 100, 1, 40), "files", most=n) for n in (100, 10**9))
+    assert len(few.inputFiles()) == 1 and len(many.inputFiles()) == 40 and few.count() == many.count() == 100
+    written = []
+
+    def spy(df, what, *args, **more):
+        written.append(stored(df, what, *args, **more))
+        return written[-1]
+
+    monkeypatch.setattr("slotwise.llm.components.stored", spy)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        labels = components(spark.createDataFrame([(i, i + 1) for i in range(200)], "u long, v long"))
+        assert {r.label for r in labels.collect()} == {0} and labels.count() == 201
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert len(written[0].inputFiles()) > 1 and all(len(t.inputFiles()) == 1 for t in written[1:])
+
+
 def test_unfinished_components_are_an_error(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
     with pytest.raises(RuntimeError):
