@@ -57,20 +57,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-#: A task that writes rows of a few numbers gets so many of them, where there are not enough for all tasks.
-FILE_ROWS = 10_000
+#: A task that writes rows of a few numbers gets so many of them, where there are not enough for all tasks; of texts so many.
+FILE_ROWS, FILE_TEXTS = 10_000, 2_000
 
 
-def stored(df: DataFrame, what: str, codec: str = "lz4", most: int | None = None) -> DataFrame:
+def stored(df: DataFrame, what: str, codec: str = "lz4", most: int | None = None, task_rows: int = FILE_ROWS) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it from there.
 
     For tables that are read twice: a lost executor costs no recomputation of
     what stands before, and the files are compressed, unlike a checkpoint's.
-    ``most`` bounds the rows of a table of a few numbers: a small one is written
-    by few tasks, since a file costs more than its rows; a large one as it is dealt.
+    ``most`` bounds the rows, ``task_rows`` of which make a task: a small table is
+    written by few tasks, since a file costs more than its rows, and Hadoop without
+    its native library starts processes for each; a large one as it is dealt.
     """
     if most is not None:
-        df = df.coalesce(most // FILE_ROWS + 1)
+        df = df.coalesce(most // task_rows + 1)
     path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

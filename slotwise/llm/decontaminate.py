@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import ascii_lower, fresh
+from slotwise.llm.common import FILE_ROWS, ascii_lower, fresh
 from slotwise.session import cut
 
 #: A word in a text of either case. Java's regex looks single characters of a class up in
@@ -34,8 +34,8 @@ def test_windows(benchmark: DataFrame, length: int) -> tuple[DataFrame, list[int
     An item of fewer than ``length`` words, but not none, is one window.
     """
     words = benchmark.select("item_id", words_of(F.col("text")).alias("words")).filter(F.size("words") > 0)
-    sizes = words.select(F.least(F.size("words"), F.lit(length)).alias("m")).distinct().orderBy("m").collect()
-    lengths = [r["m"] for r in sizes]  # at most ``length`` numbers
+    sizes = words.groupBy(F.least(F.size("words"), F.lit(length)).alias("m")).agg(F.sum(F.size("words")).alias("n")).orderBy("m").collect()
+    lengths, most = [r["m"] for r in sizes], sum(r["n"] for r in sizes)  # at most ``length`` numbers; no more windows than words
     parts = None
     for m in lengths:
         own = F.size("words") >= length if m == length else F.size("words") == m
@@ -43,7 +43,8 @@ def test_windows(benchmark: DataFrame, length: int) -> tuple[DataFrame, list[int
         parts = part if parts is None else parts.unionByName(part)
     if parts is None:
         return None, []
-    return cut(parts.groupBy("hash", "m", "window").agg(F.collect_set("item_id").alias("item_ids"))), lengths
+    found = parts.groupBy("hash", "m", "window").agg(F.collect_set("item_id").alias("item_ids"))
+    return cut(found.coalesce(most // FILE_ROWS + 1)), lengths
 
 
 def window_hits(docs: DataFrame, benchmark: DataFrame, length: int = 10,

@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import fresh, stored
+from slotwise.llm.common import FILE_TEXTS, fresh, stored
 from slotwise.llm.components import components
 
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -68,7 +68,8 @@ def shingle_sets(texts: list[bytes], words: int = 5) -> list[np.ndarray]:
     return out
 
 
-def _text_parts(texts: Iterable[bytes], most: int = 1 << 20) -> Iterator[list[bytes]]:
+def _text_parts(texts: Iterable[bytes], most: int = 1 << 17) -> Iterator[list[bytes]]:
+    """Parts of some ``most`` bytes; a byte takes some 70 in ``shingle_sets``, which a worker keeps after."""
     part, size = [], 0
     for t in texts:
         part.append(t)
@@ -164,7 +165,7 @@ _STAND_IN = 255
 _ALL = 10**9
 
 
-def _send(docs: DataFrame, parts: int, frequent: int, words: int, flush: int = 800_000) -> DataFrame:
+def _send(docs: DataFrame, parts: int, frequent: int, words: int, flush: int = 400_000) -> DataFrame:
     """Block values dealt into parts, in a few long rows a task instead of a row a value."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         values: list[np.ndarray] = []
@@ -311,9 +312,11 @@ def _grouped(met: DataFrame) -> DataFrame:
     weak = shared.filter("kind = 3").join(unsure, ["node", "band"])
     groups = met.filter("kind = 0").select("g1", "g2", "members").dropDuplicates(["g1", "g2"])
     zero = F.lit(0).cast("long").alias("g2")
+    number_of = F.when(F.col("kind") == 0, F.size("members")).when(F.col("kind").isin(1, 3), 1)
+    most = met.agg(F.sum(number_of).alias("n")).first()["n"] or 0
     rows = stored(groups.select("g1", "g2", F.explode("members").alias("v")).unionByName(
         used.select("g1", zero, F.col("node").alias("v"))).unionByName(
-        weak.select("g1", zero, F.col("node").alias("v"))), "met-rows", "zstd")
+        weak.select("g1", zero, F.col("node").alias("v"))), "met-rows", "zstd", most=most)
     n = rows.count()
     weight = rows.groupBy("v").agg(F.count("*").alias("w"))
     hubs = stored(rows.join(weight, "v").groupBy("g1", "g2").agg(
@@ -322,9 +325,9 @@ def _grouped(met: DataFrame) -> DataFrame:
 
 
 class _Texts:
-    """Texts of the nodes in question, for checking pairs."""
+    """Texts of the nodes in question, ``most`` of them, for checking pairs."""
 
-    def __init__(self, docs: DataFrame, nodes: DataFrame, facts: DataFrame, words: int):
+    def __init__(self, docs: DataFrame, nodes: DataFrame, facts: DataFrame, words: int, most: int):
         chosen = facts.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("p")).select(
             F.col("p.doc_id").alias("_id"), F.col("p.text_hash").alias("_hash"), "node")
 
@@ -344,7 +347,7 @@ class _Texts:
 
         same = packed["text_hash"].eqNullSafe(chosen["_hash"]) & packed["doc_id"].eqNullSafe(chosen["_id"])
         self.table = stored(packed.join(chosen, same).select("node", "packed").dropDuplicates(["node"]).mapInPandas(
-            measure, "node long, packed binary, size long, sketch binary"), "near-texts")
+            measure, "node long, packed binary, size long, sketch binary"), "near-texts", most=most, task_rows=FILE_TEXTS)
 
     def near(self, pairs: DataFrame, percent: int) -> DataFrame:
         """The pairs (u, v) that sizes and sketches do not rule out."""
@@ -359,8 +362,8 @@ class _Texts:
         sized = pairs.join(b, "v").join(a, "u").filter(100 * F.least("a", "b") >= percent * F.greatest("a", "b"))
         return sized.select("u", "v", "a", "b", "x", "y").mapInPandas(run, "u long, v long")
 
-    def linked(self, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-        """The pairs (u, v) whose sets are alike: sketches first, then the whole sets."""
+    def linked(self, pairs: DataFrame, words: int, percent: int, most: int) -> DataFrame:
+        """The pairs (u, v), of ``most``, whose sets are alike: sketches first, then the whole sets."""
         pairs = self.near(pairs, percent)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -376,7 +379,7 @@ class _Texts:
                     hit.append(100 * both >= percent * (len(x) + len(y) - both))
                 yield batch.loc[hit, ["u", "v"]]
 
-        return stored(self._with_texts(pairs).mapInPandas(run, "u long, v long"), "links")
+        return stored(self._with_texts(pairs).mapInPandas(run, "u long, v long"), "links", most=most, task_rows=FILE_TEXTS)
 
     def _with_texts(self, pairs: DataFrame, *more: str) -> DataFrame:
         a = self.table.select(F.col("node").alias("u"), F.col("packed").alias("a"))
@@ -550,29 +553,34 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, parts: i
         raise ValueError("the sketches are laid out for similarities of 80 percent and more")
     spark = docs.sparkSession
     parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = stored(_meet(_send(docs, parts, frequent, words).withColumn("parts", F.lit(parts).cast("long")), frequent), "met", "zstd")
+    n = docs.count()
+    met = stored(_meet(_send(docs, parts, frequent, words).withColumn("parts", F.lit(parts).cast("long")), frequent), "met", "zstd",
+                 most=n, task_rows=FILE_TEXTS)
     facts = met.filter("kind = 2").select("doc_id", "text_hash", "node", "n")
     rows = _grouped(met)
-    texts = _Texts(docs, rows.select(F.col("v").alias("node")).distinct(), facts, words)
+    texts = _Texts(docs, rows.select(F.col("v").alias("node")).distinct(), facts, words, n)
 
     stars = stored(rows.filter("u <> v").groupBy("u", "v").agg(F.max("w").alias("w")), "stars", most=rows.count())
     first = stars.groupBy("v").agg(F.max(F.struct("w", "u")).alias("m")).select("m.u", "v")
-    stars = stars.select("u", "v")
-    links = texts.linked(first, words, percent)
+    stars, most = stars.select("u", "v"), stars.count()
+    links = texts.linked(first, words, percent, min(n, most))
     labels = _components(links)
     more = _apart(stars.join(first, ["u", "v"], "left_anti"), labels).select("u", "v")
-    links = stored(links.unionByName(texts.linked(more, words, percent)), "links")
+    more = texts.linked(more, words, percent, most)
+    links = stored(links.unionByName(more), "links", most=links.count() + more.count())
     labels = _components(links)
 
     around = _around_hubs(rows, labels, facts)
     crowded = around.groupBy("u").agg(F.sum(F.col("failed").cast("int")).alias("k")).filter(F.col("k") > few).select("u")
     apart = _labelled(texts.differences(around.join(crowded, "u", "left_semi"), words, percent), labels, "node")
-    again = _could_link(stored(apart, "differences", "zstd"), percent).unionByName(
+    apart = stored(apart, "differences", "zstd", most=around.count(), task_rows=FILE_TEXTS)  # some dozens of a node
+    again = _could_link(apart, percent).unionByName(
         _beside_failed(around.join(crowded, "u", "left_anti"), percent)).distinct().join(
         stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
     again = stored(again, "again")
-    if again.limit(1).count():
-        links = links.unionByName(texts.linked(again, words, percent))
+    most = again.count()
+    if most:
+        links = links.unionByName(texts.linked(again, words, percent, most))
         labels = _components(links)
 
     named = facts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

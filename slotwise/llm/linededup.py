@@ -56,11 +56,11 @@ class _Layers:
         self.layers: list[tuple[DataFrame, int]] = []
         self.written = 0
 
-    def put(self, rows: DataFrame, what: str) -> DataFrame:
-        """Adds ``rows`` as the newest layer and returns them as stored."""
+    def put(self, rows: DataFrame, what: str, most: int | None = None) -> DataFrame:
+        """Adds ``rows``, ``most`` of them, as the newest layer and returns them as stored."""
         if "dead" not in rows.columns:
             rows = rows.withColumn("dead", F.lit(False))
-        rows = stored(rows.select(*self.empty.columns), what)
+        rows = stored(rows.select(*self.empty.columns), what, most=most)
         n = rows.count()
         self.written += n
         if n:
@@ -144,10 +144,11 @@ class LineIndex:
             new = stored(new, "line-new")
             new = new.join(self._refs.view(new), [*_KEY, "doc_id"], "left_anti")
         new = self._refs.put(new, "line-refs")
-        self.size += new.count()
-        old, added = self._old(new), self._counted(new)
+        most = new.count()
+        self.size += most
+        old, added = self._old(new, most), self._counted(new)
         now = added if old is None else old.unionByName(added).groupBy(*_KEY).agg(F.sum("n").alias("n"), F.max("largest").alias("largest"))
-        self._changed(old, self._counts.put(now, "line-counts"))
+        self._changed(old, self._counts.put(now, "line-counts", most))
 
     def delete(self, ids: DataFrame) -> None:
         """Takes out the documents whose ``doc_id`` is in ``ids``."""
@@ -155,14 +156,15 @@ class LineIndex:
             return
         ids = ids.select(F.col("doc_id").cast("long")).filter("doc_id IS NOT NULL").distinct()
         gone = self._refs.put(self._refs.view(ids).withColumn("dead", F.lit(True)), "line-gone")
-        self.size -= gone.count()
-        touched, old = gone.select(*_KEY).distinct(), self._old(gone)
+        most = gone.count()
+        self.size -= most
+        touched, old = gone.select(*_KEY).distinct(), self._old(gone, most)
         left = touched.join(self._counted(self._refs.view(touched)), _KEY, "left").withColumn("dead", F.col("n").isNull())
-        self._changed(old, self._counts.put(left, "line-counts"))
+        self._changed(old, self._counts.put(left, "line-counts", most))
 
-    def _old(self, refs: DataFrame) -> DataFrame | None:
-        """The counts, before they change, of the keys of ``refs``; None for an index without any."""
-        return stored(self._counts.view(refs.select(*_KEY).distinct()), "line-old") if self._counts.layers else None
+    def _old(self, refs: DataFrame, most: int) -> DataFrame | None:
+        """The counts, before they change, of the keys of ``refs``, which has ``most`` rows; None for an index without any."""
+        return stored(self._counts.view(refs.select(*_KEY).distinct()), "line-old", most=most) if self._counts.layers else None
 
     def _changed(self, old: DataFrame | None, now: DataFrame) -> None:
         """Brings the filters to the counts: ``old`` and ``now`` are those of the keys that changed."""
@@ -215,7 +217,7 @@ class LineIndex:
             return rows[CuckooFilter.load(filters["data"].iloc[0]).has(rows["k1"].to_numpy(np.int64))][["k1", "k2", "doc_id"]]
 
         salts = F.ceil(F.sum("n") / group_rows).cast("long").alias("salts")
-        spread = sized(self.counts.groupBy(self._shard()).agg(salts))
+        spread = sized(self.counts.groupBy(self._shard()).agg(salts).coalesce(self.shards // 100 + 1))
         salted = self.refs.withColumn("shard", self._shard()).join(spread, "shard").select(
             *_KEY, "doc_id", "shard", F.pmod(F.xxhash64("doc_id"), "salts").alias("salt"))
         filters = self.filters.join(spread, "shard").select(

@@ -1,13 +1,16 @@
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from slotwise.llm import jaccard
+import corpus_pipeline
+from slotwise.llm import decontaminate, jaccard
 from slotwise.llm.common import stored
 from slotwise.llm.components import components
+from slotwise.session import sized
 
 LOW = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
 
@@ -146,6 +149,51 @@ def test_small_tables_are_few_files(spark, monkeypatch):
     assert len(written[0].inputFiles()) > 1 and all(len(t.inputFiles()) == 1 for t in written[1:])
 
 
+def test_tables_of_few_texts_are_few_files(spark, edge_rows, monkeypatch):
+    """Of the join and of its neighbours in the pipeline, whatever the number of shuffle partitions."""
+    written = defaultdict(list)
+
+    def spy(df, what, *args, **more):
+        written[what].append(stored(df, what, *args, **more))
+        return written[what][-1]
+
+    monkeypatch.setattr("slotwise.llm.jaccard.stored", spy)
+    monkeypatch.setattr("slotwise.llm.linededup.stored", spy)
+    monkeypatch.setattr("slotwise.llm.linededup.sized", lambda df: written["spread"].append(df) or sized(df))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    docs = stored(spark.createDataFrame(edge_rows, "doc_id long, text string").repartition(5), "few-texts")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        got = [tuple(r)[:3] for r in jaccard.near_duplicates(docs, few=0).collect()]
+        lines = stored(corpus_pipeline.line_stage(spark, docs, ""), "lines")
+        left = stored(corpus_pipeline.near_duplicate_stage(spark, docs, ""), "left")
+        items = spark.createDataFrame([(1, "a b c d e f g h i j k l"), (2, "one two")], "item_id long, text string")
+        windows, _ = decontaminate.test_windows(items, 10)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert sorted(got, key=repr) == brute(edge_rows)
+    files = {what: max(len(t.inputFiles()) for t in written[what]) for what in (
+        "met", "met-rows", "near-texts", "links", "differences", "line-counts")} | {
+        "lines": len(lines.inputFiles()), "left": len(left.inputFiles()),
+        "windows": windows.rdd.getNumPartitions(), "spread": written["spread"][0].rdd.getNumPartitions()}
+    assert set(files.values()) == {1}, files
+    assert lines.count() == len(edge_rows) and windows.count() == 4
+
+
+def test_sets_of_many_texts_take_little_at_a_time():
+    """A worker keeps the memory it took once, beside that of the other workers of its executor."""
+    texts = [(f"word{i} again " * 150).encode() for i in range(2000)]
+    tracemalloc.start()
+    try:
+        held = sum(len(s) for part in jaccard._text_parts(texts) for s in jaccard.shingle_sets(part))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert held == 2 * len(texts) and peak < 24e6
+
+
 def test_unfinished_components_are_an_error(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
     with pytest.raises(RuntimeError):
