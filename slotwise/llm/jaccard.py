@@ -571,13 +571,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, parts: i
     labels = _components(links)
 
     around = _around_hubs(rows, labels, facts)
-    crowded = around.groupBy("u").agg(F.sum(F.col("failed").cast("int")).alias("k")).filter(F.col("k") > few).select("u")
+    crowded = around.groupBy("u").agg(F.sum(F.col("failed").cast("int")).alias("k"), F.count("*").alias("n")).filter(F.col("k") > few)
+    most = crowded.agg(F.sum("n").alias("n")).first()["n"] or 0
+    crowded = crowded.select("u")
     apart = _labelled(texts.differences(around.join(crowded, "u", "left_semi"), words, percent), labels, "node")
-    apart = stored(apart, "differences", "zstd", most=around.count(), task_rows=FILE_TEXTS)  # some dozens of a node
+    apart = stored(apart, "differences", "zstd", most=most, task_rows=FILE_TEXTS)  # some dozens of a node
     again = _could_link(apart, percent).unionByName(
-        _beside_failed(around.join(crowded, "u", "left_anti"), percent)).distinct().join(
-        stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
-    again = stored(again, "again")
+        _beside_failed(around.join(crowded, "u", "left_anti"), percent)).withColumn("seen", F.lit(False)).unionByName(
+        stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.lit(True).alias("seen")))
+    # Not an anti join, which Spark would put before the aggregate, over every row of a pair.
+    again = stored(again.groupBy("u", "v").agg(F.max("seen").alias("seen")).filter("NOT seen").drop("seen"), "again")
     most = again.count()
     if most:
         links = links.unionByName(texts.linked(again, words, percent, most))

@@ -182,6 +182,20 @@ def test_tables_of_few_texts_are_few_files(spark, edge_rows, monkeypatch):
     assert lines.count() == len(edge_rows) and windows.count() == 4
 
 
+def test_pairs_are_distinct_before_known_ones_go(spark, edge_docs, monkeypatch):
+    """Spark puts an anti join before the aggregate, over every row of a pair; the two left are those of hubs."""
+    plans = []
+
+    def spy(df, what, *args, **more):
+        if what == "again":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return stored(df, what, *args, **more)
+
+    monkeypatch.setattr("slotwise.llm.jaccard.stored", spy)
+    jaccard.near_duplicates(edge_docs, few=3)
+    assert [p.count("LeftAnti") for p in plans] == [2]
+
+
 def test_sets_of_many_texts_take_little_at_a_time():
     """A worker keeps the memory it took once, beside that of the other workers of its executor."""
     texts = [(f"word{i} again " * 150).encode() for i in range(2000)]
